@@ -4,8 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
-from tidemark.llm.common import table
+from tidemark.llm import simhash, topk, warc
+from tidemark.llm.common import scratch, table
+
+
+def op4_warc(spark, sf_dir):
+    got = warc.round_trip(table(spark, sf_dir, "pages"), scratch(spark, "archives"), least=1000)
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM m
+"""
+
+
+def op7_topk(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20, scale=64.0)
+
+
+OP7 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
 
 
 def op6_simhash(spark, sf_dir):
@@ -14,5 +45,5 @@ def op6_simhash(spark, sf_dir):
     return got.select(F.col("id").alias("doc_id"), hexed.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {"op6_simhash": op6_simhash}
-SQL = {}
+QUERIES = {"op4_warc": op4_warc, "op6_simhash": op6_simhash, "op7_topk": op7_topk}
+SQL = {"op4_warc": OP4, "op7_topk": OP7}
