@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash, topk, warc
+from tidemark.llm import itq, simhash, topk, warc
 from tidemark.llm.common import scratch, table
 
 
@@ -45,5 +45,10 @@ def op6_simhash(spark, sf_dir):
     return got.select(F.col("id").alias("doc_id"), hexed.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {"op4_warc": op4_warc, "op6_simhash": op6_simhash, "op7_topk": op7_topk}
+def op9_itq(spark, sf_dir):
+    got = itq.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+    return got.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+QUERIES = {"op4_warc": op4_warc, "op6_simhash": op6_simhash, "op7_topk": op7_topk, "op9_itq": op9_itq}
 SQL = {"op4_warc": OP4, "op7_topk": OP7}
