@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import itq, simhash, topk, warc
-from tidemark.llm.common import scratch, table
+from tidemark.llm import itq, langid, quality, simhash, topk, warc
+from tidemark.llm.common import is_held_out, scratch, table
 
 
 def op4_warc(spark, sf_dir):
@@ -39,6 +39,21 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def op5_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    learned_from = lambda i: F.crc32(i.cast("string")) % 5 != 0
+    got = quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels"), learned_from))
+    return got.select(
+        F.col("id").alias("doc_id"), is_held_out("id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op8_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    got = langid.identify(docs, langid.learn(docs, F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
+    return got.select(F.col("id").alias("doc_id"), is_held_out("id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
 def op6_simhash(spark, sf_dir):
     got = simhash.simhash_groups(table(spark, sf_dir, "documents"), most=2, n=3)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -50,5 +65,5 @@ def op9_itq(spark, sf_dir):
     return got.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
 
 
-QUERIES = {"op4_warc": op4_warc, "op6_simhash": op6_simhash, "op7_topk": op7_topk, "op9_itq": op9_itq}
+QUERIES = {"op4_warc": op4_warc, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_topk": op7_topk, "op8_language": op8_language, "op9_itq": op9_itq}
 SQL = {"op4_warc": OP4, "op7_topk": OP7}
