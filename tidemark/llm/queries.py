@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import itq, langid, quality, simhash, topk, warc
+from tidemark.llm import itq, langid, packing, quality, simhash, topk, warc
 from tidemark.llm.common import is_held_out, scratch, table
+from tidemark.llm.tokens import vocabulary
 
 
 def op4_warc(spark, sf_dir):
@@ -65,5 +66,10 @@ def op9_itq(spark, sf_dir):
     return got.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
 
 
-QUERIES = {"op4_warc": op4_warc, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_topk": op7_topk, "op8_language": op8_language, "op9_itq": op9_itq}
+def op10_packing(spark, sf_dir):
+    got = packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=2048, end=0)
+    return got.withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op4_warc": op4_warc, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_topk": op7_topk, "op8_language": op8_language, "op9_itq": op9_itq, "op10_packing": op10_packing}
 SQL = {"op4_warc": OP4, "op7_topk": OP7}
