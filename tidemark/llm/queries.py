@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import itq, langid, packing, quality, simhash, topk, warc
+from tidemark.llm import itq, langid, lines, packing, quality, simhash, topk, warc
 from tidemark.llm.common import is_held_out, scratch, table
 from tidemark.llm.tokens import vocabulary
 
 
+def op3_lines(spark, sf_dir):
+    got = lines.duplicate_lines(table(spark, sf_dir, "documents"), least=0.8)
+    return got.withColumnsRenamed({"doc": "doc_id", "line": "line_no"})
+
+
 def op4_warc(spark, sf_dir):
     got = warc.round_trip(table(spark, sf_dir, "pages"), scratch(spark, "archives"), least=1000)
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -71,5 +76,5 @@ def op10_packing(spark, sf_dir):
     return got.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op4_warc": op4_warc, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_topk": op7_topk, "op8_language": op8_language, "op9_itq": op9_itq, "op10_packing": op10_packing}
+QUERIES = {"op3_lines": op3_lines, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_topk": op7_topk, "op8_language": op8_language, "op9_itq": op9_itq, "op10_packing": op10_packing}
 SQL = {"op4_warc": OP4, "op7_topk": OP7}
