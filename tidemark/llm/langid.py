@@ -162,3 +162,28 @@ def identify(docs: DataFrame, model: Hierarchy | None, id_col: str = "doc_id", t
 
     kind = docs.schema[id_col].dataType.simpleString()
     return arrow_map(pick(docs, id=id_col, text=text_col), run, f"id {kind}, lang_pred string, score double")
+
+
+def with_language(docs: DataFrame, model: Hierarchy | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.3) -> DataFrame:
+    """``docs`` with the predicted language in ``lang_col``, without rows that are ``und`` or score below ``least``.
+
+    One pass over the rows with all their columns; nothing is shuffled.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text, lang = docs.columns.index(text_col), docs.columns.index(lang_col)
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, BLOCK):
+                part = b.slice(at, BLOCK)
+                texts = part.column(text).to_pylist()
+                own = [i for i, t in enumerate(texts) if shared.value is not None and has_letter(t)]
+                if not own:
+                    continue
+                names, sure = shared.value.predict(np.stack([describe(texts[i]) for i in own]))
+                good = [(i, k) for i, k, s in zip(own, names, sure, strict=True) if s >= least]
+                part = part.take(pa.array([i for i, _ in good], pa.int64()))
+                cols = [pa.array([k for _, k in good], pa.string()) if k == lang else part.column(k) for k in range(part.num_columns)]
+                yield pa.RecordBatch.from_arrays(cols, part.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -4,10 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import itq, langid, lines, packing, quality, simhash, topk, warc
-from tidemark.llm.common import is_held_out, scratch, table
+import corpus_pipeline
+
+from tidemark.llm import itq, langid, lines, mixing, packing, quality, simhash, tokenfiles, topk, warc
+from tidemark.llm.common import is_held_out, scratch, stage, table
 from tidemark.llm.tokens import vocabulary
 
+#: An id that the vocabulary doesn't have, for the end of a document.
+END = 65535
+#: Shares of tokens wanted of the languages; others split the rest.
+LANGUAGES = {"en": 0.5, "fr": 0.18, "de": 0.18, "es": 0.12}
+
+
+def op1_tokens(spark, sf_dir):
+    folder = scratch(spark, "tokens")
+    named = stage(tokenfiles.write_token_files(table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"), END), "named")
+    got = tokenfiles.token_counts(spark, folder, END)
+    return got.join(named, ["file", "doc_no"]).select(F.col("id").alias("doc_id"), "file", "doc_no", "start", "tokens")
+
+
+def op2_mixing(spark, sf_dir):
+    got = mixing.mix(table(spark, sf_dir, "documents"), langs=LANGUAGES, keep=0.8)
+    return got.withColumnsRenamed({"id": "doc_id", "p": "probability"})
+
 
 def op3_lines(spark, sf_dir):
     got = lines.duplicate_lines(table(spark, sf_dir, "documents"), least=0.8)
@@ -76,5 +95,7 @@ def op10_packing(spark, sf_dir):
     return got.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op3_lines": op3_lines, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_topk": op7_topk, "op8_language": op8_language, "op9_itq": op9_itq, "op10_packing": op10_packing}
+QUERIES = {"op1_tokens": op1_tokens, "op2_mixing": op2_mixing, "op3_lines": op3_lines, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_topk": op7_topk, "op8_language": op8_language, "op9_itq": op9_itq, "op10_packing": op10_packing, "pipeline": corpus_pipeline.run}
 SQL = {"op4_warc": OP4, "op7_topk": OP7}
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -49,11 +49,12 @@ class ChunkTokenizer:
     a special token's string, goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = plain  # then special tokens' strings are ordinary text
         self.model, self.names = self.whole.model, byte_names()
         self.pieces, self.chunks = Kept(self._piece), Kept(self._chunk)
 
@@ -70,15 +71,15 @@ class ChunkTokenizer:
         return b"".join(map(self.chunks.__getitem__, text.translate(SPACES).split(" ")))
 
 
-_made: dict[str, ChunkTokenizer] = {}
+_made: dict[tuple[str, bool], ChunkTokenizer] = {}
 
 
-def tokenizer(path: str) -> ChunkTokenizer:
+def tokenizer(path: str, plain: bool = False) -> ChunkTokenizer:
     """One for each Python worker and file."""
-    if path not in _made:
+    if (path, plain) not in _made:
         _made.clear()
-        _made[path] = ChunkTokenizer(path)
-    return _made[path]
+        _made[path, plain] = ChunkTokenizer(path, plain)
+    return _made[path, plain]
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
