@@ -7,13 +7,12 @@ import os
 import numpy as np
 import regex
 
-#: Chunks, and word pieces, whose ids a Python worker keeps; two generations of this size at most.
-KEPT = 150_000
+#: Chunks, and word pieces, whose ids a Python worker keeps (about 200 bytes each); two generations of this size at most.
+KEPT, KEPT_PIECES = 400_000, 200_000
 #: Chunks of these characters: neither white space nor combining, and one character each in lower case.
 SIMPLE = regex.compile("[!-~\\u00a1-\\u012f]*")
 #: How this vocabulary's tokenizer splits lower-cased text, and how it writes bytes as characters.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-SPACES = {ord(c): " " for c in "\n\t\r"}
 
 
 def byte_names() -> dict[int, str]:
@@ -56,7 +55,7 @@ class ChunkTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = plain  # then special tokens' strings are ordinary text
         self.model, self.names = self.whole.model, byte_names()
-        self.pieces, self.chunks = Kept(self._piece), Kept(self._chunk)
+        self.pieces, self.chunks = Kept(self._piece, KEPT_PIECES), Kept(self._chunk)
 
     def _piece(self, word: str) -> bytes:
         named = word if word.isascii() else "".join(self.names[b] for b in word.encode())
@@ -68,7 +67,7 @@ class ChunkTokenizer:
         return b"".join([self.pieces[w] for w in WORDS.findall(chunk.lower())])
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.chunks.__getitem__, text.translate(SPACES).split(" ")))
+        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
 _made: dict[tuple[str, bool], ChunkTokenizer] = {}
