@@ -87,8 +87,9 @@ def learn(docs: DataFrame, labels: DataFrame, use, id_col: str = "doc_id", text_
         return None
     h = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
     share = F.when(F.col("y") == 1, F.lit(min(1.0, PER_LABEL / n.get(1, 1)))).otherwise(F.lit(min(1.0, PER_LABEL / n.get(0, 1))))
-    chosen = own.withColumn("h", h).where(F.col("h") <= share)
-    texts = pick(docs, id=id_col, text=text_col).where("text is not null").join(chosen, "id").select("y", "h", "text")
+    chosen = own.withColumn("h", h).where(F.col("h") <= share).orderBy("h", "id").limit(3 * PER_LABEL)
+    # At most 3 * PER_LABEL ids and labels are broadcast, so no text is shuffled.
+    texts = pick(docs, id=id_col, text=text_col).where("text is not null").join(F.broadcast(chosen), "id").select("y", "h", "text")
 
     def run(cols):
         return {"y": cols["y"], "h": cols["h"], "x": [describe(t.as_py()).astype(np.float16).tobytes() for t in cols["text"]]}
