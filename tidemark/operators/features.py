@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from tidemark.operators.bars import run_lengths
 from tidemark.operators.series import calendar, ewm, islands, ordered, rolling, running
 
-CLOSE = F.col
-
 
 def _ret(f, n=1):
     return F.ln(F.col("close") / F.lag("close", n).over(f.order))
