@@ -162,7 +162,7 @@ def near_duplicates(
     good = usable(F.col("v")) & F.exists("v", lambda x: x != 0) & F.col("id").isNotNull()
     classes = rows.where(good).groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("mult"))
     classes = stage(classes, "classes")
-    sample = classes.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("v").toPandas()["v"]
+    sample = classes.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("v").toArrow()["v"].to_pylist()
     if len(sample):
         d = len(sample[0])
         bits = min(64, max(key_bits, d))

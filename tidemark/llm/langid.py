@@ -130,7 +130,7 @@ def learn(docs: DataFrame, use, id_col: str = "doc_id", text_col: str = "text",
     def run(cols):
         return {"lang": cols["lang"], "h": cols["h"], "x": [describe(t.as_py()).astype(np.float16).tobytes() for t in cols["text"]]}
 
-    got = arrow_map(chosen.select("lang", "h", "text"), run, "lang string, h double, x binary").toPandas()
+    got = arrow_map(chosen.select("lang", "h", "text"), run, "lang string, h double, x binary").toArrow().to_pandas()
     got = got.sort_values(["lang", "h"]).groupby("lang").head(most)
     if not len(got):
         return None

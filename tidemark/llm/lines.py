@@ -70,34 +70,46 @@ def band_keys(lines: list[str]) -> np.ndarray:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(doc, line, id, k0..): every line of LEAST characters or more of ``docs`` (doc, text), its id and band keys."""
+    """(doc, line, id, h, k0..): every line of LEAST characters or more of ``docs`` (doc, text), its id, and the id's first
+    eight bytes; band keys at its first place in the task, null at others, so that a line has as many keys as tasks at most.
+    """
     cols = [f"k{b}" for b in range(BANDS)]
 
     def run(batches):
+        seen = set()
         for b in batches:
             for s in range(0, b.num_rows, 512):
                 part = b.slice(s, 512)
-                at, no, kept = [], [], []
+                at, no, ids, fresh, new = [], [], [], [], []
                 for i, t in enumerate(part.column("text").to_pylist()):
                     for j, line in enumerate((t or "").split("\n")):
                         line = normal(line)
                         if len(line) >= LEAST:
+                            k = line_id(line)
                             at.append(i)
                             no.append(j)
-                            kept.append(line)
-                if kept:
-                    keys = band_keys(kept)
+                            ids.append(k)
+                            fresh.append(k not in seen)
+                            if fresh[-1]:
+                                seen.add(k)
+                                new.append(line)
+                if ids:
+                    keys, fresh = np.zeros((len(ids), BANDS), np.int64), np.array(fresh)
+                    keys[fresh] = band_keys(new)
                     yield pa.RecordBatch.from_pydict(
-                        {"doc": part.column("doc").take(pa.array(at)), "line": pa.array(no, pa.int32()), "id": [line_id(x) for x in kept]}
-                        | {c: keys[:, k] for k, c in enumerate(cols)}
+                        {
+                            "doc": part.column("doc").take(pa.array(at)), "line": pa.array(no, pa.int32()), "id": ids,
+                            "h": np.frombuffer(b"".join(k[:8] for k in ids), "<i8"),
+                        }
+                        | {c: pa.array(keys[:, k], mask=~fresh) for k, c in enumerate(cols)}
                     )
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc {kind}, line int, id binary, " + ", ".join(f"{c} long" for c in cols))
+    return docs.mapInArrow(run, f"doc {kind}, line int, id binary, h long, " + ", ".join(f"{c} long" for c in cols))
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
-    """The rows (key, id) whose key occurs more than once; rows come sorted by key, one look ahead is enough."""
+    """The rows (key, h) whose key occurs more than once; rows come sorted by key, one look ahead is enough."""
 
     def run(batches):
         held = None
@@ -117,25 +129,25 @@ def shared_keys(rows: DataFrame) -> DataFrame:
         if held is not None and before:
             yield held
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, id binary")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, h long")
 
 
 def id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bit for each value of the ids' first ``bits`` bits: 8 MB whatever the number of ids."""
-    place = F.conv(F.hex(F.substring("id", 1, 4)), 16, 10).cast("long").bitwiseAND(F.lit((1 << bits) - 1))
+    """A bit for each value of the lowest ``bits`` bits of h: 8 MB whatever the number of lines."""
+    place = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
     rows = ids.select(place.alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
-    got = rows.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    got = rows.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
-    out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
+    out[got["w"].to_numpy()] = got["b"].to_numpy()
     return out
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the lines named in ``ids``: the filter keeps other lines from being shuffled, the join is exact."""
-    shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+def texts_of(docs: DataFrame, hs: DataFrame) -> DataFrame:
+    """(h, id, text) of the lines named in ``hs``: the filter keeps other lines from being shuffled, the join is exact."""
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(hs))
 
     def run(batches):
-        words, seen = shared.value.view(np.uint64), set()
+        words, seen, low = shared.value, set(), (1 << FILTER_BITS) - 1
         for b in batches:
             for s in range(0, b.num_rows, 512):
                 got = {}
@@ -144,42 +156,51 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                         line = normal(line)
                         if len(line) >= LEAST:
                             k = line_id(line)
-                            p = int.from_bytes(k[:4], "big") & ((1 << FILTER_BITS) - 1)
+                            p = int.from_bytes(k[:8], "little") & low
                             if int(words[p >> 6]) >> (p & 63) & 1 and k not in seen:
                                 got[k] = line
                 seen.update(got)
                 if got:
-                    yield pa.RecordBatch.from_pydict({"id": list(got), "text": list(got.values())})
+                    h = np.frombuffer(b"".join(k[:8] for k in got), "<i8")
+                    yield pa.RecordBatch.from_pydict({"h": h, "id": list(got), "text": list(got.values())})
 
-    found = docs.mapInArrow(run, "id binary, text string").join(ids, "id", "left_semi")
-    return found.groupBy("id").agg(F.first("text").alias("text"))
+    found = docs.mapInArrow(run, "h long, id binary, text string").join(hs, "h", "left_semi")
+    return found.groupBy("h", "id").agg(F.first("text").alias("text"))
 
 
-def link_unit(sets: list[frozenset], side: list[int], least: float) -> list[int]:
-    """Root of each set's component by Jaccard >= ``least``; if two sides occur, only pairs across them are compared.
+def link_unit(texts: list[str], side: list[int], least: float) -> list[int]:
+    """Root of each text's component by Jaccard >= ``least``; if two sides occur, only pairs across them are compared.
 
-    A set is compared with the members of each component it isn't in until one is near: no link between components is lost.
+    A text is compared with the members of each component it isn't in until one is near: no link between components is
+    lost. Texts come longest first; one with too few shingles for a member's set isn't compared with it, and a text that
+    is compared with none needs no set.
     """
-    groups: list[list[int]] = []
-    across = len(set(side)) > 1
-    for i, a in enumerate(sets):
-        joined = []
+    across, groups = len(set(side)) > 1, []
+    sets: list[set[str] | None] = [None] * len(texts)
+    own = lambda i: {texts[i][k : k + SHINGLE] for k in range(len(texts[i]) - SHINGLE + 1)}
+    for i in sorted(range(len(texts)), key=lambda x: -len(texts[x])):
+        joined, most = [], len(texts[i]) - SHINGLE + 1
         for g, members in enumerate(groups):
             for j in members:
                 if across and side[j] == side[i]:
                     continue
-                b = sets[j]
-                small, large = (len(a), len(b)) if len(a) < len(b) else (len(b), len(a))
-                if small >= least * large:
+                if sets[j] is None:
+                    sets[j] = own(j)
+                if most < least * len(sets[j]):
+                    continue
+                if sets[i] is None:
+                    sets[i] = own(i)
+                a, b = sets[i], sets[j]
+                if min(len(a), len(b)) >= least * max(len(a), len(b)):
                     both = len(a & b)
-                    if both >= least * (small + large - both):
+                    if both >= least * (len(a) + len(b) - both):
                         joined.append(g)
                         break
         merged = [i]
         for g in reversed(joined):
             merged = groups.pop(g) + merged
         groups.append(merged)
-    root = list(range(len(sets)))
+    root = list(range(len(texts)))
     for members in groups:
         for j in members:
             root[j] = min(members)
@@ -187,16 +208,16 @@ def link_unit(sets: list[frozenset], side: list[int], least: float) -> list[int]
 
 
 def links(cand: DataFrame, docs: DataFrame, least: float, bucket: int = BUCKET) -> DataFrame:
-    """(src, dst): verified links between the ids that share a bucket of ``cand`` (key, id), a forest for each unit."""
+    """(src, dst): verified links between the ids that share a bucket of ``cand`` (key, h), a forest for each unit."""
     sizes = cand.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")
-    )
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "h")).alias("y")
+    ).where("n > 1")
     once = sizes.groupBy("n", "x", "y").agg(F.min("key").alias("key"))  # buckets of the same ids are looked at once
     once = once.select("key", F.ceil(F.col("n") / bucket).cast("int").alias("cut"))
-    rows = cand.join(once, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("cut")).cast("int"))
+    rows = cand.join(once, "key").withColumn("own", F.pmod(F.xxhash64("h"), F.col("cut")).cast("int"))
     unit = F.explode(F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda j: F.struct(F.least("own", j).alias("a"), F.greatest("own", j).alias("b"))))
-    rows = rows.select("key", "own", "id", unit.alias("u")).select("key", "u.a", "u.b", "own", "id")
-    rows = rows.join(texts_of(docs, cand.select("id").distinct()), "id")
+    rows = rows.select("key", "own", "h", unit.alias("u")).select("key", "u.a", "u.b", "own", "h")
+    rows = rows.join(texts_of(docs, stage(cand.select("h").distinct(), "named")), "h")
 
     def run(batches):
         at, held = None, []
@@ -214,8 +235,7 @@ def links(cand: DataFrame, docs: DataFrame, least: float, bucket: int = BUCKET)
 def _unit(held, least):
     if len(held) < 2 or held[0][1] != held[0][2] and len({r[3] for r in held}) < 2:
         return
-    sets = [frozenset(shingles(r[5]).tolist()) for r in held]
-    root = link_unit(sets, [r[3] for r in held], least)
+    root = link_unit([r[5] for r in held], [r[3] for r in held], least)
     pairs = [(i, r) for i, r in enumerate(root) if i != r]
     if pairs:
         yield pa.RecordBatch.from_pydict({"src": [held[i][4] for i, _ in pairs], "dst": [held[r][4] for _, r in pairs]})
@@ -231,9 +251,8 @@ def duplicate_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
     """
     whole = pick(docs, doc=id_col, text=text_col).where("doc is not null and text is not null")
     found = stage(scan(whole), "lines")
-    once = found.groupBy("id").agg(*[F.max(f"k{b}").alias(f"k{b}") for b in range(BANDS)])
-    keys = once.select(F.explode(F.array(*[f"k{b}" for b in range(BANDS)])).alias("key"), "id")
-    cand = stage(shared_keys(keys), "candidates")
+    keys = found.where("k0 is not null").select(F.explode(F.array(*[f"k{b}" for b in range(BANDS)])).alias("key"), "h")
+    cand = stage(shared_keys(keys).distinct(), "candidates")
     cc = stage(connected_components(stage(links(cand, whole, least, bucket), "links")), "components")
     root = F.coalesce("component", "id")
     again = found.select("doc", "line", "id").join(cc, "id", "left").select("doc", "line", root.alias("root"))

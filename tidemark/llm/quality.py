@@ -94,7 +94,7 @@ def learn(docs: DataFrame, labels: DataFrame, use, id_col: str = "doc_id", text_
     def run(cols):
         return {"y": cols["y"], "h": cols["h"], "x": [describe(t.as_py()).astype(np.float16).tobytes() for t in cols["text"]]}
 
-    got = arrow_map(texts, run, "y int, h double, x binary").toPandas().sort_values(["y", "h", "x"]).groupby("y").head(PER_LABEL)
+    got = arrow_map(texts, run, "y int, h double, x binary").toArrow().to_pandas().sort_values(["y", "h", "x"]).groupby("y").head(PER_LABEL)
     if not len(got):
         return None
     x = np.stack([np.frombuffer(b, np.float16) for b in got["x"]]).astype(np.float32)
