@@ -85,10 +85,10 @@ def f10(spark, sf):
     )
 
 
-@query("p7_relevance", """SELECT doc_id, regexp_matches(regexp_replace(lower(text), '\\b(reon the|the the)\\b', ' ', 'g'), '\\b(the|reon)\\b') AS relevant FROM documents WHERE text IS NOT NULL""")
+@query("p7_relevance", """SELECT doc_id, regexp_matches(regexp_replace(lower(text), ' (reon the|the the) ', ' ', 'g'), ' (the|reon) ') AS relevant FROM documents WHERE text IS NOT NULL""")
 def p7(spark, sf):
-    t = F.regexp_replace(F.lower("text"), r"\b(reon the|the the)\b", " ")
-    return table(spark, sf, "documents").where("text is not null").select("doc_id", t.rlike(r"\b(the|reon)\b").alias("relevant"))
+    t = F.regexp_replace(F.lower("text"), r" (reon the|the the) ", " ")
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", t.rlike(r" (the|reon) ").alias("relevant"))
 
 
 @query("p7_market_relevance", """SELECT doc_id, regexp_matches(regexp_replace(lower(text), '\\b(fed up|fed ex|well fed|fed the)\\b', ' ', 'g'), '\\b(fed|fomc|federal reserve|powell)\\b') OR regexp_matches(lower(text), '\\b(payrolls?|unemployment|jobless|jobs report)\\b')
