@@ -76,7 +76,7 @@ def test_band_keys_do_not_depend_on_neighbours():
     some = ["a" * 25, "the quick brown fox jumps over", "é" * 30 + "abcdefgh", "the quick brown fox jumps over it"]
     whole = lines.band_keys(some)
     assert all((lines.band_keys([x]) == whole[i]).all() for i, x in enumerate(some))
-    assert (whole[1] == whole[3]).any() and not (whole[0] == whole[1]).any()
+    assert (whole[1, :-2] == whole[3, :-2]).any() and not (whole[0, :-2] == whole[1, :-2]).any()
 
 
 def test_recall_of_bands():
@@ -87,7 +87,7 @@ def test_recall_of_bands():
         at = int(rng.integers(30, 150))
         b = a[:at] + "#" + a[at + 1 :]  # 5 of 196 shingles change: Jaccard 0.95
         k = lines.band_keys([a, b])
-        hit += (k[0] == k[1]).any()
+        hit += lines.alike(np.zeros(2, int), k[:, -2].view(np.uint64), k[:, -1].view(np.uint64)).all() and (k[0, :-2] == k[1, :-2]).any()
     assert hit >= 297
 
 

@@ -15,6 +15,9 @@ from tidemark.llm.components import connected_components
 SHINGLE, LEAST = 5, 20
 #: Bands of rows: at Jaccard 0.8 a pair shares a band with probability 0.985, at 0.9 with 0.9998.
 BANDS, ROWS = 8, 4
+#: Of each minimum four bits are kept; two lines of one key whose kept bits agree in fewer than ALIKE of 32 minima aren't
+#: compared (a pair at Jaccard 0.8 is lost by this with probability 1e-4). Keys of more than CROWD lines skip the test.
+ALIKE, CROWD = 19, 64
 #: Lines of a bucket that one task compares; larger buckets are cut into blocks, each pair of blocks a unit.
 BUCKET = 1000
 #: Characters hashed at once, and bits of the filter that picks candidates' texts (its size is fixed).
@@ -44,8 +47,10 @@ def shingles(text: str) -> np.ndarray:
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
-    """(lines, BANDS) keys: minima of multiplicative hashes over each line's shingles, folded by band."""
-    out, at = np.zeros((len(lines), BANDS), np.int64), 0
+    """(lines, BANDS + 2) numbers: minima of multiplicative hashes over each line's shingles, folded by band; and four
+    bits of each of the 32 minima, in two words.
+    """
+    out, at = np.zeros((len(lines), BANDS + 2), np.int64), 0
     while at < len(lines):
         end, size = at, 0
         while end < len(lines) and (end == at or size + len(lines[end]) < CHUNK):
@@ -58,13 +63,16 @@ def band_keys(lines: list[str]) -> np.ndarray:
         owner = np.repeat(np.arange(len(part)), n - SHINGLE + 1)
         first = np.r_[0, np.cumsum(n - SHINGLE + 1)[:-1]]
         h = h[np.arange(len(owner)) - first[owner] + start[owner]]  # runs across line ends are left out
+        kept = np.zeros((2, len(part)), np.uint64)
         for b in range(BANDS):
             key = np.full(len(part), b + 1, np.uint64)
             for r in range(ROWS):
                 low = np.minimum.reduceat(h * MULTIPLIERS[b * ROWS + r], first).astype(np.uint64)
+                kept[b % 2] = kept[b % 2] << np.uint64(4) | (low * FOLD[0] >> np.uint64(60))
                 key = (key ^ low) * FOLD[r]
                 key ^= key >> np.uint64(31)
             out[at:end, b] = key.view(np.int64)
+        out[at:end, BANDS:] = kept.T.view(np.int64)
         at = end
     return out
 
@@ -73,7 +81,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc, line, id, h, k0..): every line of LEAST characters or more of ``docs`` (doc, text), its id, and the id's first
     eight bytes; band keys at its first place in the task, null at others, so that a line has as many keys as tasks at most.
     """
-    cols = [f"k{b}" for b in range(BANDS)]
+    cols = [*(f"k{b}" for b in range(BANDS)), "s0", "s1"]
 
     def run(batches):
         seen = set()
@@ -94,7 +102,7 @@ def scan(docs: DataFrame) -> DataFrame:
                                 seen.add(k)
                                 new.append(line)
                 if ids:
-                    keys, fresh = np.zeros((len(ids), BANDS), np.int64), np.array(fresh)
+                    keys, fresh = np.zeros((len(ids), BANDS + 2), np.int64), np.array(fresh)
                     keys[fresh] = band_keys(new)
                     yield pa.RecordBatch.from_pydict(
                         {
@@ -108,26 +116,63 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc {kind}, line int, id binary, h long, " + ", ".join(f"{c} long" for c in cols))
 
 
+def alike(key: np.ndarray, s0: np.ndarray, s1: np.ndarray) -> np.ndarray:
+    """Which rows of sorted keys have a partner of the same key that agrees in ALIKE minima, or stand in a crowd."""
+    n = len(key)
+    keep, fifteenth = np.zeros(n, bool), np.uint64(0x1111111111111111)
+
+    def differ(x):
+        x = x | x >> np.uint64(2)
+        return np.bitwise_count((x | x >> np.uint64(1)) & fifteenth)
+
+    i, d = np.arange(n), 0
+    while d < CROWD and len(i):
+        d += 1
+        i = i[i + d < n]
+        i = i[key[i] == key[i + d]]
+        near = differ(s0[i] ^ s0[i + d]) + differ(s1[i] ^ s1[i + d]) <= 32 - ALIKE
+        keep[i[near]] = keep[i[near] + d] = True
+    for k in np.unique(key[i]):
+        keep[np.searchsorted(key, k) : np.searchsorted(key, k, side="right")] = True
+    return keep
+
+
 def shared_keys(rows: DataFrame) -> DataFrame:
-    """The rows (key, h) whose key occurs more than once; rows come sorted by key, one look ahead is enough."""
+    """The rows (key, h) that have a partner of the same key to be compared with; rows come sorted by key.
+
+    A task holds one batch and the last key's rows, of a crowd only the fact that it is one.
+    """
 
     def run(batches):
-        held = None
+        held, crowd = None, None
         for b in batches:
             if not b.num_rows:
                 continue
-            if held is not None:
-                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
             key = b.column("key").to_numpy()
-            same = np.r_[before if held is not None else False, key[1:] == key[:-1]]
-            keep = same | np.r_[same[1:], False]
-            before = bool(same[-1])
-            held = b.slice(b.num_rows - 1)
-            keep[-1] = False
+            if crowd is not None:
+                n = int(np.searchsorted(key, crowd, side="right"))
+                if n:
+                    yield b.slice(0, n).select(["key", "h"])
+                b, crowd = b.slice(n), crowd if n == len(key) else None
+                if not b.num_rows:
+                    continue
+            if held is not None:
+                b, held = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0], None
+            key, s0, s1 = (b.column(c).to_numpy() for c in ("key", "s0", "s1"))
+            at = int(np.searchsorted(key, key[-1]))
+            if len(key) - at > CROWD:
+                crowd = key[-1]
+                yield b.slice(at).select(["key", "h"])
+            else:
+                held = b.slice(at)
+            keep = alike(key[:at], s0[:at].view(np.uint64), s1[:at].view(np.uint64))
+            if keep.any():
+                yield b.slice(0, at).filter(pa.array(keep)).select(["key", "h"])
+        if held is not None:
+            key, s0, s1 = (held.column(c).to_numpy() for c in ("key", "s0", "s1"))
+            keep = alike(key, s0.view(np.uint64), s1.view(np.uint64))
             if keep.any():
-                yield b.filter(pa.array(keep))
-        if held is not None and before:
-            yield held
+                yield held.filter(pa.array(keep)).select(["key", "h"])
 
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, h long")
 
@@ -251,7 +296,7 @@ def duplicate_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
     """
     whole = pick(docs, doc=id_col, text=text_col).where("doc is not null and text is not null")
     found = stage(scan(whole), "lines")
-    keys = found.where("k0 is not null").select(F.explode(F.array(*[f"k{b}" for b in range(BANDS)])).alias("key"), "h")
+    keys = found.where("k0 is not null").select(F.explode(F.array(*[f"k{b}" for b in range(BANDS)])).alias("key"), "h", "s0", "s1")
     cand = stage(shared_keys(keys).distinct(), "candidates")
     cc = stage(connected_components(stage(links(cand, whole, least, bucket), "links")), "components")
     root = F.coalesce("component", "id")
