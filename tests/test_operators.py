@@ -65,7 +65,7 @@ def test_greedy_against_a_loop(spark):
 
 
 def test_triple_barrier_by_hand(spark):
-    rows = [("a", i, *x) for i, x in enumerate([(100, 100, 100), (100.5, 98.9, 100), (101.2, 99.5, 101), (103, 98, 100), (100, 100, 100)])]
+    rows = [("a", i, *x) for i, x in enumerate([(100.0, 100.0, 100.0), (100.5, 98.9, 100.0), (101.2, 99.5, 101.0), (103.0, 98.0, 100.0), (100.0, 100.0, 100.0)])]
     b = spark.createDataFrame(rows, "symbol string, i int, high double, low double, close double").withColumn("ts", F.timestamp_seconds(F.col("i") * 3600))
     assert [r.label for r in labels.triple_barrier(b, 0.01, 0.01, 2).orderBy("i").collect()] == [0, 2, 0, -1, -1]
 
