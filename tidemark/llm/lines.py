@@ -213,43 +213,54 @@ def texts_of(docs: DataFrame, hs: DataFrame) -> DataFrame:
     return found.groupBy("h", "id").agg(F.first("text").alias("text"))
 
 
-def link_unit(texts: list[str], side: list[int], least: float) -> list[int]:
+def shingle_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, sizes): 32-bit hashes of each text's distinct shingles, text after text, sorted within each."""
+    n = np.array([len(x) for x in texts])
+    h = shingles("\n".join(texts) + "\n" * SHINGLE)
+    owner = np.repeat(np.arange(len(texts)), n - SHINGLE + 1)
+    first = np.r_[0, np.cumsum(n - SHINGLE + 1)[:-1]]
+    at = np.arange(len(owner)) - first[owner] + np.r_[0, np.cumsum(n + 1)[:-1]][owner]
+    both = np.sort(owner.astype(np.uint64) << np.uint64(32) | (h[at] * BASE >> np.uint64(32)))
+    both = both[np.r_[True, both[1:] != both[:-1]]]
+    size = np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(texts))
+    return both.astype(np.uint32), np.r_[0, np.cumsum(size)[:-1]], size
+
+
+def near(a: str, b: str, least: float) -> bool:
+    """Whether the Jaccard similarity of two texts' shingle sets is ``least`` or more, from the shingles themselves."""
+    x, y = ({t[k : k + SHINGLE] for k in range(len(t) - SHINGLE + 1)} for t in (a, b))
+    both = len(x & y)
+    return both >= least * (len(x) + len(y) - both)
+
+
+def link_unit(texts: list[str], side: list[int], least: float, rows: tuple | None = None) -> list[int]:
     """Root of each text's component by Jaccard >= ``least``; if two sides occur, only pairs across them are compared.
 
-    A text is compared with the members of each component it isn't in until one is near: no link between components is
-    lost. Texts come longest first; one with too few shingles for a member's set isn't compared with it, and a text that
-    is compared with none needs no set.
+    Each text in turn is compared, in one vector operation, with the later ones outside its component whose set sizes
+    allow for the similarity: no link between components is lost. Sets are held as 32-bit hashes; where a collision could
+    decide, within three shingles of the threshold, the texts themselves are compared.
     """
-    across, groups = len(set(side)) > 1, []
-    sets: list[set[str] | None] = [None] * len(texts)
-    own = lambda i: {texts[i][k : k + SHINGLE] for k in range(len(texts[i]) - SHINGLE + 1)}
-    for i in sorted(range(len(texts)), key=lambda x: -len(texts[x])):
-        joined, most = [], len(texts[i]) - SHINGLE + 1
-        for g, members in enumerate(groups):
-            for j in members:
-                if across and side[j] == side[i]:
-                    continue
-                if sets[j] is None:
-                    sets[j] = own(j)
-                if most < least * len(sets[j]):
-                    continue
-                if sets[i] is None:
-                    sets[i] = own(i)
-                a, b = sets[i], sets[j]
-                if min(len(a), len(b)) >= least * max(len(a), len(b)):
-                    both = len(a & b)
-                    if both >= least * (len(a) + len(b) - both):
-                        joined.append(g)
-                        break
-        merged = [i]
-        for g in reversed(joined):
-            merged = groups.pop(g) + merged
-        groups.append(merged)
-    root = list(range(len(texts)))
-    for members in groups:
-        for j in members:
-            root[j] = min(members)
-    return root
+    n, side = len(texts), np.array(side)
+    across = len(set(side.tolist())) > 1
+    h, start, size = rows or shingle_rows(texts)
+    root = np.arange(n)
+    for i in range(n - 1):
+        j = np.arange(i + 1, n)
+        small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        j = j[(root[j] != root[i]) & (small + 3 >= least * large) & ((side[j] != side[i]) | (not across))]
+        if not len(j):
+            continue
+        own = h[start[i] : start[i] + size[i]]
+        cut = np.r_[0, np.cumsum(size[j])]
+        rows = h[np.arange(cut[-1]) - np.repeat(cut[:-1] - start[j], size[j])]
+        found = own[np.minimum(np.searchsorted(own, rows), len(own) - 1)] == rows
+        over = np.add.reduceat(found, cut[:-1], dtype=np.int64) * (1 + least) - least * (size[i] + size[j])
+        sure = j[over > 3].tolist() + [k for k in j[np.abs(over) <= 3].tolist() if near(texts[i], texts[k], least)]
+        for k in sure:
+            if root[k] != root[i]:
+                a, b = sorted((root[i], root[k]))
+                root[root == b] = a
+    return root.tolist()
 
 
 def links(cand: DataFrame, docs: DataFrame, least: float, bucket: int = BUCKET) -> DataFrame:
@@ -265,25 +276,42 @@ def links(cand: DataFrame, docs: DataFrame, least: float, bucket: int = BUCKET)
     rows = rows.join(texts_of(docs, stage(cand.select("h").distinct(), "named")), "h")
 
     def run(batches):
-        at, held = None, []
+        at, units, size = None, [], 0
         for b in batches:
             for r in zip(*(b.column(k).to_pylist() for k in ("key", "a", "b", "own", "id", "text")), strict=True):
                 if r[:3] != at:
-                    yield from _unit(held, least)
-                    at, held = r[:3], []
-                held.append(r)
-        yield from _unit(held, least)
+                    if size > CHUNK // 2:
+                        yield from _units(units, least)
+                        units, size = [], 0
+                    at = r[:3]
+                    units.append([])
+                units[-1].append(r)
+                size += len(r[5])
+        yield from _units(units, least)
 
     return rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "id").select("key", "a", "b", "own", "id", "text").mapInArrow(run, "src binary, dst binary")
 
 
 def _unit(held, least):
-    if len(held) < 2 or held[0][1] != held[0][2] and len({r[3] for r in held}) < 2:
+    return _units([held], least)
+
+
+def _units(units, least):
+    """Links of several units; their shingles are hashed and sorted together."""
+    units = [u for u in units if len(u) > 1 and (u[0][1] == u[0][2] or len({r[3] for r in u}) > 1)]
+    if not units:
         return
-    root = link_unit([r[5] for r in held], [r[3] for r in held], least)
-    pairs = [(i, r) for i, r in enumerate(root) if i != r]
-    if pairs:
-        yield pa.RecordBatch.from_pydict({"src": [held[i][4] for i, _ in pairs], "dst": [held[r][4] for _, r in pairs]})
+    h, start, size = shingle_rows([r[5] for u in units for r in u])
+    src, dst, at = [], [], 0
+    for u in units:
+        part, at = slice(at, at + len(u)), at + len(u)
+        root = link_unit([r[5] for r in u], [r[3] for r in u], least, (h, start[part], size[part]))
+        for i, r in enumerate(root):
+            if i != r:
+                src.append(u[i][4])
+                dst.append(u[r][4])
+    if src:
+        yield pa.RecordBatch.from_pydict({"src": src, "dst": dst})
 
 
 def duplicate_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
