@@ -1,4 +1,4 @@
 """All registered queries; importing a module of queries registers them."""
 
-from tidemark.plans import evaluation, ledgers, market, models, text  # noqa: F401
+from tidemark.plans import evaluation, ledgers, market, models, more, text  # noqa: F401
 from tidemark.plans.base import QUERIES, SQL  # noqa: F401
