@@ -13,8 +13,10 @@ from tidemark.llm import langid, lines, mixing, packing, simhash
 from tidemark.llm.common import stage, table
 from tidemark.llm.tokens import vocabulary
 
-#: Bits in which near-duplicate fingerprints of five-word shingles may differ; share of the tokens that mixing keeps.
+#: Bits in which fingerprints of five-word shingles may differ to be candidates; share of the tokens that mixing keeps.
 NEAR_BITS, KEEP = 6, 0.9
+#: Jaccard similarity of the sets of five-word shingles from which documents are near-duplicates.
+NEAR = 0.8
 LANGUAGES = {"en": 0.55, "fr": 0.17, "de": 0.16, "es": 0.12}
 
 ORACLE_SQL = None
@@ -31,8 +33,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.one_of_each_group(docs, most=NEAR_BITS, n=5)
+    """One document of each group of near-duplicates stays; every link is a pair compared shingle by shingle."""
+    return simhash.one_of_each_group(docs, most=NEAR_BITS, n=5, least=NEAR)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
