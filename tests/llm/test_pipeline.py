@@ -27,3 +27,13 @@ def test_empty_input(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
     for _, fn in corpus_pipeline.STAGES:
         assert fn(spark, docs, "").count() == 0
+
+
+def test_mixing_keeps_languages_without_a_share(spark):
+    """The shares of the stage add up to 1; documents of a fifth language keep the share of the tokens they have."""
+    words = ["harbour", "lantern", "orchard", "meadow", "granite", "whistle", "copper", "velvet"]
+    rows = [(i, " ".join(words[(i * 7 + k * (1 + i % 5)) % 8] for k in range(50)), lang, "s", 1) for i, lang in enumerate(["en", "fr", "de", "es", "it"] * 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sum(corpus_pipeline.LANGUAGES.values()) == 1.0
+    got = {r.lang: r["count"] for r in corpus_pipeline.mixture(spark, docs, "").groupBy("lang").count().collect()}
+    assert got.keys() == {"en", "fr", "de", "es", "it"} and got["it"] > 100
