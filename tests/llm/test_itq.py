@@ -41,3 +41,22 @@ def test_empty_null_id_and_repeats(spark):
     df = spark.createDataFrame([(None, v), (5, v), (5, v), (7, [1.0] * 3)], "vec_id long, embedding array<float>")
     got = sorted((r.id or 0, r.n_links, r.component, r.kept) for r in itq.near_duplicates(df).collect())
     assert got == [(0, 0, None, True), (5, 1, 5, True), (5, 1, 5, True), (7, 0, 7, True)]
+
+
+@pytest.mark.parametrize("d", [32, 64])
+def test_recall_near_the_threshold(spark, d):
+    """Partners at fixed cosines from the threshold on, each found but for a few in a hundred."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    n, at = 1500, (0.901, 0.92, 0.94)
+    base = unit(rng.normal(size=(n, d)))
+    side = rng.normal(size=(n, d))
+    side = unit(side - (side * base).sum(1, keepdims=True) * base)
+    cos = np.array([at[i % 3] for i in range(n)])[:, None]
+    rows = [(i, x.tolist()) for i, x in enumerate(np.concatenate([base, cos * base + np.sqrt(1 - cos**2) * side]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    comp = {r.id: r.component for r in itq.near_duplicates(df, 0.9).collect()}
+    for k, c in enumerate(at):
+        found = np.mean([comp[i] == comp[i + n] for i in range(k, n, 3)])
+        print(d, c, found)
+        assert found >= 0.95

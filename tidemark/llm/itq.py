@@ -14,8 +14,12 @@ from tidemark.llm.unionfind import roots
 
 #: The rotation is fitted on at most so many distinct vectors (the lowest hashes); every vector is indexed.
 SAMPLE, ROUNDS = 20_000, 30
-#: Tables, bits of a table's key, and rows of a bucket that one task compares; larger buckets are cut into blocks.
-TABLES, KEY_BITS, BUCKET = 12, 16, 4096
+#: Bits of a code; bits of a table's key at least and at most, and rows of a bucket wanted: keys grow with the vectors.
+BITS, KEY_BITS, KEY_MOST, ROWS = 64, 8, 16, 1024
+#: Chance that a pair at the threshold shares no table, were its bits independent: sets the number of tables.
+MISSED = 0.003
+#: Rows of a bucket that one task compares; larger buckets are cut into blocks.
+BUCKET = 4096
 
 
 def learn_rotation(x: np.ndarray, bits: int, rounds: int = ROUNDS, seed: int = 42) -> np.ndarray:
@@ -36,7 +40,14 @@ def learn_rotation(x: np.ndarray, bits: int, rounds: int = ROUNDS, seed: int = 4
     return basis @ rot
 
 
-def key_masks(bits: int, tables: int = TABLES, key_bits: int = KEY_BITS, seed: int = 42) -> list[int]:
+def shape(count: int, least: float) -> tuple[int, int]:
+    """(tables, bits of a key) for ``count`` distinct vectors: two at cosine ``least`` agree on a bit with chance 1 - angle / pi."""
+    key_bits = int(np.clip(np.ceil(np.log2(max(count, 1) / ROWS)), KEY_BITS, KEY_MOST))
+    hit = (1 - np.arccos(np.clip(least, -1, 1)) / np.pi) ** key_bits
+    return (1 if hit >= 1 else int(np.ceil(np.log(MISSED) / np.log1p(-hit)))), key_bits
+
+
+def key_masks(bits: int, tables: int, key_bits: int, seed: int = 42) -> list[int]:
     """Bit masks of the tables: disjoint substrings of seeded orders of the bits."""
     rng, out = np.random.default_rng(seed), []
     while len(out) < tables:
@@ -74,11 +85,12 @@ def link_tables(rows: DataFrame, masks: list[int], least: float, bucket: int = B
     (its links counted, and the root of its component in the unit), never the pairs.
     """
     m64 = np.array(masks, np.uint64)
+    few = sum(1 << m.bit_count() for m in masks) <= 1 << 16  # buckets there can be: their sizes are broadcast, vectors shuffled once
     keys = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("code").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for t, m in enumerate(masks)]))
     rows = rows.select("rep", "mult", "code", "v", keys.alias("k")).select("rep", "mult", "code", "v", "k.t", "k.key")
     many = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     many = many.withColumn("cut", F.ceil(F.col("size") / bucket).cast("int"))
-    rows = rows.join(many, ["t", "key"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("cut")).cast("int"))
+    rows = rows.join(F.broadcast(many) if few else many, ["t", "key"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("cut")).cast("int"))
     unit = F.explode(F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda j: F.struct(F.least("own", j).alias("x"), F.greatest("own", j).alias("y"))))
     rows = rows.withColumn("u", unit).select("t", "key", "u.x", "u.y", "own", "rep", "mult", "code", "v")
 
@@ -147,13 +159,14 @@ def _signed(x: int) -> int:
 
 
 def near_duplicates(
-    vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, key_bits: int = KEY_BITS, bucket: int = BUCKET
+    vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", tables: int | None = None, key_bits: int | None = None, bucket: int = BUCKET
 ) -> DataFrame:
     """(id, n_links, component, kept): vectors linked by cosine >= ``least``, for every row of ``vectors``.
 
     Equal vectors form one class with a count, so copies are never compared pair by pair. The rotation is learned from at
     most SAMPLE distinct vectors; all classes get codes and go to every table; what shares a bucket is compared with its
-    original components in double precision, and a pair counts in the first table that brings it together. Vectors that
+    original components in double precision, and a pair counts in the first table that brings it together. Without
+    ``tables`` and ``key_bits`` the number of distinct vectors and ``least`` set them (see ``shape``). Vectors that
     are null, zero, or hold null or non-finite components, vectors of another length than the first sampled one, and rows
     without id link with nothing. A row without id has no component and is kept. An empty table gives an empty result.
     """
@@ -165,7 +178,8 @@ def near_duplicates(
     sample = classes.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("v").toArrow()["v"].to_pylist()
     if len(sample):
         d = len(sample[0])
-        bits = min(64, max(key_bits, d))
+        bits, wanted = BITS, shape(classes.count(), least)
+        tables, key_bits = tables or wanted[0], key_bits or wanted[1]
         turn = learn_rotation(unit_rows([x for x in sample if len(x) == d]), bits)
 
         def code(batches):
