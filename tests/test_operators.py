@@ -116,6 +116,17 @@ def test_indel_and_story_ledger(spark):
     assert got[1] == (1, True, "new") and got[2] == (1, False, "title") and got[3][1] and got[4] == (1, False, "url") and got[5] == (5, True, "new") and got[6] == (1, False, "fuzzy")
 
 
+def test_story_ledger_meets_urls_under_other_titles(spark):
+    t = lambda h: f"2024-01-0{1 + h // 24} {h % 24:02}:00:00"
+    rows = [
+        (1, t(0), "Central bank lifts rates", "https://a.com/x"), (2, t(5), "Quite another headline here", "https://a.com/x"),
+        (3, t(80), "Third wording of it", "https://a.com/x"), (4, t(81), "", "https://b.com/1"), (5, t(82), "", "https://c.com/2"), (6, t(83), "Third wording of it", "https://d.com/9"),
+    ]
+    df = spark.createDataFrame(rows, "id long, ts string, title string, url string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {r.id: (r.story_id, r.keep, r.reason) for r in stories.story_ledger(df).collect()}
+    assert got == {1: (1, True, "new"), 2: (1, False, "url"), 3: (3, True, "new"), 4: (4, True, "new"), 5: (5, True, "new"), 6: (3, False, "title")}
+
+
 def test_html_and_relevance(spark):
     df = spark.createDataFrame([("<title>A &amp; B</title><script>x</script><main><p>Hi <b>you</b></p></main>", "He was fed up"), ("<h1>H</h1>", "Powell spoke"), (None, None)], "h string, t string")
     got = df.select(text.unescape(text.html_title(F.col("h"))).alias("a"), text.html_text(F.col("h")).alias("b"), text.relevant(F.col("t")).alias("c")).collect()

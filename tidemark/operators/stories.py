@@ -23,35 +23,62 @@ def exact_echoes(articles: DataFrame, id_col: str, key_col: str, hours: int, ts:
     return spaced(articles, id_col, hours * 3600, key_col, ts).withColumnRenamed("taken", "keep")
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
+
+
+def _together(a: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    """(id, part): the smallest id reached over non-empty equal ``keys`` whose articles (id, t) follow within ``gap``.
+
+    Each round takes the smallest label of every stretch of a key, then the label of that label, until none changes.
+    """
+    sides = None
+    for c in keys:
+        w = Window.partitionBy(c).orderBy("t", "id")
+        rows = a.where(F.col(c) != "").select("id", "t", c).withColumn("_new", F.coalesce(F.col("t") - F.lag("t").over(w) > gap, F.lit(True)).cast("long"))
+        rows = rows.withColumn("_seg", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        rows = rows.select("id", F.struct(F.lit(c).alias("kind"), F.col(c).alias("value"), F.col("_seg").alias("seg")).alias("g"))
+        sides = rows if sides is None else sides.unionByName(rows)
+    sides, label = _cut(sides), _cut(a.select("id", F.col("id").alias("part")).distinct())
+    while True:
+        low = sides.join(label, "id").groupBy("g").agg(F.min("part").alias("low"))
+        near = sides.join(low, "g").groupBy("id").agg(F.min("low").alias("low"))
+        step = label.join(near, "id", "left").select("id", F.col("part").alias("old"), F.coalesce("low", "part").alias("to"))
+        jump = step.select(F.col("id").alias("to"), F.col("to").alias("part"))
+        step = _cut(step.join(jump, "to").select("id", "old", "part"))
+        label = step.select("id", "part")
+        if step.where("part <> old").isEmpty():
+            return label
+
+
 def story_ledger(articles: DataFrame, hours: int = 72, sure: float = 95.0, review: float = 90.0, id_col: str = "id", ts: str = "ts", title: str = "title", url: str = "url") -> DataFrame:
     """(id, story_id, keep, reason, similarity) of articles, causal: only what was kept before counts.
 
     Within ``hours`` of a kept article the same URL, then the same title key, then a title of the same first two words
     and equal protected tokens from another domain at ``sure`` similarity makes an echo; ``review`` to ``sure`` is kept
-    and marked. Articles are grouped by the first two words of the key or, without them, by URL; a group is cut wherever
-    nothing came for ``hours``, so groups are folded in parallel and stay short. URLs repeated under different first
-    words meet in a pass of their own before.
+    and marked. An empty URL or key equals nothing. Articles that share a URL, a key or first two words with no pause of
+    more than ``hours`` belong together, over any chain of these; what belongs together is folded in one task, in
+    parallel with the rest.
     """
     kind = articles.schema[id_col].dataType.simpleString()
     a = articles.select(
         F.col(id_col).alias("id"), F.unix_micros(F.col(ts)).alias("t"), F.col(ts).alias("ts"), headline_key(F.col(title)).alias("key"), canonical_url(F.col(url)).alias("url"),
         domain(F.col(url)).alias("domain"), F.concat_ws(",", protected_tokens(F.col(title))).alias("protected"),
     )
-    a = a.withColumn("block", F.substring_index("key", " ", 2))
-    gap = F.coalesce(F.col("t") - F.lag("t").over(Window.partitionBy("block").orderBy("t", "id")) > hours * 3_600_000_000, F.lit(True))
-    a = a.withColumn("seg", F.sum(gap.cast("long")).over(Window.partitionBy("block").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)))
+    a = a.fillna("", ["key", "url"]).withColumn("block", F.substring_index("key", " ", 2))
+    a = a.join(_together(a, ["url", "key", "block"], hours * 3_600_000_000), "id")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[tuple] = []
         out = []
         for r in pdf.sort_values(["t", "id"]).itertuples(index=False):
             kept = [k for k in kept if r.t - k[0] <= hours * 3_600_000_000]
-            hit = next(((k, "url", 100.0) for k in kept if k[2] == r.url), None) or next(((k, "title", 100.0) for k in kept if k[3] == r.key), None)
+            hit = next(((k, "url", 100.0) for k in kept if r.url and k[2] == r.url), None) or next(((k, "title", 100.0) for k in kept if r.key and k[3] == r.key), None)
             best = None
             if hit is None:
                 words = " ".join(sorted(r.key.split()))
                 for k in kept:
-                    if k[4] != r.domain and k[5] == r.protected:
+                    if r.block and k[6] == r.block and k[4] != r.domain and k[5] == r.protected:
                         s = indel_ratio(" ".join(sorted(k[3].split())), words)
                         if s >= review and (best is None or s > best[2]):
                             best = (k, "fuzzy" if s >= sure else "review", s)
@@ -59,11 +86,11 @@ def story_ledger(articles: DataFrame, hours: int = 72, sure: float = 95.0, revie
             if found and found[1] != "review":
                 out.append((r.id, found[0][1], False, found[1], found[2]))
             else:
-                kept.append((r.t, r.id, r.url, r.key, r.domain, r.protected))
+                kept.append((r.t, r.id, r.url, r.key, r.domain, r.protected, r.block))
                 out.append((r.id, r.id, True, found[1] if found else "new", found[2] if found else 0.0))
         return pd.DataFrame(out, columns=["id", "story_id", "keep", "reason", "similarity"])
 
-    return a.groupBy("block", "seg").applyInPandas(fold, f"id {kind}, story_id {kind}, keep boolean, reason string, similarity double")
+    return a.groupBy("part").applyInPandas(fold, f"id {kind}, story_id {kind}, keep boolean, reason string, similarity double")
 
 
 def score_missing(
