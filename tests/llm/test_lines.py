@@ -12,18 +12,19 @@ def brute(rows, least=0.8):
     for d, t in rows:
         for n, x in enumerate((t or "").split("\n")):
             x = x.strip().lower()
-            if d is not None and len(x) >= 20:
+            if d is not None and x:
                 at.setdefault(x, []).append((d, n))
                 sets[x] = {x[i : i + 5] for i in range(len(x) - 4)}
     names = list(sets)
     comp = dict.fromkeys(names)
+    same = lambda a, b: a == b or bool(sets[a] and sets[b]) and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])
     for i, a in enumerate(names):
         if comp[a] is None:
             comp[a], todo = i, [a]
             while todo:
                 u = todo.pop()
                 for v in names:
-                    if comp[v] is None and len(sets[u] & sets[v]) >= least * len(sets[u] | sets[v]):
+                    if comp[v] is None and same(u, v):
                         comp[v] = i
                         todo.append(v)
     first = {}
@@ -44,7 +45,7 @@ def corpus(n=60, seed=5):
             for _ in range(r.choice([0, 0, 1, 1, 2, 9])):
                 x[r.randrange(len(x))] = word()
             out.append(("  " if r.random() < 0.1 else "") + " ".join(x).capitalize())
-        rows.append((d, "\n".join([*out, "Short line.", ""])))
+        rows.append((d, "\n".join([*out, "Short line.", r.choice(["abc", "abcde", "***", "word %d" % r.randint(0, 9)]), ""])))
     return rows
 
 
@@ -59,6 +60,7 @@ def test_against_brute_force(spark):
 
 
 def test_edge_cases(spark):
+    assert {(r.doc, r.line) for r in lines.duplicate_lines(spark.createDataFrame([(1, "ab\nlonger line")], "doc_id int, text string"), shortest=3).collect()} == {(1, 1)}
     same = "the very same line of text here"
     long = "x y z " * 100000
     rows = [(1, None), (2, ""), (3, same), (4, same.upper() + "\nand another quite different line"), (4, same.upper() + "\nand another quite different line"), (None, same), (5, long), (6, long), (7, "\n\n" + same)]
@@ -76,19 +78,51 @@ def test_band_keys_do_not_depend_on_neighbours():
     some = ["a" * 25, "the quick brown fox jumps over", "é" * 30 + "abcdefgh", "the quick brown fox jumps over it"]
     whole = lines.band_keys(some)
     assert all((lines.band_keys([x]) == whole[i]).all() for i, x in enumerate(some))
-    assert (whole[1, :-2] == whole[3, :-2]).any() and not (whole[0, :-2] == whole[1, :-2]).any()
+    assert (whole[1] == whole[3]).any() and not (whole[0] == whole[1]).any()
+
+
+def pair(rng, jaccard, n=800):
+    """Two random texts of that Jaccard similarity or very little more: characters far from each other are changed."""
+    a = list(map(chr, rng.integers(97, 123, n)))
+    b = list(a)
+    for at in rng.choice(np.arange(5, n - 5, 10), int((n - 4) * (1 - jaccard) / (1 + jaccard) / 5), replace=False):
+        b[at] = "#"
+    return "".join(a), "".join(b)
 
 
 def test_recall_of_bands():
     rng = np.random.default_rng(0)
-    hit = 0
-    for _ in range(300):
-        a = "".join(map(chr, rng.integers(97, 123, 200)))
-        at = int(rng.integers(30, 150))
-        b = a[:at] + "#" + a[at + 1 :]  # 5 of 196 shingles change: Jaccard 0.95
-        k = lines.band_keys([a, b])
-        hit += lines.alike(np.zeros(2, int), k[:, -2].view(np.uint64), k[:, -1].view(np.uint64)).all() and (k[0, :-2] == k[1, :-2]).any()
-    assert hit >= 297
+    for at, least in ((0.80, 0.97), (0.82, 0.985), (0.84, 0.99), (0.86, 0.995), (0.88, 0.995), (0.90, 0.995)):
+        pairs = [pair(rng, at) for _ in range(500)]
+        assert all(lines.near(*p, at) for p in pairs[:20]) and not any(lines.near(*p, at + 0.02) for p in pairs[:20])
+        k = lines.band_keys([x for p in pairs for x in p])
+        assert (k[::2] == k[1::2]).any(1).mean() >= least
+
+
+def test_units_hold_every_pair():
+    rng = np.random.default_rng(1)
+    texts, unit = [], []
+    for u, n in enumerate((2, 3, 12, 13, 40, 2, 30)):
+        base = pair(rng, 0.9, 250)[0]
+        for _ in range(n):
+            t = list(base)
+            for at in rng.integers(0, len(t), int(rng.integers(0, 9))):
+                t[at] = "#"
+            texts.append("".join(t))
+            unit.append(u)
+    unit, side = np.array(unit), np.zeros(len(unit), int)
+    for side in (np.zeros(len(unit), int), rng.integers(0, 2, len(unit))):
+        got = lines.compare_units(texts, unit, side, 0.8)
+        for u in set(unit.tolist()):
+            own = np.flatnonzero(unit == u)
+            two = len(set(side[own].tolist())) > 1
+            want = np.array(own)
+            for _ in own:
+                for i in range(len(own)):
+                    for j in range(len(own)):
+                        if (not two or side[own[i]] != side[own[j]]) and lines.near(texts[own[i]], texts[own[j]], 0.8):
+                            want[i] = want[j] = min(want[i], want[j])
+            assert (got[own] == want).all()
 
 
 def test_many_copies_of_one_line(spark):

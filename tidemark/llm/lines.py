@@ -8,20 +8,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pick, stage
+from tidemark.llm.common import pick, slices, stage, stretches, text_bytes
 from tidemark.llm.components import connected_components
-
-#: Characters of a shingle; lines of fewer than LEAST characters are left alone.
-SHINGLE, LEAST = 5, 20
-#: Bands of rows: at Jaccard 0.8 a pair shares a band with probability 0.985, at 0.9 with 0.9998.
-BANDS, ROWS = 8, 4
-#: Of each minimum four bits are kept; two lines of one key whose kept bits agree in fewer than ALIKE of 32 minima aren't
-#: compared (a pair at Jaccard 0.8 is lost by this with probability 1e-4). Keys of more than CROWD lines skip the test.
-ALIKE, CROWD = 19, 64
-#: Lines of a bucket that one task compares; larger buckets are cut into blocks, each pair of blocks a unit.
-BUCKET = 1000
-#: Characters hashed at once, and bits of the filter that picks candidates' texts (its size is fixed).
-CHUNK, FILTER_BITS = 1 << 20, 26
+from tidemark.llm.unionfind import roots
+
+#: Characters of a shingle; lines of fewer characters are compared by equality alone.
+SHINGLE = 5
+#: Bands of rows: at Jaccard 0.8 a pair shares a band with probability 0.986, at 0.85 with 0.9992, at 0.9 with 0.99999.
+BANDS, ROWS = 14, 6
+#: Lines, and characters, of a bucket that one task compares; larger buckets are cut into blocks, each pair of blocks a unit.
+BUCKET, LENGTH = 1000, 1 << 20
+#: Units of at most so many lines are compared together, all pairs at once.
+FEW = 12
+#: Characters hashed at once; line ids a task remembers; bits of the filter that picks candidates' texts (its size is fixed).
+CHUNK, SEEN, FILTER_BITS = 1 << 17, 1 << 17, 26
 
 _mix = np.random.default_rng(42)
 MULTIPLIERS = _mix.integers(1 << 31, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -37,144 +37,119 @@ def line_id(line: str) -> bytes:
     return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
 
 
+def id_words(ids: list[bytes]) -> np.ndarray:
+    """(ids, 2): the two halves of each id as numbers."""
+    return np.frombuffer(b"".join(ids), "<i8").reshape(-1, 2)
+
+
 def shingles(text: str) -> np.ndarray:
     """64-bit hashes of all runs of SHINGLE characters; position i is the run that starts at character i."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     h = c[: len(c) - SHINGLE + 1].copy()
     for k in range(1, SHINGLE):
-        h = h * BASE + c[k : len(c) - SHINGLE + 1 + k]
-    return h ^ h >> np.uint64(29)
+        h *= BASE
+        h += c[k : len(c) - SHINGLE + 1 + k]
+    h ^= h >> np.uint64(29)
+    h *= BASE
+    return h
+
+
+def own_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of every text's shingles, text after text, and how many each has; none spans two texts."""
+    n = np.array([len(x) for x in texts])
+    inside = np.ones(int(n.sum()) + len(n), bool)
+    ends = np.cumsum(n + 1)
+    for k in range(SHINGLE):
+        inside[ends - 1 - k] = False
+    h = (shingles("\n".join(texts) + "\n" * SHINGLE) >> np.uint64(32)).astype(np.uint32)
+    return h[inside], n - SHINGLE + 1
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
-    """(lines, BANDS + 2) numbers: minima of multiplicative hashes over each line's shingles, folded by band; and four
-    bits of each of the 32 minima, in two words.
-    """
-    out, at = np.zeros((len(lines), BANDS + 2), np.int64), 0
-    while at < len(lines):
-        end, size = at, 0
-        while end < len(lines) and (end == at or size + len(lines[end]) < CHUNK):
-            size += len(lines[end]) + 1
-            end += 1
-        part = lines[at:end]
-        n = np.array([len(x) for x in part])
-        start = np.r_[0, np.cumsum(n + 1)[:-1]]
-        h = (shingles("\n".join(part) + "\n" * SHINGLE) * BASE >> np.uint64(32)).astype(np.uint32)
-        owner = np.repeat(np.arange(len(part)), n - SHINGLE + 1)
-        first = np.r_[0, np.cumsum(n - SHINGLE + 1)[:-1]]
-        h = h[np.arange(len(owner)) - first[owner] + start[owner]]  # runs across line ends are left out
-        kept = np.zeros((2, len(part)), np.uint64)
+    """(lines, BANDS): minima of multiplicative hashes over the shingles of each line, folded by band."""
+    out = np.zeros((len(lines), BANDS), np.uint64)
+    for at, end in stretches(np.array([len(x) + 1 for x in lines], np.int64), CHUNK):
+        h, n = own_shingles(lines[at:end])
+        first, each = np.r_[0, np.cumsum(n)[:-1]], np.empty_like(h)
         for b in range(BANDS):
-            key = np.full(len(part), b + 1, np.uint64)
+            key = np.full(end - at, b + 1, np.uint64)
             for r in range(ROWS):
-                low = np.minimum.reduceat(h * MULTIPLIERS[b * ROWS + r], first).astype(np.uint64)
-                kept[b % 2] = kept[b % 2] << np.uint64(4) | (low * FOLD[0] >> np.uint64(60))
-                key = (key ^ low) * FOLD[r]
+                np.multiply(h, MULTIPLIERS[b * ROWS + r], out=each)
+                key = (key ^ np.minimum.reduceat(each, first)) * FOLD[r]
                 key ^= key >> np.uint64(31)
-            out[at:end, b] = key.view(np.int64)
-        out[at:end, BANDS:] = kept.T.view(np.int64)
-        at = end
-    return out
+            out[at:end, b] = key
+    return out.view(np.int64)
+
 
+def lines_of(text: str | None, shortest: int):
+    """(number, normal form, id) of the lines of ``text`` with ``shortest`` characters or more."""
+    for j, line in enumerate((text or "").split("\n")):
+        line = normal(line)
+        if len(line) >= shortest:
+            yield j, line, line_id(line)
 
-def scan(docs: DataFrame) -> DataFrame:
-    """(doc, line, id, h, k0..): every line of LEAST characters or more of ``docs`` (doc, text), its id, and the id's first
-    eight bytes; band keys at its first place in the task, null at others, so that a line has as many keys as tasks at most.
+
+def scan(docs: DataFrame, shortest: int) -> DataFrame:
+    """(doc, line, h, g, k0..): every line of ``docs`` (doc, text) and the two halves of its id; band keys where the task
+    has not met the line lately, null elsewhere.
     """
-    cols = [*(f"k{b}" for b in range(BANDS)), "s0", "s1"]
+    cols = [f"k{b}" for b in range(BANDS)]
 
     def run(batches):
         seen = set()
         for b in batches:
-            for s in range(0, b.num_rows, 512):
-                part = b.slice(s, 512)
+            for part in slices(b, "text"):
                 at, no, ids, fresh, new = [], [], [], [], []
                 for i, t in enumerate(part.column("text").to_pylist()):
-                    for j, line in enumerate((t or "").split("\n")):
-                        line = normal(line)
-                        if len(line) >= LEAST:
-                            k = line_id(line)
-                            at.append(i)
-                            no.append(j)
-                            ids.append(k)
-                            fresh.append(k not in seen)
-                            if fresh[-1]:
-                                seen.add(k)
-                                new.append(line)
+                    for j, line, k in lines_of(t, shortest):
+                        at.append(i)
+                        no.append(j)
+                        ids.append(k)
+                        fresh.append(len(line) >= SHINGLE and k not in seen)
+                        if fresh[-1]:
+                            seen.add(k)
+                            new.append(line)
+                if len(seen) > SEEN:
+                    seen.clear()
                 if ids:
-                    keys, fresh = np.zeros((len(ids), BANDS + 2), np.int64), np.array(fresh)
+                    keys, fresh = np.zeros((len(ids), BANDS), np.int64), np.array(fresh)
                     keys[fresh] = band_keys(new)
+                    words = id_words(ids)
                     yield pa.RecordBatch.from_pydict(
-                        {
-                            "doc": part.column("doc").take(pa.array(at)), "line": pa.array(no, pa.int32()), "id": ids,
-                            "h": np.frombuffer(b"".join(k[:8] for k in ids), "<i8"),
-                        }
+                        {"doc": part.column("doc").take(pa.array(at)), "line": pa.array(no, pa.int32()), "h": words[:, 0], "g": words[:, 1]}
                         | {c: pa.array(keys[:, k], mask=~fresh) for k, c in enumerate(cols)}
                     )
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc {kind}, line int, id binary, h long, " + ", ".join(f"{c} long" for c in cols))
-
-
-def alike(key: np.ndarray, s0: np.ndarray, s1: np.ndarray) -> np.ndarray:
-    """Which rows of sorted keys have a partner of the same key that agrees in ALIKE minima, or stand in a crowd."""
-    n = len(key)
-    keep, fifteenth = np.zeros(n, bool), np.uint64(0x1111111111111111)
-
-    def differ(x):
-        x = x | x >> np.uint64(2)
-        return np.bitwise_count((x | x >> np.uint64(1)) & fifteenth)
-
-    i, d = np.arange(n), 0
-    while d < CROWD and len(i):
-        d += 1
-        i = i[i + d < n]
-        i = i[key[i] == key[i + d]]
-        near = differ(s0[i] ^ s0[i + d]) + differ(s1[i] ^ s1[i + d]) <= 32 - ALIKE
-        keep[i[near]] = keep[i[near] + d] = True
-    for k in np.unique(key[i]):
-        keep[np.searchsorted(key, k) : np.searchsorted(key, k, side="right")] = True
-    return keep
+    return docs.mapInArrow(run, f"doc {kind}, line int, h long, g long, " + ", ".join(f"{c} long" for c in cols))
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
-    """The rows (key, h) that have a partner of the same key to be compared with; rows come sorted by key.
+    """The distinct rows (key, h) whose key has more than one h.
 
-    A task holds one batch and the last key's rows, of a crowd only the fact that it is one.
+    Rows come sorted by key and h; one row is held between batches, whatever the size of a bucket.
     """
 
     def run(batches):
-        held, crowd = None, None
+        last, given = None, False
         for b in batches:
             if not b.num_rows:
                 continue
-            key = b.column("key").to_numpy()
-            if crowd is not None:
-                n = int(np.searchsorted(key, crowd, side="right"))
-                if n:
-                    yield b.slice(0, n).select(["key", "h"])
-                b, crowd = b.slice(n), crowd if n == len(key) else None
-                if not b.num_rows:
-                    continue
-            if held is not None:
-                b, held = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0], None
-            key, s0, s1 = (b.column(c).to_numpy() for c in ("key", "s0", "s1"))
-            at = int(np.searchsorted(key, key[-1]))
-            if len(key) - at > CROWD:
-                crowd = key[-1]
-                yield b.slice(at).select(["key", "h"])
-            else:
-                held = b.slice(at)
-            keep = alike(key[:at], s0[:at].view(np.uint64), s1[:at].view(np.uint64))
+            key, h = b.column("key").to_numpy(), b.column("h").to_numpy()
+            if last is not None:
+                key, h = np.r_[last[0], key], np.r_[last[1], h]
+            new = np.r_[True, (key[1:] != key[:-1]) | (h[1:] != h[:-1])]
+            key, h = key[new], h[new]
+            same = key[1:] == key[:-1]
+            keep = np.r_[False, same] | np.r_[same, False]
+            held, given = given and last is not None, bool(keep[-1]) or (given and len(key) == 1)
+            last = key[-1], h[-1]
+            if held:
+                keep[0] = False
             if keep.any():
-                yield b.slice(0, at).filter(pa.array(keep)).select(["key", "h"])
-        if held is not None:
-            key, s0, s1 = (held.column(c).to_numpy() for c in ("key", "s0", "s1"))
-            keep = alike(key, s0.view(np.uint64), s1.view(np.uint64))
-            if keep.any():
-                yield held.filter(pa.array(keep)).select(["key", "h"])
+                yield pa.RecordBatch.from_pydict({"key": key[keep], "h": h[keep]})
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, h long")
+    return rows.repartition("key").sortWithinPartitions("key", "h").mapInArrow(run, "key long, h long")
 
 
 def id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -187,43 +162,38 @@ def id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
-def texts_of(docs: DataFrame, hs: DataFrame) -> DataFrame:
-    """(h, id, text) of the lines named in ``hs``: the filter keeps other lines from being shuffled, the join is exact."""
+def texts_of(docs: DataFrame, hs: DataFrame, shortest: int) -> DataFrame:
+    """(h, g, text) of the lines named in ``hs``: the filter keeps other lines from being shuffled, the join is exact."""
     shared = docs.sparkSession.sparkContext.broadcast(id_filter(hs))
 
     def run(batches):
         words, seen, low = shared.value, set(), (1 << FILTER_BITS) - 1
         for b in batches:
-            for s in range(0, b.num_rows, 512):
+            for part in slices(b, "text"):
                 got = {}
-                for t in b.column("text").slice(s, 512).to_pylist():
-                    for line in (t or "").split("\n"):
-                        line = normal(line)
-                        if len(line) >= LEAST:
-                            k = line_id(line)
-                            p = int.from_bytes(k[:8], "little") & low
-                            if int(words[p >> 6]) >> (p & 63) & 1 and k not in seen:
-                                got[k] = line
+                for t in part.column("text").to_pylist():
+                    for _, line, k in lines_of(t, max(shortest, SHINGLE)):
+                        p = int.from_bytes(k[:8], "little") & low
+                        if int(words[p >> 6]) >> (p & 63) & 1 and k not in seen:
+                            got[k] = line
                 seen.update(got)
+                if len(seen) > SEEN:
+                    seen.clear()
                 if got:
-                    h = np.frombuffer(b"".join(k[:8] for k in got), "<i8")
-                    yield pa.RecordBatch.from_pydict({"h": h, "id": list(got), "text": list(got.values())})
+                    half = id_words(list(got))
+                    yield pa.RecordBatch.from_pydict({"h": half[:, 0], "g": half[:, 1], "text": list(got.values())})
 
-    found = docs.mapInArrow(run, "h long, id binary, text string").join(hs, "h", "left_semi")
-    return found.groupBy("h", "id").agg(F.first("text").alias("text"))
+    found = docs.mapInArrow(run, "h long, g long, text string").join(hs, "h", "left_semi")
+    return found.groupBy("h", "g").agg(F.first("text").alias("text"))
 
 
 def shingle_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, starts, sizes): 32-bit hashes of each text's distinct shingles, text after text, sorted within each."""
-    n = np.array([len(x) for x in texts])
-    h = shingles("\n".join(texts) + "\n" * SHINGLE)
-    owner = np.repeat(np.arange(len(texts)), n - SHINGLE + 1)
-    first = np.r_[0, np.cumsum(n - SHINGLE + 1)[:-1]]
-    at = np.arange(len(owner)) - first[owner] + np.r_[0, np.cumsum(n + 1)[:-1]][owner]
-    both = np.sort(owner.astype(np.uint64) << np.uint64(32) | (h[at] * BASE >> np.uint64(32)))
+    """(rows, starts, sizes): each text's distinct 32-bit shingle hashes below the text's number, sorted."""
+    h, n = own_shingles(texts)
+    both = np.sort(np.repeat(np.arange(len(texts), dtype=np.uint64), n) << np.uint64(32) | h)
     both = both[np.r_[True, both[1:] != both[:-1]]]
     size = np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(texts))
-    return both.astype(np.uint32), np.r_[0, np.cumsum(size)[:-1]], size
+    return both, np.r_[0, np.cumsum(size)[:-1]], size
 
 
 def near(a: str, b: str, least: float) -> bool:
@@ -233,107 +203,156 @@ def near(a: str, b: str, least: float) -> bool:
     return both >= least * (len(x) + len(y) - both)
 
 
-def link_unit(texts: list[str], side: list[int], least: float, rows: tuple | None = None) -> list[int]:
-    """Root of each text's component by Jaccard >= ``least``; if two sides occur, only pairs across them are compared.
+def near_pairs(texts: list[str], sets: tuple, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Which of the pairs (i, j) have Jaccard >= ``least``.
 
-    Each text in turn is compared, in one vector operation, with the later ones outside its component whose set sizes
-    allow for the similarity: no link between components is lost. Sets are held as 32-bit hashes; where a collision could
-    decide, within three shingles of the threshold, the texts themselves are compared.
+    Pairs whose set sizes rule it out aren't looked at; of the others the hashes of the smaller set are looked up in the
+    larger. Where colliding 32-bit hashes could decide, close to the threshold, the texts themselves are compared.
+    """
+    rows, start, size = sets
+    found = np.zeros(len(i), bool)
+    slack = 3 + size[i] * size[j] / (1 << 30)
+    at = np.flatnonzero(np.minimum(size[i], size[j]) + slack >= least * np.maximum(size[i], size[j]))
+    small, large = np.where(size[i] <= size[j], i, j)[at], np.where(size[i] <= size[j], j, i)[at]
+    for s, e in stretches(size[small], 4 * CHUNK):
+        n = size[small[s:e]]
+        first = np.r_[0, np.cumsum(n)[:-1]]
+        take = np.arange(n.sum()) + np.repeat(start[small[s:e]] - first, n)
+        want = rows[take] & np.uint64(0xFFFFFFFF) | np.repeat(large[s:e].astype(np.uint64) << np.uint64(32), n)
+        both = np.add.reduceat(rows[np.minimum(np.searchsorted(rows, want), len(rows) - 1)] == want, first, dtype=np.int64)
+        pair = at[s:e]
+        over = both * (1 + least) - least * (size[i[pair]] + size[j[pair]])
+        found[pair[over > slack[pair]]] = True
+        for k in pair[np.abs(over) <= slack[pair]].tolist():
+            found[k] = near(texts[i[k]], texts[j[k]], least)
+    return found
+
+
+def unit_links(texts: list[str], side: np.ndarray, least: float, sets: tuple, first: int, parent: np.ndarray) -> np.ndarray:
+    """``parent`` with the lines first.. of one unit joined at Jaccard >= ``least``; if two sides occur, only pairs across.
+
+    Each line in turn is compared, in one vector operation, with the later ones outside its component: no link between
+    components is lost.
     """
-    n, side = len(texts), np.array(side)
-    across = len(set(side.tolist())) > 1
-    h, start, size = rows or shingle_rows(texts)
-    root = np.arange(n)
+    n = len(side)
+    across = (side != side[0]).any()
     for i in range(n - 1):
         j = np.arange(i + 1, n)
-        small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-        j = j[(root[j] != root[i]) & (small + 3 >= least * large) & ((side[j] != side[i]) | (not across))]
-        if not len(j):
-            continue
-        own = h[start[i] : start[i] + size[i]]
-        cut = np.r_[0, np.cumsum(size[j])]
-        rows = h[np.arange(cut[-1]) - np.repeat(cut[:-1] - start[j], size[j])]
-        found = own[np.minimum(np.searchsorted(own, rows), len(own) - 1)] == rows
-        over = np.add.reduceat(found, cut[:-1], dtype=np.int64) * (1 + least) - least * (size[i] + size[j])
-        sure = j[over > 3].tolist() + [k for k in j[np.abs(over) <= 3].tolist() if near(texts[i], texts[k], least)]
-        for k in sure:
-            if root[k] != root[i]:
-                a, b = sorted((root[i], root[k]))
-                root[root == b] = a
-    return root.tolist()
-
-
-def links(cand: DataFrame, docs: DataFrame, least: float, bucket: int = BUCKET) -> DataFrame:
-    """(src, dst): verified links between the ids that share a bucket of ``cand`` (key, h), a forest for each unit."""
-    sizes = cand.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "h")).alias("y")
-    ).where("n > 1")
-    once = sizes.groupBy("n", "x", "y").agg(F.min("key").alias("key"))  # buckets of the same ids are looked at once
-    once = once.select("key", F.ceil(F.col("n") / bucket).cast("int").alias("cut"))
-    rows = cand.join(once, "key").withColumn("own", F.pmod(F.xxhash64("h"), F.col("cut")).cast("int"))
+        j = j[(parent[first + j] != parent[first + i]) & ((side[j] != side[i]) | (not across))]
+        if len(j):
+            on = j[near_pairs(texts, sets, np.full(len(j), first + i), first + j, least)]
+            if len(on):
+                parent = roots(len(parent), np.full(len(on), first + i), first + on, parent)
+    return parent
+
+
+def compare_units(texts: list[str], unit: np.ndarray, side: np.ndarray, least: float) -> np.ndarray:
+    """Root position of each line after linking the lines of each unit (positions where ``unit`` changes begin a new one)."""
+    sets, parent = shingle_rows(texts), np.arange(len(texts))
+    begin = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+    end = np.r_[begin[1:], len(texts)]
+    few = end - begin <= FEW
+    i, j = [], []
+    for d in range(1, FEW):
+        at = np.flatnonzero(unit[d:] == unit[:-d])
+        i.append(at)
+        j.append(at + d)
+    i, j = np.concatenate(i), np.concatenate(j)
+    small = np.repeat(few, end - begin)
+    two = np.repeat(np.logical_or.reduceat(side != np.repeat(side[begin], end - begin), begin), end - begin)
+    on = small[i] & (~two[i] | (side[i] != side[j]))
+    i, j = i[on], j[on]
+    on = near_pairs(texts, sets, i, j, least)
+    parent = roots(len(texts), i[on], j[on], parent)
+    for s, e in zip(begin[~few].tolist(), end[~few].tolist(), strict=True):
+        parent = unit_links(texts, side[s:e], least, sets, s, parent)
+    return parent
+
+
+def links(cand: DataFrame, docs: DataFrame, least: float, bucket: int = BUCKET, shortest: int = 1) -> DataFrame:
+    """(h, g, to_h, to_g): verified links between the lines that share a bucket of ``cand`` (key, h), a forest for each unit."""
+    texts = stage(texts_of(docs, stage(cand.select("h").distinct(), "named"), shortest), "texts")
+    sized = cand.join(texts.select("h", F.length("text").alias("n")), "h")
+    sizes = sized.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n").alias("chars"), F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "h")).alias("y")
+    )
+    once = sizes.where("n > 1").groupBy("n", "chars", "x", "y").agg(F.min("key").alias("key"))  # buckets of the same ids are looked at once
+    cut = F.greatest(F.ceil(F.col("n") / bucket), F.ceil(F.col("chars") / LENGTH)).cast("int")
+    rows = cand.join(once.select("key", cut.alias("cut")), "key").withColumn("own", F.pmod(F.xxhash64("h"), F.col("cut")).cast("int"))
     unit = F.explode(F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda j: F.struct(F.least("own", j).alias("a"), F.greatest("own", j).alias("b"))))
-    rows = rows.select("key", "own", "h", unit.alias("u")).select("key", "u.a", "u.b", "own", "h")
-    rows = rows.join(texts_of(docs, stage(cand.select("h").distinct(), "named")), "h")
+    rows = rows.select("key", "own", "h", unit.alias("u")).select("key", "u.a", "u.b", "own", "h").join(texts, "h")
+
+    def found(part):
+        if part.num_rows > 1:
+            unit, own = changes(part), part.column("own").to_numpy()
+            text, h, g = part.column("text").to_pylist(), part.column("h").to_numpy(), part.column("g").to_numpy()
+            root = compare_units(text, unit, own, least)
+            on = np.flatnonzero(root != np.arange(len(root)))
+            if len(on):
+                yield pa.RecordBatch.from_pydict({"h": h[on], "g": g[on], "to_h": h[root[on]], "to_g": g[root[on]]})
+
+    def changes(part):
+        n = np.zeros(part.num_rows, np.int64)
+        for k in ("key", "a", "b"):
+            c = part.column(k).to_numpy()
+            n[1:] |= c[1:] != c[:-1]
+        return np.cumsum(n)
 
     def run(batches):
-        at, units, size = None, [], 0
+        held = None
         for b in batches:
-            for r in zip(*(b.column(k).to_pylist() for k in ("key", "a", "b", "own", "id", "text")), strict=True):
-                if r[:3] != at:
-                    if size > CHUNK // 2:
-                        yield from _units(units, least)
-                        units, size = [], 0
-                    at = r[:3]
-                    units.append([])
-                units[-1].append(r)
-                size += len(r[5])
-        yield from _units(units, least)
-
-    return rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "id").select("key", "a", "b", "own", "id", "text").mapInArrow(run, "src binary, dst binary")
-
-
-def _unit(held, least):
-    return _units([held], least)
-
-
-def _units(units, least):
-    """Links of several units; their shingles are hashed and sorted together."""
-    units = [u for u in units if len(u) > 1 and (u[0][1] == u[0][2] or len({r[3] for r in u}) > 1)]
-    if not units:
-        return
-    h, start, size = shingle_rows([r[5] for u in units for r in u])
-    src, dst, at = [], [], 0
-    for u in units:
-        part, at = slice(at, at + len(u)), at + len(u)
-        root = link_unit([r[5] for r in u], [r[3] for r in u], least, (h, start[part], size[part]))
-        for i, r in enumerate(root):
-            if i != r:
-                src.append(u[i][4])
-                dst.append(u[r][4])
-    if src:
-        yield pa.RecordBatch.from_pydict({"src": src, "dst": dst})
-
-
-def duplicate_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
-    """(doc, line, kept, first_doc, first_line) for every line of LEAST characters or more.
-
-    Lines are compared without outer white space and case. Equal lines are one; different ones are linked at a Jaccard
-    similarity of ``least`` of their sets of SHINGLE characters. Of each component the line of the smallest (doc, line) is
-    kept. Shorter lines are left alone and not listed, and so are those of documents without text or id. Rows that repeat
-    a document count as that document. An empty table gives an empty result.
+            if not b.num_rows:
+                continue
+            part = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            unit = changes(part)
+            last = int(np.searchsorted(unit, unit[-1]))
+            held, part = part.slice(last), part.slice(0, last)
+            if last:
+                begin = np.flatnonzero(np.r_[True, np.diff(unit[:last]) > 0])
+                end = np.r_[begin[1:], last]
+                for s, e in stretches(np.add.reduceat(text_bytes(part, "text"), begin), 4 * CHUNK):
+                    yield from found(part.slice(begin[s], end[e - 1] - begin[s]))
+        if held is not None:
+            yield from found(held)
+
+    units = rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "h", "g")
+    return units.select("key", "a", "b", "own", "h", "g", "text").mapInArrow(run, "h long, g long, to_h long, to_g long")
+
+
+def line_components(found: DataFrame) -> DataFrame:
+    """(h, g, root_h, root_g) for each line with a link of ``found`` (h, g, to_h, to_g): one line of its component.
+
+    The lines get short numbers first, so that the rounds of the components work on numbers.
+    """
+    ends = found.select("h", "g").unionByName(found.select(F.col("to_h").alias("h"), F.col("to_g").alias("g"))).distinct()
+    nodes = stage(ends.select("h", "g", F.monotonically_increasing_id().alias("v")), "nodes")
+    dst = nodes.select(F.col("h").alias("to_h"), F.col("g").alias("to_g"), F.col("v").alias("dst"))
+    edges = found.join(nodes.withColumnRenamed("v", "src"), ["h", "g"]).join(dst, ["to_h", "to_g"]).select("src", "dst")
+    cc = connected_components(edges)
+    root = nodes.select(F.col("h").alias("root_h"), F.col("g").alias("root_g"), F.col("v").alias("component"))
+    return nodes.join(cc.withColumnRenamed("id", "v"), "v").join(root, "component").select("h", "g", "root_h", "root_g")
+
+
+def duplicate_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, shortest: int = 1) -> DataFrame:
+    """(doc, line, kept, first_doc, first_line) for every line of ``shortest`` characters or more.
+
+    Lines are compared without outer white space and case. Equal lines are one; different ones of SHINGLE characters or
+    more are linked at a Jaccard similarity of ``least`` of their sets of SHINGLE characters. Of each component the line of
+    the smallest (doc, line) is kept. Empty lines are left alone and not listed, and so are those of documents without text
+    or id. Rows that repeat a document count as that document. An empty table gives an empty result.
     """
     whole = pick(docs, doc=id_col, text=text_col).where("doc is not null and text is not null")
-    found = stage(scan(whole), "lines")
-    keys = found.where("k0 is not null").select(F.explode(F.array(*[f"k{b}" for b in range(BANDS)])).alias("key"), "h", "s0", "s1")
-    cand = stage(shared_keys(keys).distinct(), "candidates")
-    cc = stage(connected_components(stage(links(cand, whole, least, bucket), "links")), "components")
-    root = F.coalesce("component", "id")
-    again = found.select("doc", "line", "id").join(cc, "id", "left").select("doc", "line", root.alias("root"))
-    low = again.groupBy("root").agg(F.min("doc").alias("first_doc"))
-    low = low.alias("l").join(again.alias("r"), (F.col("l.root") == F.col("r.root")) & (F.col("l.first_doc") == F.col("r.doc")))
-    low = low.groupBy("l.root").agg(F.min("first_doc").alias("first_doc"), F.min("line").alias("first_line"))
-    kept = (F.col("doc") == F.col("first_doc")) & (F.col("line") == F.col("first_line"))
-    return again.join(low, "root").select("doc", "line", kept.alias("kept"), "first_doc", "first_line")
+    found = stage(scan(whole, max(1, shortest)), "lines")
+    keys = found.where("k0 is not null").select(F.explode(F.array(*[f"k{b}" for b in range(BANDS)])).alias("key"), "h")
+    cand = stage(shared_keys(keys), "candidates")
+    cc = stage(line_components(stage(links(cand, whole, least, bucket, max(1, shortest)), "links")), "components")
+    again = found.select("doc", "line", "h", "g").join(cc, ["h", "g"], "left")
+    again = again.select("doc", "line", F.coalesce("root_h", "h").alias("h"), F.coalesce("root_g", "g").alias("g"))
+    low = again.groupBy("h", "g").agg(F.min(F.struct("doc", "line")).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    low = stage(low.select("h", "g", F.col("low.doc").alias("first_doc"), F.col("low.line").alias("first_line")), "repeated")
+    out = again.join(low, ["h", "g"], "left")
+    first = [F.coalesce("first_doc", "doc").alias("first_doc"), F.coalesce("first_line", "line").alias("first_line")]
+    return out.select("doc", "line", *first).select("doc", "line", ((F.col("doc") == F.col("first_doc")) & (F.col("line") == F.col("first_line"))).alias("kept"), "first_doc", "first_line")
 
 
 def without_duplicate_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -347,19 +366,18 @@ def without_duplicate_lines(docs: DataFrame, least: float = 0.8, id_col: str = "
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
-            texts, keep = [], []
-            for t, drop in zip(b.column(at), b.column(b.num_columns - 1), strict=True):
-                t = t.as_py()
-                if drop.is_valid and t is not None:
-                    out = set(drop.as_py())
-                    left = [x for i, x in enumerate(t.split("\n")) if i not in out]
-                    t = "\n".join(left)
-                    keep.append(bool(t.strip()))
-                else:
-                    keep.append(True)
-                texts.append(t)
-            cols = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-1]).filter(pa.array(keep))
+        for whole in batches:
+            for b in slices(whole, text_col):
+                texts, keep = [], []
+                for t, drop in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                    if drop is not None and t is not None:
+                        out = set(drop)
+                        t = "\n".join([x for i, x in enumerate(t.split("\n")) if i not in out])
+                        keep.append(bool(t.strip()))
+                    else:
+                        keep.append(True)
+                    texts.append(t)
+                cols = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(b.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-1]).filter(pa.array(keep))
 
     return both.mapInArrow(run, docs.schema)
