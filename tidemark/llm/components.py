@@ -2,42 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stage
 
+#: A vertex with more than this part of the rows is served by a broadcast: there are at most PARTS of them.
+PARTS = 1000
+
+
+def with_least(rows: DataFrame, total: int) -> DataFrame:
+    """(u, v, m): the rows (u, v), at most ``total``, each with the smallest v of its u.
+
+    Minima come from a partial aggregate. Rows of a u that has over a PARTS-th of ``total`` get theirs by a broadcast of at
+    most PARTS rows and are dealt by a salt, so that no vertex's neighbours meet in one task.
+    """
+    low = rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    heavy = low.where(F.col("n") * PARTS > total).select("u", F.col("m").alias("_hm"))
+    salt = F.when(F.col("_hm").isNotNull(), F.pmod(F.xxhash64("v"), F.lit(PARTS)) + 1).otherwise(F.lit(0).cast("long"))
+    dealt = rows.join(F.broadcast(heavy), "u", "left").withColumn("_s", salt)
+    got = dealt.join(low.select("u", F.lit(0).cast("long").alias("_s"), "m"), ["u", "_s"], "left")
+    return got.select("u", "v", F.coalesce("_hm", "m").alias("m"))
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(id, component) for every vertex that has an edge; component is the smallest id reachable.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): each round points all neighbours of a vertex to
-    the smallest one by a partial aggregate and an equi-join, so that no vertex's neighbours are ever gathered in one
-    task. Rounds are written to the shared folder. Null ends and loops are dropped; no edges give an empty table.
+    the smallest one. Rounds are written to the shared folder. Null ends and loops are dropped; no edges give an empty table.
     """
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
     e = stage(e.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col("u") != F.col("v"))).distinct(), "cc")
-    before = None
-    while True:
+    now, before = state(e), None
+    while now != before:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        nxt = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        seen = Observation()
-        e = stage(
-            nxt.observe(
-                seen,
-                F.count(F.lit(1)).alias("n"),
-                F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
-            ),
-            "cc",
-        )
-        now = (seen.get["n"], seen.get["h"])
-        if now == before:
-            break
-        before = now
+        large = with_least(both, 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        small = with_least(large, 2 * now[0])
+        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        e = stage(small.distinct(), "cc")
+        before, now = now, state(e)
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
+
+
+def state(e: DataFrame) -> tuple:
+    """Number and order-free hash of the rows (u, v)."""
+    return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
