@@ -54,16 +54,29 @@ def test_plan_uses_every_piece_once(seed):
     counts = np.bincount(np.clip(rng.lognormal(rng.uniform(2, 5), 1, 3000).astype(int), 1, 128), minlength=129)
     counts[[64, 65]] += 5000
     got = np.zeros(129, int)
-    for n, held in packing.plan(counts, 128):
+    made, by_program = packing.plan(counts, 128)
+    for n, held in made:
         assert sum(s * k for s, k in held.items()) <= 128
         for s, k in held.items():
             got[s] += n * k
     assert (got == counts).all()
-    used = sum(n for n, _ in packing.plan(counts, 128))
+    used = sum(n for n, _ in made)
     halves = counts[65:].sum() + counts[64] // 2  # none of these fit together but two of 64
     assert used <= max(halves, -(-(counts @ np.arange(129)) // 128)) * 1.02
 
 
+def test_most_sequences_come_from_the_program(spark):
+    path = tokens.vocabulary()
+    length = [r.length for r in packing.pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), path, 2048, 0, "doc_id", "text").collect()]
+    for times in (1, 30):
+        counts = np.bincount(length, minlength=2049) * times
+        made, by_program = packing.plan(counts, 2048)
+        size = np.flatnonzero(counts)
+        alone = sum(n for n, _ in packing.best_fit(size, counts[size].copy(), 2048))
+        total = sum(n for n, _ in made)
+        assert by_program > 0.5 * total and total <= alone
+
+
 def test_edge_cases(spark):
     path = tokens.vocabulary()
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), path).collect() == []

@@ -13,76 +13,101 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import pick, stage
 from tidemark.llm.tokens import tokenizer
 
-#: Rounds of the multiplicative weights, and their step.
-ROUNDS, STEP = 400, 0.5
-#: Share of the LP's amounts that is rounded to sequences; best fit has the rest, of the same mix of lengths, to work with.
-TAKEN = 0.9
+#: Rounds of the multiplicative weights, the step of their logarithms, and the noise that breaks ties between patterns.
+ROUNDS, STEP, NOISE = 30, 0.05, 0.02
+#: Pieces under a SMALL-th of the capacity stay out of the program: they fill what it leaves.
+SMALL = 32
+#: Shares of each length that rounding may leave to best fit, which needs a mix of lengths to close sequences exactly.
+LEFT = (0.1, 0.2, 0.35, 0.5)
 
 
-def best_pattern(value: np.ndarray, size: np.ndarray, capacity: int, counts: np.ndarray) -> np.ndarray:
-    """Pricing: how often each size is in the pattern of largest value that fits; a knapsack by dynamic programming."""
+def priced(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pricing, a knapsack by dynamic programming: for each room the last piece of the pattern of largest value (-1: the
+    room is the next smaller one's), and the largest room not above it that ends with a piece.
+    """
     best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fits = np.searchsorted(size, np.arange(capacity + 1), side="right")
     for c in range(int(size[0]), capacity + 1):
-        n = int(np.searchsorted(size, c, side="right"))
+        n = int(fits[c])
         gain = value[:n] + best[c - size[:n]]
         k = int(gain.argmax())
-        if gain[k] > best[c - 1]:
-            best[c], last[c] = gain[k], k
-        else:
-            best[c], last[c] = best[c - 1], -1
-    out, c = np.zeros(len(size), np.int64), capacity
-    while c > 0 and best[c] > 0:
-        if last[c] < 0:
-            c -= 1
-            continue
-        out[last[c]] += 1
-        c -= int(size[last[c]])
-    return np.minimum(out, counts)
-
-
-def fractional(size: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP) -> dict[bytes, float]:
-    """Patterns and how often each is used: the configuration LP by multiplicative weights, scaled to stay within demand.
-
-    Each round prices the sizes by weights that grow where cover lags, adds as much of the dearest pattern as the demand
-    of its scarcest size allows for, and lowers the weights of what it covers.
+        best[c], last[c] = (gain[k], k) if gain[k] > best[c - 1] else (best[c - 1], -1)
+    return last, np.maximum.accumulate(np.where(last >= 0, np.arange(capacity + 1), 0))
+
+
+def dearest_patterns(last: np.ndarray, used: np.ndarray, size: np.ndarray, capacity: int) -> np.ndarray:
+    """(sizes, most pieces): for each size the dearest pattern that holds it, as sorted positions in ``size``, -1 for none."""
+    room, held = used[capacity - size], [np.arange(len(size))]
+    while (room > 0).any():
+        k = np.where(room > 0, last[room], -1)
+        held.append(k)
+        room = used[np.where(k >= 0, room - size[k], 0)]
+    return np.sort(np.array(held).T, 1)
+
+
+def fractional(size: np.ndarray, need: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP, seed: int = 42) -> dict[tuple, float]:
+    """Patterns (positions in ``size``) and how often each is used: the configuration LP by multiplicative weights.
+
+    A size's weight starts at its length. Each round prices patterns once and takes the dearest one around every size, as
+    much of it as keeps the round within its part of each size's demand; the weights of sizes that many patterns ask for
+    then fall, those of the others rise. The amounts therefore never use a size beyond its demand.
     """
-    need, log_w = counts.astype(float), np.zeros(len(size))
-    use: dict[bytes, float] = {}
-    cover = np.zeros(len(size))
+    rng, n = np.random.default_rng(seed), len(size)
+    log_w, use = np.log(size.astype(float)), {}
     for _ in range(rounds):
-        w = np.exp(log_w - log_w.max()) / need
-        pattern = best_pattern(w, size, capacity, counts)
-        held = pattern > 0
-        amount = (need[held] / pattern[held]).min()
-        key = pattern.astype(np.int64).tobytes()
-        use[key] = use.get(key, 0.0) + amount
-        cover += amount * pattern
-        log_w -= step * amount * pattern / need
-    scale = 1 / (cover / need).max()  # no size is used up beyond its demand
-    return {k: v * scale for k, v in use.items()}
-
-
-def plan(counts: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """(how often, {length: pieces}) of sequences that hold exactly ``counts[length]`` pieces of each length.
-
-    TAKEN of each LP amount is rounded down, for patterns without waste and within what is left of each length; the pieces
-    left over are packed by best fit on the histogram, longest first.
+        held = dearest_patterns(*priced(np.exp(log_w + NOISE * rng.random(n)), size, capacity), size, capacity)
+        asked = np.bincount(held[held >= 0], minlength=n)
+        part = np.append(need / rounds / np.maximum(asked, 1), np.inf)  # the last entry stands for -1
+        for key, amount in zip(held.tolist(), part[held].min(1).tolist(), strict=True):
+            key = tuple(k for k in key if k >= 0)
+            use[key] = use.get(key, 0.0) + amount
+        log_w -= step * np.clip(np.log(np.maximum(asked, 1) / (held >= 0).sum(1).mean()), -1, 3)
+    return use
+
+
+def rounded(use: dict[tuple, float], size: np.ndarray, need: np.ndarray, capacity: int, leave: float) -> tuple[list[tuple[int, dict[int, int]]], np.ndarray]:
+    """Whole sequences from LP amounts, and what is left of each size.
+
+    Only patterns that fill a sequence whole are taken, largest amounts first: each rounded up as far as pieces are left,
+    then once more as often as keeps ``leave`` of each of its sizes.
+    """
+    left, out = need.astype(np.int64), []
+    full = sorted((k for k in use if int(size[list(k)].sum()) == capacity), key=lambda k: -use[k])
+    scale = 1 / max(1e-12, sum(use[k] * len(k) for k in use) / need.sum())
+    for again in (False, True):
+        for key in full:
+            at, times = np.unique(key, return_counts=True)
+            free = left[at] - np.ceil(leave * need[at]).astype(np.int64) if again else left[at]
+            n = int((free // times).min())
+            n = n if again else min(n, int(np.ceil(use[key] * scale)))
+            if n > 0:
+                left[at] -= n * times
+                out.append((n, dict(zip(size[at].tolist(), times.tolist(), strict=True))))
+    return out, left
+
+
+def plan(counts: np.ndarray, capacity: int) -> tuple[list[tuple[int, dict[int, int]]], int]:
+    """(how often, {length: pieces}) of sequences that hold exactly ``counts[length]`` pieces of each length; and how many
+    of the sequences are the linear program's.
+
+    What rounding leaves, and small pieces, are packed by best fit on the histogram, longest first, into sequences of
+    their own. Of the roundings by LEFT the one with the fewest sequences counts.
     """
+    counts = counts.astype(np.int64)
     size = np.flatnonzero(counts)
-    size = size[size > 0]
-    left, out = counts[size].astype(np.int64), []
-    if not len(size):
-        return out
-    use = fractional(size, left.copy(), capacity)
-    for key, amount in sorted(use.items(), key=lambda x: -x[1]):
-        pattern = np.frombuffer(key, np.int64)
-        held = pattern > 0
-        n = int(min(np.floor(TAKEN * amount), (left[held] // pattern[held]).min()))
-        if n > 0 and int(pattern @ size) == capacity:
-            left -= n * pattern
-            out.append((n, {int(size[i]): int(pattern[i]) for i in np.flatnonzero(held)}))
-    out += best_fit(size, left, capacity)
-    return out
+    size = size[size > max(0, capacity // SMALL - 1)]
+    use = fractional(size, counts[size], capacity) if len(size) else {}
+    found = None
+    for leave in LEFT:
+        out, left = rounded(use, size, counts[size], capacity, leave)
+        rest = counts.copy()
+        rest[size], rest[0] = left, 0
+        every = np.flatnonzero(rest)
+        both = out + best_fit(every, rest[every], capacity)
+        total = sum(n for n, _ in both)
+        if found is None or total < found[0]:
+            found = total, both, sum(n for n, _ in out)
+    return found[1], found[2]
 
 
 def best_fit(size: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
@@ -192,8 +217,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end: int = 0, i
 
     One pass makes the pieces, which keep no text. The driver sees the histogram of lengths alone, ``capacity`` numbers
     whatever the input. A piece's rank in its length is its place in its partition plus the counts of the partitions
-    before; the rank tells pattern, sequence and offset. The table of patterns is broadcast; it has at most a few times
-    ROUNDS rows for each length a pattern holds.
+    before (a row for each partition and length, joined by a shuffle); the rank tells pattern, sequence and offset. The
+    table of patterns is broadcast: at most ROUNDS patterns for each length, whatever the input.
     """
     spark = docs.sparkSession
     rows = stage(pieces(docs, vocabulary, capacity, end, id_col, text_col), "pieces")
@@ -201,10 +226,10 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end: int = 0, i
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in sizes.groupBy("length").agg(F.sum(F.col("most") + 1)).collect():
         counts[length] = n
-    shared = spark.sparkContext.broadcast(Layout(plan(counts, capacity), capacity))
+    shared = spark.sparkContext.broadcast(Layout(plan(counts, capacity)[0], capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("part", "length", F.coalesce(F.sum(F.col("most") + 1).over(before), F.lit(0)).alias("base"))
-    ranked = rows.join(base, ["part", "length"]).withColumn("nth", F.col("nth") + F.col("base"))
+    ranked = rows.join(base.hint("shuffle_merge"), ["part", "length"]).withColumn("nth", F.col("nth") + F.col("base"))
 
     def run(batches):
         for b in batches:
