@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.series import calendar, islands, ordered
+from tidemark.operators.series import calendar, islands, previous
 
 
 def from_ticks(ticks: DataFrame, grid: str, key: str = "symbol", ts: str = "ts", price: str = "price", sums: dict[str, str] | None = None) -> DataFrame:
@@ -31,8 +31,8 @@ def resample(bars: DataFrame, grid: str, expected: int | None = None, sums: tupl
 
 def intrabar(bars: DataFrame, grid: str, minutes: int, key: str = "symbol") -> DataFrame:
     """What happened inside each coarse bar: realised volatility, range, efficiency, close location, late share."""
-    r = F.ln(F.col("close") / F.lag("close").over(ordered(key)))
-    rows = bars.withColumn("_r", r).withColumn("_w", F.window("ts", grid)).withColumn("_at", F.floor((F.unix_timestamp("ts") - F.unix_timestamp("_w.start")) / 60))
+    rows = previous(bars, {"_c0": "close"}, key).withColumn("_r", F.ln(F.col("close") / F.col("_c0")))
+    rows = rows.withColumn("_w", F.window("ts", grid)).withColumn("_at", F.floor((F.unix_timestamp("ts") - F.unix_timestamp("_w.start")) / 60))
     late = F.col("_at") >= minutes - 5
     got = rows.groupBy(key, "_w").agg(
         F.sqrt(F.sum(F.col("_r") * F.col("_r"))).alias("realized_vol"), F.ln(F.max("high") / F.min("low")).alias("range"),
@@ -56,18 +56,16 @@ def completeness(bars: DataFrame, grid: str, expected: int, key: str = "symbol")
 
 def run_lengths(bars: DataFrame, step: Column, complete: Column | None = None, key: str = "symbol") -> DataFrame:
     """Add ``gap`` (not ``step`` after the row before) and ``run_len``, the rows of the gap-free run of complete bars so far."""
-    gap = F.coalesce(F.col("ts") != F.lag("ts").over(ordered(key)) + step, F.lit(True))
-    whole = F.lit(True) if complete is None else complete
-    rows = bars.withColumn("gap", gap).withColumn("_whole", whole)
-    rows = islands(rows, F.col("gap") | ~F.col("_whole") | ~F.coalesce(F.lag("_whole").over(ordered(key)), F.lit(True)), "_run", key)
-    n = F.row_number().over(Window.partitionBy(key, "_run").orderBy("ts"))
-    return rows.withColumn("run_len", F.when(F.col("_whole"), n).otherwise(0)).drop("_whole", "_run")
+    rows = bars.withColumn("_whole", F.lit(True) if complete is None else complete)
+    rows = previous(rows, {"_before": "ts", "_ok": "_whole"}, key).withColumn("gap", F.coalesce(F.col("ts") != F.col("_before") + step, F.lit(True)))
+    rows = islands(rows, F.col("gap") | ~F.col("_whole") | ~F.coalesce("_ok", F.lit(True)), "_run", key, place="_n")
+    return rows.withColumn("run_len", F.when(F.col("_whole"), F.col("_n")).otherwise(0)).drop("_whole", "_run", "_n", "_before", "_ok")
 
 
 def cadence(bars: DataFrame, key: str = "symbol") -> DataFrame:
     """(key, seconds): the most frequent positive distance of neighbouring bars, the shortest of equals."""
-    d = (F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(ordered(key)))).alias("seconds")
-    counts = bars.select(key, d).where("seconds > 0").groupBy(key, "seconds").agg(F.count(F.lit(1)).alias("n"))
+    d = (F.unix_timestamp("ts") - F.unix_timestamp("_before")).alias("seconds")
+    counts = previous(bars.select(key, "ts"), {"_before": "ts"}, key).select(key, d).where("seconds > 0").groupBy(key, "seconds").agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy(key).agg(F.max_by("seconds", F.struct("n", -F.col("seconds"))).alias("seconds"))
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.series import islands, ordered, running
+from tidemark.operators.series import islands, previous, rolling, running
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -87,7 +87,8 @@ def trade_stats(ledger: DataFrame, net: str = "net_return", by: str = "symbol")
 def loss_streaks(trades: DataFrame, net: str = "r_net", by: str = "symbol", ts: str = "ts") -> DataFrame:
     """Count, longest, mean and 95th percentile of runs of trades without profit."""
     bad = (F.col(net) <= 0).cast("int")
-    rows = islands(trades.withColumn("_b", bad), F.coalesce(bad != F.lag(bad).over(ordered(by, by=ts)), F.lit(True)), "_run", by, ts)
+    rows = previous(trades.withColumn("_b", bad), {"_b0": "_b"}, by, ts)
+    rows = islands(rows, F.coalesce(F.col("_b") != F.col("_b0"), F.lit(True)), "_run", by, ts)
     runs = rows.where("_b = 1").groupBy(by, "_run").agg(F.count(F.lit(1)).alias("n"))
     return runs.groupBy(by).agg(F.count(F.lit(1)).alias("streaks"), F.max("n").alias("longest"), F.avg("n").alias("mean"), F.percentile("n", 0.95).alias("p95"))
 
@@ -148,8 +149,7 @@ def diebold_mariano(df: DataFrame, d: str, lags: int, by: str = "symbol", ts: st
     """Mean loss difference and its t statistic with Newey-West variance (Bartlett weights)."""
     mean = df.groupBy(by).agg(F.avg(d).alias("_m"))
     rows = df.join(mean, by).withColumn("_e", F.col(d) - F.col("_m"))
-    order = ordered(by, by=ts)
-    rows = rows.withColumns({f"_g{k}": F.col("_e") * F.lag("_e", k).over(order) for k in range(1, lags + 1)})
+    rows = rolling(rows, lags + 1, lambda f: {f"_g{k}": F.col("_e") * F.lag("_e", k).over(f.order) for k in range(1, lags + 1)}, key=by, ts=ts)
     n = F.count(F.lit(1))
     var = F.sum(F.col("_e") * F.col("_e")) / n + sum((2 * (1 - k / (lags + 1)) * F.coalesce(F.sum(f"_g{k}"), F.lit(0.0)) / n for k in range(1, lags + 1)), F.lit(0.0))
     return rows.groupBy(by).agg(F.avg(d).alias("mean"), ratio(F.avg(d), F.sqrt(F.greatest(var, F.lit(0.0)) / n)).alias("t"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.asof import backward, with_age
 from tidemark.operators.bars import run_lengths
-from tidemark.operators.series import calendar, ewm, islands, ordered, rolling, running
+from tidemark.operators.intervals import range_join
+from tidemark.operators.series import calendar, ewm, islands, numbered, previous, rolling, running
 
 
 def _ret(f, n=1):
@@ -70,8 +72,6 @@ def percent_rank(bars: DataFrame, n: int = 24) -> DataFrame:
 
 def channel(bars: DataFrame, n: int = 30) -> DataFrame:
     """Regression line of the last n closes: slope a bar, value at the bar, R squared, residual deviation (n-1)."""
-    from tidemark.operators.series import numbered
-
     rows = numbered(bars, name="_i").withColumn("_i", F.col("_i").cast("double"))
 
     def fit(f):
@@ -104,6 +104,13 @@ def positioning(bars: DataFrame, col: str = "volume") -> DataFrame:
     ).drop("_v")
 
 
+def positioning_block(bars: DataFrame, level: str, ratio: str) -> DataFrame:
+    """Log changes of a level over 4 and 16 rows, its z-score over 96, and that of a ratio over 672."""
+    d = lambda f, k: F.col("_v") - F.lag("_v", k).over(f.order)
+    x = bars.withColumn("_v", F.ln(F.col(level) + 1))
+    return rolling(x, 672, lambda f: {"oi_diff_4": d(f, 4), "oi_diff_16": d(f, 16), "oi_z": _z(f, "_v", 96), "ratio_z": _z(f, ratio, 672)}).drop("_v")
+
+
 def structural_stop(bars: DataFrame, n: int = 12, buffer: float = 0.001) -> DataFrame:
     """Lowest low and highest high of the last n bars beyond a buffer, null unless those bars are without a gap."""
     rows = run_lengths(bars, F.expr("INTERVAL 1 HOUR"))
@@ -133,9 +140,9 @@ def regime(bars: DataFrame, n: int, slope: float, persist: int) -> DataFrame:
     got = channel(bars, n)
     raw = F.when(F.col("slope") > slope, "up").when(F.col("slope") < -slope, "down").otherwise("flat")
     got = got.withColumn("raw", raw).drop("slope", "mid", "r2", "residual_sd")
-    got = islands(got, F.coalesce(F.col("raw") != F.lag("raw").over(ordered("symbol")), F.lit(True)), "episode")
-    bar = F.row_number().over(Window.partitionBy("symbol", "episode").orderBy("ts"))
-    return got.withColumn("regime", F.when(bar >= persist, F.col("raw")).otherwise("flat"))
+    got = previous(got, {"_b": "raw"})
+    got = islands(got, F.coalesce(F.col("raw") != F.col("_b"), F.lit(True)), "episode", place="_n")
+    return got.withColumn("regime", F.when(F.col("_n") >= persist, F.col("raw")).otherwise("flat")).drop("_b", "_n")
 
 
 def event_counts(bars: DataFrame) -> DataFrame:
@@ -194,20 +201,122 @@ def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
     """Wilder's index from decayed gains and losses: 100 without loss, 50 without either."""
     d = rolling(bars, 2, lambda f: {"_d": F.coalesce(F.col("close") - F.lag("close").over(f.order), F.lit(0.0))})
     d = d.withColumns({"_g": F.greatest("_d", F.lit(0.0)), "_l": F.greatest(-F.col("_d"), F.lit(0.0))})
-    d = ewm(ewm(d, "_g", 1 / n, "_eg"), "_l", 1 / n, "_el")
+    d = ewm(d, {"_eg": "_g", "_el": "_l"}, 1 / n)
     flat = F.when((F.col("_el") == 0) & (F.col("_eg") == 0), 50.0).when(F.col("_el") == 0, 100.0)
     return d.withColumn("rsi", flat.otherwise(100 - 100 / (1 + F.col("_eg") / F.nullif(F.col("_el"), F.lit(0.0))))).drop("_d", "_g", "_l", "_eg", "_el")
 
 
 def decayed_mean(rows: DataFrame, weighted: str, weight: str, alpha: float, name: str = "mean") -> DataFrame:
     """Decayed sum of weighted values over the decayed weights; 0 where the weights have faded."""
-    got = ewm(ewm(rows, weighted, alpha, "_x"), weight, alpha, "_w")
+    got = ewm(rows, {"_x": weighted, "_w": weight}, alpha)
     return got.withColumn(name, F.when(F.col("_w") > 1e-12, F.col("_x") / F.col("_w")).otherwise(0.0)).drop("_x", "_w")
 
 
 def signal_runs(signals: DataFrame, side: str = "side") -> DataFrame:
     """Episode of same-side signals, number in it, and FIRST, SECOND or THIRD_PLUS."""
-    new = F.coalesce(F.col(side) != F.lag(side).over(ordered("symbol")), F.lit(True))
-    got = islands(signals, new, "episode")
-    got = got.withColumn("bar", F.row_number().over(Window.partitionBy("symbol", "episode").orderBy("ts")))
+    got = previous(signals, {"_b": side})
+    got = islands(got, F.coalesce(F.col(side) != F.col("_b"), F.lit(True)), "episode", place="bar").drop("_b")
     return got.withColumn("bucket", F.when(F.col("bar") == 1, "FIRST").when(F.col("bar") == 2, "SECOND").otherwise("THIRD_PLUS"))
+
+
+def channels(bars: DataFrame, windows: tuple[int, ...], step: Column, complete: Column | None = None, width: float = 2.0) -> DataFrame:
+    """Regression lines of the log close over several windows, in one pass: for each n ``slope_n`` a bar, ``mid_n`` at the
+    bar, ``r2_n`` and the rails ``upper_n`` and ``lower_n``, ``width`` residual deviations away.
+
+    Slope and R squared are null where a bar of the window isn't ``complete`` or doesn't follow the one before by ``step``;
+    the line and rails stay.
+    """
+    rows = numbered(bars, name="_i").withColumns({"_i": F.col("_i").cast("double"), "_l": F.ln("close"), "_ok": F.lit(True) if complete is None else complete})
+    rows = previous(rows, {"_bt": "ts"})
+    rows = rows.withColumn("_bad", (~F.col("_ok") | F.coalesce(F.col("ts") != F.col("_bt") + step, F.lit(True))).cast("int"))
+    names = {"a": F.regr_intercept, "b": F.regr_slope, "r": F.regr_r2, "y": F.regr_syy, "x": F.regr_sxy}
+
+    def fit(f):
+        w = {n: f.over(n) for n in windows}
+        got = {f"_{k}_{n}": fn("_l", "_i").over(w[n]) for n in windows for k, fn in names.items()}
+        return got | {f"_k_{n}": F.count("_l").over(w[n]) for n in windows} | {f"_c_{n}": F.max("_bad").over(w[n]) for n in windows}
+
+    got, out = rolling(rows, max(windows), fit), {}
+    for n in windows:
+        full = lambda c, n=n: F.when(F.col(f"_k_{n}") == n, c)
+        clean = lambda c, n=n: F.when((F.col(f"_k_{n}") == n) & (F.col(f"_c_{n}") == 0), c)
+        mid = F.col(f"_a_{n}") + F.col(f"_b_{n}") * F.col("_i")
+        sd = F.sqrt(F.greatest(F.col(f"_y_{n}") - F.col(f"_b_{n}") * F.col(f"_x_{n}"), F.lit(0.0)) / (n - 1))
+        out |= {f"slope_{n}": clean(F.col(f"_b_{n}")), f"r2_{n}": clean(F.when(F.col(f"_y_{n}") > 0, F.col(f"_r_{n}"))), f"mid_{n}": full(mid)}
+        out |= {f"upper_{n}": full(mid + width * sd), f"lower_{n}": full(mid - width * sd)}
+    return got.withColumns(out).select(*bars.columns, *out)
+
+
+def context(bars: DataFrame, windows: tuple[int, ...], step: Column, flat: float, complete: Column | None = None) -> DataFrame:
+    """Channels of several windows with ``agreement`` (1 or -1 if all slopes have that sign, else 0), the ``regime`` of the
+    shortest one's slope beyond ``flat``, and ``regime_age``, its bars so far.
+    """
+    got = channels(bars, windows, step, complete)
+    signs = [F.signum(f"slope_{n}") for n in windows]
+    same = F.when(F.least(*signs) == F.greatest(*signs), signs[0])
+    first = F.col(f"slope_{windows[0]}")
+    known = sum((F.col(f"slope_{n}").isNotNull().cast("int") for n in windows), F.lit(0)) == len(windows)
+    got = got.withColumns({"agreement": F.when(known, F.coalesce(same, F.lit(0.0))).cast("int"), "regime": F.when(first > flat, 1).when(first < -flat, -1).otherwise(0)})
+    got = previous(got, {"_rb": "regime"})
+    return islands(got, F.coalesce(F.col("regime") != F.col("_rb"), F.lit(True)), "_run", place="regime_age").drop("_rb", "_run")
+
+
+def projected(ctx: DataFrame, fine: DataFrame, n: int, step_s: int, limit_min: float) -> DataFrame:
+    """``fine`` with ``mid``, ``upper`` and ``lower`` prices: the latest completed bar's channel, carried on by its slope.
+
+    A bar's channel is usable from its end; it is extrapolated by the time since, and null where its slope is (a bar of
+    the window is missing) or where it is older than ``limit_min``.
+    """
+    right = ctx.select("symbol", (F.col("ts") + F.make_dt_interval(secs=F.lit(step_s))).alias("available_at"), *[F.col(f"{c}_{n}").alias(f"_{c}") for c in ("slope", "mid", "upper", "lower")])
+    got = with_age(backward(fine, right, ["_slope", "_mid", "_upper", "_lower"]), limit_min)
+    ahead = F.col("_slope") * (F.col("age_min") * 60 / step_s)
+    price = lambda c: F.when(~F.col("stale"), F.exp(F.col(f"_{c}") + ahead))
+    return got.withColumns({c: price(c) for c in ("mid", "upper", "lower")}).drop("_slope", "_mid", "_upper", "_lower", "matched_at")
+
+
+def bar_frame(bars: DataFrame, step: Column, short: int = 3, long: int = 6, surprise: int = 12) -> DataFrame:
+    """Return, wicks, volume surprise, imbalance and volatility of bars, each null until the gap-free run is long enough."""
+    o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))
+    size = F.nullif(h - l, F.lit(0.0))
+    x = run_lengths(bars, step).withColumns({"upper_wick": (h - F.greatest(o, c)) / size, "lower_wick": (F.least(o, c) - l) / size, "_im": 2 * F.col("taker") / F.col("volume") - 1})
+    ok = lambda n, v: F.when(F.col("run_len") >= n, v)
+
+    def then(f):
+        return {
+            "ret": ok(2, F.col("_r")), "surprise": ok(surprise, F.ln(F.col("volume") / F.percentile("volume", 0.5).over(f.over(surprise)))),
+            "imbalance_mean": ok(short, F.avg("_im").over(f.over(short))), "imbalance_delta": ok(2, F.col("_im") - F.lag("_im").over(f.order)),
+            "vol": ok(long + 1, F.stddev_samp("_r").over(f.over(long))),
+        }
+
+    return rolling(x, max(long + 1, surprise, short), lambda f: {"_r": _ret(f)}, then).drop("_im", "_r", "gap", "run_len")
+
+
+def compact(ctx: DataFrame, n: int) -> DataFrame:
+    """Distance from the channel's middle in half-widths, distance to the nearest rail, and how fast that rail comes near."""
+    l = F.ln("close")
+    half = F.nullif((F.col(f"upper_{n}") - F.col(f"lower_{n}")) / 2, F.lit(0.0))
+    got = ctx.withColumns({"centre": (l - F.col(f"mid_{n}")) / half, "nearest": F.least(F.abs(F.col(f"upper_{n}") - l), F.abs(l - F.col(f"lower_{n}"))) / half})
+    return previous(got, {"_nb": "nearest"}).withColumn("approach", F.col("_nb") - F.col("nearest")).drop("_nb")
+
+
+def window_rows(windows: DataFrame, bars: DataFrame, before_s: int, id_col: str = "window_id") -> DataFrame:
+    """(window, ts, place, in_window, move): each window's bars and those of ``before_s`` seconds before it, as moves from the
+    first of them, signed by the window's ``side``.
+    """
+    w = windows.withColumn("_from", F.col("start") - F.make_dt_interval(secs=F.lit(before_s)))
+    got = range_join(w.select("symbol", id_col, "side", "_from", "start", "end"), bars.select("symbol", "ts", "close"), "_from", "end")
+    own = Window.partitionBy(id_col).orderBy("ts")
+    return got.select(
+        id_col, "ts", F.row_number().over(own).alias("place"), (F.col("ts") >= F.col("start")).alias("in_window"),
+        (F.col("side") * F.ln(F.col("close") / F.first("close").over(own))).alias("move"),
+    )
+
+
+def macro_state(daily: DataFrame, n: int, band: float) -> DataFrame:
+    """(symbol, day, state): 1 above the ``n``-day mean by ``band``, -1 below it, the state before in between; usable the next
+    day. ``daily`` has a row a day (symbol, ts, close).
+    """
+    got = rolling(daily, n, lambda f: {"_m": f.full(F.avg("close"), "close", n)})
+    side = F.when(F.col("close") > F.col("_m") * (1 + band), 1).when(F.col("close") < F.col("_m") * (1 - band), -1)
+    w = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)  # a row a day
+    return got.select("symbol", F.date_add("ts", 1).alias("day"), F.last(side, ignorenulls=True).over(w).alias("state"))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import operator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.series import ordered, running
+from tidemark.operators.chains import chained_spans
+from tidemark.operators.series import previous
 
 
 def gated_position(df: DataFrame, pred: str = "pred", conf: str = "conf", tau: float | Column = 0.0) -> DataFrame:
@@ -20,8 +21,8 @@ def gated_position(df: DataFrame, pred: str = "pred", conf: str = "conf", tau: f
 
 def net_returns(df: DataFrame, fwd: str = "fwd", fee: float = 0.001, pos: str = "pos", by: str = "symbol", ts: str = "ts") -> DataFrame:
     """``net``: position times forward return less ``fee`` for each unit of turnover (from 0 at the start)."""
-    turn = F.abs(F.col(pos) - F.lag(pos, 1, 0).over(ordered(by, by=ts)))
-    return df.withColumn("net", F.col(pos) * F.col(fwd) - turn * fee)
+    turn = F.abs(F.col(pos) - F.coalesce("_p0", F.lit(0)))
+    return previous(df, {"_p0": pos}, by, ts).withColumn("net", F.col(pos) * F.col(fwd) - turn * fee).drop("_p0")
 
 
 def sized(df: DataFrame, conf: str = "conf", tau: float = 0.5, cap: float = 0.9, floor: float = 0.25) -> DataFrame:
@@ -42,22 +43,42 @@ def agreement(df: DataFrame, votes: list[str], k: int) -> DataFrame:
     return df.withColumn("signal", F.when((up >= k) & (up > down), 2).when((down >= k) & (down > up), 0).otherwise(1))
 
 
+def nth_smallest(rows: DataFrame, col: str, n: int, bands: int = 4096) -> float | None:
+    """The n-th smallest value (from 1), exactly: bands of the range are counted, and the band that holds it cut again.
+
+    Each round is one aggregate; no row is sorted and the driver sees ``bands`` counts.
+    """
+    x = rows.select(F.col(col).cast("double").alias("x")).where("x is not null")
+    low, high = x.agg(F.min("x"), F.max("x")).first()
+    if low is None or n < 1:
+        return None
+    while low < high:
+        band = F.least(F.floor((F.col("x") - low) / (high - low) * bands), F.lit(bands - 1))
+        inside = x.where((F.col("x") >= low) & (F.col("x") <= high)).groupBy(band.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        got = sorted((r.b, r.n, r.lo, r.hi) for r in inside.collect())
+        for _, k, lo, hi in got:
+            if n <= k:
+                low, high = lo, hi
+                break
+            n -= k
+    return float(low)
+
+
 def conformal(calibration: DataFrame, df: DataFrame, probs: list[str], truth: str, alpha: float) -> DataFrame:
     """``signal``: the class if the split-conformal set is a single one, else -1.
 
     The score is one minus the probability of the true class; the quantile is the smallest score that at least
-    ceil((n+1)(1-alpha)) scores don't exceed. It is found on counts of distinct scores.
+    ceil((n+1)(1-alpha)) scores don't exceed (see ``nth_smallest``).
     """
     p = F.element_at(F.array(*probs), F.col(truth) + 1)
-    counts = calibration.groupBy((1 - p).alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    total = counts.agg(F.sum("n").alias("all"))
-    need = F.least(F.ceil((F.col("all") + 1) * (1 - alpha)), F.col("all"))
-    q = counts.withColumn("c", F.sum("n").over(w)).crossJoin(total).where(F.col("c") >= need).agg(F.min("s").alias("qhat"))
+    rows = calibration.select((1 - p).alias("s"))
+    n = rows.count()
+    need = int(min(math.ceil((n + 1) * (1 - alpha)), n))
+    q = df.sparkSession.createDataFrame([(nth_smallest(rows, "s", need),)], "qhat double")
     inside = [(1 - F.col(c) <= F.col("qhat")).cast("int") for c in probs]
     size = sum(inside, F.lit(0))
     pick = reduce(lambda a, ic: F.when(inside[ic] == 1, ic).otherwise(a), range(len(probs)), F.lit(-1))
-    return df.crossJoin(q).withColumn("signal", F.when(size == 1, pick).otherwise(-1)).drop("qhat")
+    return df.crossJoin(F.broadcast(q)).withColumn("signal", F.when(size == 1, pick).otherwise(-1)).drop("qhat")
 
 
 def first_crossing(scored: DataFrame, window: str, score: str, threshold: float, ts: str = "ts", until: Column | None = None) -> DataFrame:
@@ -80,13 +101,12 @@ def first_crossing(scored: DataFrame, window: str, score: str, threshold: float,
 
 def upward_crossings(scored: DataFrame, score: str, threshold: float, by: str = "symbol", ts: str = "ts") -> DataFrame:
     """Rows at or above the threshold whose row before wasn't (or isn't there)."""
-    before = F.lag(score).over(ordered(by, by=ts))
-    return scored.withColumn("_b", before).where((F.col(score) >= threshold) & (F.col("_b").isNull() | (F.col("_b") < threshold))).drop("_b")
+    return previous(scored, {"_b": score}, by, ts).where((F.col(score) >= threshold) & (F.col("_b").isNull() | (F.col("_b") < threshold))).drop("_b")
 
 
 def rearmed(scored: DataFrame, score: str, threshold: float, refractory_s: int, by: str = "symbol", ts: str = "ts") -> DataFrame:
     """Crossings whose last *candidate*, taken or not, lies at least ``refractory_s`` back: a lag, no state."""
-    c = upward_crossings(scored, score, threshold, by, ts).withColumn("_l", F.lag(ts).over(ordered(by, by=ts)))
+    c = previous(upward_crossings(scored, score, threshold, by, ts), {"_l": ts}, by, ts)
     far = F.unix_micros(F.col(ts)) - F.unix_micros("_l") >= refractory_s * 1_000_000
     return c.where(F.col("_l").isNull() | far).drop("_l")
 
@@ -94,23 +114,11 @@ def rearmed(scored: DataFrame, score: str, threshold: float, refractory_s: int,
 def spaced(events: DataFrame, id_col: str, spacing_s: int, by: str = "symbol", ts: str = "ts") -> DataFrame:
     """(id, taken): an event is taken if the last *taken* one lies at least ``spacing_s`` back.
 
-    Events at least that far from the one before are always taken, so the stretches between are folded in parallel.
+    See ``chained_spans``: time buckets are folded in parallel.
     """
     t = F.unix_micros(F.col(ts))
-    rows = events.select(by, id_col, ts, t.alias("_t"))
-    fresh = F.coalesce(F.col("_t") - F.lag("_t").over(Window.partitionBy(by).orderBy(ts, id_col)) >= spacing_s * 1_000_000, F.lit(True))
-    rows = running(rows.withColumn("_f", fresh.cast("double")), {"_seg": ("sum", "_f")}, by, ts, tie=(id_col,)).select(by, "_seg", id_col, "_t")
-    kind = events.schema[id_col].dataType.simpleString()
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, last, out = pdf.sort_values(["_t", id_col]), None, []
-        for x in pdf["_t"]:
-            ok = last is None or x - last >= spacing_s * 1_000_000
-            last = x if ok else last
-            out.append(ok)
-        return pd.DataFrame({id_col: pdf[id_col], "taken": out})
-
-    return rows.groupBy(by, "_seg").applyInPandas(fold, f"{id_col} {kind}, taken boolean")
+    rows = events.select(F.col(by).alias("_key"), F.col(id_col).alias("_id"), t.alias("_s"), (t + spacing_s * 1_000_000).alias("_e"))
+    return chained_spans(rows, touch=True).select(F.col("_id").alias(id_col), "taken")
 
 
 def replay_capacity(scored: DataFrame, id_col: str, score: str, threshold: float, bucket_s: int, by: str = "symbol", ts: str = "ts") -> DataFrame:
@@ -162,13 +170,31 @@ def union_signal(df: DataFrame, members: list[str]) -> DataFrame:
 
 
 def top_rate(df: DataFrame, score: str, id_col: str, rate: float) -> DataFrame:
-    """The ``rate`` share of rows with the highest scores, ties by a hash of the id, in total order."""
+    """The ``rate`` share of rows with the highest scores, ties by a hash of the id: a cut is found, nothing is sorted."""
     frac = F.conv(F.substring(F.sha2(F.col(id_col).cast("string"), 256), 1, 13), 16, 10).cast("double") / float(1 << 52)
     rows = df.withColumn("_h", frac)
-    n = rows.agg(F.floor(F.count(F.lit(1)) * rate).cast("int").alias("n")).first()["n"]
-    return rows.orderBy(F.desc(score), "_h", id_col).limit(n).drop("_h")
+    n = int(rows.count() * rate)
+    if not n:
+        return df.limit(0)
+    cut = nth_smallest(rows.select((-F.col(score)).alias("s")), "s", n)
+    above = rows.where(F.col(score) > -cut)
+    left = n - above.count()
+    last = nth_smallest(rows.where(F.col(score) == -cut), "_h", left)
+    same = rows.where((F.col(score) == -cut) & (F.col("_h") <= last))
+    return above.unionByName(same).drop("_h")
 
 
 def best_policy(grid: DataFrame, gates: Column, order: list[Column]) -> DataFrame:
     """The first row by ``order`` among those that pass ``gates``; among all if none passes. One row a policy."""
     return grid.withColumn("admissible", F.coalesce(gates, F.lit(False))).orderBy(F.desc("admissible"), *order).limit(1)
+
+
+def confluent(df: DataFrame, signal: str, other: str) -> DataFrame:
+    """``signal`` where ``other`` agrees with it, else 0."""
+    return df.withColumn(signal, F.when(F.col(other) == F.col(signal), F.col(signal)).otherwise(0))
+
+
+def macro_masked(scored: DataFrame, macro: DataFrame, score: str, side: str = "side") -> DataFrame:
+    """``score`` null where the day's macro state (symbol, day, state) isn't the row's side."""
+    got = scored.join(macro, ["symbol", "day"], "left")
+    return got.withColumn(score, F.when(F.col("state") == F.col(side), F.col(score))).drop("state")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.series import running
+from tidemark.operators.chains import chained_spans
+from tidemark.operators.series import previous, running
 
 
 def seconds(ts: str | Column) -> Column:
@@ -61,8 +61,8 @@ def uniqueness(labels: DataFrame, id_col: str, start: str = "start", end: str =
     which are boundaries themselves, so no label is expanded.
     """
     sweep = concurrency(labels, start, end, key)
-    nxt = F.lead("ts").over(Window.partitionBy(key).orderBy("ts"))
-    sweep = sweep.withColumn("_w", F.coalesce((seconds(nxt) - seconds("ts")) / F.nullif(F.col("active"), F.lit(0)), F.lit(0.0)))
+    sweep = previous(sweep, {"_next": "ts"}, key, ahead=True)
+    sweep = sweep.withColumn("_w", F.coalesce((seconds("_next") - seconds("ts")) / F.nullif(F.col("active"), F.lit(0)), F.lit(0.0)))
     acc = running(sweep, {"_acc": ("sum", "_w")}, key).select(key, "ts", (F.col("_acc") - F.col("_w")).alias("_acc"))
     a, b = (acc.select(key, F.col("ts").alias(c), F.col("_acc").alias(f"_{n}")) for c, n in ((start, "a"), (end, "b")))
     share = (F.col("_b") - F.col("_a")) / F.nullif((seconds(end) - seconds(start)).cast("double"), F.lit(0.0))
@@ -74,23 +74,8 @@ def greedy(
 ) -> DataFrame:
     """(id, accepted): in order of start, a span is taken if it starts after the last taken one's end plus a cooldown.
 
-    ``allow_touch`` lets a span start at that very time. A cut is made wherever a span starts after all earlier ends (plus
-    cooldown): no state survives it, so the stretches between are folded in parallel.
+    ``allow_touch`` lets a span start at that very time. See ``chained_spans``: time buckets are folded in parallel.
     """
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    s = spans.select(key, id_col, micros(start).alias("_s"), (micros(end) + cooldown_s * 1_000_000).alias("_e"), F.col(start).alias("ts"))
-    top = running(s, {"_top": ("max", "_e")}, key, tie=(id_col,))
-    before = F.lag("_top").over(Window.partitionBy(key).orderBy("ts", id_col))
-    fresh = F.coalesce(F.col("_s") >= before if allow_touch else F.col("_s") > before, F.lit(True))
-    cut = running(top.withColumn("_cut", fresh.cast("double")), {"_seg": ("sum", "_cut")}, key, tie=(id_col,)).select(key, "_seg", id_col, "_s", "_e")
-    kind = spans.schema[id_col].dataType.simpleString()
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, last, out = pdf.sort_values(["_s", id_col]), None, []
-        for s0, e0 in zip(pdf["_s"], pdf["_e"], strict=True):
-            ok = last is None or s0 > last or allow_touch and s0 == last
-            last = e0 if ok else last
-            out.append(ok)
-        return pd.DataFrame({id_col: pdf[id_col], "accepted": out})
-
-    return cut.groupBy(key, "_seg").applyInPandas(fold, f"{id_col} {kind}, accepted boolean")
+    s = spans.select(F.col(key).alias("_key"), F.col(id_col).alias("_id"), micros(start).alias("_s"), (micros(end) + cooldown_s * 1_000_000).alias("_e"))
+    return chained_spans(s, allow_touch).select(F.col("_id").alias(id_col), F.col("taken").alias("accepted"))

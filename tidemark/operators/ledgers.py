@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from tidemark.operators.bars import on_grid
 from tidemark.operators.intervals import greedy, range_join
 from tidemark.operators.labels import bracket
-from tidemark.operators.series import islands, ordered, running
+from tidemark.operators.series import islands, previous, rolling, running
+from tidemark.sources.scratch import stage
 
 
 def bracket_ledger(decisions: DataFrame, bars: DataFrame, id_col: str, hold_s: int, cost_bps: float) -> DataFrame:
     """Trades of all decisions whose entry comes after the last taken trade's exit: outcomes first, all at once, then the schedule."""
-    out = bracket(decisions, bars, id_col, hold_s, cost_bps).persist()  # the schedule reads the outcomes several times
+    out = stage(bracket(decisions, bars, id_col, hold_s, cost_bps), "outcomes")  # the schedule reads them several times
     trades = decisions.join(out, id_col)
     taken = greedy(trades.select("symbol", id_col, F.col("ts").alias("start"), F.col("exit_ts").alias("end")), id_col).where("accepted").select(id_col)
     return trades.join(taken, id_col, "left_semi")
@@ -21,10 +22,11 @@ def bracket_ledger(decisions: DataFrame, bars: DataFrame, id_col: str, hold_s: i
 
 def fixed_hold(bars: DataFrame, signal: Column, hold: int, fee: float) -> DataFrame:
     """(symbol, ts, side, net) of signals entered at the next open and left at the ``hold``-th close; the exit bar may enter again."""
-    w = ordered("symbol")
-    rows = bars.withColumn("side", signal).withColumns(
-        {"entry": F.lead("open").over(w), "exit": F.lead("close", hold).over(w), "start": F.lead("ts").over(w), "end": F.lead("ts", hold).over(w)}
-    )
+    lead = lambda f, c, n: F.lead(c, n).over(f.order)
+    rows = rolling(
+        bars.withColumn("side", signal), 1,
+        lambda f: {"entry": lead(f, "open", 1), "exit": lead(f, "close", hold), "start": lead(f, "ts", 1), "end": lead(f, "ts", hold)}, ahead=hold,
+    )
     rows = rows.where((F.col("side") != 0) & F.col("exit").isNotNull()).withColumn("id", F.concat_ws("-", "symbol", F.unix_timestamp("ts").cast("string")))
     ok = greedy(rows.select("symbol", "id", F.col("ts").alias("start"), "end"), "id", allow_touch=True).where("accepted").select("id")
     net = F.col("side") * (F.col("exit") / F.col("entry") - 1) - 2 * fee
@@ -57,18 +59,17 @@ def activity(ledger: DataFrame, key: str = "symbol") -> DataFrame:
 def alert_recall(rows: DataFrame, positive: Column, alert: Column, gap: Column, key: str = "symbol") -> DataFrame:
     """Positives clustered by ``gap``: clusters, those with an alert inside, and alerts outside positives."""
     x = rows.withColumns({"_p": F.coalesce(positive, F.lit(False)), "_a": F.coalesce(alert, F.lit(False))})
-    pos = x.where("_p")
-    far = F.coalesce(F.col("ts") - F.lag("ts").over(ordered(key)) > gap, F.lit(True))
+    pos = previous(x.where("_p"), {"_b": "ts"}, key)
+    far = F.coalesce(F.col("ts") - F.col("_b") > gap, F.lit(True))
     c = islands(pos, far, "_c", key).groupBy(key, "_c").agg(F.bool_or("_a").alias("hit")).groupBy(key).agg(F.count(F.lit(1)).alias("clusters"), F.count_if("hit").alias("recalled"))
     return c.join(x.groupBy(key).agg(F.count_if(F.col("_a") & ~F.col("_p")).alias("false_alerts")), key)
 
 
 def volatility_ratio(bars: DataFrame, a: str, b: str, step: Column) -> DataFrame:
     """Median absolute return between neighbouring bars of ``a`` over that of ``b``, one row."""
-    w = ordered("symbol")
-    r = F.when(F.col("ts") == F.lag("ts").over(w) + step, F.abs(F.ln(F.col("close") / F.lag("close").over(w))))
+    r = F.when(F.col("ts") == F.col("_t0") + step, F.abs(F.ln(F.col("close") / F.col("_c0"))))
     med = lambda s: F.percentile(F.when(F.col("symbol") == s, F.col("_r")), 0.5)
-    return bars.withColumn("_r", r).agg((med(a) / F.nullif(med(b), F.lit(0.0))).alias("ratio"))
+    return previous(bars, {"_t0": "ts", "_c0": "close"}).withColumn("_r", r).agg((med(a) / F.nullif(med(b), F.lit(0.0))).alias("ratio"))
 
 
 def rolling_cards(cards: DataFrame, spans: list[int], by: str = "model", week: str = "week") -> DataFrame:
@@ -94,8 +95,7 @@ def two_members(a: DataFrame, b: DataFrame, tau_a: float, tau_b: float, key: str
 
 def whole_window(signals: DataFrame, bars: DataFrame, hold: int, step_s: int) -> DataFrame:
     """Signals whose next bar follows at once and whose next ``hold`` bars are there without a gap."""
-    w = ordered("symbol")
-    b = bars.withColumns({"_n": F.lead("ts").over(w), "_e": F.lead("ts", hold).over(w)})
+    b = rolling(bars, 1, lambda f: {"_n": F.lead("ts").over(f.order), "_e": F.lead("ts", hold).over(f.order)}, ahead=hold)
     t = F.unix_timestamp("ts")
     ok = b.where((F.unix_timestamp("_n") - t == step_s) & (F.unix_timestamp("_e") - t == step_s * hold)).select("symbol", "ts")
     return signals.join(ok, ["symbol", "ts"], "left_semi")

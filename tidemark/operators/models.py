@@ -74,10 +74,14 @@ def isotonic(train: DataFrame, df: DataFrame, prob: str, label: str, name: str)
 
 def platt(train: DataFrame, df: DataFrame, prob: str, label: str, name: str) -> DataFrame:
     """``df`` with ``name``: a logistic fit on the logit of the probability."""
-    a = VectorAssembler(inputCols=["_z"], outputCol="features")
-    model = LogisticRegression(labelCol="_y", regParam=0.0).fit(a.transform(train.select(logit(F.col(prob)).alias("_z"), F.col(label).cast("double").alias("_y"))))
-    got = model.transform(a.transform(df.withColumn("_z", logit(F.col(prob)))))
-    return got.select(*df.columns, F.element_at(vector_to_array("probability"), 2).alias(name))
+    slope, intercept = sigmoid_fit(train.select(logit(F.col(prob)).alias("_z"), F.col(label).cast("double").alias("_y")))
+    return df.withColumn(name, 1 / (1 + F.exp(-(F.lit(slope) * logit(F.col(prob)) + F.lit(intercept)))))
+
+
+def sigmoid_fit(rows: DataFrame) -> tuple[float, float]:
+    """Slope and intercept of a logistic fit of ``_y`` on ``_z``."""
+    model = LogisticRegression(labelCol="_y", regParam=0.0).fit(VectorAssembler(inputCols=["_z"], outputCol="features").transform(rows))
+    return float(model.coefficients[0]), float(model.intercept)
 
 
 def isotonic_panel(train: DataFrame, df: DataFrame, probs: list[str], label: str) -> DataFrame:

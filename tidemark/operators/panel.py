@@ -36,10 +36,14 @@ def soft_vote(panel: DataFrame, key: str = "ts") -> DataFrame:
 
 
 def weighted_mix(panel: DataFrame, weights: DataFrame, tau: float, key: str = "ts") -> DataFrame:
-    """Probabilities mixed by ``weights`` (model, w); class 1 (flat) below ``tau`` or where the weights sum to nothing."""
+    """Probabilities mixed by ``weights`` (model, w: a row a model); class 1 (flat) below ``tau`` or where the weights sum to
+    nothing. A key's few models are added in their order, so that the sums don't depend on the shuffle.
+    """
     w = F.coalesce("w", F.lit(0.0))
-    total = F.nullif(F.sum(w), F.lit(0.0))
-    got = panel.join(weights, "model", "left").groupBy(key).agg(*[(F.sum(w * F.col(p)) / total).alias(p) for p in P])
+    rows = panel.join(F.broadcast(weights), "model", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("model", w.alias("_w"), *P))).alias("_m"))
+    add = lambda of: F.aggregate("_m", F.lit(0.0), lambda a, m: a + of(m))
+    total = F.nullif(add(lambda m: m["_w"]), F.lit(0.0))
+    got = rows.select(key, *[(add(lambda m, p=p: m["_w"] * m[p]) / total).alias(p) for p in P])
     return got.withColumn("pred", F.when(F.col("p0").isNull() | (F.greatest(*P) < tau), 1).otherwise(argmax()))
 
 

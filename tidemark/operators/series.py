@@ -49,18 +49,20 @@ class Frame:
 
 
 def rolling(
-    df: DataFrame, reach: int, *steps: Callable[[Frame], dict[str, Column]], key: str = "symbol", ts: str = "ts", chunk: int = CHUNK
+    df: DataFrame, reach: int, *steps: Callable[[Frame], dict[str, Column]], key: str = "symbol", ts: str = "ts", chunk: int = CHUNK, ahead: int = 0
 ) -> DataFrame:
-    """Add columns computed over the last ``reach`` rows of each key; later steps may use the columns of earlier ones.
+    """Add columns computed over the last ``reach`` (and next ``ahead``) rows of each key; later steps may use earlier columns.
 
     ``reach`` is the sum of the steps' window lengths. A key's series is cut into chunks of ``chunk`` rows; the last
     ``reach`` rows of each chunk are copied to the next as a halo and dropped afterwards, so one long series is windowed
     in parallel and results don't depend on the chunk size.
     """
-    chunk = max(chunk, reach)
+    chunk = max(chunk, reach, ahead)
     rows = numbered(df, key, ts, "_row")
     own = F.floor(F.col("_row") / chunk)
     spill = F.when(F.col("_row") % chunk >= chunk - reach, F.array(own, own + 1)).otherwise(F.array(own))
+    if ahead:
+        spill = F.when(F.col("_row") % chunk < ahead, F.array_append(spill, own - 1)).otherwise(spill)
     rows = rows.withColumn("_own", own).withColumn("_chunk", F.explode(spill))
     frame = Frame(Window.partitionBy(key, "_chunk").orderBy("_row"))
     for step in steps:
@@ -68,37 +70,66 @@ def rolling(
     return rows.where(F.col("_own") == F.col("_chunk")).drop("_row", "_own", "_chunk")
 
 
-def islands(df: DataFrame, boundary: Column, name: str = "island", key: str = "symbol", ts: str = "ts") -> DataFrame:
-    """Number the runs of each key: a new one starts where ``boundary`` holds (null counts as false)."""
-    flag = F.coalesce(boundary.cast("int"), F.lit(0))
-    w = ordered(key, by=ts)
-    return df.withColumn("_flag", flag).withColumn(name, F.sum("_flag").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_flag")
+def previous(df: DataFrame, cols: dict[str, str], key: str = "symbol", ts: str = "ts", tie: tuple[str, ...] = (), bucket: str = "day", ahead: bool = False) -> DataFrame:
+    """Add columns (name -> column) with the values of the row before in each key's order (``ahead``: the row after).
+
+    Rows are looked at within (key, time bucket); a bucket's first row takes the last one of the bucket before from a
+    table with one row for each bucket, so no key is sorted in one task.
+    """
+    order, value = [ts, *tie], F.struct(*[F.col(c).alias(n) for n, c in cols.items()])
+    part = df.withColumn("_bucket", F.date_trunc(bucket, ts)).withColumn("_v", value)
+    place = F.struct(*order)
+    ends = part.groupBy(key, "_bucket").agg((F.min_by if ahead else F.max_by)("_v", place).alias("_end"))
+    near = F.lead if ahead else F.lag
+    ends = ends.select(key, "_bucket", near("_end").over(Window.partitionBy(key).orderBy("_bucket")).alias("_carry"))
+    w = Window.partitionBy(key, "_bucket").orderBy(*order)
+    edge = F.lead(F.lit(1)).over(w).isNull() if ahead else F.row_number().over(w) == 1
+    got = part.withColumns({"_edge": edge, "_near": near("_v").over(w)}).join(ends, [key, "_bucket"])
+    found = F.when(F.col("_edge"), F.col("_carry")).otherwise(F.col("_near"))
+    return got.withColumn("_found", found).select(*[F.col(c) for c in df.columns if c not in cols], *[F.col(f"_found.{n}").alias(n) for n in cols])
+
+
+def islands(df: DataFrame, boundary: Column, name: str = "island", key: str = "symbol", ts: str = "ts", place: str | None = None) -> DataFrame:
+    """Number the runs of each key: a new one starts where ``boundary`` holds (null counts as false); ``place`` adds a row's
+    number, from 1, in its run. Both come from running sums and maxima in two levels.
+    """
+    rows = df.withColumn("_flag", F.coalesce(boundary.cast("double"), F.lit(0.0)))
+    if place is None:
+        return running(rows, {name: ("sum", "_flag")}, key, ts).withColumn(name, F.col(name).cast("long")).drop("_flag")
+    rows = numbered(rows, key, ts, "_row").withColumn("_from", F.when(F.col("_flag") > 0, F.col("_row")))
+    rows = running(rows, {name: ("sum", "_flag"), "_begin": ("max", "_from")}, key, ts)
+    got = rows.withColumn(place, F.col("_row") - F.coalesce("_begin", F.lit(0)) + 1).withColumn(name, F.col(name).cast("long"))
+    return got.drop("_flag", "_row", "_from", "_begin")
 
 
-def ewm(df: DataFrame, value: str, alpha: float, name: str, key: str = "symbol", ts: str = "ts") -> DataFrame:
-    """Exponential mean by row, y = (1-alpha) y' + alpha x from the key's first row on; ``value`` mustn't be null.
+def ewm(df: DataFrame, values: dict[str, str], alpha: float, key: str = "symbol", ts: str = "ts") -> DataFrame:
+    """Exponential means by row (name -> column), y = (1-alpha) y' + alpha x from the key's first row on; no nulls.
 
     An affine scan: within chunks of about 15/alpha rows the mean has a closed form over running sums; what comes from
-    before is a short weighted sum over the chunks' ends, since a chunk three back weighs less than 1e-19.
+    before is a short weighted sum over the chunks' ends, since a chunk three back weighs less than 1e-19. One numbering
+    and one join, whatever the number of columns.
     """
     size, keep = math.ceil(15 / alpha), 1 - alpha
     rows = numbered(df, key, ts, "_row").withColumn("_chunk", F.floor(F.col("_row") / size)).withColumn("_i", F.col("_row") % size)
-    u = F.col(value) * F.when(F.col("_row") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
+    first = F.when(F.col("_row") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
     run = Window.partitionBy(key, "_chunk").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_own", F.sum(u * F.pow(F.lit(keep), -F.col("_i"))).over(run) * F.pow(F.lit(keep), F.col("_i")))
-    ends = rows.groupBy(key, "_chunk").agg(F.max_by("_own", "_i").alias("_end"))
-    back = Window.partitionBy(key).orderBy("_chunk")
-    weight = keep**size
-    carry = sum((F.coalesce(F.lag("_end", k).over(back), F.lit(0.0)) * weight ** (k - 1) for k in (1, 2, 3)), F.lit(0.0))
-    ends = ends.select(key, "_chunk", carry.alias("_carry"))
-    y = F.col("_own") + F.col("_carry") * F.pow(F.lit(keep), F.col("_i") + 1)
-    return rows.join(ends, [key, "_chunk"]).withColumn(name, y).drop("_row", "_chunk", "_i", "_own", "_carry")
+    grown = F.pow(F.lit(keep), F.col("_i"))
+    rows = rows.withColumns({f"_own_{n}": F.sum(F.col(c) * first * F.pow(F.lit(keep), -F.col("_i"))).over(run) * grown for n, c in values.items()})
+    ends = rows.groupBy(key, "_chunk").agg(*[F.max_by(f"_own_{n}", "_i").alias(f"_end_{n}") for n in values])
+    back, weight = Window.partitionBy(key).orderBy("_chunk"), keep**size
+    carry = lambda n: sum((F.coalesce(F.lag(f"_end_{n}", k).over(back), F.lit(0.0)) * weight ** (k - 1) for k in (1, 2, 3)), F.lit(0.0))
+    ends = ends.select(key, "_chunk", *[carry(n).alias(f"_carry_{n}") for n in values])
+    got = rows.join(ends, [key, "_chunk"]).withColumns({n: F.col(f"_own_{n}") + F.col(f"_carry_{n}") * grown * keep for n in values})
+    return got.drop("_row", "_chunk", "_i", *[f"_{k}_{n}" for n in values for k in ("own", "carry")])
 
 
 def calendar(df: DataFrame, step: str, key: str = "symbol", ts: str = "ts") -> DataFrame:
-    """(key, ts): every ``step`` from each key's first time to its last."""
+    """(key, ts): every ``step`` from each key's first time to its last; in stretches of 10,000 steps, so no array is long."""
     ends = df.groupBy(key).agg(F.min(ts).alias("a"), F.max(ts).alias("b"))
-    return ends.select(key, F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {step}"))).alias(ts))
+    far = F.expr(f"INTERVAL {int(step.split()[0]) * 10_000} {step.split()[1]}")
+    ends = ends.select(key, "b", F.explode(F.sequence("a", "b", far)).alias("a")).repartition(key, "a")
+    one = F.expr(f"INTERVAL {step}")
+    return ends.select(key, F.explode(F.sequence("a", F.least("b", F.col("a") + far - one), one)).alias(ts))
 
 
 def running(df: DataFrame, aggs: dict[str, tuple[str, str]], key: str = "symbol", ts: str = "ts", bucket: str = "day", tie: tuple[str, ...] = ()) -> DataFrame:

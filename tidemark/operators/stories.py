@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import canonical_url, domain, headline_key, indel_ratio, protected_tokens
 from tidemark.operators.gates import spaced
+from tidemark.sources.scratch import stage
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -23,10 +24,6 @@ def exact_echoes(articles: DataFrame, id_col: str, key_col: str, hours: int, ts:
     return spaced(articles, id_col, hours * 3600, key_col, ts).withColumnRenamed("taken", "keep")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
-
-
 def _together(a: DataFrame, keys: list[str], gap: int) -> DataFrame:
     """(id, part): the smallest id reached over non-empty equal ``keys`` whose articles (id, t) follow within ``gap``.
 
@@ -39,13 +36,13 @@ def _together(a: DataFrame, keys: list[str], gap: int) -> DataFrame:
         rows = rows.withColumn("_seg", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         rows = rows.select("id", F.struct(F.lit(c).alias("kind"), F.col(c).alias("value"), F.col("_seg").alias("seg")).alias("g"))
         sides = rows if sides is None else sides.unionByName(rows)
-    sides, label = _cut(sides), _cut(a.select("id", F.col("id").alias("part")).distinct())
+    sides, label = stage(sides, "sides"), stage(a.select("id", F.col("id").alias("part")).distinct(), "labels")
     while True:
         low = sides.join(label, "id").groupBy("g").agg(F.min("part").alias("low"))
         near = sides.join(low, "g").groupBy("id").agg(F.min("low").alias("low"))
         step = label.join(near, "id", "left").select("id", F.col("part").alias("old"), F.coalesce("low", "part").alias("to"))
         jump = step.select(F.col("id").alias("to"), F.col("to").alias("part"))
-        step = _cut(step.join(jump, "to").select("id", "old", "part"))
+        step = stage(step.join(jump, "to").select("id", "old", "part"), "labels")
         label = step.select("id", "part")
         if step.where("part <> old").isEmpty():
             return label
@@ -69,25 +66,32 @@ def story_ledger(articles: DataFrame, hours: int = 72, sure: float = 95.0, revie
     a = a.join(_together(a, ["url", "key", "block"], hours * 3_600_000_000), "id")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
-        out = []
+        span, out = hours * 3_600_000_000, []
+        by_url: dict[str, tuple] = {}  # the first kept article of each URL and key that may still count, in order of time
+        by_key: dict[str, tuple] = {}
+        near: dict[tuple, list[tuple]] = {}  # block and protected tokens -> kept articles (time, id, domain, sorted words)
         for r in pdf.sort_values(["t", "id"]).itertuples(index=False):
-            kept = [k for k in kept if r.t - k[0] <= hours * 3_600_000_000]
-            hit = next(((k, "url", 100.0) for k in kept if r.url and k[2] == r.url), None) or next(((k, "title", 100.0) for k in kept if r.key and k[3] == r.key), None)
-            best = None
-            if hit is None:
-                words = " ".join(sorted(r.key.split()))
-                for k in kept:
-                    if r.block and k[6] == r.block and k[4] != r.domain and k[5] == r.protected:
-                        s = indel_ratio(" ".join(sorted(k[3].split())), words)
-                        if s >= review and (best is None or s > best[2]):
-                            best = (k, "fuzzy" if s >= sure else "review", s)
-            found = hit or best
-            if found and found[1] != "review":
-                out.append((r.id, found[0][1], False, found[1], found[2]))
-            else:
-                kept.append((r.t, r.id, r.url, r.key, r.domain, r.protected, r.block))
-                out.append((r.id, r.id, True, found[1] if found else "new", found[2] if found else 0.0))
+            alive = lambda k: k is not None and r.t - k[0] <= span
+            hit, kind = by_url.get(r.url) if r.url else None, "url"
+            if not alive(hit):
+                hit, kind = by_key.get(r.key) if r.key else None, "title"
+            best = (hit[1], kind, 100.0) if alive(hit) else None
+            words, group = " ".join(sorted(r.key.split())), (r.block, r.protected)
+            if best is None and r.block:
+                near[group] = [k for k in near.get(group, ()) if alive(k)]
+                for _, i, where, other in near[group]:
+                    s = indel_ratio(other, words) if where != r.domain else 0.0
+                    if s >= review and (best is None or s > best[2]):
+                        best = (i, "fuzzy" if s >= sure else "review", s)
+            if best and best[1] != "review":
+                out.append((r.id, best[0], False, best[1], best[2]))
+                continue
+            for seen, k in ((by_url, r.url), (by_key, r.key)):
+                if k and not alive(seen.get(k)):
+                    seen[k] = (r.t, r.id)
+            if r.block:
+                near.setdefault(group, []).append((r.t, r.id, r.domain, words))
+            out.append((r.id, r.id, True, best[1] if best else "new", best[2] if best else 0.0))
         return pd.DataFrame(out, columns=["id", "story_id", "keep", "reason", "similarity"])
 
     return a.groupBy("part").applyInPandas(fold, f"id {kind}, story_id {kind}, keep boolean, reason string, similarity double")

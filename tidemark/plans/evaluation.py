@@ -153,13 +153,15 @@ def e1(spark, sf):
 
 @query(
     "e2_weighted_mix",
-    f"""WITH {PANEL}, v AS (SELECT id, sum(w * p0) / nullif(sum(w), 0) AS p0, sum(w * p1) / nullif(sum(w), 0) AS p1, sum(w * p2) / nullif(sum(w), 0) AS p2
-  FROM p JOIN (VALUES (1, 0.5), (2, 0.3), (3, 0.0)) AS x(model, w) USING (model) GROUP BY id)
-SELECT id, {RND3}, CASE WHEN p0 IS NULL OR {CONF} < 0.45 THEN 1 ELSE {ARG} END AS pred FROM v""",
+    f"""WITH {PANEL}, l AS (SELECT id, list(w ORDER BY model) AS w, list(w * p0 ORDER BY model) AS a, list(w * p1 ORDER BY model) AS b, list(w * p2 ORDER BY model) AS c
+  FROM p JOIN (VALUES (1, 0.5::DOUBLE), (2, 0.3::DOUBLE), (3, 0.0::DOUBLE)) AS x(model, w) USING (model) GROUP BY id),
+s AS (SELECT id, nullif(list_reduce(w, lambda x, y: x + y), 0) AS w, list_reduce(a, lambda x, y: x + y) AS a, list_reduce(b, lambda x, y: x + y) AS b, list_reduce(c, lambda x, y: x + y) AS c FROM l),
+v AS (SELECT id, a / w AS p0, b / w AS p1, c / w AS p2 FROM s)
+SELECT id, round(p0, 12) AS p0, round(p1, 12) AS p1, round(p2, 12) AS p2, CASE WHEN p0 IS NULL OR {CONF} < 0.45 THEN 1 ELSE {ARG} END AS pred FROM v""",
 )
 def e2(spark, sf):
     w = spark.createDataFrame([(1, 0.5), (2, 0.3)], "model int, w double")
-    return panel.weighted_mix(probs(spark, sf), w, 0.45, "id").select("id", *[rnd(c).alias(c) for c in panel.P], "pred")
+    return panel.weighted_mix(probs(spark, sf), w, 0.45, "id").select("id", *[rnd(c, 12).alias(c) for c in panel.P], "pred")
 
 
 @query(
@@ -319,7 +321,7 @@ nt AS (SELECT *, pos * fwd - abs(pos - lag(pos, 1, 0) OVER (PARTITION BY symbol
 
 
 def net(spark, sf, tau=0.45):
-    h = hourly(spark, sf).select("symbol", "ts", (F.lead("close").over(series.ordered("symbol")) / F.col("close") - 1).alias("fwd"))
+    h = series.previous(hourly(spark, sf), {"_next": "close"}, ahead=True).select("symbol", "ts", (F.col("_next") / F.col("close") - 1).alias("fwd"))
     q = one(spark, sf).join(h, ["symbol", "ts"]).where("fwd is not null")
     return gates.net_returns(gates.gated_position(q, tau=tau))
 
@@ -370,7 +372,7 @@ nt AS (SELECT *, pos * fwd - abs(pos - lag(pos, 1, 0) OVER (PARTITION BY symbol,
 SELECT CAST(tau AS DOUBLE) AS tau, round(sum(net), 6) AS net_sum, round(avg(abs(pos)), 6) AS exposure FROM nt GROUP BY tau""",
 )
 def y3(spark, sf):
-    h = hourly(spark, sf).select("symbol", "ts", (F.lead("close").over(series.ordered("symbol")) / F.col("close") - 1).alias("fwd"))
+    h = series.previous(hourly(spark, sf), {"_next": "close"}, ahead=True).select("symbol", "ts", (F.col("_next") / F.col("close") - 1).alias("fwd"))
     q = one(spark, sf).join(h, ["symbol", "ts"]).where("fwd is not null")
 
     def apply(df, tau):

@@ -45,12 +45,12 @@ def g14(spark, sf):
 
 @query(
     "g15_activity",
-    f"""WITH {LEDGER}, l AS (SELECT * FROM lg WHERE id % 11 = 0), d AS (SELECT symbol, date_trunc('day', ts) AS day, count(*) AS n FROM l GROUP BY ALL), g AS (SELECT symbol, unnest(generate_series(min(day), max(day), INTERVAL '1 day')) AS day FROM d GROUP BY symbol),
+    f"""WITH {LEDGER}, d AS (SELECT symbol, date_trunc('day', ts) AS day, count(*) AS n FROM lg GROUP BY ALL), g AS (SELECT symbol, unnest(generate_series(min(day), max(day), INTERVAL '1 day')) AS day FROM d GROUP BY symbol),
 z AS (SELECT symbol, coalesce(n, 0) AS n FROM g LEFT JOIN d USING (symbol, day))
 SELECT symbol, count_if(n = 0)::BIGINT AS days_0, count_if(n = 1)::BIGINT AS days_1, count_if(n = 2)::BIGINT AS days_2, count_if(n >= 3)::BIGINT AS days_3, quantile_cont(n, 0.5) AS median FROM z GROUP BY symbol""",
 )
 def g15(spark, sf):
-    return ledgers.activity(ledger(spark, sf).where("id % 11 = 0"))
+    return ledgers.activity(ledger(spark, sf))
 
 
 @query(

@@ -60,12 +60,12 @@ def j18(spark, sf):
 
 @query(
     "j19_stacked_arms",
-    f"""WITH {LEDGER}, a AS (SELECT id, net_return FROM lg WHERE id % 2 = 0), b AS (SELECT id, net_return FROM lg WHERE id % 5 = 0), k AS (SELECT id FROM a UNION SELECT id FROM b)
+    f"""WITH {LEDGER}, a AS (SELECT id, net_return FROM lg WHERE bars_held <= 4), b AS (SELECT id, net_return FROM lg WHERE exit_reason = 'target'), k AS (SELECT id FROM a UNION SELECT id FROM b)
 SELECT k.id, round(coalesce(a.net_return, 0), 6) AS arm_a, round(coalesce(b.net_return, 0), 6) AS arm_b FROM k LEFT JOIN a ON a.id = k.id LEFT JOIN b ON b.id = k.id""",
 )
 def j19(spark, sf):
-    l = ledger(spark, sf).select("id", "net_return")
-    a, b = (l.where(f"id % {m} = 0").withColumnRenamed("net_return", n) for m, n in ((2, "a"), (5, "b")))
+    l = ledger(spark, sf)
+    a, b = (l.where(on).select("id", F.col("net_return").alias(n)) for on, n in (("bars_held <= 4", "a"), ("exit_reason = 'target'", "b")))
     k = a.select("id").union(b.select("id")).distinct()
     return k.join(a, "id", "left").join(b, "id", "left").select("id", rnd(F.coalesce("a", F.lit(0.0))).alias("arm_a"), rnd(F.coalesce("b", F.lit(0.0))).alias("arm_b"))
 
@@ -140,13 +140,13 @@ def w30(spark, sf):
 
 @query(
     "b5_week_blocks",
-    f"""WITH {LEDGER}, w AS (SELECT symbol, date_trunc('week', ts) AS w, sum(net_return) AS net FROM lg WHERE id % 13 = 0 GROUP BY ALL), g AS (SELECT symbol, unnest(generate_series(min(w), max(w), INTERVAL '7 days')) AS w FROM w GROUP BY symbol)
+    f"""WITH {LEDGER}, w AS (SELECT symbol, date_trunc('week', ts) AS w, sum(net_return) AS net FROM lg GROUP BY ALL), g AS (SELECT symbol, unnest(generate_series(min(w), max(w), INTERVAL '7 days')) AS w FROM w GROUP BY symbol)
 SELECT symbol, epoch(w)::BIGINT AS week_s, round(coalesce(net, 0), 6) AS net FROM g LEFT JOIN w USING (symbol, w)""",
 )
 def b5(spark, sf):
     from tidemark.operators.bars import on_grid
 
-    w = ledger(spark, sf).where("id % 13 = 0").groupBy("symbol", F.date_trunc("week", "ts").alias("ts")).agg(F.sum("net_return").alias("net"))
+    w = ledger(spark, sf).groupBy("symbol", F.date_trunc("week", "ts").alias("ts")).agg(F.sum("net_return").alias("net"))
     return on_grid(w, "7 days", ["net"]).select("symbol", epoch().alias("week_s"), rnd("net").alias("net"))
 
 

@@ -38,14 +38,25 @@ def f3(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.array_join(found, ",").alias("tokens"))
 
 
+#: Addresses as they come: every third page's without scheme, every fifth's host with a port.
+URLS = r"""u AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_replace(url, '^[a-z]+://', '') WHEN page_id % 5 = 0 THEN regexp_replace(url, '://([^/]+)', '://User@\1:8080') ELSE url END AS url FROM pages),
+f AS (SELECT page_id, CASE WHEN contains(trim(coalesce(url, '')), '://') THEN trim(url) ELSE 'https://' || trim(coalesce(url, '')) END AS u FROM u),
+d AS (SELECT page_id, u, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(u, '://([^/?#]*)', 1)), '^.*@', ''), ':\d*$', ''), '^www\.', '') AS domain FROM f)"""
+
+
+def addresses(spark, sf):
+    u = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("url", r"^[a-z]+://", "")).when(F.col("page_id") % 5 == 0, F.regexp_replace("url", r"://([^/]+)", "://User@$1:8080"))
+    return table(spark, sf, "pages").select("page_id", u.otherwise(F.col("url")).alias("url"))
+
+
 @query(
     "f4_canonical_url",
-    """SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), '^www\\.', '') AS domain,
-  'https://' || regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), '^www\\.', '') || url_decode(regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/+$', '')) AS canonical FROM pages""",
+    rf"""WITH {URLS}, p AS (SELECT *, regexp_replace(url_decode(replace(regexp_extract(u, '://[^/?#]*([^?#]*)', 1), '+', '%2B')), '/+$', '') AS path FROM d)
+SELECT page_id, domain, CASE WHEN domain = '' THEN '' ELSE 'https://' || domain || CASE WHEN path = '' THEN '/' ELSE path END END AS canonical FROM p""",
 )
 def f4(spark, sf):
     u = F.col("url")
-    return table(spark, sf, "pages").select("page_id", text.domain(u).alias("domain"), text.canonical_url(u).alias("canonical"))
+    return addresses(spark, sf).select("page_id", text.domain(u).alias("domain"), text.canonical_url(u).alias("canonical"))
 
 
 @query("f6_html_title", "SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title FROM pages")
@@ -72,29 +83,47 @@ def f9(spark, sf):
 
 @query(
     "f10_calendar_features",
-    f"""WITH {ART} SELECT id, round(sin(2 * pi() * hour(ts) / 24), 6) AS hour_sin, round(cos(2 * pi() * hour(ts) / 24), 6) AS hour_cos, isodow(ts) >= 6 AS weekend,
-  isodow(ts) < 6 AND (hour(ts) * 60 + minute(ts)) BETWEEN 14 * 60 + 30 AND 20 * 60 + 59 AS ny_session FROM a WHERE ts < '2024-03-01'""",
+    f"""WITH {ART}, l AS (SELECT id, ts, timezone('America/New_York', timezone('UTC', ts)) AS ny FROM a)
+SELECT id, round(sin(2 * pi() * hour(ts) / 24), 6) AS hour_sin, round(cos(2 * pi() * hour(ts) / 24), 6) AS hour_cos, isodow(ts) >= 6 AS weekend,
+  isodow(ts) < 6 AND (hour(ny) * 60 + minute(ny)) BETWEEN 570 AND 959 AS ny_session FROM l""",
 )
 def f10(spark, sf):
     local = F.from_utc_timestamp("ts", "America/New_York")
     minute = F.hour(local) * 60 + F.minute(local)
     angle = 2 * F.pi() * F.hour("ts") / 24
-    return articles(spark, sf).where("ts < timestamp '2024-03-01'").select(
+    return articles(spark, sf).select(
         "id", rnd(F.sin(angle)).alias("hour_sin"), rnd(F.cos(angle)).alias("hour_cos"), (F.weekday("ts") >= 5).alias("weekend"),
         ((F.weekday("ts") < 5) & (minute >= 570) & (minute < 960)).alias("ny_session"),
     )
 
 
-@query("p7_relevance", """SELECT doc_id, regexp_matches(regexp_replace(lower(text), ' (reon the|the the) ', ' ', 'g'), ' (the|reon) ') AS relevant FROM documents WHERE text IS NOT NULL""")
+def relevant_sql(c: str) -> str:
+    """The rules of ``text.relevant`` in SQL."""
+    out = []
+    for topic, rx in text.RELEVANT.items():
+        t = f"lower({c})"
+        hit = f"regexp_matches({f"regexp_replace({t}, '{text.BLANKED[topic]}', ' ', 'g')" if topic in text.BLANKED else t}, '{rx}')"
+        if topic in text.RULED_OUT:
+            hit += f" AND NOT regexp_matches({t}, '{text.RULED_OUT[topic]}')"
+        if topic in text.NEEDED:
+            hit += f" AND regexp_matches({t}, '{text.NEEDED[topic]}')"
+        out.append(f"({hit})")
+    return f"coalesce({' OR '.join(out)}, false)"
+
+
+@query("p7_relevance", f"SELECT page_id, {relevant_sql('html')} AS relevant FROM pages")
 def p7(spark, sf):
-    t = F.regexp_replace(F.lower("text"), r" (reon the|the the) ", " ")
-    return table(spark, sf, "documents").where("text is not null").select("doc_id", t.rlike(r" (the|reon) ").alias("relevant"))
+    return table(spark, sf, "pages").select("page_id", text.relevant(F.col("html")).alias("relevant"))
 
 
-@query("p7_market_relevance", """SELECT doc_id, regexp_matches(regexp_replace(lower(text), '\\b(fed up|fed ex|well fed|fed the)\\b', ' ', 'g'), '\\b(fed|fomc|federal reserve|powell)\\b') OR regexp_matches(lower(text), '\\b(payrolls?|unemployment|jobless|jobs report)\\b')
-  OR regexp_matches(lower(text), '\\b(interest rates?|rate (cut|hike)s?|yields?)\\b') OR regexp_matches(regexp_replace(lower(text), '\\b(olive oil|cooking oil)\\b', ' ', 'g'), '\\b(oil|crude|opec|brent)\\b') AS relevant FROM documents WHERE text IS NOT NULL""")
+@query("p7_market_relevance", f"SELECT doc_id, {relevant_sql('text')} AS relevant FROM documents")
 def p7b(spark, sf):
-    return table(spark, sf, "documents").where("text is not null").select("doc_id", text.relevant(F.col("text")).alias("relevant"))
+    return table(spark, sf, "documents").select("doc_id", text.relevant(F.col("text")).alias("relevant"))
+
+
+@query("p8_tech_subset", f"""SELECT page_id, regexp_matches(lower(concat_ws(' ', html, url)), '{text.TECH}') AS tech FROM pages""")
+def p8(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.lower(F.concat_ws(" ", "html", "url")).rlike(text.TECH).alias("tech"))
 
 
 @query("p9_streams", f"WITH {ART} SELECT id, array_to_string(list_sort(list_distinct(list_filter(['base', CASE WHEN regexp_matches(lower(title), 'the') THEN 'en' END, CASE WHEN regexp_matches(lower(title), 'und|der') THEN 'de' END], lambda x: x IS NOT NULL))), ',') AS streams FROM a")
@@ -102,9 +131,11 @@ def p9(spark, sf):
     return articles(spark, sf).select("id", F.array_join(text.streams(F.col("title"), {"en": "the", "de": "und|der"}, ["base"]), ",").alias("streams"))
 
 
-@query("s17_stream_rows", f"WITH {ART} SELECT id, unnest(['btc', 'usatech']) AS stream, epoch(ts)::BIGINT + 60 AS available_s FROM a")
+@query("s17_stream_rows", f"WITH {ART} SELECT id, unnest(list_filter(['usa500', CASE WHEN regexp_matches(lower(title), 'en') THEN 'btc' END, CASE WHEN regexp_matches(lower(title), 'st') THEN 'usatech' END], lambda x: x IS NOT NULL)) AS stream, epoch(ts)::BIGINT + 60 AS available_s FROM a")
 def s17(spark, sf):
-    return articles(spark, sf).select("id", F.explode(F.array(F.lit("btc"), F.lit("usatech"))).alias("stream"), (epoch() + 60).alias("available_s"))
+    """One row for each stream that an event's title belongs to, usable a minute later."""
+    of = text.streams(F.col("title"), {"btc": "en", "usatech": "st"}, ["usa500"])
+    return articles(spark, sf).select("id", F.explode(of).alias("stream"), (epoch() + 60).alias("available_s"))
 
 
 @query("s13_first_by_url", f"WITH {ART} SELECT url, arg_min(id, (ts, id)) AS id FROM a GROUP BY url")
@@ -178,26 +209,31 @@ def t5(spark, sf):
 
 @query(
     "x8_consolidated_lessons",
-    """WITH l AS (SELECT lower(trim(substr(text, 1, 4))) AS lesson, conv_id % 9 AS evaluation, turn AS ts FROM conversations WHERE text IS NOT NULL)
-SELECT lesson, count(DISTINCT evaluation) AS support, round(least(0.95, 0.5 + 0.1 * count(DISTINCT evaluation)), 6) AS confidence FROM l GROUP BY lesson HAVING count(DISTINCT evaluation) >= 2""",
+    r"""WITH l AS (SELECT conv_id, trim(regexp_replace(unnest(string_split_regex(lower(text), '[.,;:!?]')), '\s+', ' ', 'g')) AS lesson FROM conversations WHERE text IS NOT NULL)
+SELECT lesson, count(DISTINCT conv_id) AS support, round(least(0.95, 0.5 + 0.1 * count(DISTINCT conv_id)), 6) AS confidence FROM l WHERE lesson <> '' GROUP BY lesson HAVING count(DISTINCT conv_id) >= 2""",
 )
 def x8(spark, sf):
-    l = table(spark, sf, "conversations").where("text is not null").select(F.trim(F.substring("text", 1, 4)).alias("lesson"), (F.col("conv_id") % 9).alias("evaluation"), F.col("turn").alias("ts"))
+    """Every clause of every turn is a lesson; conversations are the independent evaluations."""
+    c = table(spark, sf, "conversations").where("text is not null")
+    l = c.select(F.explode(F.split(F.lower("text"), r"[.,;:!?]")).alias("c"), F.col("conv_id").alias("evaluation"), F.col("turn").alias("ts"))
+    l = l.select(text.squash(F.col("c")).alias("lesson"), "evaluation", "ts").where("lesson <> ''")
     return stories.consolidated(l).select("lesson", "support", rnd("confidence").alias("confidence"))
 
 
-@query("t6_retrieval", f"WITH {ART} SELECT id, (CASE WHEN source IN ('src1', 'en') THEN 1 ELSE 0 END + CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS overlap FROM a WHERE ts <= '2024-01-04' ORDER BY overlap DESC, ts DESC, id LIMIT 8")
+@query("t6_retrieval", f"WITH {ART} SELECT id, (CASE WHEN source IN ('src1', 'en') THEN 1 ELSE 0 END + CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS overlap FROM a WHERE ts <= (SELECT to_timestamp((epoch(min(ts)) + epoch(max(ts))) // 2)::TIMESTAMP FROM a) ORDER BY overlap DESC, ts DESC, id LIMIT 8")
 def t6(spark, sf):
     m = articles(spark, sf).select("id", F.col("ts").alias("available_at"), F.array("source", "lang").alias("tags"))
-    return stories.retrieve(m, ["src1", "en"], 8, F.lit("2024-01-04").cast("timestamp")).select("id", "overlap")
+    half = m.agg(F.floor((F.unix_timestamp(F.min("available_at")) + F.unix_timestamp(F.max("available_at"))) / 2)).first()[0]
+    return stories.retrieve(m, ["src1", "en"], 8, F.timestamp_seconds(F.lit(half))).select("id", "overlap")
 
 
-@query("x4_score_cache")
+@query("x4_score_cache", f"""WITH {ART}, k AS (SELECT id, lang, text, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS key FROM a), c AS (SELECT DISTINCT key FROM k WHERE lang <> 'en'),
+m AS (SELECT key, min(text) AS text FROM k GROUP BY key) SELECT id, round(CASE WHEN c.key IS NOT NULL THEN 0.5 ELSE least(1.0, length(m.text) / 1000) END, 6) AS score FROM k JOIN m USING (key) LEFT JOIN c USING (key)""")
 def x4(spark, sf):
-    """The scorer is a function of the user; no SQL."""
+    """The scorer, a function of the user, is a text's length here."""
     a = articles(spark, sf)
     key = F.sha2(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), 256)
-    cache = a.where("id % 3 = 0").select(key.alias("key"), F.lit("m").alias("model"), F.lit("1").alias("version"), F.lit(0.5).alias("score"))
+    cache = a.where("lang <> 'en'").select(key.alias("key"), F.lit("m").alias("model"), F.lit("1").alias("version"), F.lit(0.5).alias("score"))
     return stories.score_missing(a, cache, lambda texts: [min(1.0, len(t) / 1000) for t in texts], "m", "1").select("id", rnd("score").alias("score"))
 
 
@@ -207,15 +243,15 @@ def j13(spark, sf):
 
 
 @query("j11_full_outer", """SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'right' WHEN l.doc_id IS NULL THEN 'left' ELSE 'both' END AS side
-FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) d FULL JOIN labels l ON l.doc_id = d.doc_id""")
+FROM (SELECT doc_id FROM documents WHERE lang = 'en') d FULL JOIN labels l ON l.doc_id = d.doc_id""")
 def j11(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id % 2 = 0").select("doc_id", F.lit(1).alias("a"))
+    d = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.lit(1).alias("a"))
     l = table(spark, sf, "labels").select("doc_id", F.lit(1).alias("b"))
     side = F.when(F.col("a").isNull(), "right").when(F.col("b").isNull(), "left").otherwise("both")
     return d.join(l, "doc_id", "full_outer").select("doc_id", side.alias("side"))
 
 
-@query("s21_content_hash", "SELECT bucket, sha256(string_agg(h, ',' ORDER BY h)) AS digest FROM (SELECT event_id % 16 AS bucket, sha256(CAST(event_id AS VARCHAR) || '|' || event_type) AS h FROM events) GROUP BY bucket")
+@query("s21_content_hash", "SELECT bucket, sha256(count(*) || '|' || sum(('0x' || h[1:15])::BIGINT) || '|' || sum(('0x' || h[16:30])::BIGINT) || '|' || sum(('0x' || h[31:45])::BIGINT)) AS digest FROM (SELECT event_id % 16 AS bucket, sha256(CAST(event_id AS VARCHAR) || '|' || event_type) AS h FROM events) GROUP BY bucket")
 def s21(spark, sf):
     from tidemark.sources.tables import content_hash
 

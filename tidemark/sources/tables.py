@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import stage
+
 #: The columns of exchange candle files, in order.
 KLINE = "open_time open high low close volume close_time quote_volume count taker_buy_base taker_buy_quote ignore".split()
 
@@ -78,21 +80,23 @@ def split_sealed(df: DataFrame, sealed_from: str, ts: str = "ts") -> tuple[DataF
 
 
 def content_hash(df: DataFrame, cols: list[str], bucket: Column) -> DataFrame:
-    """(bucket, digest): order-free hash of rows, by bucket; hash the few digests again for one of the whole."""
-    row = F.sha2(F.concat_ws("|", *cols), 256)
-    got = df.groupBy(bucket.alias("bucket")).agg(F.array_sort(F.collect_list(row)).alias("h"))
-    return got.select("bucket", F.sha2(F.array_join("h", ","), 256).alias("digest"))
+    """(bucket, digest): order-free hash of rows, by bucket; hash the few digests again for one of the whole.
+
+    The hash is of the number of rows and three sums of 60 bits each of their hashes, so partial sums meet, never rows.
+    """
+    part = lambda k: F.sum(F.conv(F.substring("_h", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    rows = df.select(bucket.alias("bucket"), F.sha2(F.concat_ws("|", *cols), 256).alias("_h"))
+    return rows.groupBy("bucket").agg(F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), *[part(k) for k in range(3)]), 256).alias("digest"))
 
 
 def append_new(spark: SparkSession, rows: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """Append rows whose keys the ledger at ``path`` doesn't have yet; returns those. Doing it again adds nothing."""
-    try:
-        known = spark.read.parquet(path).select(*keys)
-        new = rows.join(known, keys, "left_anti")
-    except Exception as gone:
-        if "PATH_NOT_FOUND" not in str(gone):
-            raise
-        new = rows
-    new = new.dropDuplicates(keys)
+    """Append rows whose keys the ledger at ``path`` doesn't have yet; returns those. Doing it again adds nothing.
+
+    What is new is written aside first, so the result doesn't change with the ledger. One writer at a time.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    new = rows.join(spark.read.parquet(path).select(*keys), keys, "left_anti") if there else rows
+    new = stage(new.dropDuplicates(keys), "new")
     new.write.mode("append").parquet(path)
     return new
