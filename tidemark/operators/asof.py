@@ -41,3 +41,13 @@ def with_age(df: DataFrame, limit: float, ts: str = "ts", at: str = "matched_at"
 def mask_stale(df: DataFrame, cols: list[str], limit: float) -> DataFrame:
     """Null ``cols`` where ``age_min`` is ``limit`` or more."""
     return df.withColumns({c: F.when(F.col("age_min") < limit, F.col(c)) for c in cols})
+
+
+def attached(left: DataFrame, right: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """``left`` with ``cols`` of the one right row of its key; raises where a key is missing on the right or there twice."""
+    one = right.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in cols])
+    got = left.join(one, key, "left")
+    bad = got.agg(F.count_if(F.col("_n").isNull()).alias("none"), F.count_if(F.col("_n") > 1).alias("many")).first()
+    if bad["none"] or bad["many"]:
+        raise ValueError(f"{bad['none']} rows without and {bad['many']} with several on the right")
+    return got.drop("_n")

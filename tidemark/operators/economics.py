@@ -155,6 +155,21 @@ def diebold_mariano(df: DataFrame, d: str, lags: int, by: str = "symbol", ts: st
     return rows.groupBy(by).agg(F.avg(d).alias("mean"), ratio(F.avg(d), F.sqrt(F.greatest(var, F.lit(0.0)) / n)).alias("t"))
 
 
+def paired_bootstrap(blocks: DataFrame, delta: str, draws: int = 2000, alpha: float = 0.05, seed: int = 7) -> DataFrame:
+    """(point, low, high) of the summed ``delta`` when blocks are drawn anew, see ``block_bootstrap``: blocks count, not rows."""
+    n = blocks.count()
+    got = block_bootstrap(blocks.withColumn("_one", F.lit(1.0)), delta, "_one", draws, alpha, seed)
+    return got.select(*[(F.col(c) * n).alias(c) for c in ("point", "low", "high")])
+
+
+def top_against_all(scored: DataFrame, score: str, net: str, shares: list[float]) -> DataFrame:
+    """(q, n, mean, over_all): rows at or above the score's quantile 1 - q, their mean and its difference to taking all."""
+    row = scored.agg(F.percentile(score, F.array(*[F.lit(1 - q) for q in shares])).alias("cut"), F.avg(net).alias("all")).first()
+    cuts = F.array(*[F.struct(F.lit(float(q)).alias("q"), F.lit(float(c)).alias("cut")) for q, c in zip(shares, row["cut"], strict=True)])
+    rows = scored.withColumn("_c", F.explode(F.filter(cuts, lambda c: F.col(score) >= c["cut"])))
+    return rows.groupBy(F.col("_c.q").alias("q")).agg(F.count(F.lit(1)).alias("n"), F.avg(net).alias("mean"), (F.avg(net) - F.lit(row["all"])).alias("over_all"))
+
+
 def block_bootstrap(blocks: DataFrame, total: str, count: str, draws: int = 2000, alpha: float = 0.05, seed: int = 7, buckets: int = 512) -> DataFrame:
     """(point, low, high) of sum(total)/sum(count) when blocks are drawn anew: a Poisson bootstrap over whole blocks.
 

@@ -65,6 +65,36 @@ def out_of_fold(df: DataFrame, features: list[str], label: str, fold: str = "fol
     return out
 
 
+def cross_validated(df: DataFrame, features: list[str], label: str, fold: str = "fold", role: str = "role", family: str = "logistic") -> DataFrame:
+    """(label, pred, n): confusion counts over all folds, each fitted on its own train rows and scored on its test rows."""
+    out = None
+    for k in [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]:  # folds are few
+        own = df.where(F.col(fold) == k)
+        got = predict(fit(own.where(F.col(role) == "train"), features, label, family), own.where(F.col(role) == "test"), features).select(label, "pred")
+        out = got if out is None else out.unionByName(got)
+    return out.groupBy(label, "pred").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stacked(df: DataFrame, features: list[str], label: str, share: float, embargo: str, ts: str = "ts", family: str = "logistic") -> DataFrame:
+    """The later rows with ``pred`` by a fit on the first ``share`` of the time span, less the embargo."""
+    a, b = df.agg(F.unix_timestamp(F.min(ts)), F.unix_timestamp(F.max(ts))).first()
+    cut = F.timestamp_seconds(F.lit(int(a + (b - a) * share)))
+    return predict(fit(df.where(F.col(ts) < cut - F.expr(f"INTERVAL {embargo}")), features, label, family), df.where(F.col(ts) >= cut), features)
+
+
+def weekly_refit(df: DataFrame, features: list[str], label: str, ts: str = "ts", end: str = "exit_ts") -> DataFrame:
+    """Each week's rows with ``p_win`` by a logistic fit on rows whose ``end`` came before the week; the first week has none."""
+    out = None
+    for (week,) in df.select(F.date_trunc("week", ts).alias("w")).distinct().orderBy("w").collect():  # weeks are few
+        train = df.where(F.col(end) < F.lit(week))
+        if train.select(label).distinct().count() < 2:
+            continue
+        model = fit(train, features, label)
+        got = predict(model, df.where(F.date_trunc("week", ts) == F.lit(week)), features).withColumn("p_win", F.element_at("probs", 2))
+        out = got if out is None else out.unionByName(got)
+    return out if out is not None else df.limit(0).withColumn("p_win", F.lit(None).cast("double"))
+
+
 def isotonic(train: DataFrame, df: DataFrame, prob: str, label: str, name: str) -> DataFrame:
     """``df`` with ``name``: the probability calibrated by isotonic regression on ``train``."""
     rows = train.select(F.col(prob).alias("_p"), F.col(label).cast("double").alias("_y"))

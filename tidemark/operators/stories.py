@@ -144,3 +144,34 @@ def consolidated(lessons: DataFrame, least: int = 2) -> DataFrame:
     n = F.count_distinct("evaluation")
     got = lessons.groupBy(F.trim(F.lower("lesson")).alias("lesson")).agg(n.alias("support"), F.max("ts").alias("last_seen"))
     return got.where(F.col("support") >= least).withColumn("confidence", F.least(F.lit(0.95), 0.5 + 0.1 * F.col("support")))
+
+
+def before_cutoff(articles: DataFrame, cutoff: Column, ts: str = "ts") -> DataFrame:
+    """Only what was there before ``cutoff``; to be the first step, so that nothing later can enter a statistic."""
+    return articles.where(F.col(ts) < cutoff)
+
+
+def title_clusters(articles: DataFrame, least: float = 95.0, block: int = 400, id_col: str = "id", title: str = "title") -> DataFrame:
+    """(id, cluster): the title key of the shortest title that an article's is alike: same first two words, equal protected
+    tokens, similarity of ``least`` or more.
+
+    Distinct keys of a block are folded in one task, shortest first, ties by the key itself. A block of more than ``block``
+    keys stays unmerged, as the rule of this clustering has it.
+    """
+    a = articles.select(F.col(id_col).alias("id"), headline_key(F.col(title)).alias("key"), F.concat_ws(",", protected_tokens(F.col(title))).alias("protected"))
+    keys = a.where("key <> ''").groupBy("key").agg(F.min("protected").alias("protected")).withColumn("block", F.substring_index("key", " ", 2))
+    small = keys.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= block)).select("block")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        first: list[tuple] = []
+        out = []
+        for key, protected in sorted(zip(pdf["key"], pdf["protected"], strict=True), key=lambda k: (len(k[0]), k[0])):
+            words = " ".join(sorted(key.split()))
+            hit = next((k for k, p, w in first if p == protected and indel_ratio(w, words) >= least), None)
+            if hit is None:
+                first.append((key, protected, words))
+            out.append((key, hit or key))
+        return pd.DataFrame(out, columns=["key", "cluster"])
+
+    found = keys.join(small, "block", "left_semi").groupBy("block").applyInPandas(fold, "key string, cluster string")
+    return a.join(found, "key", "left").select("id", F.coalesce("cluster", "key").alias("cluster"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import features, gates, opportunity
 from tidemark.plans.base import H, M5, epoch, fine, hourly, last, query, rnd
 
-HOUR = F.expr("INTERVAL 1 HOUR")
+def hour():
+    return F.expr("INTERVAL 1 HOUR")
 
 
 def fits(n: int) -> str:
@@ -37,11 +38,11 @@ cx AS (SELECT *, row_number() OVER (PARTITION BY symbol, run ORDER BY ts) AS reg
 
 
 def channels(spark, sf):
-    return features.channels(hourly(spark, sf), (4, 6, 12), HOUR, F.col("n") >= 1)
+    return features.channels(hourly(spark, sf), (4, 6, 12), hour(), F.col("n") >= 1)
 
 
 def context(spark, sf):
-    return features.context(hourly(spark, sf), (4, 6, 12), HOUR, 0.02, F.col("n") >= 1)
+    return features.context(hourly(spark, sf), (4, 6, 12), hour(), 0.02, F.col("n") >= 1)
 
 
 @query(
@@ -82,7 +83,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY symbol, g ORDER BY ts) AS run_l
   CASE WHEN run_len >= 2 THEN round(im - lag(im) OVER (PARTITION BY symbol ORDER BY ts), 6) END AS imbalance_delta, CASE WHEN run_len >= 4 THEN round(stddev_samp(r) OVER {last(3)}, 6) END AS vol FROM rk""",
 )
 def w11(spark, sf):
-    got = features.bar_frame(hourly(spark, sf), HOUR, 3, 3, 4)
+    got = features.bar_frame(hourly(spark, sf), hour(), 3, 3, 4)
     return got.select("symbol", epoch().alias("ts_s"), *[rnd(c).alias(c) for c in ("ret", "upper_wick", "lower_wick", "surprise", "imbalance_mean", "imbalance_delta", "vol")])
 
 
