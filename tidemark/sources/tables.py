@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import relevant
+from tidemark.operators.bars import midpoint, resample
+from tidemark.operators.series import previous
 from tidemark.sources.scratch import stage
 
 #: The columns of exchange candle files, in order.
@@ -100,3 +103,79 @@ def append_new(spark: SparkSession, rows: DataFrame, path: str, keys: list[str])
     new = stage(new.dropDuplicates(keys), "new")
     new.write.mode("append").parquet(path)
     return new
+
+
+def read_positioning(spark: SparkSession, paths: str | list[str], symbol: str, before: str) -> DataFrame:
+    """Daily metric files: files whose name's date isn't before ``before`` are left out, stamps in either format, the last row
+    of a stamp by file and value counts, open interest has to be above zero, other columns may be null.
+    """
+    raw = spark.read.option("header", True).csv(paths).withColumn("_file", F.col("_metadata.file_name"))
+    raw = raw.where(F.regexp_extract("_file", r"(\d{4}-\d{2}-\d{2})", 1) < before)
+    ts = F.coalesce(F.try_to_timestamp("create_time", F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp("create_time", F.lit("yyyy-MM-dd'T'HH:mm:ss")))
+    num = [c for c in raw.columns if c not in ("create_time", "symbol", "_file")]
+    rows = raw.select(F.lit(symbol).alias("symbol"), ts.alias("ts"), "_file", *[F.col(c).try_cast("double").alias(c) for c in num])
+    rows = rows.where("ts is not null").groupBy("symbol", "ts").agg(F.max_by(F.struct(*num), F.struct("_file", *num)).alias("_r"))
+    return rows.select("symbol", "ts", "_r.*").where("sum_open_interest > 0")
+
+
+def read_funding(spark: SparkSession, paths: str | list[str], symbol: str) -> DataFrame:
+    """(symbol, ts, rate): stamps in milliseconds that jitter around the hour, cut to it."""
+    raw = spark.read.option("header", True).csv(paths)
+    ts = F.date_trunc("hour", F.timestamp_millis(F.col("calc_time").cast("long")))
+    return raw.select(F.lit(symbol).alias("symbol"), ts.alias("ts"), F.col("last_funding_rate").try_cast("double").alias("rate")).where("rate is not null")
+
+
+def read_daily_index(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
+    """(ts, value, kind) of a JSON history with epoch seconds, within [start, end)."""
+    raw = spark.read.option("multiLine", True).schema("data array<struct<value string, value_classification string, timestamp string>>").json(path)
+    rows = raw.select(F.explode("data").alias("d")).select(
+        F.timestamp_seconds(F.col("d.timestamp").cast("long")).alias("ts"), F.col("d.value").try_cast("int").alias("value"), F.col("d.value_classification").alias("kind")
+    )
+    return rows.where((F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("ts") < F.lit(end).cast("timestamp")))
+
+
+def social_posts(posts: DataFrame, start: str, end: str) -> DataFrame:
+    """(ts, text, url, iso) of relevant posts in [start, end); times that can't be read are left out."""
+    ts = F.try_to_timestamp(F.col("datetime"))
+    rows = posts.select(ts.alias("ts"), "text", "url").where((F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("ts") < F.lit(end).cast("timestamp")))
+    return rows.where(relevant(F.col("text"))).withColumn("iso", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssXXX"))
+
+
+def quote_pair(bid: DataFrame, ask: DataFrame) -> DataFrame:
+    """Midpoint bars of both sides with ``spread_bps`` and minutes since the bar before as ``gap_min``; crossed quotes are out."""
+    one = lambda d: d.groupBy("symbol", "ts").agg(*[F.first(c).alias(c) for c in ("open", "high", "low", "close")])
+    mid = midpoint(one(bid), one(ask)).where("spread >= 0").withColumn("spread_bps", F.col("spread") / F.col("close") * 1e4)
+    return previous(mid, {"_b": "ts"}).withColumn("gap_min", (F.unix_timestamp("ts") - F.unix_timestamp("_b")) / 60).drop("_b")
+
+
+def month_report(bars: DataFrame, sealed_from: str) -> DataFrame:
+    """(symbol, month, rows, repeated, outside, sealed, bad, whole) of a partitioned table's bars (with ``month``): what a
+    month's manifest has to show before it is used.
+    """
+    o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))
+    bad = ~F.coalesce((h >= F.greatest(o, c)) & (l <= F.least(o, c)) & (l > 0), F.lit(False))
+    per = bars.groupBy("symbol", "month", "ts").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad"), F.max((F.date_format("ts", "yyyy-MM") != F.col("month")).cast("int")).alias("outside")
+    )
+    got = per.groupBy("symbol", "month").agg(
+        F.sum("n").alias("rows"), F.sum(F.col("n") - 1).alias("repeated"), F.sum("outside").alias("outside"), F.count_if(F.col("ts") >= F.lit(sealed_from).cast("timestamp")).alias("sealed"),
+        F.sum("bad").alias("bad"),
+    )
+    return got.withColumn("whole", (F.col("repeated") == 0) & (F.col("outside") == 0) & (F.col("sealed") == 0) & (F.col("bad") == 0))
+
+
+def write_grids(bars: DataFrame, path: str, grids: dict[str, int]) -> DataFrame:
+    """Coarser tables below ``path``, one for each grid (name -> bars expected), and their audit rows (grid, symbol, bars, complete)."""
+    out = None
+    for grid, expected in grids.items():  # a few grids
+        resample(bars, grid, expected).write.mode("overwrite").parquet(f"{path}/{grid.replace(' ', '_')}")
+        got = bars.sparkSession.read.parquet(f"{path}/{grid.replace(' ', '_')}")
+        audit = got.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.count_if("complete_bar").alias("complete")).select(F.lit(grid).alias("grid"), "symbol", "bars", "complete")
+        out = audit if out is None else out.unionByName(audit)
+    return out
+
+
+def cadence_breaks(bars: DataFrame, step_s: int) -> DataFrame:
+    """(symbol, ts, seconds) of bars that don't follow the one before by exactly ``step_s``: a span must have none."""
+    got = previous(bars.select("symbol", "ts"), {"_b": "ts"}).withColumn("seconds", F.unix_timestamp("ts") - F.unix_timestamp("_b"))
+    return got.where(F.col("seconds") != step_s).select("symbol", "ts", "seconds")
