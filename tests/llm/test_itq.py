@@ -38,6 +38,8 @@ def test_empty_null_id_and_repeats(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert itq.near_duplicates(df).collect() == []
     v = [1.0, 2.0, -1.0] + [0.5] * 13
+    named = spark.createDataFrame([("b", v), ("a", v), ("c", [1.0] * 16)], "vec_id string, embedding array<float>")
+    assert sorted((r.id, r.n_links, r.component) for r in itq.near_duplicates(named).collect()) == [("a", 1, "a"), ("b", 1, "a"), ("c", 0, "c")]
     df = spark.createDataFrame([(None, v), (5, v), (5, v), (7, [1.0] * 3)], "vec_id long, embedding array<float>")
     got = sorted((r.id or 0, r.n_links, r.component, r.kept) for r in itq.near_duplicates(df).collect())
     assert got == [(0, 0, None, True), (5, 1, 5, True), (5, 1, 5, True), (7, 0, 7, True)]

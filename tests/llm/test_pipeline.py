@@ -1,6 +1,7 @@
 import zlib
 
 import corpus_pipeline
+from tidemark.llm import pipeline
 from tidemark.llm.common import stage
 
 
@@ -34,6 +35,6 @@ def test_mixing_keeps_languages_without_a_share(spark):
     words = ["harbour", "lantern", "orchard", "meadow", "granite", "whistle", "copper", "velvet"]
     rows = [(i, " ".join(words[(i * 7 + k * (1 + i % 5)) % 8] for k in range(50)), lang, "s", 1) for i, lang in enumerate(["en", "fr", "de", "es", "it"] * 200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    assert sum(corpus_pipeline.LANGUAGES.values()) == 1.0
-    got = {r.lang: r["count"] for r in corpus_pipeline.mixture(spark, docs, "").groupBy("lang").count().collect()}
+    assert sum(pipeline.LANGUAGES.values()) == 1.0
+    got = {r.lang: r["count"] for r in pipeline.mixture(spark, docs, "").groupBy("lang").count().collect()}
     assert got.keys() == {"en", "fr", "de", "es", "it"} and got["it"] > 100

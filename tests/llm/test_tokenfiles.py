@@ -21,7 +21,7 @@ def test_documents_across_blocks(spark, tmp_path, block):
         want |= {(f"{name}.tokens", i, int(start[i]), int(e - start[i]), True) for i, e in enumerate(cut)}
         if start[-1] < len(v):
             want.add((f"{name}.tokens", len(cut), int(start[-1]), int(len(v) - start[-1]), False))
-    got = tokenfiles.token_counts(spark, f"file://{tmp_path}", 0, block=block).collect()
+    got = tokenfiles.token_counts(spark, f"file://{tmp_path}", 0, block=block, group=7).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 

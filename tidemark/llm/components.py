@@ -7,22 +7,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import stage
 
-#: A vertex with more than this part of the rows is served by a broadcast: there are at most PARTS of them.
-PARTS = 1000
+def with_least(rows: DataFrame) -> DataFrame:
+    """(u, v, m): the rows (u, v) of a written table, each with the smallest v of its u.
 
-
-def with_least(rows: DataFrame, total: int) -> DataFrame:
-    """(u, v, m): the rows (u, v), at most ``total``, each with the smallest v of its u.
-
-    Minima come from a partial aggregate. Rows of a u that has over a PARTS-th of ``total`` get theirs by a broadcast of at
-    most PARTS rows and are dealt by a salt, so that no vertex's neighbours meet in one task.
+    Minima come from a partial aggregate and are written, so that both sides of the join are plain shuffles: where one
+    vertex has very many rows, adaptive execution splits them over tasks.
     """
-    low = rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    heavy = low.where(F.col("n") * PARTS > total).select("u", F.col("m").alias("_hm"))
-    salt = F.when(F.col("_hm").isNotNull(), F.pmod(F.xxhash64("v"), F.lit(PARTS)) + 1).otherwise(F.lit(0).cast("long"))
-    dealt = rows.join(F.broadcast(heavy), "u", "left").withColumn("_s", salt)
-    got = dealt.join(low.select("u", F.lit(0).cast("long").alias("_s"), "m"), ["u", "_s"], "left")
-    return got.select("u", "v", F.coalesce("_hm", "m").alias("m"))
+    low = stage(rows.groupBy("u").agg(F.min("v").alias("m")), "least")
+    return rows.join(low, "u")
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -36,10 +28,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     now, before = state(e), None
     while now != before:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_least(both, 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        small = with_least(large, 2 * now[0])
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        e = stage(small.distinct(), "cc")
+        large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        small = with_least(stage(large, "cc"))
+        ends = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+        e = stage(small.select(ends.alias("e")).select("e.u", "e.v").where("u <> v").distinct(), "cc")
         before, now = now, state(e)
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()

@@ -163,7 +163,8 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, n_links, component, kept): vectors linked by cosine >= ``least``, for every row of ``vectors``.
 
-    Equal vectors form one class with a count, so copies are never compared pair by pair. The rotation is learned from at
+    Equal vectors form one class with a count, so copies are never compared pair by pair; only a class's 128-bit name and
+    the ids travel when the result goes back to the rows. Ids may be of any type that has an order. The rotation is learned from at
     most SAMPLE distinct vectors; all classes get codes and go to every table; what shares a bucket is compared with its
     original components in double precision, and a pair counts in the first table that brings it together. Without
     ``tables`` and ``key_bits`` the number of distinct vectors and ``least`` set them (see ``shape``). Vectors that
@@ -171,11 +172,12 @@ def near_duplicates(
     without id link with nothing. A row without id has no component and is kept. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    rows = pick(vectors, id=id_col, v=vec_col)
     good = usable(F.col("v")) & F.exists("v", lambda x: x != 0) & F.col("id").isNotNull()
-    classes = rows.where(good).groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("mult"))
-    classes = stage(classes, "classes")
-    sample = classes.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("v").toArrow()["v"].to_pylist()
+    rows = pick(vectors, id=id_col, v=vec_col).withColumn("good", F.coalesce(good, F.lit(False)))
+    name = [F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g")]  # 128 bits tell a class
+    classes = rows.where("good").select("id", "v", *name).groupBy("h", "g").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("mult"), F.first("v").alias("v"))
+    classes = stage(classes.select("*", F.monotonically_increasing_id().alias("rep")), "classes")
+    sample = classes.orderBy("h", "g").limit(SAMPLE).select("v").toArrow()["v"].to_pylist()
     if len(sample):
         d = len(sample[0])
         bits, wanted = BITS, shape(classes.count(), least)
@@ -197,15 +199,10 @@ def near_duplicates(
         links = spark.createDataFrame([], "a long, b long, n long")
     cc = connected_components(links.where("a <> b"), "a", "b")
     counts = links.groupBy("a").agg(F.sum("n").alias("n"))
-    of = classes.join(counts, F.col("rep") == F.col("a"), "left").join(cc, F.col("rep") == F.col("id"), "left")
-    of = stage(
-        of.select(
-            F.col("v").alias("cv"),
-            (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component"),
-        ),
-        "found",
-    )
-    linked = rows.where(good).join(of, F.col("v") == F.col("cv")).select("id", "n_links", "component")
-    alone = rows.where(~F.coalesce(good, F.lit(False))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+    of = classes.drop("v").join(counts, F.col("rep") == F.col("a"), "left").join(cc, F.col("rep") == F.col("id"), "left")
+    of = of.select("h", "g", "least", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("root"))
+    low = of.groupBy("root").agg(F.min("least").alias("component"))
+    of = stage(of.join(low, "root").select("h", "g", "n_links", "component"), "found")
+    linked = rows.where("good").select("id", *name).join(of, ["h", "g"]).select("id", "n_links", "component")
+    alone = rows.where("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(True)))

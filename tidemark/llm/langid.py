@@ -6,10 +6,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, pick
+from tidemark.llm.common import arrow_map, pick, slices
 
 #: Hashed byte n-grams that a text is described by.
 DIMS = 2048
@@ -112,26 +112,26 @@ class Hierarchy:
 
 
 def learn(docs: DataFrame, use, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Hierarchy | None:
-    """Fit on rows where ``use`` holds and lang isn't null: PER_LANGUAGE of each language at most, by a hash of the id.
+    """Fit on rows where ``use`` holds and lang isn't null: PER_LANGUAGE of each language at most, by a hash of id and text.
 
-    Only their descriptions come to the driver. None if there is nothing to learn from.
+    Only their descriptions come to the driver, ranked and cut by Spark. None if there is nothing to learn from.
     """
     rows = docs.where(use & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     rows = pick(rows, id=id_col, text=text_col, lang=lang_col)
-    sizes = rows.groupBy("lang").count()
-    n = dict(sizes.orderBy(F.desc("count"), "lang").limit(SAMPLE).collect())
+    n = dict(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE).collect())
     if not n:
         return None
     most = max(1, min(PER_LANGUAGE, SAMPLE // len(n)))
-    share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1.0, most / v))])
-    h = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
+    share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1.0, 1.2 * most / v + 1e-4))])
+    h = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)) / float(1 << 40)
     chosen = rows.withColumn("h", h).where(F.col("h") <= F.element_at(share, F.col("lang")))
 
     def run(cols):
         return {"lang": cols["lang"], "h": cols["h"], "x": [describe(t.as_py()).astype(np.float16).tobytes() for t in cols["text"]]}
 
-    got = arrow_map(chosen.select("lang", "h", "text"), run, "lang string, h double, x binary").toArrow().to_pandas()
-    got = got.sort_values(["lang", "h"]).groupby("lang").head(most)
+    own = Window.partitionBy("lang").orderBy("h", "x")
+    got = arrow_map(chosen.select("lang", "h", "text"), run, "lang string, h double, x binary")
+    got = got.withColumn("k", F.row_number().over(own)).where(F.col("k") <= most).drop("k").toArrow().to_pandas().sort_values(["lang", "h", "x"])
     if not len(got):
         return None
     x = np.stack([np.frombuffer(b, np.float16) for b in got["x"]]).astype(np.float32)
@@ -174,8 +174,7 @@ def with_language(docs: DataFrame, model: Hierarchy | None, id_col: str = "doc_i
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, BLOCK):
-                part = b.slice(at, BLOCK)
+            for part in slices(b, text_col):
                 texts = part.column(text).to_pylist()
                 own = [i for i, t in enumerate(texts) if shared.value is not None and has_letter(t)]
                 if not own:

@@ -73,7 +73,7 @@ def rounded(use: dict[tuple, float], size: np.ndarray, need: np.ndarray, capacit
     """
     left, out = need.astype(np.int64), []
     full = sorted((k for k in use if int(size[list(k)].sum()) == capacity), key=lambda k: -use[k])
-    scale = 1 / max(1e-12, sum(use[k] * len(k) for k in use) / need.sum())
+    scale = 1 / max(1e-12, sum(use[k] * len(k) for k in use) / max(1, need.sum()))
     for again in (False, True):
         for key in full:
             at, times = np.unique(key, return_counts=True)
@@ -173,6 +173,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end: int, id_col: st
                         "nth": num["nth"],
                     }
                 )
+        own.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"part int, id {kind}, piece int, start long, length long, ids_crc32 long, nth long"

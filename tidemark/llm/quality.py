@@ -3,32 +3,36 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, pick
+from tidemark.llm.common import pick, slices, stage
 from tidemark.llm.langid import counts
+from tidemark.llm.terms import unit, word_counts
 
-#: Hashed terms, latent dimensions, neighbours that vote, labelled documents of each label the model is fitted on.
-DIMS, LATENT, NEIGHBOURS, PER_LABEL = 1024, 48, 25, 2000
-BLOCK = 256
-
+#: Hashed words and byte-class n-grams, latent dimensions, neighbours that vote, labelled documents of each label at most.
+WORDS, DIMS, LATENT, NEIGHBOURS, PER_LABEL = 1024, 1024, 64, 25, 2000
+#: Bytes of text described at once.
+BLOCK = 1 << 20
 #: Byte classes: letters by case, digits as one, other ASCII as itself; of a multi-byte letter the lead byte, as a letter.
 CLASS = bytes(97 if chr(b).islower() or b >= 192 else 65 if chr(b).isupper() else 48 if 48 <= b < 58 else b for b in range(256))
 TAIL = bytes(range(128, 192))
 
 
 def describe(text: str) -> np.ndarray:
-    """Terms of a whole text: hashed n-grams of byte classes, and bins of how far its words repeat, of its length and case."""
-    data = text.encode("utf-8", "surrogatepass").translate(CLASS, TAIL)
-    x = np.sqrt(counts(data, DIMS))
-    x /= max(np.linalg.norm(x), 1e-12)
+    """Terms of a whole text: hashed words, hashed n-grams of byte classes, and bins of how far its words repeat, of its
+    length and case.
+    """
     words = text.split()
+    data = text.encode("utf-8", "surrogatepass")
+    tf = np.sqrt(word_counts(data.lower(), WORDS)[0])
+    data = data.translate(CLASS, TAIL)
     n = max(1, len(words))
     letters = max(1, data.count(b"a") + data.count(b"A"))
     stats = (
-        len(set(words)) / n ** 0.9,
+        len(set(words)) / n**0.9,
         sum(map(len, words)) / n / 12,
         data.count(b"A") / letters * 2,
         1 - letters / max(1, len(data)),
@@ -37,8 +41,20 @@ def describe(text: str) -> np.ndarray:
         (data.count(b"\n") + 1) / n * 4,
     )
     soft = [np.exp(-(((np.linspace(0, 1, 8) - min(v, 1.0)) / 0.12) ** 2)) for v in stats]
-    soft = np.concatenate(soft) * 0.35
-    return np.r_[x, soft].astype(np.float32)
+    return np.concatenate([unit(tf), unit(np.sqrt(counts(data, DIMS))), np.concatenate(soft) * 0.35]).astype(np.float32)
+
+
+def described(docs: DataFrame, keep: str) -> DataFrame:
+    """(keep.., x) of ``docs`` (keep.., text): the terms of each text as 16-bit floats."""
+    names = [c for c in docs.columns if c != "text"]
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, "text", BLOCK):
+                x = [describe(t or "").astype(np.float16).tobytes() for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(x, pa.binary())], [*names, "x"])
+
+    return docs.mapInArrow(run, f"{keep}, x binary")
 
 
 def latent(x: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
@@ -53,17 +69,24 @@ def latent(x: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
 
 
 class Neighbours:
-    """Labelled unit vectors in latent space; a bounded sample, so broadcast whole."""
+    """Labelled unit vectors in latent space; a bounded sample, so broadcast whole.
 
-    def __init__(self, x: np.ndarray, label: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS):
-        self.mean = x.mean(0)
-        self.turn = latent(x - self.mean, LATENT)
+    The first ``words`` terms are weighted by how few of the sample's texts hold them before the latent directions are found.
+    """
+
+    def __init__(self, x: np.ndarray, label: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, words: int = WORDS):
+        self.words = words
+        self.idf = np.log1p(len(x) / (1 + (x[:, :words] > 0).sum(0))).astype(np.float32)
+        self.mean = self._weighted(x).mean(0)
+        self.turn = latent(self._weighted(x) - self.mean, LATENT)
         self.vec, self.label, self.weight = self._unit(x), label.astype(np.float32), weight.astype(np.float32)
         self.k, self.prior = min(k, len(label)), float(np.average(label, weights=weight))
 
+    def _weighted(self, x):
+        return np.concatenate([unit(x[:, : self.words] * self.idf), x[:, self.words :]], axis=1)
+
     def _unit(self, x):
-        y = (x - self.mean) @ self.turn
-        return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+        return unit((self._weighted(x) - self.mean) @ self.turn)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Share of label 1 among the k nearest by cosine, weighted by similarity and by what each sampled row stands for."""
@@ -75,26 +98,25 @@ class Neighbours:
 
 
 def learn(docs: DataFrame, labels: DataFrame, use, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Neighbours | None:
-    """Fit on labelled documents where ``use`` holds: PER_LABEL of each label at most, by a hash of the id.
+    """Fit on labelled documents where ``use`` holds: PER_LABEL of each label at most, the first by a hash of the id.
 
-    A label of 1 against any other; null labels and texts are left out, and a repeated label row counts once. Texts are
-    joined with the sampled ids only, and their descriptions alone come to the driver. None without labelled documents.
+    A label of 1 against any other; null labels, ids and texts are left out, and a repeated label row counts once. Texts
+    are joined with the sampled ids only; at most PER_LABEL descriptions of each label come to the driver, cut by Spark.
+    None without labelled documents.
     """
-    own = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) == 1).cast("int").alias("y"))
+    own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    own = own.select(F.col(id_col).alias("id"), (F.col(label_col) == 1).cast("int").alias("y"))
     own = own.groupBy("id").agg(F.max("y").alias("y")).where(use(F.col("id")))
     n = dict(own.groupBy("y").count().collect())
     if not n:
         return None
-    h = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
-    share = F.when(F.col("y") == 1, F.lit(min(1.0, PER_LABEL / n.get(1, 1)))).otherwise(F.lit(min(1.0, PER_LABEL / n.get(0, 1))))
-    chosen = own.withColumn("h", h).where(F.col("h") <= share).orderBy("h", "id").limit(3 * PER_LABEL)
-    # At most 3 * PER_LABEL ids and labels are broadcast, so no text is shuffled.
-    texts = pick(docs, id=id_col, text=text_col).where("text is not null").join(F.broadcast(chosen), "id").select("y", "h", "text")
-
-    def run(cols):
-        return {"y": cols["y"], "h": cols["h"], "x": [describe(t.as_py()).astype(np.float16).tobytes() for t in cols["text"]]}
-
-    got = arrow_map(texts, run, "y int, h double, x binary").toArrow().to_pandas().sort_values(["y", "h", "x"]).groupby("y").head(PER_LABEL)
+    first = lambda rows, k: rows.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(PER_LABEL)
+    chosen = first(own, 0).unionByName(first(own, 1))
+    # At most 2 * PER_LABEL ids and labels are broadcast, so no text is shuffled.
+    texts = pick(docs, id=id_col, text=text_col).where("text is not null").join(F.broadcast(chosen), "id").select("y", F.xxhash64("id").alias("h"), "text")
+    rows = stage(described(texts, "y int, h long"), "described")
+    few = lambda k: rows.where(F.col("y") == k).orderBy("h", "x").limit(PER_LABEL).toArrow().to_pandas()
+    got = pd.concat([few(0), few(1)])
     if not len(got):
         return None
     x = np.stack([np.frombuffer(b, np.float16) for b in got["x"]]).astype(np.float32)
@@ -107,15 +129,15 @@ def score(docs: DataFrame, model: Neighbours | None, id_col: str = "doc_id", tex
     """(id, score) for every row; a null text counts as empty, an empty one is scored like any other; 0.5 without model."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(cols):
-        out = []
-        for at in range(0, len(cols["text"]), BLOCK):
-            texts = cols["text"].slice(at, BLOCK).to_pylist()
-            if shared.value is None:
-                out.append(np.full(len(texts), 0.5))
-            else:
-                out.append(shared.value.score(np.stack([describe(t or "") for t in texts])))
-        return {"id": cols["id"], "score": pa.array(np.concatenate(out).astype(np.float64))}
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, "text", BLOCK):
+                for at in range(0, b.num_rows, 256):
+                    part = b.slice(at, 256)
+                    got = np.full(part.num_rows, 0.5)
+                    if shared.value is not None:
+                        got = shared.value.score(np.stack([describe(t or "") for t in part.column("text").to_pylist()]))
+                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(got.astype(np.float64))], ["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(pick(docs, id=id_col, text=text_col), run, f"id {kind}, score double")
+    return pick(docs, id=id_col, text=text_col).mapInArrow(run, f"id {kind}, score double")

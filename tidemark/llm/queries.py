@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
-from tidemark.llm import itq, langid, lines, mixing, packing, quality, simhash, tokenfiles, topk, warc
+from tidemark.llm import itq, langid, lines, mixing, packing, pipeline, quality, simhash, tokenfiles, topk, warc
 from tidemark.llm.common import is_held_out, scratch, stage, table
 from tidemark.llm.tokens import vocabulary
 
@@ -25,7 +23,7 @@ def op1_tokens(spark, sf_dir):
 
 def op2_mixing(spark, sf_dir):
     got = mixing.mix(table(spark, sf_dir, "documents"), langs=LANGUAGES, keep=0.8)
-    return got.withColumnsRenamed({"id": "doc_id", "p": "probability"})
+    return got.withColumnsRenamed({"id": "doc_id", "p": "probability", "gap": "marginal_gap"})
 
 
 def op3_lines(spark, sf_dir):
@@ -95,7 +93,7 @@ def op10_packing(spark, sf_dir):
     return got.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_tokens": op1_tokens, "op2_mixing": op2_mixing, "op3_lines": op3_lines, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_topk": op7_topk, "op8_language": op8_language, "op9_itq": op9_itq, "op10_packing": op10_packing, "pipeline": corpus_pipeline.run}
+QUERIES = {"op1_tokens": op1_tokens, "op2_mixing": op2_mixing, "op3_lines": op3_lines, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_topk": op7_topk, "op8_language": op8_language, "op9_itq": op9_itq, "op10_packing": op10_packing, "pipeline": pipeline.run}
 SQL = {"op4_warc": OP4, "op7_topk": OP7}
-if corpus_pipeline.ORACLE_SQL:
-    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+if pipeline.ORACLE_SQL:
+    SQL["pipeline"] = pipeline.ORACLE_SQL

@@ -51,17 +51,18 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end: int, i
                     out, k = None, k + 1
         if out is not None:
             yield close()
+        own.forget()
 
     kind_ = docs.schema[id_col].dataType.simpleString()
     return pick(docs, id=id_col, text=text_col).mapInArrow(run, f"file string, doc_no long, id {kind_}")
 
 
-def token_counts(spark: SparkSession, path: str, end: int, width: int = 2, block: int = BLOCK, suffix: str = "*.tokens") -> DataFrame:
+def token_counts(spark: SparkSession, path: str, end: int, width: int = 2, block: int = BLOCK, suffix: str = "*.tokens", group: int = 4096) -> DataFrame:
     """(file, doc_no, start, tokens, whole) for each document of the token files at ``path``.
 
     Files are flat little-endian numbers of ``width`` bytes in which ``end`` follows each document. They are cut into
     blocks of ``block`` bytes, whatever their size; a task finds the separators of a block in one vector comparison. A
-    prefix scan over a file's blocks (one row each) tells each block how many documents and tokens come before it and
+    prefix scan over a file's blocks (one row each, in two levels) tells each block how many documents and tokens come before it and
     where the last separator was, so that documents across blocks are stitched without their tokens moving. Tokens after
     the last separator are a last document that isn't ``whole``; an empty file has none.
     """
@@ -83,10 +84,19 @@ def token_counts(spark: SparkSession, path: str, end: int, width: int = 2, block
 
     found = stage(blocks.mapInArrow(run, "path string, block long, n long, docs long, stops array<long>"), "separators")
     small = found.select("path", "block", "n", "docs", F.element_at(F.when(F.col("docs") > 0, F.col("stops")), -1).alias("last"))
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    scan = small.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    scan = scan.withColumn("doc_base", F.coalesce(F.sum("docs").over(before), F.lit(0)))
-    scan = scan.withColumn("open", F.coalesce(F.max(F.col("base") + F.col("last")).over(before) + 1, F.lit(0)))
+    # Two levels: within a group of blocks, and over the groups of a file.
+    small = small.withColumn("group", F.floor(F.col("block") / group))
+    before = Window.partitionBy("path", "group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    small = small.withColumns({"own": F.coalesce(F.sum("n").over(before), F.lit(0)), "own_docs": F.coalesce(F.sum("docs").over(before), F.lit(0))})
+    small = small.withColumn("top", F.max(F.col("own") + F.col("last")).over(before))
+    groups = small.groupBy("path", "group").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.max(F.col("own") + F.col("last")).alias("end"))
+    earlier = Window.partitionBy("path").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumns({"g": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "g_docs": F.coalesce(F.sum("docs").over(earlier), F.lit(0))})
+    groups = groups.select("path", "group", "g", "g_docs", F.max(F.col("g") + F.col("end")).over(earlier).alias("g_top"))
+    scan = small.join(groups, ["path", "group"]).select(
+        "path", "block", "n", "docs", "last", (F.col("g") + F.col("own")).alias("base"), (F.col("g_docs") + F.col("own_docs")).alias("doc_base"),
+        F.coalesce(F.greatest("g_top", F.col("g") + F.col("top")) + 1, F.lit(0)).alias("open"),
+    )
     scan = stage(scan, "scan")
     ends = found.select("path", "block", "stops").join(scan, ["path", "block"])
     ends = ends.withColumn("at", F.transform("stops", lambda x: x + F.col("base")))

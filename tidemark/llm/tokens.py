@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
 
 import numpy as np
 import regex
@@ -10,7 +12,9 @@ import regex
 #: Chunks, and word pieces, whose ids a Python worker keeps (about 200 bytes each); two generations of this size at most.
 KEPT, KEPT_PIECES = 400_000, 200_000
 #: Chunks of these characters: neither white space nor combining, and one character each in lower case.
-SIMPLE = regex.compile("[!-~\\u00a1-\\u012f]*")
+SIMPLE = re.compile("[!-~\\u00a1-\\u012f]*")
+#: Signs that a word often ends with; none begins a contraction.
+STOPS = frozenset(".,;:!?)")
 #: How this vocabulary's tokenizer splits lower-cased text, and how it writes bytes as characters.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
@@ -59,13 +63,24 @@ class ChunkTokenizer:
 
     def _piece(self, word: str) -> bytes:
         named = word if word.isascii() else "".join(self.names[b] for b in word.encode())
-        return np.array([t.id for t in self.model.tokenize(named)], "<u4").tobytes()
+        return array("I", [t.id for t in self.model.tokenize(named)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii():  # a word, perhaps with a sign behind it: most chunks
+            if chunk.isalpha():
+                return self.pieces[chunk.lower()]
+            if chunk[-1:] in STOPS and chunk[:-1].isalpha():
+                return self.pieces[chunk[:-1].lower()] + self.pieces[chunk[-1]]
         if "<|" in chunk or not SIMPLE.fullmatch(chunk):
             return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join([self.pieces[w] for w in WORDS.findall(chunk.lower())])
 
+    def forget(self) -> None:
+        """Drop what was kept: at the end of a task, since the worker goes on to other work."""
+        for kept in (self.pieces, self.chunks):
+            kept.clear()
+            kept.old = {}
+
     def ids(self, text: str) -> bytes:
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
