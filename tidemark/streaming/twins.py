@@ -38,12 +38,37 @@ def sessions(events: DataFrame, gap: str, late: str, key: str = "symbol", ts: st
     return got.select(key, F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), "n")
 
 
-def available(signals: DataFrame, slow: DataFrame, stale: str, late: str, key: str = "symbol") -> DataFrame:
-    """Each signal with the slow rows of its key that became available in the ``stale`` span before it; null if none did."""
-    a = signals.withWatermark("ts", late).alias("a")
+def available(signals: DataFrame, slow: DataFrame, cols: list[str], stale: str, late: str, key: str = "symbol") -> DataFrame:
+    """(key, ts, matched_at, cols) of each signal time: the latest slow row of its key that became available within ``stale``
+    before it; null if none did. A time comes out once the watermark has passed it.
+    """
+    a = signals.withWatermark("ts", late).select(key, "ts").alias("a")
     b = slow.withWatermark("available_at", late).alias("b")
     near = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("b.available_at") <= F.col("a.ts")) & (F.col("b.available_at") >= F.col("a.ts") - F.expr(f"INTERVAL {stale}"))
-    return a.join(b, near, "left_outer").drop(F.col(f"b.{key}"))
+    both = a.join(b, near, "left_outer").select(F.col(f"a.{key}"), F.col("a.ts"), F.struct(F.col("b.available_at").alias("matched_at"), *[F.col(f"b.{c}") for c in cols]).alias("_v"))
+    got = both.groupBy(key, F.window("ts", "1 second").alias("_w"), "ts").agg(F.max_by("_v", F.col("_v.matched_at")).alias("_v"))
+    return got.select(key, "ts", "_v.*")
+
+
+def flagged_bars(bars: DataFrame, step_s: int, late: str, key: str = "symbol") -> DataFrame:
+    """(key, ts, close, missing): each bar with the number of bars missing before it; bars that come after a later one of
+    their key are left out. State is the last bar's time.
+    """
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames)).sort_values("ts")
+        out = []
+        for ts, close in zip(rows["ts"], rows["close"], strict=True):
+            t = int(ts.value // 1_000_000_000)
+            if last is None or t > last:
+                out.append((k[0], ts, close, 0 if last is None else max(0, (t - last) // step_s - 1)))
+                last = t
+        state.update((last,))
+        yield pd.DataFrame(out, columns=[key, "ts", "close", "missing"])
+
+    small = bars.withWatermark("ts", late).select(key, "ts", "close")
+    return small.groupBy(key).applyInPandasWithState(step, f"{key} string, ts timestamp, close double, missing long", "last long", "append", "NoTimeout")
 
 
 def rearm_alerts(scores: DataFrame, threshold: float, cooldown_s: int, late: str, key: str = "symbol") -> DataFrame:
