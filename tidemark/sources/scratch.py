@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: Rows of a file of a table whose size is known.
+ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,8 +29,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again: cuts lineage, survives lost executors."""
+def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it again: cuts lineage, survives lost executors.
+
+    ``rows`` it has at most, where that is known, keep small tables in few files: a file for each ROWS rows.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(rows // ROWS + 1)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
