@@ -406,13 +406,13 @@ def t1(spark, sf):
 
 
 @query(
-    "e13_timeout_bias",
-    f"""WITH {SIG}, {exits('sg', 'ex', 3)}, r AS (SELECT symbol, rg - (p2 - p0) * side AS e, greatest(p0, p2) AS w FROM ex WHERE outcome = 'timeout')
+    "e13_residual_bias",
+    f"""WITH {SIG}, {exits('sg', 'ex', 3)}, r AS (SELECT symbol, rg - (p2 - p0) * side AS e, greatest(p0, p2) AS w FROM ex WHERE rg IS NOT NULL)
 SELECT symbol, count(*) AS n, round(sum(e * w) / sum(w), 5) AS bias, round(quantile_cont(e, 0.01), 5) AS low, round(quantile_cont(e, 0.99), 5) AS high FROM r GROUP BY symbol""",
 )
 def e13(spark, sf):
     s = signals(spark, sf)
-    got = labels.exit_labels(s, hourly(spark, sf), "id", 3 * 3600, 3600).where("outcome = 'timeout'").join(s, "id")
+    got = labels.exit_labels(s, hourly(spark, sf), "id", 3 * 3600, 3600).where("r_gross is not null").join(s, "id")
     r = got.select("symbol", (F.col("r_gross") - (F.col("p2") - F.col("p0")) * F.col("side")).alias("e"), F.greatest("p0", "p2").alias("w"))
     return r.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum(F.col("e") * F.col("w")) / F.sum("w"), 5).alias("bias"), rnd(F.percentile("e", 0.01), 5).alias("low"), rnd(F.percentile("e", 0.99), 5).alias("high"))
 
