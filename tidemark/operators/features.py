@@ -9,6 +9,7 @@ from tidemark.operators.asof import backward, with_age
 from tidemark.operators.bars import run_lengths
 from tidemark.operators.intervals import range_join
 from tidemark.operators.series import calendar, ewm, islands, numbered, previous, rolling, running
+from tidemark.sources import scratch
 
 
 def _ret(f, n=1):
@@ -226,9 +227,12 @@ def channels(bars: DataFrame, windows: tuple[int, ...], step: Column, complete:
     Slope and R squared are null where a bar of the window isn't ``complete`` or doesn't follow the one before by ``step``;
     the line and rails stay.
     """
-    rows = numbered(bars, name="_i").withColumns({"_i": F.col("_i").cast("double"), "_l": F.ln("close"), "_ok": F.lit(True) if complete is None else complete})
-    rows = previous(rows, {"_bt": "ts"})
-    rows = rows.withColumn("_bad", (~F.col("_ok") | F.coalesce(F.col("ts") != F.col("_bt") + step, F.lit(True))).cast("int"))
+    rows = bars.withColumns({"_l": F.ln("close"), "_ok": F.lit(True) if complete is None else complete})
+
+    def marked(f):
+        far = F.coalesce(F.col("ts") != F.lag("ts").over(f.order) + step, F.lit(True))
+        return {"_bad": (~F.col("_ok") | far).cast("int"), "_i": F.col("_row").cast("double")}  # the row's number in its series
+
     names = {"a": F.regr_intercept, "b": F.regr_slope, "r": F.regr_r2, "y": F.regr_syy, "x": F.regr_sxy}
 
     def fit(f):
@@ -236,7 +240,7 @@ def channels(bars: DataFrame, windows: tuple[int, ...], step: Column, complete:
         got = {f"_{k}_{n}": fn("_l", "_i").over(w[n]) for n in windows for k, fn in names.items()}
         return got | {f"_k_{n}": F.count("_l").over(w[n]) for n in windows} | {f"_c_{n}": F.max("_bad").over(w[n]) for n in windows}
 
-    got, out = rolling(rows, max(windows), fit), {}
+    got, out = rolling(rows, max(windows) + 1, marked, fit), {}
     for n in windows:
         full = lambda c, n=n: F.when(F.col(f"_k_{n}") == n, c)
         clean = lambda c, n=n: F.when((F.col(f"_k_{n}") == n) & (F.col(f"_c_{n}") == 0), c)
@@ -251,7 +255,7 @@ def context(bars: DataFrame, windows: tuple[int, ...], step: Column, flat: float
     """Channels of several windows with ``agreement`` (1 or -1 if all slopes have that sign, else 0), the ``regime`` of the
     shortest one's slope beyond ``flat``, and ``regime_age``, its bars so far.
     """
-    got = channels(bars, windows, step, complete)
+    got = scratch.stage(channels(bars, windows, step, complete), "channels")  # read several times by what follows
     signs = [F.signum(f"slope_{n}") for n in windows]
     same = F.when(F.least(*signs) == F.greatest(*signs), signs[0])
     first = F.col(f"slope_{windows[0]}")

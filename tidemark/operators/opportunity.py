@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.gates import spaced
 from tidemark.operators.intervals import range_join
 from tidemark.operators.series import islands, numbered, previous, rolling
+from tidemark.sources.scratch import stage
 
 
 def edge_windows(bars: DataFrame, on: Column, step: Column, aggs: dict[str, Column], key: str = "symbol") -> DataFrame:
@@ -68,14 +69,14 @@ def _sequence(bars: DataFrame, steps: list[Column], reset: Column, expiry: int,
                 fired = state == n - 1
                 state, at = 0 if fired else state + 1, row
             out.append(began if what == "armed" else fired)
-        return pd.DataFrame({key: pdf[key], "_row": pdf["_row"], what: out})
+        return pd.DataFrame({key: pdf[key], "ts": pdf["ts"], what: out})
 
     # Bars without any flag change nothing but the time that has passed; a longer pause, or a reset, ends what was begun.
-    small = rows.select(key, "ts", "_row", "_reset", *flags).where(" or ".join(["_reset", *flags]))
+    small = stage(rows.select(key, "ts", "_row", "_reset", *flags).where(" or ".join(["_reset", *flags])), "flagged")
     small = previous(small, {"_b": "_row"}, key)
     small = islands(small, F.col("_reset") | (F.col("_row") - F.coalesce("_b", F.col("_row")) > expiry + 1), "_seg", key)
-    folded = small.select(key, "_seg", "_row", "_reset", *flags).groupBy(key, "_seg").applyInPandas(fold, f"{key} {kind}, _row long, {what} boolean").where(what)
-    got = rows.join(folded, [key, "_row"], "left").withColumn(what, F.coalesce(what, F.lit(False)))
+    folded = small.select(key, "ts", "_seg", "_row", "_reset", *flags).groupBy(key, "_seg").applyInPandas(fold, f"{key} {kind}, ts timestamp, {what} boolean").where(what)
+    got = bars.join(folded, [key, "ts"], "left").withColumn(what, F.coalesce(what, F.lit(False)))
     return got.select(*bars.columns, what)
 
 
@@ -85,6 +86,7 @@ def two_setups(ctx: DataFrame, expiry: int, outer: float = 0.5, inner: float = 0
     Edge: beyond ``outer`` on the far side of the channel's middle, then back inside. Midline: within ``inner`` of the
     middle, then beyond it on the regime's side. Bars without an allowed regime (0, or the other side) reset a sequence.
     """
+    ctx = stage(ctx, "context")  # read for each of the four sequences
     c, out = F.col("centre"), None
     for side in (1, -1):
         reset = F.coalesce(F.col("regime") != side, F.lit(True))
