@@ -46,7 +46,7 @@ def available(signals: DataFrame, slow: DataFrame, cols: list[str], stale: str,
     b = slow.withWatermark("available_at", late).alias("b")
     near = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("b.available_at") <= F.col("a.ts")) & (F.col("b.available_at") >= F.col("a.ts") - F.expr(f"INTERVAL {stale}"))
     both = a.join(b, near, "left_outer").select(F.col(f"a.{key}"), F.col("a.ts"), F.struct(F.col("b.available_at").alias("matched_at"), *[F.col(f"b.{c}") for c in cols]).alias("_v"))
-    got = both.groupBy(key, F.window("ts", "1 second").alias("_w"), "ts").agg(F.max_by("_v", F.col("_v.matched_at")).alias("_v"))
+    got = both.groupBy(key, "ts").agg(F.max_by("_v", F.col("_v.matched_at")).alias("_v"))
     return got.select(key, "ts", "_v.*")
 
 
