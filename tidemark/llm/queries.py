@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import itq, langid, lines, mixing, packing, pipeline, quality, simhash, tokenfiles, topk, warc
+from tidemark.llm import itq, langid, lines, mixing, packing, periodic, pipeline, quality, simhash, tokenfiles, topk, warc
 from tidemark.llm.common import is_held_out, scratch, stage, table
 from tidemark.llm.tokens import vocabulary
 
@@ -93,7 +93,63 @@ def op10_packing(spark, sf_dir):
     return got.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_tokens": op1_tokens, "op2_mixing": op2_mixing, "op3_lines": op3_lines, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_topk": op7_topk, "op8_language": op8_language, "op9_itq": op9_itq, "op10_packing": op10_packing, "pipeline": pipeline.run}
-SQL = {"op4_warc": OP4, "op7_topk": OP7}
+def with_repeats(docs):
+    """``documents`` of which each tenth by crc32 repeats a stretch of its words from some word on, as op11's contract says."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("w"))
+    n, g = F.size("w"), F.floor(F.col("h") / 10)
+    # outside what repeats, numbers are kept above zero: Spark may evaluate them anyway
+    shaped = words.withColumn("a", F.when(n > 0, g % F.greatest(n, F.lit(1))).cast("int"))
+    shaped = shaped.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    tail = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil((n - F.col("a")) / F.col("p")).cast("int")))
+    made = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(tail, F.lit(1), n - F.col("a"))), " ")
+    return shaped.select("doc_id", F.when(F.col("a").isNotNull(), made).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic(spark, sf_dir):
+    got = periodic.word_runs(with_repeats(table(spark, sf_dir, "documents")), least=6, exponent=4)
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r.length).alias("l"), r.start.alias("start"), r.period.alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n"))), "")
+    got = got.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return got.select(
+        "doc_id", "n_runs", F.col("b.start").alias("start"), (-F.col("b.l")).alias("length"), F.col("b.period").alias("period"),
+        F.expr("-1000 * b.l div b.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
+#: CRC-32 of an ASCII text ``s`` by bytes, with the table ``t`` of 256 numbers (crc(0..255) of one byte each).
+CRC_TABLE = """crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)))"""
+
+
+def crc_sql(codes: str) -> str:
+    """SQL for the unsigned CRC-32 of a list of bytes."""
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])))"
+
+
+OP11 = rf"""
+WITH {CRC_TABLE},
+d AS (SELECT doc_id, {crc_sql("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))")} AS h,
+  list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents, crc),
+s AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS hit, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS m FROM d),
+r AS (SELECT *, 1 + (n - a) // m AS p FROM s),
+v AS (SELECT doc_id, n, CASE WHEN hit THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM r),
+x AS (SELECT doc_id, n, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM v),
+e AS (SELECT y.doc_id, y.i, y.i - x.i AS q FROM x JOIN x y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+g AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM e),
+f AS (SELECT doc_id, q, min(i) - q AS start, count(*) + q AS length FROM g GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+u AS (SELECT doc_id, start, length, min(q) AS period FROM f GROUP BY doc_id, start, length),
+o AS (SELECT doc_id, count(*) AS n_runs, arg_min(struct_pack(start, length, period), (-length, start, period)) AS b,
+  string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS runs FROM u GROUP BY doc_id),
+c AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM u),
+k AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM (SELECT x.doc_id, x.i, x.w FROM x ANTI JOIN c ON x.doc_id = c.doc_id AND x.i = c.i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.start AS start, CAST(b.length AS BIGINT) AS length, b.period AS period,
+  CAST(1000 * b.length // b.period AS BIGINT) AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN o ON d.doc_id = o.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+
+QUERIES = {"op1_tokens": op1_tokens, "op2_mixing": op2_mixing, "op3_lines": op3_lines, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_topk": op7_topk, "op8_language": op8_language, "op9_itq": op9_itq, "op10_packing": op10_packing, "op11_periodic": op11_periodic, "pipeline": pipeline.run}
+SQL = {"op4_warc": OP4, "op7_topk": OP7, "op11_periodic": OP11}
 if pipeline.ORACLE_SQL:
     SQL["pipeline"] = pipeline.ORACLE_SQL
