@@ -54,7 +54,7 @@ def test_long_sequences():
 def test_texts(spark):
     rows = [
         (1, "a b " * 5, "x"), (2, None, "x"), (3, "", "x"), (4, " \t\n ", "x"), (None, "q q q q q q", "x"), (1, "a b " * 5, "y"), (5, "go " * 5, "x"),
-        (6, "\x0bo\x0c" + "x y z\r\n" * 300_000, "x"), (7, "one two " + "r s t " * 4 + "u " * 7 + "end", None),
+        (6, "\x0bo\x0c" + "x\u00a0y z\r\n" * 300_000, "x"), (7, "one two " + "r s t " * 4 + "u " * 7 + "end", None),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, runs string")
     got = sorted(((r.id, r.n_words, [tuple(x) for x in r.runs], r.collapsed) for r in periodic.word_runs(df).collect()), key=str)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import itq, langid, lines, mixing, packing, periodic, pipeline, quality, simhash, tokenfiles, topk, warc
+from tidemark.llm import itq, langid, lines, mixing, packing, periodic, pipeline, quality, simhash, spelling, tokenfiles, topk, warc
 from tidemark.llm.common import is_held_out, scratch, stage, table
 from tidemark.llm.tokens import vocabulary
 
@@ -149,7 +149,43 @@ FROM d LEFT JOIN o ON d.doc_id = o.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
 
-QUERIES = {"op1_tokens": op1_tokens, "op2_mixing": op2_mixing, "op3_lines": op3_lines, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_topk": op7_topk, "op8_language": op8_language, "op9_itq": op9_itq, "op10_packing": op10_packing, "op11_periodic": op11_periodic, "pipeline": pipeline.run}
-SQL = {"op4_warc": OP4, "op7_topk": OP7, "op11_periodic": OP11}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def spelled(docs):
+    """(word, n) of the letter runs of ``documents``, of which op12's contract has some lose a letter by crc32."""
+    runs = docs.select("doc_id", F.explode(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit("([a-zÀ-ÿ]+)"))).alias("run"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")))
+    at = (h % F.length("run")).cast("int")
+    less = F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + 2))
+    words = runs.select(F.when(h % 97 == 0, less).otherwise(F.col("run")).alias("word"))
+    return words.where(F.length("word") >= 5).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+
+
+def op12_spelling(spark, sf_dir):
+    return spelling.variants(spelled(table(spark, sf_dir, "documents")), times=2)
+
+
+OP12 = rf"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[a-zÀ-ÿ]+')) AS r FROM documents),
+k AS (SELECT doc_id, r, count(*) AS c, CAST(doc_id AS VARCHAR) || ':' || r AS s FROM r GROUP BY doc_id, r),
+h AS (SELECT r, c, {crc_sql("flatten(list_transform(string_split(s, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [195, unicode(x) - 64] END))")} AS h FROM k, crc),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN left(r, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, c FROM h),
+v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+d AS (SELECT word, n, unnest(list_transform(range(length(word)), lambda i: left(word, i) || chr(1) || substr(word, i + 2))) AS k FROM v),
+near AS (SELECT x.word, y.word AS other, y.n AS m FROM d x JOIN d y ON x.k = y.k AND x.word <> y.word
+  UNION SELECT d.word, v.word, v.n FROM d JOIN v ON v.word = replace(d.k, chr(1), '')
+  UNION SELECT v.word, d.word, d.n FROM d JOIN v ON v.word = replace(d.k, chr(1), '')),
+b AS (SELECT word, count(*) AS n_near, arg_min(struct_pack(other, m), (-m, other)) AS best FROM near GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.best.m >= 2 * v.n THEN b.best.other END AS form, CASE WHEN b.best.m >= 2 * v.n THEN b.best.m END AS form_n
+  FROM v LEFT JOIN b ON v.word = b.word),
+p AS (SELECT word, word AS at, form AS next FROM f UNION ALL SELECT p.word, p.next, f.form FROM p JOIN f ON f.word = p.next)
+SELECT f.word, f.form, p.at AS root, f.n, f.n_near, f.form_n FROM f JOIN p ON p.word = f.word AND p.next IS NULL
+"""
+
+
+QUERIES = {"op1_tokens": op1_tokens, "op2_mixing": op2_mixing, "op3_lines": op3_lines, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_topk": op7_topk, "op8_language": op8_language, "op9_itq": op9_itq, "op10_packing": op10_packing, "op11_periodic": op11_periodic, "op12_spelling": op12_spelling, "pipeline": pipeline.run}
+SQL = {"op4_warc": OP4, "op7_topk": OP7, "op11_periodic": OP11, "op12_spelling": OP12}
 if pipeline.ORACLE_SQL:
     SQL["pipeline"] = pipeline.ORACLE_SQL
