@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import itq, langid, lines, mixing, packing, periodic, pipeline, quality, simhash, spelling, tokenfiles, topk, warc
+from tidemark.llm import contextmix, itq, langid, lines, mixing, packing, periodic, pipeline, quality, simhash, spelling, tokenfiles, topk, warc
 from tidemark.llm.common import is_held_out, scratch, stage, table
 from tidemark.llm.tokens import vocabulary
 
@@ -185,7 +185,15 @@ SELECT f.word, f.form, p.at AS root, f.n, f.n_near, f.form_n FROM f JOIN p ON p.
 """
 
 
-QUERIES = {"op1_tokens": op1_tokens, "op2_mixing": op2_mixing, "op3_lines": op3_lines, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_topk": op7_topk, "op8_language": op8_language, "op9_itq": op9_itq, "op10_packing": op10_packing, "op11_periodic": op11_periodic, "op12_spelling": op12_spelling, "pipeline": pipeline.run}
+def op13_lm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    got = contextmix.score(docs, contextmix.learn(docs, ~is_held_out("doc_id", 10, 0)))
+    return got.select(
+        F.col("id").alias("doc_id"), is_held_out("id", 10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
+    )
+
+
+QUERIES = {"op1_tokens": op1_tokens, "op2_mixing": op2_mixing, "op3_lines": op3_lines, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_topk": op7_topk, "op8_language": op8_language, "op9_itq": op9_itq, "op10_packing": op10_packing, "op11_periodic": op11_periodic, "op12_spelling": op12_spelling, "op13_lm": op13_lm, "pipeline": pipeline.run}
 SQL = {"op4_warc": OP4, "op7_topk": OP7, "op11_periodic": OP11, "op12_spelling": OP12}
 if pipeline.ORACLE_SQL:
     SQL["pipeline"] = pipeline.ORACLE_SQL
