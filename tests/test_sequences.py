@@ -104,6 +104,22 @@ def test_spaced_best_and_nth(spark):
         assert gates.nth_smallest(df, "score", n, bands=4) == values[n - 1]
 
 
+def test_spaced_best_of_the_given_rows(spark):
+    from tests.conftest import SF
+    from tidemark.plans.policies import one
+
+    df = one(spark, SF.replace("0.001", "0.01")).withColumn("score", F.round("p2", 1))  # ties
+    best, near = [], {}
+    for r in sorted(df.select("id", "symbol", "score", F.unix_timestamp("ts").alias("t")).collect(), key=lambda r: (-r.score, r.id)):
+        b = r.t // 7200
+        if all(abs(r.t - t) >= 7200 for k in (b - 1, b, b + 1) for t in near.get((r.symbol, k), ())):
+            near.setdefault((r.symbol, b), []).append(r.t)
+            best.append((r.id, r.symbol, r.score))
+    for k in (40, len(best) + 1):
+        assert [tuple(r) for r in policies.spaced_best(df, k, 7200).collect()] == best[:k]
+    assert policies.spaced_best(df, 10**6, 0).count() == df.count()
+
+
 def test_title_clusters(spark):
     rows = [(1, "Oil price rises again on supply worries"), (2, "Oil price rises again on supply worries now"), (3, "Oil price rises by 5 on supply worries"), (4, ""), (5, None), (6, "Quite another thing")]
     got = {x.id: x.cluster for x in stories.title_clusters(spark.createDataFrame(rows, "id long, title string")).collect()}

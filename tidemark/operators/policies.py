@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.gates import nth_smallest, upward_crossings
 from tidemark.operators.intervals import greedy, without_overlap
 from tidemark.operators.series import islands, previous, rolling
+from tidemark.sources.scratch import stage
 
 
 def base_first(cands: DataFrame, base: DataFrame, id_col: str = "id") -> DataFrame:
@@ -51,26 +53,27 @@ def portfolio(arms: DataFrame, grid: DataFrame, arm: str = "arm", net: str = "ne
 def spaced_best(scored: DataFrame, k: int, spacing_s: int, id_col: str = "id", score: str = "score", key: str = "symbol") -> DataFrame:
     """The ``k`` best rows of those that a greedy choice by score, ties by id, leaves at least ``spacing_s`` apart in a key.
 
-    Rows are cut where none lies within the spacing of the next: no choice reaches over such a pause, so the stretches are
-    chosen from in parallel. A stretch without pauses is one group.
+    Rounds: a row that no open row within the spacing beats is taken, and what lies that near to it goes. Rows are looked
+    at in time buckets as wide as the spacing with those of the buckets beside, so a task holds three buckets of a key. Where
+    scores aren't in order of time few rounds settle all; a score that rises all along needs one for each taken row. Null
+    scores come last; ids are unique.
     """
-    t = scored.withColumn("_t", F.unix_micros("ts"))
-    t = previous(t, {"_b": "_t"}, key, tie=(id_col,))
-    t = islands(t, F.coalesce(F.col("_t") - F.col("_b") >= spacing_s * 1_000_000, F.lit(True)), "_seg", key)
-    kind = {c: scored.schema[c].dataType.simpleString() for c in (id_col, key)}
-
-    named = t.select(id_col, key, score, "_seg", F.col("_t").alias("at"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = [], []
-        for i, k_, s, at in pdf.sort_values([score, id_col], ascending=[False, True])[[id_col, key, score, "at"]].itertuples(index=False, name=None):
-            if all(abs(at - x) >= spacing_s * 1_000_000 for x in taken):
-                taken.append(at)
-                out.append((i, k_, s))
-        return pd.DataFrame(out, columns=[id_col, key, score])
-
-    got = named.groupBy(key, "_seg").applyInPandas(run, f"{id_col} {kind[id_col]}, {key} {kind[key]}, {score} double")
-    return got.orderBy(F.desc(score), id_col).limit(k)  # a report of k rows
+    span = max(1, spacing_s * 1_000_000)
+    rows = scored.select(F.col(id_col).alias("_id"), F.col(key).alias("_key"), F.col(score).cast("double").alias("_score"), F.unix_micros("ts").alias("_t"))
+    open_, taken = stage(rows.withColumn("_b", F.floor(F.col("_t") / span)), "open"), []
+    beside = F.explode(F.array(*[F.col("_b") + i for i in (-1, 0, 1)]))
+    near = Window.partitionBy("_key", "_at").orderBy("_t").rangeBetween(1 - span, span - 1)
+    while not open_.isEmpty():
+        best = F.min(F.struct(F.coalesce(-F.col("_score"), F.lit(float("inf"))), F.col("_id").alias("i"))).over(near)
+        seen = open_.withColumn("_at", beside).withColumn("_best", best).where("_at = _b and _best.i = _id")
+        won = stage(seen.select(*open_.columns), "won")
+        lost = won.select("_key", F.col("_t").alias("_w"), beside.alias("_b"))
+        close = F.abs(F.col("_t") - F.col("_w")) < span if spacing_s > 0 else F.lit(False)
+        gone = open_.join(lost, ["_key", "_b"]).where(close).select("_id").unionByName(won.select("_id")).distinct()
+        open_ = stage(open_.join(gone, "_id", "left_anti"), "open")
+        taken.append(won)
+    got = reduce(DataFrame.unionByName, taken, rows.limit(0).withColumn("_b", F.lit(0).cast("long")))
+    return got.select(F.col("_id").alias(id_col), F.col("_key").alias(key), F.col("_score").alias(score)).orderBy(F.desc(score), id_col).limit(k)  # a report of k rows
 
 
 def matched_rate(scored: DataFrame, rate: float, by: str = "model", score: str = "score") -> dict:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,77 +27,133 @@ def exact_echoes(articles: DataFrame, id_col: str, key_col: str, hours: int, ts:
     return spaced(articles, id_col, hours * 3600, key_col, ts).withColumnRenamed("taken", "keep")
 
 
-def _together(a: DataFrame, keys: list[str], gap: int) -> DataFrame:
-    """(id, part): the smallest id reached over non-empty equal ``keys`` whose articles (id, t) follow within ``gap``.
+#: Distinct titles that a task compares with each other or with as many others.
+TITLES = 500
 
-    Each round takes the smallest label of every stretch of a key, then the label of that label, until none changes.
+
+def alike_titles(titles: DataFrame, least: float, titles_a_task: int = TITLES) -> DataFrame:
+    """(node, other, s): pairs, both ways, of ``titles`` (node, key, grp) of one ``grp`` whose keys differ and whose sorted words
+    are ``least`` alike or more.
+
+    A group is dealt into parts by hash and each two parts are compared in a task of their own, so no task holds more
+    than some hundred titles; lengths and counts of letters rule out most pairs before the exact comparison.
     """
-    sides = None
-    for c in keys:
-        w = Window.partitionBy(c).orderBy("t", "id")
-        rows = a.where(F.col(c) != "").select("id", "t", c).withColumn("_new", F.coalesce(F.col("t") - F.lag("t").over(w) > gap, F.lit(True)).cast("long"))
-        rows = rows.withColumn("_seg", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        rows = rows.select("id", F.struct(F.lit(c).alias("kind"), F.col(c).alias("value"), F.col("_seg").alias("seg")).alias("g"))
-        sides = rows if sides is None else sides.unionByName(rows)
-    sides, label = stage(sides, "sides"), stage(a.select("id", F.col("id").alias("part")).distinct(), "labels")
-    while True:
-        low = sides.join(label, "id").groupBy("g").agg(F.min("part").alias("low"))
-        near = sides.join(low, "g").groupBy("id").agg(F.min("low").alias("low"))
-        step = label.join(near, "id", "left").select("id", F.col("part").alias("old"), F.coalesce("low", "part").alias("to"))
-        jump = step.select(F.col("id").alias("to"), F.col("to").alias("part"))
-        step = stage(step.join(jump, "to").select("id", "old", "part"), "labels")
-        label = step.select("id", "part")
-        if step.where("part <> old").isEmpty():
-            return label
+    rows = titles.distinct()
+    size = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp", F.ceil(F.col("n") / titles_a_task).cast("int").alias("parts"))
+    rows = rows.join(size, "grp").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.groupBy("grp", F.least("mine", "with").alias("a"), F.greatest("mine", "with").alias("b")).agg(F.collect_list(F.struct("mine", "node", "key")).alias("all"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                out += _alike(r["all"], r["a"], r["b"], least)
+            yield pa.RecordBatch.from_pydict({k: pa.array(x, t) for k, x, t in zip(("node", "other", "s"), zip(*out, strict=True) if out else ((), (), ()), (pa.string(), pa.string(), pa.float64()), strict=True)})
+
+    return rows.select("a", "b", "all").mapInArrow(run, "node string, other string, s double").distinct()
+
+
+def _alike(rows: list[dict], a: int, b: int, least: float) -> list[tuple[str, str, float]]:
+    words = [" ".join(sorted(r["key"].split())) for r in rows]
+    size = np.array([len(w) for w in words])
+    bags = np.stack([np.bincount(np.frombuffer(w.encode("utf-32-le"), np.uint32) % 64, minlength=64) for w in words]).astype(np.int16)
+    side, out = np.array([r["mine"] for r in rows]), []
+    for i in range(len(rows)):
+        others = np.arange(i + 1, len(rows)) if a == b else np.flatnonzero(side != side[i]) if side[i] == a else ()
+        if len(others):
+            may = np.abs(bags[others] - bags[i]).sum(axis=1) <= (1 - least / 100) * (size[others] + size[i]) + 1e-9
+            for j in np.asarray(others)[may].tolist():
+                s = indel_ratio(words[i], words[j]) if rows[i]["key"] != rows[j]["key"] else 0.0
+                if s >= least:
+                    out += [(rows[i]["node"], rows[j]["node"], s), (rows[j]["node"], rows[i]["node"], s)]
+    return out
+
+
+def _places(rows: DataFrame) -> DataFrame:
+    """(kind, value, b, t, id): the non-empty URL and title key of each row."""
+    where = F.array(F.struct(F.lit(0).alias("kind"), F.col("url").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("key").alias("value")))
+    return rows.select("id", "t", "b", F.explode(where).alias("p")).where("p.value <> ''").select("p.kind", "p.value", "b", "t", "id")
+
+
+def _here_or_before(rows: DataFrame) -> DataFrame:
+    """Rows as seen from their own time bucket and from the next: ``next`` tells which."""
+    moved = F.explode(F.array(F.lit(0), F.lit(1)))
+    return rows.withColumn("next", moved).withColumn("b", F.col("b") + F.col("next"))
 
 
 def story_ledger(articles: DataFrame, hours: int = 72, sure: float = 95.0, review: float = 90.0, id_col: str = "id", ts: str = "ts", title: str = "title", url: str = "url") -> DataFrame:
     """(id, story_id, keep, reason, similarity) of articles, causal: only what was kept before counts.
 
     Within ``hours`` of a kept article the same URL, then the same title key, then a title of the same first two words
-    and equal protected tokens from another domain at ``sure`` similarity makes an echo; ``review`` to ``sure`` is kept
-    and marked. An empty URL or key equals nothing. Articles that share a URL, a key or first two words with no pause of
-    more than ``hours`` belong together, over any chain of these; what belongs together is folded in one task, in
-    parallel with the rest.
+    and equal protected tokens from another domain at ``sure`` similarity (the latest such) makes an echo; ``review`` to
+    ``sure`` is kept and marked. An empty URL, key or domain equals nothing. Articles are in order of time, then id; ids
+    are unique.
+
+    Rounds settle articles: one is kept when no earlier article that could make it an echo is open any more, and what it
+    makes an echo of goes at once. Who is open or kept is summed up by URL or key and a time bucket as wide as ``hours``, in
+    which one article at most is kept; so no URL, key or opening is gathered or sorted anywhere, and a round costs its open
+    articles. There are about as many rounds as an unbroken sequence of echoes has times ``hours``.
     """
-    kind = articles.schema[id_col].dataType.simpleString()
+    span = hours * 3_600_000_000
     a = articles.select(
-        F.col(id_col).alias("id"), F.unix_micros(F.col(ts)).alias("t"), F.col(ts).alias("ts"), headline_key(F.col(title)).alias("key"), canonical_url(F.col(url)).alias("url"),
+        F.col(id_col).alias("id"), F.unix_micros(F.col(ts)).alias("t"), headline_key(F.col(title)).alias("key"), canonical_url(F.col(url)).alias("url"),
         domain(F.col(url)).alias("domain"), F.concat_ws(",", protected_tokens(F.col(title))).alias("protected"),
+    ).fillna("", ["key", "url", "domain"])
+    a = stage(a.withColumn("b", F.floor(F.col("t") / span)).withColumn("node", F.concat_ws("\n", "key", "protected")), "articles")
+    titles = a.where("key <> ''").withColumn("b", F.explode(F.array("b", F.col("b") + 1)))
+    titles = titles.select("node", "key", F.struct(F.substring_index("key", " ", 2).alias("block"), "protected", "b").alias("grp"))
+    alike = stage(alike_titles(titles, review), "alike")
+    pairs = None if alike.isEmpty() else alike
+    earlier = (F.col("x.t") < F.col("y.t")) | ((F.col("x.t") == F.col("y.t")) & (F.col("x.id") < F.col("y.id")))
+    within = F.col("y.t") - F.col("x.t") <= span
+    elsewhere = (F.col("x.domain") != F.col("y.domain")) | (F.col("x.domain") == "")
+
+    def met(kept: DataFrame, rows: DataFrame) -> DataFrame:
+        """x: kept places, y: places of rows that they make echoes."""
+        return _here_or_before(_places(kept)).alias("x").join(_places(rows).alias("y"), ["kind", "value", "b"]).where(earlier & within)
+
+    def like(kept: DataFrame, rows: DataFrame, s: float) -> DataFrame:
+        """x: kept rows, y: rows of other domains whose title is like theirs."""
+        y = rows.join(pairs.where(F.col("s") >= s), "node").select("id", "t", "b", "domain", "other", "s")
+        x = _here_or_before(kept.select(F.col("node").alias("other"), "id", "t", "b", "domain"))
+        return x.alias("x").join(y.alias("y"), ["other", "b"]).where(earlier & within & elsewhere)
+
+    open_, rounds = a, []
+    while not open_.isEmpty():
+        ends = [F.min(F.struct("t", "id")).alias("first"), F.max("t").alias("last")]
+        waits = (F.col("next") == 0) & ((F.col("first.t") < F.col("t")) | ((F.col("first.t") == F.col("t")) & (F.col("first.id") < F.col("id"))))
+        waits = waits | ((F.col("next") == 1) & (F.col("last") >= F.col("t") - span))
+        places = _places(open_)
+        wait = places.join(_here_or_before(places.groupBy("kind", "value", "b").agg(*ends)), ["kind", "value", "b"]).where(waits).select("id")
+        if pairs is not None:
+            sure_pairs = pairs.where(F.col("s") >= sure)
+            y = open_.join(sure_pairs, "node").select("id", "t", "b", "domain", "other")
+            x = open_.join(sure_pairs.select("node").distinct(), "node", "left_semi").groupBy(F.col("node").alias("other"), "b", F.col("domain").alias("d")).agg(*ends)
+            other = (F.col("d") != F.col("domain")) | (F.col("d") == "")
+            wait = wait.unionByName(y.join(_here_or_before(x), ["other", "b"]).where(other & waits).select("id"))
+        kept = stage(open_.join(wait.distinct(), "id", "left_anti"), "kept")
+        gone = kept.select("id").unionByName(met(kept, open_).select("y.id"))
+        if pairs is not None:
+            gone = gone.unionByName(like(kept, open_, sure).select("y.id"))
+        open_ = stage(open_.join(gone.distinct(), "id", "left_anti"), "open")
+        rounds.append(kept)
+    kept = reduce(DataFrame.unionByName, rounds, a.limit(0))
+    exact = met(kept, a).groupBy(F.col("y.id").alias("id")).agg(F.min(F.struct("kind", F.col("x.id").alias("story"))).alias("exact"))
+    got = a.select("id").join(kept.select("id", F.lit(True).alias("keep")), "id", "left").join(exact, "id", "left")
+    if pairs is not None:
+        fuzzy = like(kept, a, review).groupBy(F.col("y.id").alias("id")).agg(
+            F.max(F.when(F.col("s") >= sure, F.struct(F.col("x.t"), F.col("x.id").alias("story"), "s"))).alias("fuzzy"), F.max(F.when(F.col("s") < sure, F.col("s"))).alias("review")
+        )
+        got = got.join(fuzzy, "id", "left")
+    else:
+        got = got.withColumns({"fuzzy": F.expr("cast(null as struct<story:" + a.schema["id"].dataType.simpleString() + ",s:double>)"), "review": F.lit(None).cast("double")})
+    reason = F.when(F.col("exact.kind") == 0, "url").when(F.col("exact.kind") == 1, "title").when(F.col("fuzzy").isNotNull(), "fuzzy")
+    return got.select(
+        "id", F.coalesce("exact.story", "fuzzy.story", "id").alias("story_id"), F.coalesce("keep", F.lit(False)).alias("keep"),
+        F.coalesce(reason, F.when(F.col("review").isNotNull(), "review"), F.lit("new")).alias("reason"),
+        F.when(F.col("exact").isNotNull(), 100.0).otherwise(F.coalesce("fuzzy.s", "review")).alias("similarity"),
     )
-    a = a.fillna("", ["key", "url"]).withColumn("block", F.substring_index("key", " ", 2))
-    a = a.join(_together(a, ["url", "key", "block"], hours * 3_600_000_000), "id")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        span, out = hours * 3_600_000_000, []
-        by_url: dict[str, tuple] = {}  # the first kept article of each URL and key that may still count, in order of time
-        by_key: dict[str, tuple] = {}
-        near: dict[tuple, list[tuple]] = {}  # block and protected tokens -> kept articles (time, id, domain, sorted words)
-        for r in pdf.sort_values(["t", "id"]).itertuples(index=False):
-            alive = lambda k: k is not None and r.t - k[0] <= span
-            hit, kind = by_url.get(r.url) if r.url else None, "url"
-            if not alive(hit):
-                hit, kind = by_key.get(r.key) if r.key else None, "title"
-            best = (hit[1], kind, 100.0) if alive(hit) else None
-            words, group = " ".join(sorted(r.key.split())), (r.block, r.protected)
-            if best is None and r.block:
-                near[group] = [k for k in near.get(group, ()) if alive(k)]
-                for _, i, where, other in near[group]:
-                    s = indel_ratio(other, words) if where != r.domain else 0.0
-                    if s >= review and (best is None or s > best[2]):
-                        best = (i, "fuzzy" if s >= sure else "review", s)
-            if best and best[1] != "review":
-                out.append((r.id, best[0], False, best[1], best[2]))
-                continue
-            for seen, k in ((by_url, r.url), (by_key, r.key)):
-                if k and not alive(seen.get(k)):
-                    seen[k] = (r.t, r.id)
-            if r.block:
-                near.setdefault(group, []).append((r.t, r.id, r.domain, words))
-            out.append((r.id, r.id, True, best[1] if best else "new", best[2] if best else 0.0))
-        return pd.DataFrame(out, columns=["id", "story_id", "keep", "reason", "similarity"])
-
-    return a.groupBy("part").applyInPandas(fold, f"id {kind}, story_id {kind}, keep boolean, reason string, similarity double")
 
 
 def score_missing(
