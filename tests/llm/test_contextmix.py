@@ -25,59 +25,50 @@ def base(texts, held):
 
 
 def test_counts_and_base_against_brute_force_and_gain_on_held_out_texts(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sf = SF.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = docs.select("doc_id", "text").collect()
     held = [zlib.crc32(str(r.doc_id).encode()) % 10 == 0 for r in rows]
     want = {r.doc_id: (h, *b) for r, h, b in zip(rows, held, base([r.text for r in rows], held), strict=True)}
-    got = queries.op13_lm(spark, SF).collect()
+    got = queries.op13_lm(spark, sf).collect()
     assert len(got) == len(want)
     for r in got:
         w = want[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4] and r.base_score == pytest.approx(w[4], rel=1e-9)
         assert math.isfinite(r.score) and r.score < 0
     out = [r for r in got if r.held_out]
-    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+    assert sum(r.score for r in out) > sum(r.base_score for r in out), (sum(r.score for r in out), sum(r.base_score for r in out))
 
 
-def small(words, tables, weights=cm.START):
-    """A text at a time, a decision at a time, by plain floats; words learn in the operator's steps."""
-    codes, out = tables[0], []
-    w = {(g, k): float(weights[g, k]) for g in range(cm.GATES) for k in range(cm.ALL)}
-    seen, grid = Counter(), 1 / (1 + np.exp(-np.linspace(-8, 8, cm.CELLS)))
-    ones, alls = {}, {}
-    before, at, width = [*words, ""][-1:], 0, 8
-    before = ""
+def small(words, codes, tables):
+    """One text, a decision at a time, by plain floats; it learns in the operator's steps."""
+    w = {(g, k): float(cm.START[g, k]) for g in range(cm.GATES) for k in range(cm.ALL)}
+    out, seen, extra, before, at, width = [], Counter(), Counter(), "", 0, 8
     while at < len(words):
-        batch = []
+        move, shift = Counter(), Counter()
         for word in words[at : at + width]:
             one = cm.Written.of(pa.array([word, before]), codes)
             cost = 0.0
             for i in range(int(one.first[1])):
-                x = [float(tables[1][k][one.slots[k][i]]) / cm.STEP for k in range(cm.INSIDE)]
-                across = int(tables[1][cm.INSIDE][one.slots[cm.INSIDE][i] ^ one.own[1]]) if one.near[i] else 0
+                x = [float(tables[k][one.slots[k][i]]) / cm.STEP for k in range(cm.INSIDE)]
+                across = int(tables[cm.INSIDE][one.slots[cm.INSIDE][i] ^ one.own[1]]) if one.near[i] else 0
                 x.append(across / cm.STEP)
-                g = 2 * int(tables[1][cm.ALL][one.slots[cm.INSIDE - 1][i]]) + (across != 0)
-                z = min(7.999, max(-7.999, sum(w[g, k] * x[k] for k in range(cm.ALL))))
-                p, bit = 1 / (1 + math.exp(-z)), int(one.bit[i])
-                cell, share = int((z + 8) * 2), (z + 8) * 2 - int((z + 8) * 2)
-                m = [ones.get((g, c), cm.WORTH * grid[c]) / alls.get((g, c), cm.WORTH) for c in (cell, cell + 1)]
-                q = (p + m[0] * (1 - share) + m[1] * share) / 2
-                cost += math.log(q if bit else 1 - q)
-                batch.append((g, x, bit, p, cell, share))
+                g = 2 * int(tables[cm.ALL][one.slots[cm.INSIDE - 1][i]]) + (across != 0)
+                z = min(7.99, max(-7.99, sum(w[g, k] * x[k] for k in range(cm.ALL))))
+                cell, bit = int((z + 8) * 2), int(one.bit[i])
+                p = 1 / (1 + math.exp(-z - extra[g, cell]))
+                cost += math.log(p if bit else 1 - p)
+                seen[g] += 1
+                shift[g, cell] += bit - p
+                for k in range(cm.ALL):
+                    move[g, k] += (bit - p) * x[k]
             out.append(cost)
             before = word
-        for g, *_ in batch:
-            seen[g] += 1
-        move = Counter()
-        for g, x, bit, p, cell, share in batch:
-            for k in range(cm.ALL):
-                move[g, k] += (bit - p) * x[k]
-            for c, s in ((cell, 1 - share), (cell + 1, share)):
-                ones[g, c] = ones.get((g, c), cm.WORTH * grid[c]) + s * bit
-                alls[g, c] = alls.get((g, c), cm.WORTH) + s
         for (g, k), d in move.items():
             w[g, k] += min(0.3, max(-0.3, cm.RATE / math.sqrt(1 + seen[g] / 64) * d))
-        at, width = at + width, min(256, width if at == 0 else 2 * width)
+        for c, d in shift.items():
+            extra[c] += min(0.2, max(-0.2, cm.MAP_RATE * d))
+        at, width = at + width, min(128, width if at == 0 else 2 * width)
     return out
 
 
@@ -89,7 +80,7 @@ def test_mixing_of_many_texts_is_that_of_each_alone_and_probabilities_sum_to_one
     t = cm.Words.of(texts)
     got = cm.mixed(t, cm.Written.of(t.distinct, model.codes), tables)
     for i, text in enumerate(texts.to_pylist()):
-        want = small([w or "" for w in tokens(text)], (model.codes, tables))
+        want = small([w or "" for w in tokens(text)], model.codes, tables)
         np.testing.assert_allclose(got[t.ends[i] : t.ends[i + 1]], want, rtol=2e-3, atol=2e-3)
     # decisions of a code reach every byte by one path: at any weights the bytes' probabilities sum to 1
     c = model.codes
@@ -107,6 +98,7 @@ def test_odd_rows(spark):
         got = cm.score(df, cm.learn(df, F.coalesce(train, F.lit(False)))).collect()
         assert len(got) == len(rows) and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)
         assert sorted(r.n_tokens for r in got) == [1, 1, 1, 2, 2, 2, 3, 3, 600_001]
-        assert len({r.score for r in got if r.id == 1}) == 1 and len({(r.score, r.n_known) for r in got if r.id is None}) == 1
+        for same in ([r for r in got if r.id == 1], [r for r in got if r.id is None]):
+            assert len({(round(r.score, 9), r.n_known) for r in same}) == 1
     none = df.where("doc_id = 99")
     assert cm.score(none, cm.learn(none, F.lit(True))).collect() == []

@@ -17,39 +17,51 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import pick, slices, stage
 
 #: Slots of each table of bit counts (a power of two), counted, summed and sent in blocks.
-SLOTS, BLOCK = 1 << 21, 1 << 13
-#: Contexts of a bit, besides what has been read of its byte: the last 1, 2, 3, 4 bytes of the word, all its bytes so far, and
+SHIFT, BLOCK = 21, 1 << 13
+SLOTS = 1 << SHIFT
+#: Contexts of a bit, besides what has been read of its byte: the last 2, 3, 4 bytes of the word, all its bytes so far, and
 #: these with the word before, for the first NEAR bytes.
-INSIDE, ALL, NEAR = 5, 6, 3
+INSIDE, ALL, NEAR = 4, 5, 3
 #: Words that every task knows; the counts of others are joined to the documents that hold them.
-HEAD = 1 << 16
+HEAD = 1 << 18
+#: Texts that a task mixes side by side.
+LANES = 64
 #: A stretched probability in a table is kept in steps of 1/STEP.
 STEP = 16.0
 #: Weights that every document starts from, a row for each gate: how often all bytes of the word so far have been met (less
 #: than MET[0] times, ...), then whether they have been met after the word before.
 START = np.array(
     [
-        [0.15, 0.3, 0.3, 0.45, 0.3, 0.0], [0.15, 0.3, 0.3, 0.45, 0.3, 0.1], [0.1, 0.25, 0.3, 0.5, 0.4, 0.0], [0.1, 0.25, 0.3, 0.5, 0.4, 0.1],
-        [0.0, 0.15, 0.2, 0.45, 0.45, 0.0], [0.05, 0.1, 0.4, 0.3, 0.2, 0.2], [0.0, 0.05, 0.1, 0.45, 0.4, 0.0], [0.0, 0.0, 0.35, 0.3, 0.15, 0.5],
+        [0.4, 0.3, 0.45, 0.3, 0.0], [0.4, 0.3, 0.45, 0.3, 0.1], [0.3, 0.3, 0.5, 0.4, 0.0], [0.3, 0.3, 0.5, 0.4, 0.1],
+        [0.15, 0.2, 0.45, 0.45, 0.0], [0.1, 0.4, 0.3, 0.2, 0.2], [0.05, 0.1, 0.45, 0.4, 0.0], [0.0, 0.35, 0.3, 0.15, 0.5],
     ],
     np.float32,
 )
 GATES, MET, RATE = 8, np.array([3, 33, 257]), 0.005
-#: Cells of an adaptive map over -8..8, and observations that its start is worth.
-CELLS, WORTH = 33, 24.0
+#: Cells of an adaptive map of log odds over -8..8, which adds to them what has been learned in a cell, and its rate.
+CELLS, MAP_RATE = 32, 0.02
 #: Trust in the word list that a document starts with, and observations that this is worth.
 TRUST, FAITH = 0.35, 8.0
 SPACE, END = 32, 10
 
 
+def hashed(x: np.ndarray, seed: int) -> np.ndarray:
+    """A slot for each number."""
+    z = (x.astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return (z >> np.uint64(64 - SHIFT)).astype(np.int32)
+
+
 @dataclass(frozen=True)
 class Codes:
-    """A prefix code for bytes: of byte b, ``size[b]`` decisions from ``first[b]`` on, each at a ``node`` and with a ``bit``."""
+    """A prefix code for bytes: of byte b, ``size[b]`` decisions from ``first[b]`` on, each at a ``node`` (``slot``: its
+    hash) and with a ``bit``."""
 
     size: np.ndarray
     first: np.ndarray
     node: np.ndarray
     bit: np.ndarray
+    slot: np.ndarray
 
     @classmethod
     def of(cls, counts: np.ndarray) -> Codes:
@@ -67,21 +79,15 @@ class Codes:
             heapq.heappush(heap, (n + m, 256 + node, 256 + node))
         flat = [x for b in range(256) for x in reversed(paths[b])]
         size = np.array([len(paths[b]) for b in range(256)], np.int64)
-        return cls(size, np.r_[0, np.cumsum(size)[:-1]], np.array([n for n, _ in flat], np.int64), np.array([b for _, b in flat], np.int8))
-
-
-def hashed(x: np.ndarray, seed: int) -> np.ndarray:
-    """A slot for each number."""
-    z = (x.astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return (z >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int32)
+        node = np.array([n for n, _ in flat], np.int64)
+        return cls(size, np.r_[0, np.cumsum(size)[:-1]], node, np.array([b for _, b in flat], np.int8), hashed(node, 99))
 
 
 @dataclass(frozen=True)
 class Written:
-    """Words as decisions: of word w those from ``first[w]`` to ``first[w+1]``, their bits, whether they are NEAR the
-    word before, and the slot of each context; that of the last is still to be mixed with the word before. ``own``: the words' slots as
-    such."""
+    """Words as decisions: of word w those from ``first[w]`` to ``first[w+1]``, their bits, whether they are NEAR the word
+    before, and the slot of each context; that of the last is still to be mixed with the word before. ``own``: the
+    words' slots as such."""
 
     first: np.ndarray
     bit: np.ndarray
@@ -90,29 +96,38 @@ class Written:
     own: np.ndarray
 
     @classmethod
-    def of(cls, words: pa.Array, codes: Codes) -> Written:
-        """Each word is followed by a space; the empty word stands for the end of a text and is one END."""
+    def of(cls, words: pa.Array, codes: Codes, near: bool = False) -> Written:
+        """Each word is followed by a space; the empty word stands for the end of a text and is one END.
+
+        ``near``: the first NEAR bytes of each word and the last context alone.
+        """
         text = np.frombuffer(b"".join((w + b" ") if w else b"\n" for w in words.cast(pa.binary()).to_pylist()), np.uint8).astype(np.int64)
         size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1
         start = np.cumsum(size) - size
         at = np.arange(len(text)) - np.repeat(start, size)
-        # a word's letters so far: one polynomial over all words, less what came before, divided by its place
-        odd = np.uint64(0x9E3779B97F4A7C15)
-        up = np.multiply.accumulate(np.r_[np.uint64(1), np.full(int(size.max(initial=1)), odd)])
-        place = np.minimum(at, len(up) - 1)
-        total = np.r_[np.uint64(0), np.cumsum((text + 1).astype(np.uint64) * up[place], dtype=np.uint64)]
+        # a word's letters so far: running sums of letters times powers by their place in the word
+        up = np.multiply.accumulate(np.r_[np.uint64(1), np.full(int(size.max(initial=1)), 0x9E3779B97F4A7C15, np.uint64)])
+        total = np.r_[np.uint64(0), np.cumsum((text + 1).astype(np.uint64) * up[at], dtype=np.uint64)]
         prefix = total[:-1] - np.repeat(total[start], size)
-        last, contexts = np.zeros(len(text), np.int64), []
-        for k in range(1, INSIDE):
-            last = last | np.where(at >= k, np.r_[np.zeros(k, np.int64), text[:-k]][: len(text)] + 1, 0) << 9 * (k - 1)
-            contexts.append(hashed(last, k))
-        contexts += [hashed(prefix, INSIDE), hashed(prefix, ALL)]
+        own = hashed(total[start + size - 1] - total[start], 77)
+        contexts = [hashed(prefix, ALL)]
+        if near:
+            some = at < NEAR
+            text, at, contexts = text[some], at[some], [contexts[0][some]]
+            size = np.minimum(size, NEAR)
+            start = np.cumsum(size) - size
+        else:
+            last, before = np.zeros(len(text), np.int64), []
+            for k in range(1, INSIDE + 1):
+                last = last | np.where(at >= k, np.r_[np.zeros(k, np.int64), text[:-k]][: len(text)] + 1, 0) << 9 * (k - 1)
+                before.append(hashed(last, k))
+            contexts = [*before[1:INSIDE], hashed(prefix, INSIDE), *contexts]
         bits = codes.size[text]
-        own = np.repeat(np.arange(len(text)), bits)
-        where = codes.first[text][own] + np.arange(len(own)) - (np.cumsum(bits) - bits)[own]
-        node = hashed(codes.node[where], 99)
+        byte = np.repeat(np.arange(len(text), dtype=np.int32), bits)
+        where = spans(codes.first[text], bits)
+        node = codes.slot[where]
         first = np.r_[0, np.cumsum(np.add.reduceat(bits, start))] if len(start) else np.zeros(1, np.int64)
-        return cls(first, codes.bit[where], at[own] < NEAR, [c[own] ^ node for c in contexts], hashed(total[start + size - 1] - total[start], 77))
+        return cls(first, codes.bit[where], (at < NEAR)[byte], [c[byte] ^ node for c in contexts], own)
 
 
 def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -231,13 +246,11 @@ def learn(docs: DataFrame, train: Column, text_col: str = "text") -> Model:
         for b in batches:
             for part in slices(b, "text", 2 << 20):
                 t = Words.of(part.column("text"))
-                w = Written.of(t.distinct, codes)
-                slot, before = 2 * w.slots[INSIDE].astype(np.int64) + w.bit, 2 * previous(t, w)
-                slot, size = slot[w.near], np.add.reduceat(w.near, w.first[:-1])  # what is near stands first in each word
-                first = np.cumsum(size) - size
+                w = Written.of(t.distinct, codes, near=True)
+                size, slot, before = np.diff(w.first), 2 * w.slots[0].astype(np.int64) + w.bit, 2 * previous(t, w)
                 for at in range(0, len(t.code), 1 << 15):
                     code = t.code[at : at + (1 << 15)]
-                    np.add.at(n, slot[spans(first[code], size[code])] ^ np.repeat(before[at : at + (1 << 15)], size[code]), 1)
+                    np.add.at(n, slot[spans(w.first[code], size[code])] ^ np.repeat(before[at : at + (1 << 15)], size[code]), 1)
         yield from dealt(n, INSIDE)
 
     parts = counts.mapInArrow(inside, DEALT).unionByName(rows.mapInArrow(across, DEALT))
@@ -258,97 +271,98 @@ def previous(t: Words, w: Written) -> np.ndarray:
 
 
 def with_counts(rows: DataFrame, model: Model) -> tuple[DataFrame, object]:
-    """``rows`` (id, text) with ``known``, the counts of their words outside the head; and the head, a broadcast (word, c).
+    """``rows`` (id, text) with ``known``, the counts of their words outside the head by the place where each first stands; and
+    the head, a broadcast (word, c).
 
-    The head is the HEAD words of largest count, so no word of the join is in more rows than those are.
+    The head is the HEAD words of largest count, so no word of the join is in more rows than those are. Rows are told
+    apart by a hash of id and text: equal rows share their counts.
     """
-    spark = rows.sparkSession
     top = model.counts.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()  # bounded
-    head = spark.sparkContext.broadcast((top.column("word").combine_chunks().cast(pa.string()), top.column("c").to_numpy()))
-    rows = rows.withColumn("at", F.xxhash64("text"))
+    head = rows.sparkSession.sparkContext.broadcast((top.column("word").combine_chunks().cast(pa.string()), top.column("c").to_numpy()))
+    rows = rows.withColumn("k", F.xxhash64("id", "text"))
 
     def rare(batches):
         for b in batches:
             for part in slices(b, "text", 2 << 20):
                 t = Words.of(part.column("text"))
                 new = pc.is_null(pc.index_in(t.distinct, value_set=head.value[0])).to_numpy(zero_copy_only=False)
-                doc = np.repeat(np.arange(part.num_rows), np.diff(t.ends))
-                pairs = np.unique((doc * len(t.distinct) + t.code)[new[t.code]])
-                doc, code = pairs // max(1, len(t.distinct)), pairs % max(1, len(t.distinct))
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(doc)), part.column("at").take(pa.array(doc)), t.distinct.take(pa.array(code))], ["id", "at", "word"])
+                at = np.flatnonzero(new[t.code])
+                doc = np.repeat(np.arange(part.num_rows), np.diff(t.ends))[at]
+                at = at[np.unique(doc * len(t.distinct) + t.code[at], return_index=True)[1]]
+                doc = np.searchsorted(t.ends, at, side="right") - 1
+                yield pa.RecordBatch.from_arrays([part.column("k").take(pa.array(doc)), pa.array((at - t.ends[doc]).astype(np.int32)), t.distinct.take(pa.array(t.code[at]))], ["k", "at", "word"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    pairs = rows.mapInArrow(rare, f"id {kind}, at long, word string").join(model.counts, "word")
-    known = pairs.groupBy("id", "at").agg(F.collect_set(F.struct("word", "c")).alias("known"))
-    known = known.select(F.col("id").alias("_id"), F.col("at").alias("_at"), "known")
-    return rows.join(known, (F.col("id").eqNullSafe(F.col("_id"))) & (F.col("at") == F.col("_at")), "left").select("id", "text", "known"), head
+    pairs = rows.mapInArrow(rare, "k long, at int, word string").join(model.counts, "word")
+    known = pairs.groupBy("k").agg(F.collect_set(F.struct("at", "c")).alias("known"))
+    return rows.join(known, "k", "left").select("id", "text", "known"), head
 
 
 def word_lists(t: Words, known: pa.Array, head: tuple[pa.Array, np.ndarray]) -> np.ndarray:
     """The count of each distinct word."""
     at = pc.index_in(t.distinct, value_set=head[0])
     c = np.where(at.is_valid().to_numpy(zero_copy_only=False), np.r_[head[1], 0][pc.fill_null(at, len(head[0])).to_numpy()], 0)
+    size = pc.fill_null(pc.list_value_length(known), 0).to_numpy(zero_copy_only=False)
     flat = known.flatten()
-    if len(flat):
-        at = pc.index_in(flat.field("word"), value_set=t.distinct)
-        c[at.to_numpy()] = flat.field("c").to_numpy()
+    c[t.code[np.repeat(t.ends[:-1], size) + flat.field("at").to_numpy()]] = flat.field("c").to_numpy()
     return c
 
 
 def mixed(t: Words, w: Written, tables: np.ndarray) -> np.ndarray:
     """Of each token, the natural logarithm of its probability by the mixed bit predictors.
 
-    Texts start from the same weights and maps and learn from what they have been coded by: after 8, 16, 32, ... 256, 256,
-    ... tokens. The texts of a batch are read side by side; none learns from another.
+    Every text starts from the same weights and an adaptive map of zeros and learns from what has been coded of it: after
+    8, 16, 32, 64, 128, 256, 384, ... tokens. LANES texts are read side by side; none learns from another.
     """
-    size, before = np.diff(w.first), previous(t, w)
-    x = np.zeros((len(w.bit), 8), np.int8)
+    x = np.zeros((len(w.bit), 8), np.int8)  # what belongs to a decision, together: four inputs; slot, bit, near, gate
     for k in range(INSIDE):
         x[:, k] = tables[k][w.slots[k]]
-    x[:, 5], x[:, 6], x[:, 7] = w.near, w.bit, tables[ALL][w.slots[INSIDE - 1]]
-    packed, last, out = x.view(np.int64)[:, 0], w.slots[INSIDE], np.zeros(len(t.code))
-    n = np.diff(t.ends)
-    order = np.argsort(-n, kind="stable")
-    lanes = len(n)
-    weights = np.tile(START, (lanes, 1))
-    seen = np.zeros(lanes * GATES)
-    grid = 1 / (1 + np.exp(-np.linspace(-8, 8, CELLS)))
-    ones, alls = np.tile(WORTH * grid, lanes * GATES), np.full(lanes * GATES * CELLS, WORTH)
+    gate = tables[ALL][w.slots[INSIDE - 1]].astype(np.int32)
+    x.view(np.int32)[:, 1] = w.slots[INSIDE] | w.bit.astype(np.int32) << SHIFT | w.near.astype(np.int32) << SHIFT + 1 | gate << SHIFT + 2
+    n, out = np.diff(t.ends), np.zeros(len(t.code))
+    order, before = np.argsort(-n, kind="stable"), previous(t, w).astype(np.int32)
+    for at in range(0, len(n), LANES):
+        _mix(t, w, order[at : at + LANES], n, x.view(np.int64)[:, 0], before, tables[INSIDE], out)
+    return out
+
+
+def _mix(t: Words, w: Written, texts: np.ndarray, n: np.ndarray, packed: np.ndarray, before: np.ndarray, table: np.ndarray, out: np.ndarray) -> None:
+    """Fill ``out`` for the tokens of ``texts``, longest first."""
+    size, lanes = np.diff(w.first), len(texts)
+    weights, seen = np.tile(START.T / np.float32(STEP), lanes), np.zeros(lanes * GATES)
+    extra = np.zeros(lanes * GATES * CELLS, np.float32)
     at, width = 0, 8
     while True:
-        active = order[: np.searchsorted(-n[order], -at, side="left")]
+        active = texts[: np.searchsorted(-n[texts], -at, side="left")]
         if not len(active):
-            return out
+            return
         take = np.minimum(width, n[active] - at)
         token = spans(t.ends[active] + at, take)
         code = t.code[token]
-        bits, lane = size[code], np.repeat(np.arange(len(active)), take)
+        bits = size[code]
         where = spans(w.first[code], bits)
-        own = np.repeat(np.arange(len(token)), bits)
-        f = packed[where].view(np.int8).reshape(-1, 8)
-        across = tables[INSIDE][last[where] ^ before[token][own].astype(np.int32)] * f[:, 5]
-        gate = lane[own] * GATES + 2 * f[:, 7] + (across != 0)
-        v = np.empty((len(own), ALL), np.float32)
-        v[:, :INSIDE], v[:, INSIDE] = f[:, :INSIDE], across
-        v /= STEP
-        bit = f[:, 6].astype(np.float32)
-        z = np.clip(np.einsum("ij,ij->i", v, weights[gate]), -7.999, 7.999)
-        p = 1 / (1 + np.exp(-z))
-        cell = ((z + 8) * ((CELLS - 1) / 16)).astype(np.int64)
-        share = (z + 8) * ((CELLS - 1) / 16) - cell
-        cell += gate * CELLS
-        table = ones / alls
-        refined = (p + table[cell] * (1 - share) + table[cell + 1] * share) / 2
-        cost = np.log(np.where(bit > 0, refined, 1 - refined))
-        out[token] = np.bincount(own, cost, len(token))
-        error, m = bit - p, len(active) * GATES
+        f = packed[where]
+        inputs, more = f.view(np.int8).reshape(-1, 8), f.view(np.int32)[1::2]
+        v = [inputs[:, k].astype(np.float32) for k in range(INSIDE)] + [np.zeros(len(f), np.float32)]
+        near = np.flatnonzero(more & (2 << SHIFT))
+        across = table[(more[near] & (SLOTS - 1)) ^ np.repeat(before[token], bits)[near]]
+        v[INSIDE][near] = across
+        gate = np.repeat(np.repeat(np.arange(len(active), dtype=np.int32) * GATES, take), bits) + (more >> SHIFT + 2) * 2
+        gate[near] += across != 0
+        z = v[0] * weights[0].take(gate)
+        for k in range(1, ALL):
+            z += v[k] * weights[k].take(gate)
+        np.clip(z, np.float32(-7.99), np.float32(7.99), out=z)
+        cell = gate * CELLS + ((z + 8) * np.float32(CELLS / 16)).astype(np.int32)
+        sign = ((more >> SHIFT & 1) * 2 - 1).astype(np.float32)
+        good = 1 / (1 + np.exp(-sign * (z + extra[cell])))  # the probability of what came
+        out[token] = np.add.reduceat(np.log(good), np.cumsum(bits) - bits)
+        error, m = sign * (1 - good), len(active) * GATES
         seen[:m] += np.bincount(gate, minlength=m)
-        pace = (RATE / np.sqrt(1 + seen[:m] / 64))[:, None]
-        weights[:m] += np.clip(pace * np.stack([np.bincount(gate, error * v[:, k], m) for k in range(ALL)], 1), -0.3, 0.3)
-        for move, part in ((0, 1 - share), (1, share)):
-            alls[: m * CELLS] += np.bincount(cell + move, part, m * CELLS)
-            ones[: m * CELLS] += np.bincount(cell + move, part * bit, m * CELLS)
-        at, width = at + width, min(256, width if at == 0 else 2 * width)
+        pace = RATE / np.sqrt(1 + seen[:m] / 64) / STEP
+        for k in range(ALL):
+            weights[k, :m] += np.clip(pace * np.bincount(gate, error * v[k], m) / STEP, -0.3 / STEP, 0.3 / STEP)
+        extra[: m * CELLS] += np.clip(MAP_RATE * np.bincount(cell, error, m * CELLS), -0.2, 0.2)
+        at, width = at + width, min(128, width if at == 0 else 2 * width)
 
 
 def earlier(x: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -388,8 +402,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     Tokens are lower-cased (A-Z) words between ASCII white space, then one end. ``base_score`` is that of words drawn
     by their training counts with 0.1 added; ``score`` that of the model, as ``bits_per_byte`` over the words with a space
-    each and the end. A null text is empty: an end alone. Rows are independent, so equal rows get equal results; ids may
-    be null or repeat. Without training rows every count is 0.
+    each and the end. A null text is empty: an end alone. Rows are independent: equal ones get equal results up to
+    rounding; ids may be null or repeat. Without training rows every count is 0.
     """
     rows, head = with_counts(pick(docs, id=id_col, text=text_col), model)
     codes, tables, tokens, distinct = model.codes, model.tables, model.tokens, model.distinct
