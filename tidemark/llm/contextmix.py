@@ -19,9 +19,9 @@ from tidemark.llm.common import pick, slices, stage
 #: Slots of each table of bit counts (a power of two), counted, summed and sent in blocks.
 SHIFT, BLOCK = 21, 1 << 13
 SLOTS = 1 << SHIFT
-#: Contexts of a bit, besides what has been read of its byte: the last 2, 3, 4 bytes of the word, all its bytes so far, and
+#: Contexts of a bit, besides what has been read of its byte: the last 3 and 4 bytes of the word, all its bytes so far, and
 #: these with the word before, for the first NEAR bytes.
-INSIDE, ALL, NEAR = 4, 5, 3
+INSIDE, ALL, NEAR = 3, 4, 3
 #: Words that every task knows; the counts of others are joined to the documents that hold them.
 HEAD = 1 << 18
 #: Texts that a task mixes side by side.
@@ -32,17 +32,17 @@ STEP = 16.0
 #: than MET[0] times, ...), then whether they have been met after the word before.
 START = np.array(
     [
-        [0.4, 0.3, 0.45, 0.3, 0.0], [0.4, 0.3, 0.45, 0.3, 0.1], [0.3, 0.3, 0.5, 0.4, 0.0], [0.3, 0.3, 0.5, 0.4, 0.1],
-        [0.15, 0.2, 0.45, 0.45, 0.0], [0.1, 0.4, 0.3, 0.2, 0.2], [0.05, 0.1, 0.45, 0.4, 0.0], [0.0, 0.35, 0.3, 0.15, 0.5],
+        [0.7, 0.5, 0.3, 0.0], [0.7, 0.5, 0.3, 0.1], [0.5, 0.5, 0.4, 0.0], [0.5, 0.5, 0.4, 0.1],
+        [0.3, 0.5, 0.45, 0.0], [0.5, 0.3, 0.2, 0.2], [0.1, 0.5, 0.4, 0.0], [0.35, 0.3, 0.15, 0.5],
     ],
     np.float32,
 )
-GATES, MET, RATE = 8, np.array([3, 33, 257]), 0.005
+GATES, MET, RATE = 8, np.array([3, 33, 257]), 0.01
 #: Cells of an adaptive map of log odds over -8..8, which adds to them what has been learned in a cell, and its rate.
 CELLS, MAP_RATE = 32, 0.02
 #: Trust in the word list that a document starts with, and observations that this is worth.
 TRUST, FAITH = 0.35, 8.0
-SPACE, END = 32, 10
+SPACE = 32
 
 
 def hashed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -54,33 +54,44 @@ def hashed(x: np.ndarray, seed: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Codes:
-    """A prefix code for bytes: of byte b, ``size[b]`` decisions from ``first[b]`` on, each at a ``node`` (``slot``: its
-    hash) and with a ``bit``."""
+    """Prefix codes for bytes after each byte: of the pair 256 * before + byte, ``size`` decisions from ``first`` on, each at a node
+    (``slot``: its hash) and with a ``bit``."""
 
     size: np.ndarray
     first: np.ndarray
-    node: np.ndarray
     bit: np.ndarray
     slot: np.ndarray
 
     @classmethod
     def of(cls, counts: np.ndarray) -> Codes:
-        """Huffman's code for ``counts`` (each byte counts once more, so every text can be written)."""
-        heap = [(int(c) + 1, b, b) for b, c in enumerate(counts)]
-        heapq.heapify(heap)
-        paths: dict[int, list[tuple[int, int]]] = {}
-        under: dict[int, list[int]] = {b: [b] for b in range(256)}
-        for node in range(255):
-            (n, _, a), (m, _, z) = heapq.heappop(heap), heapq.heappop(heap)
-            for bit, side in ((0, a), (1, z)):
-                for b in under[side]:
-                    paths.setdefault(b, []).append((node, bit))
-            under[256 + node] = under.pop(a) + under.pop(z)
-            heapq.heappush(heap, (n + m, 256 + node, 256 + node))
-        flat = [x for b in range(256) for x in reversed(paths[b])]
-        size = np.array([len(paths[b]) for b in range(256)], np.int64)
-        node = np.array([n for n, _ in flat], np.int64)
-        return cls(size, np.r_[0, np.cumsum(size)[:-1]], node, np.array([b for _, b in flat], np.int8), hashed(node, 99))
+        """Huffman's codes for the pairs' ``counts``; each byte counts once more, so every text can be written."""
+        sizes, nodes, bits = [], [], []
+        for before in range(256):
+            ways = huffman(counts[256 * before : 256 * before + 256] + 1)
+            sizes += [len(w) for w in ways]
+            nodes += [256 * before + node for w in ways for node, _ in w]
+            bits += [bit for w in ways for _, bit in w]
+        size = np.array(sizes, np.int64)
+        return cls(size, np.cumsum(size) - size, np.array(bits, np.int8), hashed(np.array(nodes, np.int64), 99))
+
+
+def huffman(counts: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Of each symbol the (node, bit) from the root on."""
+    heap = [(float(c), i) for i, c in enumerate(counts)]
+    heapq.heapify(heap)
+    up: dict[int, tuple[int, int]] = {}
+    for node in range(len(counts) - 1):
+        (n, a), (m, z) = heapq.heappop(heap), heapq.heappop(heap)
+        up[a], up[z] = (node, 0), (node, 1)
+        heapq.heappush(heap, (n + m, len(counts) + node))
+    ways = []
+    for i in range(len(counts)):
+        way, at = [], i
+        while at in up:
+            way.append(up[at])
+            at = len(counts) + up[at][0]
+        ways.append(way[::-1])
+    return ways
 
 
 @dataclass(frozen=True)
@@ -97,7 +108,7 @@ class Written:
 
     @classmethod
     def of(cls, words: pa.Array, codes: Codes, near: bool = False) -> Written:
-        """Each word is followed by a space; the empty word stands for the end of a text and is one END.
+        """Each word is followed by a space; the empty word stands for the end of a text and is one line feed.
 
         ``near``: the first NEAR bytes of each word and the last context alone.
         """
@@ -111,20 +122,21 @@ class Written:
         prefix = total[:-1] - np.repeat(total[start], size)
         own = hashed(total[start + size - 1] - total[start], 77)
         contexts = [hashed(prefix, ALL)]
+        pair = 256 * np.where(at > 0, np.r_[0, text[:-1]][: len(text)], SPACE) + text
         if near:
             some = at < NEAR
-            text, at, contexts = text[some], at[some], [contexts[0][some]]
+            text, pair, at, contexts = text[some], pair[some], at[some], [contexts[0][some]]
             size = np.minimum(size, NEAR)
             start = np.cumsum(size) - size
         else:
             last, before = np.zeros(len(text), np.int64), []
-            for k in range(1, INSIDE + 1):
+            for k in range(1, INSIDE + 2):
                 last = last | np.where(at >= k, np.r_[np.zeros(k, np.int64), text[:-k]][: len(text)] + 1, 0) << 9 * (k - 1)
                 before.append(hashed(last, k))
-            contexts = [*before[1:INSIDE], hashed(prefix, INSIDE), *contexts]
-        bits = codes.size[text]
+            contexts = [*before[2:], hashed(prefix, INSIDE), *contexts]
+        bits = codes.size[pair]
         byte = np.repeat(np.arange(len(text), dtype=np.int32), bits)
-        where = spans(codes.first[text], bits)
+        where = spans(codes.first[pair], bits)
         node = codes.slot[where]
         first = np.r_[0, np.cumsum(np.add.reduceat(bits, start))] if len(start) else np.zeros(1, np.int64)
         return cls(first, codes.bit[where], (at < NEAR)[byte], [c[byte] ^ node for c in contexts], own)
@@ -132,7 +144,7 @@ class Written:
 
 def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """first[0], first[0]+1, ... (size[0] of them), first[1], ..."""
-    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    return np.repeat((first - (np.cumsum(size) - size)).astype(np.int32), size) + np.arange(int(size.sum()), dtype=np.int32)
 
 
 @dataclass(frozen=True)
@@ -216,18 +228,18 @@ def learn(docs: DataFrame, train: Column, text_col: str = "text") -> Model:
     tokens, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
 
     def letters(batches):
-        n = np.zeros(256)
+        n = np.zeros(1 << 16)
         for b in batches:
-            size = pc.binary_length(b.column("word")).to_numpy(zero_copy_only=False)
-            text = np.frombuffer(b"".join(b.column("word").cast(pa.binary()).to_pylist()), np.uint8)
-            c = b.column("c").to_numpy().astype(np.float64)
-            n += np.bincount(text, np.repeat(c, size), 256)
-            n[SPACE] += c[size > 0].sum()
-            n[END] += c[size == 0].sum()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(n)], ["b", "n"])
+            size = pc.binary_length(b.column("word")).to_numpy(zero_copy_only=False) + 1
+            text = np.frombuffer(b"".join((w + b" ") if w else b"\n" for w in b.column("word").cast(pa.binary()).to_pylist()), np.uint8).astype(np.int64)
+            before = np.r_[SPACE, text[:-1]][: len(text)]
+            before[np.cumsum(size) - size] = SPACE
+            n += np.bincount(256 * before + text, np.repeat(b.column("c").to_numpy().astype(np.float64), size), 1 << 16)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["b", "n"])
 
-    found = {r.b: r.n for r in counts.mapInArrow(letters, "b long, n double").groupBy("b").agg(F.sum("n").alias("n")).collect()}  # 256 rows
-    codes = Codes.of(np.array([found.get(b, 0.0) for b in range(256)]))
+    found = {r.b: r.n for r in counts.mapInArrow(letters, "b long, n double").groupBy("b").agg(F.sum("n").alias("n")).collect()}  # 65,536 rows at most
+    codes = Codes.of(np.array([found.get(b, 0.0) for b in range(1 << 16)]))
 
     def inside(batches):
         n = np.zeros((INSIDE, SLOTS, 2), np.int64)
@@ -313,7 +325,7 @@ def mixed(t: Words, w: Written, tables: np.ndarray) -> np.ndarray:
     Every text starts from the same weights and an adaptive map of zeros and learns from what has been coded of it: after
     8, 16, 32, 64, 128, 256, 384, ... tokens. LANES texts are read side by side; none learns from another.
     """
-    x = np.zeros((len(w.bit), 8), np.int8)  # what belongs to a decision, together: four inputs; slot, bit, near, gate
+    x = np.zeros((len(w.bit), 8), np.int8)  # what belongs to a decision, together: the inputs; slot, bit, near, gate
     for k in range(INSIDE):
         x[:, k] = tables[k][w.slots[k]]
     gate = tables[ALL][w.slots[INSIDE - 1]].astype(np.int32)
@@ -410,7 +422,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         for b in batches:
-            for part in slices(b, "text", 2 << 20):
+            for part in slices(b, "text", 3 << 20):
                 t = Words.of(part.column("text"))
                 w = Written.of(t.distinct, codes)
                 n, known, base, score = scored(t, word_lists(t, part.column("known"), head.value), mixed(t, w, tables.value), tokens, distinct)
