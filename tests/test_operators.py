@@ -92,6 +92,32 @@ def test_bootstrap_interval(spark):
     assert r.low < r.point < r.high and abs((r.high - r.low) / (2 * 1.96 * se) - 1) < 0.15
 
 
+def test_draw_sums_against_a_second_implementation(spark):
+    b = spark.createDataFrame([(f"e{i}", (i * 37 % 101) / 50 - 0.9, 1.0 + i % 3) for i in range(300)], "id string, t double, c double")
+    mask = (1 << 64) - 1
+    rows = b.select(F.xxhash64("id", F.lit(7)).alias("h"), "t", "c").collect()
+    want = []
+    for draw in range(1, 41):
+        t = c = 0.0
+        for r in rows:
+            z = (r.h + draw * 0x9E3779B97F4A7C15) & mask
+            z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & mask
+            z = (z ^ z >> 27) * 0x94D049BB133111EB & mask
+            u, k, p = ((z ^ z >> 31) >> 11) / 2**53, 0, math.exp(-1)
+            total = p
+            while u >= total and k < 12:
+                k += 1
+                p /= k
+                total += p
+            t, c = t + k * r.t, c + k * r.c
+        want.append((draw, t, c))
+    got = sorted(tuple(r) for r in economics.draw_sums(b.repartition(5), "t", "c", 40, 7).collect())
+    assert all(g[0] == w[0] and abs(g[1] - w[1]) < 1e-9 and abs(g[2] - w[2]) < 1e-9 for g, w in zip(got, want, strict=True))
+    r = economics.block_bootstrap(b, "t", "c", draws=40).first()
+    assert abs(r.point - sum(x.t for x in rows) / sum(x.c for x in rows)) < 1e-12
+    assert economics.block_bootstrap(b.limit(0), "t", "c", draws=5).first().point is None
+
+
 def test_spaced_and_crossings(spark):
     rows = [("a", i, t, s) for i, (t, s) in enumerate([(0, 0.9), (10, 0.1), (20, 0.9), (30, 0.2), (95, 0.95), (105, 0.1), (115, 0.9), (200, 0.99)])]
     df = spark.createDataFrame(rows, "symbol string, id int, t long, score double").withColumn("ts", F.timestamp_seconds("t"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,51 @@ def backward(
     return both.withColumn("_found", found).select(*[F.col(c) for c in left.columns], "_found.matched_at", *[f"_found.{c}" for c in cols])
 
 
+@dataclass(frozen=True)
+class Context:
+    """A right side: its ``rows``, the ``cols`` to carry, the column of the time they can be used ``at``; ``strict``: only after that
+    time; ``keyed``: whether it has the key, or holds for every key."""
+
+    rows: DataFrame
+    cols: list[str]
+    at: str = "available_at"
+    strict: bool = False
+    keyed: bool = True
+
+
+def contexts(left: DataFrame, rights: dict[str, Context], key: str = "symbol", left_ts: str = "ts", bucket: str = "day") -> DataFrame:
+    """``left`` with the columns of the latest row of each of ``rights`` at or before its time, and ``<name>_at``, when that was usable.
+
+    All sides are united once and dealt once by key and time bucket; one pass in order of time carries the last row of
+    every right side, and a table with one row for each bucket carries them over bucket ends. Rows that are equal in
+    every column stay apart. Two right rows of a key at one time leave no latest one: the job stops. Right rows without a
+    time are left out; a left row without a time finds nothing.
+    """
+    names = list(rights)
+    place = {"strict": 2, "exact": 0}
+    both = left.withColumns({"_t": F.col(left_ts).cast("timestamp"), "_side": F.lit(1)})
+    both = both.withColumn("_left", F.lit(True))
+    for n, r in rights.items():
+        rows = r.rows if r.keyed else r.rows.join(F.broadcast(left.select(key).distinct()), F.lit(True))
+        value = F.struct(F.col(r.at).cast("timestamp").alias(f"{n}_at"), *r.cols)
+        rows = rows.select(key, F.col(r.at).cast("timestamp").alias("_t"), F.lit(place["strict" if r.strict else "exact"]).alias("_side"), value.alias(f"_v_{n}"))
+        both = both.unionByName(rows.where("_t is not null"), allowMissingColumns=True)
+    both = both.withColumn("_bucket", F.date_trunc(bucket, "_t")).repartition(key, "_bucket")
+    ends = both.groupBy(key, "_bucket").agg(*[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col("_t"))).alias(f"_e_{n}") for n in names])
+    earlier = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(key, "_bucket", *[F.last(f"_e_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in names])
+    order = Window.partitionBy(key, "_bucket").orderBy("_t", "_side")
+    own = {f"_o_{n}": F.last(f"_v_{n}", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)) for n in names}
+    last = {f"_p_{n}": F.last(f"_v_{n}.{n}_at", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)) for n in names}
+    both = both.withColumns(own | last)
+    keep = F.coalesce(F.col("_left"), F.lit(False))
+    for n in names:
+        keep = F.when(F.col(f"_v_{n}.{n}_at") == F.col(f"_p_{n}"), F.raise_error(F.lit(f"two rows of {n} at one time")).cast("boolean")).otherwise(keep)
+    both = both.where(keep).join(carry, [key, "_bucket"], "left")
+    found = {f"_f_{n}": F.coalesce(f"_o_{n}", f"_c_{n}") for n in names}
+    return both.withColumns(found).select(*[F.col(c) for c in left.columns], *[f"_f_{n}.{c}" for n, r in rights.items() for c in (f"{n}_at", *r.cols)])
+
+
 def age_minutes(ts: str = "ts", at: str = "matched_at") -> Column:
     return (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))) / F.lit(60e6)
 

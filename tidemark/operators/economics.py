@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,19 +172,38 @@ def top_against_all(scored: DataFrame, score: str, net: str, shares: list[float]
     return rows.groupBy(F.col("_c.q").alias("q")).agg(F.count(F.lit(1)).alias("n"), F.avg(net).alias("mean"), (F.avg(net) - F.lit(row["all"])).alias("over_all"))
 
 
-def block_bootstrap(blocks: DataFrame, total: str, count: str, draws: int = 2000, alpha: float = 0.05, seed: int = 7, buckets: int = 512) -> DataFrame:
+def draw_sums(blocks: DataFrame, total: str, count: str, draws: int, seed: int) -> DataFrame:
+    """(draw, t, c): sums of ``total`` and ``count`` over blocks (``id``) that each draw takes Poisson(1) times.
+
+    A task adds up a vector with a place for each draw; blocks are never repeated. How often a draw takes a block follows
+    from a hash of the block's id, so results don't depend on how blocks are dealt.
+    """
+    rows = blocks.select(F.xxhash64("id", F.lit(seed)).alias("h"), F.col(total).cast("double").alias("t"), F.col(count).cast("double").alias("c"))
+    steps = np.cumsum(np.exp(-1.0) / np.array([math.factorial(i) for i in range(12)]))
+
+    def run(batches):
+        sums = np.zeros((2, draws))
+        each = np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for b in batches:
+            h = b.column("h").to_numpy().astype(np.uint64)
+            v = np.stack([b.column(c).fill_null(0.0).to_numpy() for c in ("t", "c")])
+            for at in range(0, len(h), 256):
+                z = h[at : at + 256, None] + each
+                z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+                sums += v[:, at : at + 256] @ np.searchsorted(steps, u, side="right").astype(np.float64)
+        yield pa.RecordBatch.from_pydict({"draw": np.arange(1, draws + 1), "t": sums[0], "c": sums[1]})
+
+    return rows.mapInArrow(run, "draw long, t double, c double").groupBy("draw").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+
+
+def block_bootstrap(blocks: DataFrame, total: str, count: str, draws: int = 2000, alpha: float = 0.05, seed: int = 7) -> DataFrame:
     """(point, low, high) of sum(total)/sum(count) when blocks are drawn anew: a Poisson bootstrap over whole blocks.
 
-    Each block gets a Poisson(1) count in each draw from a hash of block and draw, so no draw ever needs the blocks in one
-    place; partial sums by draw are combined. Blocks need an ``id``.
+    See ``draw_sums``. Blocks need an ``id``; null values count as 0.
     """
-    u = (F.pmod(F.xxhash64("id", F.col("draw"), F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    acc, p, k = 0.0, math.exp(-1), F.lit(8)
-    for i in range(8):
-        acc += p
-        k = F.when((F.col("_u") < acc) & (F.col("_u") >= acc - p), i).otherwise(k)
-        p /= i + 1
-    rows = blocks.select("id", F.col(total).alias("_t"), F.col(count).alias("_c"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("_u", u).withColumn("_k", k)
-    per = rows.groupBy("draw").agg((F.sum(F.col("_t") * F.col("_k")) / F.nullif(F.sum(F.col("_c") * F.col("_k")), F.lit(0.0))).alias("v"))
+    per = draw_sums(blocks, total, count, draws, seed).select((F.col("t") / F.nullif(F.col("c"), F.lit(0.0))).alias("v"))
     point = blocks.agg((F.sum(total) / F.sum(count)).alias("point"))
-    return point.crossJoin(per.agg(F.percentile("v", alpha / 2).alias("low"), F.percentile("v", 1 - alpha / 2).alias("high")))
+    ends = per.agg(F.percentile("v", alpha / 2).alias("low"), F.percentile("v", 1 - alpha / 2).alias("high"))
+    return point.join(F.broadcast(ends), F.lit(True))  # a row each

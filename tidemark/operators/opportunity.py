@@ -40,6 +40,23 @@ def triggers(bars: DataFrame, steps: list[Column], reset: Column, expiry: int, k
     return _sequence(bars, steps, reset, expiry, key, "fired")
 
 
+def advance(state: int, at: int, row: int, reset: bool, hit: list[bool], steps: int, expiry: int) -> tuple[int, int, bool, bool]:
+    """(state, at, began, fired) after bar number ``row`` with flags: ``state`` steps have come, the last at bar ``at``."""
+    far = row - at
+    if state and far > expiry + 1:  # a bar without flags ended it
+        state = 0
+    if reset:
+        return 0, at, False, False
+    if state == 0:
+        return int(hit[0]), row if hit[0] else at, bool(hit[0]), False
+    if far > expiry:
+        return 0, at, False, False
+    if hit[state]:
+        fired = state == steps - 1
+        return 0 if fired else state + 1, row, False, fired
+    return state, at, False, False
+
+
 def _sequence(bars: DataFrame, steps: list[Column], reset: Column, expiry: int, key: str, what: str) -> DataFrame:
     """``bars`` with ``fired``: all steps came one after another, each on a later bar and within ``expiry`` bars of the one
     before; or with ``armed``: the first step came while nothing had begun.
@@ -56,18 +73,7 @@ def _sequence(bars: DataFrame, steps: list[Column], reset: Column, expiry: int,
         pdf = pdf.sort_values("_row")
         state, at, out = 0, 0, []
         for row, reset_here, *hit in zip(pdf["_row"], pdf["_reset"], *(pdf[f] for f in flags), strict=True):
-            fired, began, far = False, False, row - at
-            if state and far > expiry + 1:  # a bar without flags ended it
-                state = 0
-            if reset_here:
-                state = 0
-            elif state == 0:
-                state, at, began = int(hit[0]), row, bool(hit[0])
-            elif far > expiry:
-                state = 0
-            elif hit[state]:
-                fired = state == n - 1
-                state, at = 0 if fired else state + 1, row
+            state, at, began, fired = advance(state, at, row, reset_here, hit, n, expiry)
             out.append(began if what == "armed" else fired)
         return pd.DataFrame({key: pdf[key], "ts": pdf["ts"], what: out})
 

@@ -344,6 +344,28 @@ def j21(spark, sf):
     return got.select("symbol", epoch().alias("ts_s"), rnd("level").alias("level"))
 
 
+CTX = f"""{H}, {SLOW}, cx AS (SELECT symbol, ts + INTERVAL '1 hour' AS bar_at, close AS last_close, volume AS last_volume FROM h),
+dx AS (SELECT symbol, date_trunc('day', ts) + INTERVAL '1 day' AS day_at, arg_max(close, ts) AS day_close FROM h GROUP BY ALL)"""
+
+
+@query(
+    "j5_contexts",
+    f"""WITH {CTX} SELECT h.symbol, epoch(h.ts)::BIGINT AS ts_s, epoch(bar_at)::BIGINT AS bar_s, round(last_close, 6) AS last_close, last_volume, epoch(day_at)::BIGINT AS day_s, round(day_close, 6) AS day_close,
+  epoch(s.available_at)::BIGINT AS slow_s, round(level, 6) AS level FROM h ASOF LEFT JOIN cx ON cx.symbol = h.symbol AND h.ts >= cx.bar_at ASOF LEFT JOIN dx ON dx.symbol = h.symbol AND h.ts >= dx.day_at
+  ASOF LEFT JOIN s ON h.ts > s.available_at""",
+)
+def j5(spark, sf):
+    """The last bar, the day before and a slow series of no symbol, in one pass; the slow one strictly before."""
+    h = hourly(spark, sf)
+    bars = h.select("symbol", (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("available_at"), F.col("close").alias("last_close"), F.col("volume").alias("last_volume"))
+    days = h.groupBy("symbol", F.date_trunc("day", "ts").alias("d")).agg(F.max_by("close", "ts").alias("day_close")).withColumn("available_at", F.col("d") + F.expr("INTERVAL 1 DAY"))
+    got = asof.contexts(h, {"bar": asof.Context(bars, ["last_close", "last_volume"]), "day": asof.Context(days, ["day_close"]), "slow": asof.Context(slow(spark, sf), ["level"], strict=True, keyed=False)})
+    return got.select(
+        "symbol", epoch().alias("ts_s"), epoch("bar_at").alias("bar_s"), rnd("last_close").alias("last_close"), "last_volume", epoch("day_at").alias("day_s"), rnd("day_close").alias("day_close"),
+        epoch("slow_at").alias("slow_s"), rnd("level").alias("level"),
+    )
+
+
 TRADES = "tr AS (SELECT symbol, event_id AS id, ts AS start, ts + (event_id % 7 + 1) * INTERVAL '20 minutes' AS \"end\", price FROM t)"
 
 

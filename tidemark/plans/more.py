@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import labels
+from tidemark.operators import correlation, labels
 from tidemark.operators.series import rolling
 from tidemark.plans.base import H, epoch, fine, hourly, last, query, rnd
 from tidemark.plans.evaluation import DEC, LEDGER, PANEL, PATH, WIN, decisions, ledger, probs, windows
@@ -182,12 +182,40 @@ def g35(spark, sf):
 SELECT round(corr(a, b), 5) AS spearman FROM k""",
 )
 def g23(spark, sf):
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
+    return correlation.spearman(probs(spark, sf).where("model = 1"), ["p0", "p2"]).select(rnd("rho", 5).alias("spearman"))
 
-    q = VectorAssembler(inputCols=["p0", "p2"], outputCol="x").transform(probs(spark, sf).where("model = 1").select("p0", "p2"))
-    m = Correlation.corr(q, "x", "spearman")
-    from pyspark.sql.types import DoubleType
 
-    pick = F.udf(lambda x: float(x[0, 1]), DoubleType())  # one row, one matrix
-    return m.select(rnd(pick(F.col(m.columns[0])), 5).alias("spearman"))
+
+FEATURES = ["close", "high", "twice", "ret_1", "ret_5", "hl", "volume", "taker", "flow"]
+FEAT = f"""{H}, ft AS (SELECT row_number() OVER () AS id, close, high, 2 * close + 1 AS twice, close / lag(close) OVER w - 1 AS ret_1, close / lag(close, 5) OVER w - 1 AS ret_5, (high - low) / close AS hl, volume, taker, 2 * taker / volume - 1 AS flow FROM h WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+lg AS ({" UNION ALL ".join(f"SELECT id, {i} AS i, '{f}' AS f, CAST({f} AS DOUBLE) AS v FROM ft WHERE {f} IS NOT NULL" for i, f in enumerate(FEATURES))}),
+pr AS (SELECT x.i, y.i AS j, x.f AS a, y.f AS b, x.v AS u, y.v AS v FROM lg x JOIN lg y ON x.id = y.id AND x.i < y.i),
+rk AS (SELECT i, j, a, b, rank() OVER (PARTITION BY i, j ORDER BY u) + (count(*) OVER (PARTITION BY i, j, u) - 1) / 2.0 AS u, rank() OVER (PARTITION BY i, j ORDER BY v) + (count(*) OVER (PARTITION BY i, j, v) - 1) / 2.0 AS v FROM pr),
+mx AS (SELECT i, j, a, b, corr(u, v) AS rho, count(*) AS n FROM rk GROUP BY i, j, a, b)"""
+
+
+def features(spark, sf):
+    c = F.col("close")
+    lagged = lambda f, k: c / F.lag("close", k).over(f.order) - 1
+    rows = rolling(hourly(spark, sf), 5, lambda f: {"ret_1": lagged(f, 1), "ret_5": lagged(f, 5)})
+    return rows.withColumns({"twice": 2 * c + 1, "hl": (F.col("high") - F.col("low")) / c, "flow": 2 * F.col("taker") / F.col("volume") - 1})
+
+
+@query("g23_rank_matrix", f"WITH {FEAT} SELECT a, b, round(rho, 6) AS rho, n FROM mx")
+def g23_matrix(spark, sf):
+    return correlation.spearman(features(spark, sf), FEATURES).select("a", "b", rnd("rho").alias("rho"), "n")
+
+
+@query(
+    "g23_pruned",
+    f"""WITH RECURSIVE {FEAT}, m AS (SELECT map_from_entries(list((i * 100 + j, abs(rho)))) AS m FROM mx WHERE rho IS NOT NULL),
+s(k, kept) AS (SELECT 0, CAST([] AS INTEGER[]) UNION ALL SELECT k + 1, CASE WHEN len(list_filter(kept, lambda a: coalesce(m[a * 100 + k], 0) >= 0.95)) > 0 THEN kept ELSE list_append(kept, k) END FROM s, m WHERE k < {len(FEATURES)}),
+z AS (SELECT kept FROM s WHERE k = {len(FEATURES)}),
+o AS (SELECT mx.*, abs(rho) AS r, list_contains(kept, j) AS stays, row_number() OVER (PARTITION BY j ORDER BY abs(rho) DESC, i) AS best FROM mx, z WHERE list_contains(kept, i) AND rho IS NOT NULL)
+SELECT a AS feature_a, b AS feature_b, round(r, 6) AS abs_spearman, CASE WHEN stays THEN 'report_only' ELSE 'drop_second' END AS action FROM o WHERE CASE WHEN stays THEN r >= 0.8 ELSE best = 1 END
+UNION ALL SELECT NULL, [{", ".join(f"'{f}'" for f in FEATURES)}][i + 1], NULL, 'keep' FROM (SELECT unnest(kept) AS i FROM z)""",
+)
+def g23_pruned(spark, sf):
+    kept, _, audit = correlation.pruned(correlation.spearman(features(spark, sf), FEATURES), FEATURES)
+    rows = [(a, b, round(r, 6), action) for a, b, r, action in audit] + [(None, f, None, "keep") for f in kept]
+    return spark.createDataFrame(rows, "feature_a string, feature_b string, abs_spearman double, action string")

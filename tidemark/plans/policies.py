@@ -276,6 +276,21 @@ def b3(spark, sf):
     return got.select(*[rnd(c).alias(c) for c in ("point", "low", "high")])
 
 
+@query(
+    "b_points",
+    f"""WITH {LEDGER}, e AS (SELECT symbol || '-' || CAST(ts::DATE AS VARCHAR) AS episode, sum(net_return) AS t, count(*) AS c, sum(CASE WHEN exit_reason = 'stop' THEN -0.002 ELSE 0.001 END) AS d FROM lg GROUP BY 1)
+SELECT round(sum(t) / sum(c), 6) AS mean, round(sum(d), 6) AS delta, count(*) AS episodes FROM e""",
+)
+def b_points(spark, sf):
+    """What the intervals of b1 to b3 are about: the mean and the summed difference over whole episodes, of which no draw leaves any out."""
+    l = ledger(spark, sf).withColumns({"episode": F.concat_ws("-", "symbol", F.to_date("ts").cast("string")), "delta": F.when(F.col("exit_reason") == "stop", -0.002).otherwise(0.001)})
+    mean = economics.block_bootstrap(policies.episode_sums(l, "net_return"), "t", "c", draws=50)
+    e = policies.episode_sums(l, "delta")
+    delta = economics.paired_bootstrap(e, "t", draws=50)
+    got = mean.select(rnd("point").alias("mean")).join(F.broadcast(delta.select(rnd("point").alias("delta"))), F.lit(True))
+    return got.join(F.broadcast(e.agg(F.count(F.lit(1)).alias("episodes"))), F.lit(True))
+
+
 @query(
     "g6_worst_conditions",
     f"""WITH {VOTES}, r AS (SELECT model, side + 1 = y AS hit, symbol, CAST(conf >= 0.5 AS VARCHAR) AS sure FROM vt), l AS (SELECT model, hit, 'symbol' AS condition, symbol AS value FROM r UNION ALL SELECT model, hit, 'sure', sure FROM r)
@@ -349,13 +364,20 @@ def g29(spark, sf):
     return got.select("n", "sources", rnd("mean").alias("mean"), rnd("spread").alias("spread"), "largest", "top")
 
 
-@query("x9_news_rows", f"""WITH {ART} SELECT substr(sha256(source || '|' || CAST(id AS VARCHAR)), 1, 20) AS news_id, left(trim(regexp_replace(text, '[\\x00-\\x1f\\x7f]+', ' ', 'g')), 240) AS summary, least(greatest(n_chars / 1000.0 - 2, -1), 1) AS sentiment, least(n_chars // 1000, 2)::INT AS impact FROM a""")
+@query(
+    "x9_news_rows",
+    rf"""WITH {ART}, w AS (SELECT *, '<p class="x">' || text || '</p> see HTTPS://news.example.com/' || id || '?a=1 and' AS raw FROM a), c AS (SELECT *, left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '<[^>]+>', ' ', 'g'), '(?i)https?://[^\s\pZ]+', ' ', 'g'),
+  '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', ' ', 'g'), '[\s\pZ\x{{85}}]+', ' ', 'g')), 500) AS summary FROM w)
+SELECT substr(sha256(source || '|' || strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') || '|' || summary), 1, 20) AS news_id, summary, least(greatest(n_chars / 1000.0 - 2, -1), 1) AS sentiment, greatest(n_chars - 500, 0) / 1000.0 AS impact FROM c""",
+)
 def x9(spark, sf):
+    """Summaries without tags, addresses and control characters; ids by source, time and summary; sentiment within -1 to 1, impact from 0."""
     from tidemark.functions import text
 
-    a = articles(spark, sf)
+    raw = F.concat(F.lit('<p class="x">'), "text", F.lit("</p> see HTTPS://news.example.com/"), F.col("id").cast("string"), F.lit("?a=1 and"))
+    a = articles(spark, sf).withColumn("summary", text.sanitized(raw, 500))
     clip = F.greatest(F.least(F.col("n_chars") / 1000.0 - 2, F.lit(1.0)), F.lit(-1.0))
-    return a.select(text.stable_id(F.col("source"), F.col("id").cast("string")).alias("news_id"), text.sanitized(F.col("text"), 240).alias("summary"), clip.alias("sentiment"), F.least(F.floor(F.col("n_chars") / 1000), F.lit(2)).cast("int").alias("impact"))
+    return a.select(text.event_id(F.col("source"), F.col("ts"), F.col("summary")).alias("news_id"), "summary", clip.alias("sentiment"), (F.greatest(F.col("n_chars") - 500, F.lit(0)) / 1000.0).alias("impact"))
 
 
 @query("x5_cutoff_first", f"WITH {ART}, c AS (SELECT to_timestamp((epoch(min(ts)) + epoch(max(ts))) // 2)::TIMESTAMP AS c FROM a), k AS (SELECT a.* FROM a, c WHERE ts < c) SELECT title, min(id) AS id, count(*) AS n FROM k GROUP BY title")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import stories
+from tidemark.operators import sentiment, stories
 from tidemark.plans.base import epoch, query, rnd, table
 
 TITLE = "array_to_string(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[1:12], ' ')"
@@ -27,9 +27,30 @@ def f1(spark, sf):
     return articles(spark, sf).select("id", text.squash(F.col("title")).alias("norm"))
 
 
-@query("f2_headline_key", f"WITH {ART}, k AS (SELECT id, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) AS t FROM a), c AS (SELECT id, t, regexp_replace(t, '\\s+[-|–—]\\s+[^-|–—]{{1,40}}$', '') AS c FROM k), s AS (SELECT id, CASE WHEN len(string_split(c, ' ')) >= 4 THEN c ELSE t END AS t FROM c) SELECT id, trim(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS key FROM s")
+def _ending(before: str, name: str, now: str, pattern: str) -> str:
+    """SQL: ``name`` with the ending of ``pattern`` off, where four words stay."""
+    cut = f"regexp_replace({now}, '{pattern}', '')"
+    return f"{name} AS (SELECT id, t, CASE WHEN len(string_split(trim({cut}), ' ')) >= 4 THEN {cut} ELSE {now} END AS {name} FROM {before})"
+
+
+OUTLET_SQL, BYLINE_SQL = r"\s*[-–—|]\s*[a-z0-9&.''’ ]{2,35}$", r"\s+by\s+[a-z0-9&.''’ ]{2,30}$"
+#: Titles as they come: each third one with an outlet, each fifth by someone, each seventh with both and a second outlet.
+NEWS = f"""{ART}, nw AS (SELECT id, CASE WHEN id % 7 = 0 THEN title || ' - Wire by Jo O''Neil | The Daily' WHEN id % 5 = 0 THEN title || ' by A. Writer' WHEN id % 3 = 0 THEN title || ' — Reuters' ELSE title END AS title FROM a)"""
+
+
+@query(
+    "f2_headline_key",
+    f"""WITH {NEWS}, k AS (SELECT id, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) AS t FROM nw), {_ending("k", "c1", "t", OUTLET_SQL)}, {_ending("c1", "c2", "c1", BYLINE_SQL)}, {_ending("c2", "c3", "c2", OUTLET_SQL)},
+s AS (SELECT id, t, trim(regexp_replace(regexp_replace(c3, '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS k FROM c3) SELECT id, CASE WHEN k = '' THEN t ELSE k END AS key FROM s""",
+)
 def f2(spark, sf):
-    return articles(spark, sf).select("id", text.headline_key(F.col("title")).alias("key"))
+    return headlines(spark, sf).select("id", text.headline_key(F.col("title")).alias("key"))
+
+
+def headlines(spark, sf):
+    i, t = F.col("id"), F.col("title")
+    named = F.when(i % 7 == 0, F.concat(t, F.lit(" - Wire by Jo O'Neil | The Daily"))).when(i % 5 == 0, F.concat(t, F.lit(" by A. Writer"))).when(i % 3 == 0, F.concat(t, F.lit(" — Reuters")))
+    return articles(spark, sf).select("id", F.coalesce(named, t).alias("title"))
 
 
 @query("f3_protected_tokens", """SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(html), '(\\d+(?:\\.\\d+)?%?)', 1))), ',') AS tokens FROM pages""")
@@ -271,3 +292,85 @@ def u(spark, sf):
     parts = {"both": o.intersect(c), "only_customers": c.subtract(o), "union": o.union(c).distinct()}
     rows = [d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n") for k, d in parts.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+#: Two scorers of the same stories, the first of each title, and what comes with them; policy events are those of two sources.
+STORIES = f"""{ART}, fs AS (SELECT title, min(id) AS id, count(*) AS echoes FROM a GROUP BY title),
+st AS (SELECT a.id, a.ts, a.source, a.title, echoes, quality - toxic * 0.5 AS sent, (n_chars % 201 - 100) / 100.0 AS llm_sent, (n_chars % 11) / 10.0 AS llm_relevance, n_chars % 3 AS llm_impact,
+  ['BTC', 'macro', 'US500', 'none'][a.id % 4 + 1] AS llm_asset, (n_chars % 13 - 6) / 2.0 AS tone FROM fs JOIN a ON a.id = fs.id JOIN labels l ON l.doc_id = a.id),
+br AS (SELECT DISTINCT time_bucket(INTERVAL '15 minutes', ts) AS b FROM events), br0 AS (SELECT min(b) AS b0 FROM br)"""
+TOPIC = r"(?:^|[^\p{L}])(?:the|und|les|los)(?:$|[^\p{L}])"
+
+
+def stories_scored(spark, sf):
+    a = articles(spark, sf)
+    first = a.groupBy("title").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("echoes")).drop("title")
+    got = a.join(first, "id").join(table(spark, sf, "labels").withColumnRenamed("doc_id", "id"), "id")
+    n = F.col("n_chars")
+    asset = F.element_at(F.array(*map(F.lit, ("BTC", "macro", "US500", "none"))), (F.col("id") % 4 + 1).cast("int"))
+    return got.select(
+        F.lit("btc").alias("symbol"), "id", "ts", "source", "title", "echoes", (F.col("quality") - F.col("toxic") * 0.5).alias("sent"), ((n % 201 - 100) / 100.0).alias("llm_sent"),
+        ((n % 11) / 10.0).alias("llm_relevance"), (n % 3).alias("llm_impact"), asset.alias("llm_asset"), ((n % 13 - 6) / 2.0).alias("tone"),
+    )
+
+
+def blocks(spark, sf, scorer, weighting):
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    bars = e.select(F.lit("btc").alias("symbol"), F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / 900) * 900).alias("ts")).distinct()
+    s = stories_scored(spark, sf)
+    index = e.groupBy(F.date_trunc("day", "ts").alias("ts")).agg(F.floor(F.avg("value")).alias("value"))
+    releases = e.where("event_type = 'signup'").select(F.lit("btc").alias("symbol"), F.date_trunc("hour", "ts").alias("ts")).distinct()
+    direct = F.col("source").isin("src1", "src2")
+    return sentiment.matched_features(bars, s.where(~direct), s.where(~direct), releases, s.where(direct), index, scorer, weighting, "BTC", TOPIC)
+
+
+def block_sql(scorer: str, weighting: str) -> str:
+    score = "llm_sent" if scorer == "llm" else "sent"
+    own = weighting == "own"
+    llm_w = "least(greatest(llm_relevance, 0.0), 1.0) * (llm_impact + 1)"
+    llm_k = "llm_asset IN ('BTC', 'macro')"
+    kept = "true" if not own else llm_k if scorer == "llm" else f"regexp_matches(lower(title), '{TOPIC}')"
+    w = "1.0" if not own else llm_w if scorer == "llm" else "least(abs(sent), 1.0) * (1 + ln(1.0 + echoes))"
+    direct = "source IN ('src1', 'src2')"
+    parts = [
+        f"SELECT 'news', ts, {score}, {w} FROM st WHERE NOT {direct} AND {kept}", f"SELECT 'tone', ts, tone, 1.0 FROM st WHERE NOT {direct}",
+        "SELECT DISTINCT 'macro', date_trunc('hour', ts), 1.0, 1.0 FROM events WHERE event_type = 'signup'", f"SELECT 'direct', ts, {score}, {w} FROM st WHERE {direct} AND {kept}",
+    ]
+    if scorer == "llm":
+        parts += [
+            f"SELECT 'rel', ts, least(greatest(llm_relevance, 0.0), 1.0), 1.0 FROM st WHERE NOT {direct} AND {llm_k}",
+            f"SELECT 'hi', ts, {score}, {llm_w} FROM st WHERE NOT {direct} AND {llm_k} AND llm_impact >= 2", f"SELECT 'every', ts, {score}, 1.0 FROM st WHERE NOT {direct}",
+        ]
+    mean = lambda n: f"CASE WHEN coalesce(max(CASE WHEN name = '{n}' THEN w END), 0) > 1e-12 THEN max(CASE WHEN name = '{n}' THEN vw END) / max(CASE WHEN name = '{n}' THEN w END) ELSE 0 END"
+    of = lambda n, c: f"coalesce(max(CASE WHEN name = '{n}' THEN {c} END), 0)"
+    more = f""", round({mean("rel")}, 6) AS sent_llm_relevance_decay, round({mean("hi")}, 6) AS sent_llm_hi_impact_decay,
+  round(CASE WHEN {of("every", "n")} > 0 THEN {of("rel", "n")} / {of("every", "n")} ELSE 0 END, 6) AS sent_llm_topic_share_24h""" if scorer == "llm" else ""
+    return f"""WITH {STORIES}, ev(name, ts, v, w) AS ({" UNION ALL ".join(parts)}),
+cl AS (SELECT name, time_bucket(INTERVAL '15 minutes', ts) AS c, count(*) AS n, sum(v) AS v, sum(w) AS w, sum(v * w) AS vw FROM ev GROUP BY ALL),
+s0 AS (SELECT name, least(min(c), any_value(b0)) AS s, CASE WHEN name = 'direct' THEN 1 - pow(0.5, 1 / 192.0) ELSE 1 - pow(0.5, 1 / 24.0) END AS a FROM cl, br0 GROUP BY name),
+k AS (SELECT br.b, cl.*, pow(1 - a, (epoch(br.b) - epoch(c)) / 900) * CASE WHEN c = s THEN 1 ELSE a END AS f FROM br JOIN cl ON cl.c <= br.b JOIN s0 ON s0.name = cl.name),
+d AS (SELECT b, name, sum(f * v) AS v, sum(f * w) AS w, sum(f * vw) AS vw, CAST(sum(CASE WHEN c > b - INTERVAL '24 hours' THEN n ELSE 0 END) AS DOUBLE) AS n FROM k GROUP BY ALL),
+ix AS (SELECT date_trunc('day', ts) AS at, floor(avg(value)) AS x FROM events GROUP BY ALL), iy AS (SELECT br.b, x FROM br ASOF LEFT JOIN ix ON br.b + INTERVAL '15 minutes' >= ix.at),
+iz AS (SELECT b, coalesce(x - lag(x, 672) OVER (ORDER BY b), 0) AS g FROM iy)
+SELECT epoch(iz.b)::BIGINT AS ts_s, round({mean("news") if own else of("news", "v")}, 6) AS sent_news_decay, {of("news", "n")} AS sent_news_count_24h, round({of("tone", "v")}, 6) AS sent_tone_decay,
+  round({of("macro", "v")}, 6) AS sent_macro_decay, round({of("direct", "vw")} / (1 - pow(0.5, 1 / 192.0)), 6) AS sent_direct_pulse, any_value(g) AS sent_fng_change_7d{more}
+FROM iz LEFT JOIN d ON d.b = iz.b GROUP BY iz.b"""
+
+
+def _rounded(got):
+    return got.select(epoch().alias("ts_s"), *[F.col(c) if c in ("sent_news_count_24h", "sent_fng_change_7d") else rnd(c).alias(c) for c in got.columns if c not in ("symbol", "ts")])
+
+
+@query("x7_llm_own_blocks", block_sql("llm", "own"))
+def x7_llm(spark, sf):
+    return _rounded(blocks(spark, sf, "llm", "own"))
+
+
+@query("x7_classic_own_blocks", block_sql("classic", "own"))
+def x7_classic_own(spark, sf):
+    return _rounded(blocks(spark, sf, "classic", "own"))
+
+
+@query("x7_classic_plain_blocks", block_sql("classic", "plain"))
+def x7_classic(spark, sf):
+    return _rounded(blocks(spark, sf, "classic", "plain"))
