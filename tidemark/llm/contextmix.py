@@ -256,7 +256,7 @@ def learn(docs: DataFrame, train: Column, text_col: str = "text") -> Model:
     def across(batches):
         n = np.zeros(2 * SLOTS, np.int64)
         for b in batches:
-            for part in slices(b, "text", 2 << 20):
+            for part in slices(b, "text", 8 << 20):
                 t = Words.of(part.column("text"))
                 w = Written.of(t.distinct, codes, near=True)
                 size, slot, before = np.diff(w.first), 2 * w.slots[0].astype(np.int64) + w.bit, 2 * previous(t, w)
@@ -295,7 +295,7 @@ def with_counts(rows: DataFrame, model: Model) -> tuple[DataFrame, object]:
 
     def rare(batches):
         for b in batches:
-            for part in slices(b, "text", 2 << 20):
+            for part in slices(b, "text", 8 << 20):
                 t = Words.of(part.column("text"))
                 new = pc.is_null(pc.index_in(t.distinct, value_set=head.value[0])).to_numpy(zero_copy_only=False)
                 at = np.flatnonzero(new[t.code])
@@ -422,7 +422,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         for b in batches:
-            for part in slices(b, "text", 3 << 20):
+            for part in slices(b, "text", 4 << 20):
                 t = Words.of(part.column("text"))
                 w = Written.of(t.distinct, codes)
                 n, known, base, score = scored(t, word_lists(t, part.column("known"), head.value), mixed(t, w, tables.value), tokens, distinct)
