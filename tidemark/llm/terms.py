@@ -18,14 +18,22 @@ def unit(x: np.ndarray) -> np.ndarray:
 def word_counts(data: bytes, terms: int, least: int = 1) -> tuple[np.ndarray, int]:
     """Counts of ``terms`` hashed words of at least ``least`` bytes, and the number of all words.
 
-    Words are runs of bytes above the space. Prefix sums of a polynomial give each word's hash by one difference.
+    Words are runs of bytes above the space. Prefix sums of a polynomial give each word's hash by one difference. Blocks
+    end where a word does; a word that fills a block is hashed by itself.
     """
-    out, words, at = np.zeros(terms), 0, 0
+    out, words, at, all_ = np.zeros(terms), 0, 0, np.frombuffer(data, np.uint8)
     while at < len(data):
-        end = min(len(data), at + BLOCK)
-        if end < len(data):  # at a space, unless one word fills the block
-            end = data.rfind(b" ", at, end) + 1 or end
-        b = np.frombuffer(data, np.uint8, end - at, at)
+        b = all_[at : at + BLOCK]
+        if at + len(b) < len(data):
+            gaps = np.flatnonzero(b <= 32)
+            if len(gaps):
+                b = b[: int(gaps[-1]) + 1]
+            else:
+                size, h = _long_word(all_, at)
+                words, at = words + 1, at + size
+                if size >= least:
+                    out[int(h >> np.uint64(40)) % terms] += 1
+                continue
         inside = np.r_[False, b > 32, False]
         first, last = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(~inside[1:] & inside[:-1])
         words += len(first)
@@ -35,5 +43,19 @@ def word_counts(data: bytes, terms: int, least: int = 1) -> tuple[np.ndarray, in
         total = np.r_[np.uint64(0), np.cumsum(b * POWERS[: len(b)], dtype=np.uint64)]
         h = (total[last] - total[first]) * INVERSE[first] * POWERS[1]
         out += np.bincount((h >> np.uint64(40)) % np.uint64(terms), minlength=terms)
-        at = end
+        at += len(b)
     return out, words
+
+
+def _long_word(data: np.ndarray, at: int) -> tuple[int, np.uint64]:
+    """Length and hash of the word that begins at ``at``, a block at a time."""
+    size, h, scale = 0, np.zeros(1, np.uint64), POWERS[1:2].copy()
+    while at + size < len(data):
+        b = data[at + size : at + size + BLOCK]
+        gap = np.flatnonzero(b <= 32)
+        b = b[: int(gap[0])] if len(gap) else b
+        h += (b * POWERS[: len(b)]).sum(dtype=np.uint64) * scale
+        size, scale = size + len(b), scale * POWERS[len(b)]
+        if len(gap):
+            break
+    return size, h[0]

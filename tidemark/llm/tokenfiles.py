@@ -42,7 +42,10 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end: int, i
                     name, held, ids = f"part-{task.partitionId():06d}-{k:05d}.tokens", 0, []
                     draft = f"{root}/{name}.{task.taskAttemptId()}.draft"
                     out = fs.open_output_stream(draft)
-                data = np.frombuffer(own.ids(t.as_py() or ""), "<u4").astype("<u2").tobytes()
+                found = np.frombuffer(own.ids(t.as_py() or ""), "<u4")
+                if (found >= 65_536).any() or (found == end).any():
+                    raise ValueError(f"ids of 65,536 or more, or {end}, don't fit into files of 16-bit ids that end with it")
+                data = found.astype("<u2").tobytes()
                 out.write(data + stop)
                 held += len(data) + 2
                 ids.append(key.as_py())
