@@ -32,7 +32,7 @@ def test_bars_are_the_batch_bars(spark, stream):
     assert got.count() > 50 and both.count() == got.count() >= want.count() - 10  # the last days are still open
 
 
-def test_sessions_counts_and_first_seen(spark, stream):
+def test_sessions_and_counts(spark, stream):
     t = ticks(spark, SF)
     own = t.groupBy("symbol", F.session_window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("symbol", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
     got = rows(twins.sessions(stream, "6 hours", "1 hour"))
@@ -40,13 +40,6 @@ def test_sessions_counts_and_first_seen(spark, stream):
     own = t.groupBy("symbol", F.window("ts", "24 hours", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("symbol", F.col("w.end").alias("ts"), "n")
     got = rows(twins.trailing_counts(stream, "24 hours", "6 hours", "1 hour"))
     assert got.count() > 100 and got.exceptAll(own).count() == 0
-    assert rows(twins.first_seen(stream, ["symbol"], "60 days")).count() == 5
-
-
-def test_alerts_keep_their_distance(spark, stream):
-    got = rows(twins.rearm_alerts(stream.withColumn("score", F.col("price")), 120.0, 86400, "1 hour")).orderBy("symbol", "ts").collect()
-    assert len(got) > 5 and all(r.score >= 120 for r in got)
-    assert all((b.ts - a.ts).total_seconds() >= 86400 for a, b in zip(got, got[1:]) if a.symbol == b.symbol)
 
 
 def test_latest_available_value(spark, stream):
@@ -58,12 +51,3 @@ def test_latest_available_value(spark, stream):
     for r in got:
         near = [v for v in views if v[0] <= r.ts and (r.ts - v[0]).total_seconds() <= 6 * 3600]
         assert (r.matched_at, r.level) == (near[-1] if near else (None, None))
-
-
-def test_missing_bars_are_flagged(spark, stream):
-    b = stream.select("symbol", F.date_trunc("hour", "ts").alias("ts"), F.col("price").alias("close"))
-    got = rows(twins.flagged_bars(b, 3600, "1 hour")).orderBy("symbol", "ts").collect()
-    assert len(got) > 100
-    for x, y in zip(got, got[1:]):
-        if x.symbol == y.symbol:
-            assert y.missing == (y.ts - x.ts).total_seconds() / 3600 - 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Microseconds of a time bucket: a bucket of a key is folded in one task.
@@ -21,8 +21,9 @@ def chained_spans(spans: DataFrame, touch: bool, bucket: int = BUCKET) -> DataFr
     taken one's end (``touch``: or at it).
 
     Three passes. Within a time bucket of a key, by pointer doubling, where a chain that begins at each span leaves the
-    bucket. Over the buckets of a key, a stream of three numbers a span that holds one batch: where the chain enters each.
-    Then each bucket is marked from its entry. Results don't depend on the bucket's size.
+    bucket. Over the buckets of a key, where the chain enters each: a stream of the spans that it may enter by, those that
+    start before all earlier buckets have ended and one more. Then each bucket is marked from its entry. Results don't depend
+    on the bucket's size.
     """
     rows = spans.withColumn("_b", F.floor(F.col("_s") / bucket))
     key, ident = (spans.schema[c].dataType.simpleString() for c in ("_key", "_id"))
@@ -35,9 +36,12 @@ def chained_spans(spans: DataFrame, touch: bool, bucket: int = BUCKET) -> DataFr
         while (nxt[:-1] < len(s)).any():
             end = np.where(nxt < len(s), end[np.minimum(nxt, len(s) - 1)], end)
             nxt = nxt[nxt]
-        return pd.DataFrame({"_key": pdf["_key"], "_b": pdf["_b"], "_at": np.arange(len(s)), "_s": s, "_out": e[end[:-1]]})
+        return pd.DataFrame({"_key": pdf["_key"], "_b": pdf["_b"], "_at": np.arange(len(s)), "_s": s, "_prev": np.r_[s[:1] - 1, s[:-1]], "_out": e[end[:-1]]})
 
-    left = rows.groupBy("_key", "_b").applyInPandas(leave, f"_key {key}, _b long, _at long, _s long, _out long")
+    left = rows.groupBy("_key", "_b").applyInPandas(leave, f"_key {key}, _b long, _at long, _s long, _prev long, _out long")
+    before = Window.partitionBy("_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("_key", "_b").agg(F.max("_e").alias("_e")).select("_key", "_b", F.max("_e").over(before).alias("_until"))
+    left = left.join(ends, ["_key", "_b"]).where((F.col("_at") == 0) | (F.col("_prev") <= F.col("_until"))).drop("_prev", "_until")
 
     def enter(frames):
         now, until, inside = None, None, None

@@ -32,7 +32,7 @@ def average_ranks(long: DataFrame, by: list[str], value: str = "v", bands: int =
 
 
 def null_groups(rows: DataFrame, features: list[str]) -> list[list[str]]:
-    """Columns grouped by the rows in which they are null (NaN counts as null), told by counts and sums of row hashes."""
+    """Columns grouped by the rows in which they are null (NaN and infinities count as null), told by counts and sums of row hashes."""
     h = F.xxhash64(*[f"`{c}`" for c in features]).cast("decimal(38,0)")
     gone = lambda c: F.col(f"`{c}`").isNull()
     got = rows.agg(*[F.struct(F.count_if(gone(c)).alias("n"), F.sum(F.when(gone(c), h)).alias("h")).alias(f"c{i}") for i, c in enumerate(features)]).first()
@@ -43,14 +43,15 @@ def null_groups(rows: DataFrame, features: list[str]) -> list[list[str]]:
 
 
 def spearman(rows: DataFrame, features: list[str]) -> DataFrame:
-    """(a, b, rho, n): the rank correlation of each two features, a before b in ``features``, over the rows where both have a value.
+    """(a, b, rho, n): the rank correlation of each two features, a before b in ``features``, over the rows where both have a
+    finite value.
 
     Ranks are average ranks among just those rows. Columns that are null in the same rows share their ranks, so there is
     one ranking a column for each pair of such groups. Ranks are brought together by row and multiplied in tasks: one
     matrix of partial sums a task. ``rho`` is null where a column is constant or no row has both.
     """
     place = {c: i for i, c in enumerate(features)}
-    value = lambda c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double"))
+    value = lambda c: F.when(F.abs(F.col(f"`{c}`").cast("double")) < float("inf"), F.col(f"`{c}`").cast("double"))
     rows = stage(rows.select(*[value(c).alias(f"x{place[c]}") for c in features]), "features")
     rows = rows.withColumn("rid", F.monotonically_increasing_id())  # of a written table: the same whenever it is read
     groups = [[int(c[1:]) for c in g] for g in null_groups(rows, [f"x{i}" for i in range(len(features))])]

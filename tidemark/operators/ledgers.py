@@ -99,3 +99,29 @@ def whole_window(signals: DataFrame, bars: DataFrame, hold: int, step_s: int) ->
     t = F.unix_timestamp("ts")
     ok = b.where((F.unix_timestamp("_n") - t == step_s) & (F.unix_timestamp("_e") - t == step_s * hold)).select("symbol", "ts")
     return signals.join(ok, ["symbol", "ts"], "left_semi")
+
+
+def outcome_cards(ledger: DataFrame, decisions: DataFrame, horizon: int = 4, name: str = "model", at: str = "available_at", net: str = "net") -> DataFrame:
+    """(decision, age_weeks, name, net_bps, trades, drawdown_bps): what each name's closed trades came to in each of the ``horizon``
+    weeks before each decision (column ``decision``), newest week 1.
+
+    A trade counts in the week in which it became available, always before the decision. Weeks that begin before the first
+    trade of all are left out; a name without trades in a week has zeros. A drawdown starts from zero. Trades of one time
+    go by their net.
+    """
+    week = F.expr("INTERVAL 7 DAYS")
+    first = ledger.agg(F.min(at).alias("_first"))
+    weeks = decisions.select("decision", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("age_weeks"))
+    weeks = weeks.withColumns({"_a": F.col("decision") - week * F.col("age_weeks"), "_b": F.col("decision") - week * (F.col("age_weeks") - 1)})
+    weeks = weeks.join(F.broadcast(first), F.col("_a") >= F.col("_first")).drop("_first")  # one row
+    # a week's place on a grid of weeks: a trade's own and the next hold all weeks that it may fall into
+    at_week = lambda c: F.floor(F.unix_micros(c) / (7 * 86_400_000_000))
+    rows = ledger.select(name, F.col(at).alias("_t"), F.col(net).alias("_n")).withColumn("_w", F.explode(F.array(at_week(F.col("_t")), at_week(F.col("_t")) - 1)))
+    rows = rows.join(weeks.withColumn("_w", at_week(F.col("_a"))), "_w").where((F.col("_t") >= F.col("_a")) & (F.col("_t") < F.col("_b")))
+    own = Window.partitionBy("decision", "age_weeks", name).orderBy("_t", "_n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_c", F.sum("_n").over(own)).withColumn("_top", F.greatest(F.max("_c").over(own), F.lit(0.0)))
+    got = rows.groupBy("decision", "age_weeks", name).agg(F.sum("_n").alias("_sum"), F.count(F.lit(1)).alias("trades"), F.max(F.col("_top") - F.col("_c")).alias("_dd"))
+    every = weeks.select("decision", "age_weeks").join(F.broadcast(ledger.select(name).distinct()), F.lit(True))  # names are few
+    got = every.join(got, ["decision", "age_weeks", name], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)) * 10_000
+    return got.select("decision", "age_weeks", name, zero("_sum").alias("net_bps"), F.coalesce("trades", F.lit(0)).alias("trades"), zero("_dd").alias("drawdown_bps"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.series import previous
+from tidemark.operators.series import previous, ranked
 
 #: Differences between sides of a model that count as none.
 EVEN = 1e-12
@@ -95,28 +95,13 @@ def route_series(scored: DataFrame, id_col: str = "id", key: str = "symbol", ts:
     return got.withColumn("line", F.concat_ws("|", F.col("key").cast("string"), "way", F.col("side").cast("string")))
 
 
-def ranked(rows: DataFrame, value: str, by: str, bands: int = 256) -> DataFrame:
-    """``rows`` with ``rank`` (from 0 in each ``by``) in order of ``value``, which no two rows of a ``by`` share.
-
-    Values are numbered within bands between approximate quantiles and shifted by the counts of the bands below, so no
-    ``by`` is sorted in one task; the numbers are exact whatever the quantiles.
-    """
-    cuts = rows.groupBy(by).agg(F.percentile_approx(value, [i / bands for i in range(1, bands)], 20 * bands).alias("_cuts"))
-    part = rows.join(cuts, by).withColumn("_band", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    below = Window.partitionBy(by).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
-    count = part.groupBy(by, "_band").agg(F.count(F.lit(1)).alias("_n"))
-    count = count.select(by, "_band", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_below"))
-    own = F.row_number().over(Window.partitionBy(by, "_band").orderBy(value)) - 1
-    return part.withColumn("_own", own).join(count, [by, "_band"]).withColumn("rank", F.col("_own") + F.col("_below")).drop("_own", "_below", "_band")
-
-
 def candidate_cutoffs(series: DataFrame, most: int = 257) -> DataFrame:
     """(line, cuts): each line's distinct positive scores, or where there are more than ``most`` as many linearly interpolated
     quantiles of them, ascending, and one above them all; 1.0 alone for a line without a positive score.
     """
     own = series.where("score > 0").select("line", "score").distinct()
     n = own.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top"))
-    own = ranked(own, "score", "line").join(n.select("line", "n"), "line")
+    own = ranked(own, "score", ["line"]).join(n.select("line", "n"), "line")
     # quantile i of most-1 lies at place i (n-1) / (most-1): a value counts for the quantiles just below and above it
     steps = F.lit(most - 1)
     place = lambda i: i * (F.col("n") - 1) / steps

@@ -6,6 +6,8 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -30,6 +32,22 @@ def numbered(df: DataFrame, key: str = "symbol", ts: str = "ts", name: str = "ro
     return part.withColumn(name, within - 1).join(base, [key, "_bucket"]).withColumn(name, F.col(name) + F.col("_base")).drop("_bucket", "_base")
 
 
+def ranked(rows: DataFrame, value: str, by: list[str], tie: tuple[str, ...] = (), bands: int = 256) -> DataFrame:
+    """``rows`` with ``rank`` (from 0 in each ``by``) in order of the number ``value``, then ``tie``.
+
+    Values are numbered within bands between approximate quantiles and shifted by the counts of the bands below, so no
+    ``by`` is sorted in one task; the numbers are exact whatever the quantiles. Rows equal in all of these get any order.
+    """
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(value, [i / bands for i in range(1, bands)], 20 * bands).alias("_cuts"))
+    part = rows.join(cuts, by) if by else rows.join(F.broadcast(cuts), F.lit(True))
+    part = part.withColumn("_band", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    count = part.groupBy(*by, "_band").agg(F.count(F.lit(1)).alias("_n"))
+    below = Window.partitionBy(*by).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)  # a row a band
+    count = count.select(*by, "_band", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_below"))
+    own = F.row_number().over(Window.partitionBy(*by, "_band").orderBy(value, *tie)) - 1
+    return part.withColumn("_own", own).join(count, [*by, "_band"]).withColumn("rank", F.col("_own") + F.col("_below")).drop("_own", "_below", "_band")
+
+
 @dataclass(frozen=True)
 class Frame:
     """Window specs inside a chunk: ``over(n)`` the row and the n-1 before, ``before(n)`` the n rows before it."""
@@ -70,6 +88,37 @@ def rolling(
     return rows.where(F.col("_own") == F.col("_chunk")).drop("_row", "_own", "_chunk")
 
 
+def rolling_kernel(
+    df: DataFrame, cols: list[str], n: int, kernel: Callable[..., np.ndarray], name: str, key: str = "symbol", ts: str = "ts", chunk: int = CHUNK
+) -> DataFrame:
+    """``df`` with ``name``: ``kernel`` of the last ``n`` rows' ``cols`` in each key, null for the first n-1 rows and where one is null.
+
+    ``kernel`` gets a matrix a column, a row for each place and ``n`` columns (views, not copies), and returns a number a
+    row; it is called once for each some thousand places of a chunk, never once a row. Chunks overlap as in ``rolling``.
+    """
+    chunk = max(chunk, n)
+    rows = numbered(df, key, ts, "_row")
+    own = F.floor(F.col("_row") / chunk)
+    small = rows.select(key, "_row", *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)])
+    small = small.withColumn("_chunk", F.explode(F.when(F.col("_row") % chunk >= chunk - (n - 1), F.array(own, own + 1)).otherwise(F.array(own))))
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_row")
+        keep, out = (pdf["_row"] // chunk == pdf["_chunk"]).to_numpy(), np.full(len(pdf), np.nan)
+        if len(pdf) >= n:
+            views = [np.lib.stride_tricks.sliding_window_view(pdf[f"_x{i}"].to_numpy(), n) for i in range(len(cols))]
+            for at in range(0, len(views[0]), 4096):
+                part = [v[at : at + 4096] for v in views]
+                whole = np.logical_and.reduce([~np.isnan(v).any(axis=1) for v in part])
+                if whole.any():
+                    out[np.flatnonzero(whole) + at + n - 1] = kernel(*[v[whole] for v in part])
+        return pd.DataFrame({key: pdf[key].to_numpy()[keep], "_row": pdf["_row"].to_numpy()[keep], name: out[keep]})
+
+    got = small.groupBy(key, "_chunk").applyInPandas(run, f"{key} {kind}, _row long, {name} double")
+    return rows.join(got, [key, "_row"]).withColumn(name, F.when(~F.isnan(name), F.col(name))).drop("_row")
+
+
 def previous(df: DataFrame, cols: dict[str, str], key: str = "symbol", ts: str = "ts", tie: tuple[str, ...] = (), bucket: str = "day", ahead: bool = False) -> DataFrame:
     """Add columns (name -> column) with the values of the row before in each key's order (``ahead``: the row after).
 

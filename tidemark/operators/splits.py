@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.series import numbered
+from tidemark.operators.series import numbered, ranked
 
 
 def blocked(df: DataFrame, splits: int, train: float, embargo: int, key: str = "symbol") -> DataFrame:
@@ -41,9 +41,22 @@ def walk_forward(df: DataFrame, lookback_days: int, step_days: int, ts: str = "t
 
 
 def chained(df: DataFrame, k: int, episode: str = "episode", ts: str = "ts") -> DataFrame:
-    """(episode, block): distinct episodes by first time, in k+1 blocks; fold i trains on blocks up to i and tests on i+1."""
-    e = df.groupBy(episode).agg(F.min(ts).alias("_t"))
-    return e.select(episode, (F.ntile(k + 1).over(Window.orderBy("_t", episode)) - 1).alias("block"))
+    """(episode, block): distinct episodes by first time, in k+1 blocks of equal size, larger ones first; fold i trains on blocks up
+    to i and tests on i+1. Episodes are numbered in bands of time, see ``ranked``.
+    """
+    e = df.groupBy(episode).agg(F.unix_micros(F.min(ts)).alias("_t"))
+    e = ranked(e, "_t", [], (episode,)).join(F.broadcast(e.agg(F.count(F.lit(1)).alias("_n"))), F.lit(True))
+    size, big, r = F.floor(F.col("_n") / (k + 1)), F.col("_n") % (k + 1), F.col("rank")
+    block = F.when(r < big * (size + 1), F.floor(r / (size + 1))).otherwise(big + F.floor((r - big * (size + 1)) / F.greatest(size, F.lit(1))))
+    return e.select(episode, block.cast("int").alias("block"))
+
+
+def fold_spans(df: DataFrame, tenths: list[tuple[int, int]], ts: str = "ts") -> DataFrame:
+    """(fold, valid_start, valid_end): stretches between tenths of the days that ``ts`` spans, whole days each."""
+    ends = df.agg(F.date_trunc("day", F.min(ts)).alias("a"), (F.datediff(F.max(ts), F.min(ts)) + 1).alias("d"))
+    at = lambda k: F.col("a") + F.make_dt_interval(F.floor(F.col("d") * k / 10).cast("int"))
+    folds = F.array(*[F.struct(F.lit(i).alias("fold"), at(F.lit(a)).alias("valid_start"), at(F.lit(b)).alias("valid_end")) for i, (a, b) in enumerate(tenths)])
+    return ends.select(F.explode(folds).alias("f")).select("f.*")
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:

@@ -210,27 +210,30 @@ def before_cutoff(articles: DataFrame, cutoff: Column, ts: str = "ts") -> DataFr
     return articles.where(F.col(ts) < cutoff)
 
 
-def title_clusters(articles: DataFrame, least: float = 95.0, block: int = 400, id_col: str = "id", title: str = "title") -> DataFrame:
-    """(id, cluster): the title key of the shortest title that an article's is alike: same first two words, equal protected
-    tokens, similarity of ``least`` or more.
-
-    Distinct keys of a block are folded in one task, shortest first, ties by the key itself. A block of more than ``block``
-    keys stays unmerged, as the rule of this clustering has it.
+def title_clusters(articles: DataFrame, least: float = 95.0, block: int | None = 400, id_col: str = "id", title: str = "title") -> DataFrame:
+    """(id, cluster): the title key of the first title that an article's is alike: same first two words, equal protected tokens of
+    the keys, similarity of ``least`` or more; titles go from short to long, then by the key, and only those that are like
+    no first one before become first ones.
+
+    A block of more than ``block`` keys stays unmerged, as the rule of this clustering has it; None merges all. Pairs of
+    alike keys come from parts of blocks (see ``alike_titles``); rounds then settle the keys that have any: one is a first
+    one when no key before it that is like it is open.
     """
-    a = articles.select(F.col(id_col).alias("id"), headline_key(F.col(title)).alias("key"), F.concat_ws(",", protected_tokens(F.col(title))).alias("protected"))
-    keys = a.where("key <> ''").groupBy("key").agg(F.min("protected").alias("protected")).withColumn("block", F.substring_index("key", " ", 2))
-    small = keys.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= block)).select("block")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        first: list[tuple] = []
-        out = []
-        for key, protected in sorted(zip(pdf["key"], pdf["protected"], strict=True), key=lambda k: (len(k[0]), k[0])):
-            words = " ".join(sorted(key.split()))
-            hit = next((k for k, p, w in first if p == protected and indel_ratio(w, words) >= least), None)
-            if hit is None:
-                first.append((key, protected, words))
-            out.append((key, hit or key))
-        return pd.DataFrame(out, columns=["key", "cluster"])
-
-    found = keys.join(small, "block", "left_semi").groupBy("block").applyInPandas(fold, "key string, cluster string")
+    a = articles.select(F.col(id_col).alias("id"), headline_key(F.col(title)).alias("key"))
+    keys = a.where("key <> ''").groupBy("key").agg(F.concat_ws(",", protected_tokens(F.col("key"))).alias("protected")).withColumn("block", F.substring_index("key", " ", 2))
+    if block is not None:
+        keys = keys.join(keys.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= block).select("block"), "block", "left_semi")
+    pairs = alike_titles(keys.select(F.col("key").alias("node"), "key", F.struct("block", "protected").alias("grp")), least)
+    before = F.struct(F.length("node"), "node") < F.struct(F.length("other"), "other")
+    pairs = stage(pairs.where(before).select(F.col("node").alias("first"), F.col("other").alias("key")), "alike")
+    open_, firsts = stage(pairs.select("key").unionByName(pairs.select(F.col("first").alias("key"))).distinct(), "open"), []
+    while not open_.isEmpty():
+        both = pairs.join(open_, "key", "left_semi").join(open_.select(F.col("key").alias("first")), "first", "left_semi")
+        kept = stage(open_.join(both.select("key").distinct(), "key", "left_anti"), "firsts")
+        gone = pairs.join(kept.select(F.col("key").alias("first")), "first", "left_semi").select("key").unionByName(kept).distinct()
+        open_ = stage(open_.join(gone, "key", "left_anti"), "open")
+        firsts.append(kept)
+    kept = reduce(DataFrame.unionByName, firsts, pairs.select("key").limit(0))
+    found = pairs.join(kept.select(F.col("key").alias("first")), "first", "left_semi").join(kept, "key", "left_anti")
+    found = found.groupBy("key").agg(F.min_by("first", F.struct(F.length("first"), "first")).alias("cluster"))
     return a.join(found, "key", "left").select("id", F.coalesce("cluster", "key").alias("cluster"))

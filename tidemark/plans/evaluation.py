@@ -637,19 +637,21 @@ def v1(spark, sf):
     return splits.blocked(hourly(spark, sf), 5, 0.8, 4).select("symbol", epoch().alias("ts_s"), "fold", "role")
 
 
+#: Folds by tenths of the days that a table spans.
+TENTHS = [(3, 5), (5, 8), (8, 10)]
 EPI = f"{T}, {TRADES}, ep AS (SELECT symbol, CAST(CAST(start AS DATE) AS VARCHAR) AS episode, start AS label_start, \"end\" AS label_end, id FROM tr)"
 
 
 @query(
     "v2_purged_folds",
     f"""WITH {EPI}, e AS (SELECT symbol, episode, min(label_start) AS a, max(label_end) AS b FROM ep GROUP BY ALL),
-f AS (SELECT * FROM (VALUES (0, TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-16'), (1, TIMESTAMP '2024-01-16', TIMESTAMP '2024-01-22')) AS x(fold, s, t))
+sp AS (SELECT date_trunc('day', min(start)) AS a0, CAST(max(start) AS DATE) - CAST(min(start) AS DATE) + 1 AS d FROM tr),
+f AS (SELECT fold, CAST(a0 + to_days(CAST(floor(d * lo / 10) AS INTEGER)) AS TIMESTAMP) AS s, CAST(a0 + to_days(CAST(floor(d * hi / 10) AS INTEGER)) AS TIMESTAMP) AS t FROM sp, (VALUES (0, 3, 5), (1, 5, 8), (2, 8, 10)) x(fold, lo, hi))
 SELECT fold, symbol, episode, CASE WHEN b < s THEN 'train' WHEN a >= s AND b <= t THEN 'valid' ELSE 'purged' END AS role FROM e, f WHERE b < s OR a < t""",
 )
 def v2(spark, sf):
     e = trades(spark, sf).select("symbol", F.to_date("start").cast("string").alias("episode"), F.col("start").alias("label_start"), F.col("end").alias("label_end"))
-    f = spark.createDataFrame([(0, "2024-01-10", "2024-01-16"), (1, "2024-01-16", "2024-01-22")], "fold int, a string, b string")
-    f = f.select("fold", F.col("a").cast("timestamp").alias("valid_start"), F.col("b").cast("timestamp").alias("valid_end"))
+    f = splits.fold_spans(e, TENTHS, "label_start")
     return splits.purged(e, f).select("fold", "symbol", "episode", "role")
 
 

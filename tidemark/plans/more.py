@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import correlation, labels
-from tidemark.operators.series import rolling
+from tidemark.operators import correlation, labels, ledgers
+from tidemark.operators.series import rolling, rolling_kernel
 from tidemark.plans.base import H, epoch, fine, hourly, last, query, rnd
 from tidemark.plans.evaluation import DEC, LEDGER, PANEL, PATH, WIN, decisions, ledger, probs, windows
 
@@ -219,3 +220,35 @@ def g23_pruned(spark, sf):
     kept, _, audit = correlation.pruned(correlation.spearman(features(spark, sf), FEATURES), FEATURES)
     rows = [(a, b, round(r, 6), action) for a, b, r, action in audit] + [(None, f, None, "keep") for f in kept]
     return spark.createDataFrame(rows, "feature_a string, feature_b string, abs_spearman double, action string")
+
+
+@query(
+    "g26_outcome_cards",
+    f"""WITH {LEDGER}, f AS (SELECT min(ts) AS f, max(ts) AS l FROM lg), d AS (SELECT unnest(generate_series(date_trunc('week', f) + INTERVAL '14 days', l, INTERVAL '7 days')) AS decision, f FROM f),
+w AS (SELECT decision, age, decision - age * INTERVAL '7 days' AS a, decision - (age - 1) * INTERVAL '7 days' AS b FROM d, (SELECT unnest([1, 2, 3, 4]) AS age) WHERE decision - age * INTERVAL '7 days' >= f),
+r AS (SELECT decision, age, symbol, ts, net_return AS n, sum(net_return) OVER z AS c FROM w JOIN lg ON ts >= a AND ts < b WINDOW z AS (PARTITION BY decision, age, symbol ORDER BY ts, net_return ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT *, greatest(max(c) OVER (PARTITION BY decision, age, symbol ORDER BY ts, n ROWS UNBOUNDED PRECEDING), 0) - c AS dd FROM r)
+SELECT epoch(w.decision)::BIGINT AS decision_s, w.age AS age_weeks, m.symbol AS model, round(coalesce(sum(n), 0) * 10000, 4) AS net_bps, count(n) AS trades, round(coalesce(max(dd), 0) * 10000, 4) AS drawdown_bps
+FROM w CROSS JOIN (SELECT DISTINCT symbol FROM lg) m LEFT JOIN t ON t.decision = w.decision AND t.age = w.age AND t.symbol = m.symbol GROUP BY w.decision, w.age, m.symbol""",
+)
+def g26(spark, sf):
+    l = ledger(spark, sf)
+    ends = l.agg((F.date_trunc("week", F.min("ts")) + F.expr("INTERVAL 14 DAYS")).alias("a"), F.max("ts").alias("b"))
+    decisions = ends.select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 7 DAYS"))).alias("decision"))
+    got = ledgers.outcome_cards(l, decisions, 4, "symbol", "ts", "net_return")
+    return got.select(epoch("decision").alias("decision_s"), "age_weeks", F.col("symbol").alias("model"), rnd("net_bps", 4).alias("net_bps"), "trades", rnd("drawdown_bps", 4).alias("drawdown_bps"))
+
+
+@query(
+    "h6_rolling_kernel",
+    f"""WITH {H}, n AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM h)
+SELECT symbol, epoch(ts)::BIGINT AS ts_s, round(CASE WHEN i >= 30 THEN regr_slope(close, i) OVER (PARTITION BY symbol ORDER BY ts ROWS 29 PRECEDING) END, 6) AS slope FROM n""",
+)
+def h6(spark, sf):
+    """A user's kernel: the slope of the last 30 closes, many windows a call."""
+
+    def slope(close: np.ndarray) -> np.ndarray:
+        x = np.arange(close.shape[1]) - (close.shape[1] - 1) / 2
+        return (close - close.mean(axis=1, keepdims=True)) @ x / (x @ x)
+
+    return rolling_kernel(hourly(spark, sf), ["close"], 30, slope, "slope", chunk=500).select("symbol", epoch().alias("ts_s"), rnd("slope").alias("slope"))

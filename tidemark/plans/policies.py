@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import economics, gates, labels, models, policies, stories
+from tidemark.operators import economics, gates, labels, models, policies, splits, stories
 from tidemark.plans.base import H, T, epoch, hourly, query, rnd, table, ticks
 from tidemark.plans.channels import DAYS  # noqa: F401
-from tidemark.plans.evaluation import ARG, CONF, LEDGER, ONE, PANEL, WIN, ledger, one, probs, windows
+from tidemark.plans.evaluation import ARG, CONF, LEDGER, ONE, PANEL, TENTHS, WIN, ledger, one, probs, windows
 from tidemark.plans.market import TRADES, trades
 from tidemark.plans.models import FEATURES, _rows
 from tidemark.plans.outcomes import DX, SIG, brackets, exits, signals
@@ -81,7 +81,7 @@ def y35(spark, sf):
 
 @query("y42_spaced_best")
 def y42(spark, sf):
-    """Greedy by score, not by time: no plain SQL; tests compare with a loop."""
+    """Greedy by score, not by time: no plain SQL; tests compare with a loop over the given rows."""
     return policies.spaced_best(one(spark, sf).withColumn("score", F.col("p2")), 40, 2 * 3600).select("id", rnd("score").alias("score"))
 
 
@@ -218,8 +218,8 @@ def y36(spark, sf):
     return kept.groupBy("theta").agg(F.count(F.lit(1)).alias("trades"), rnd(F.avg((F.col("r_gross") > 0).cast("double"))).alias("win_rate"), rnd(F.sum("r_gross"), 4).alias("total_r"))
 
 
-FOLDS = [(0, "2024-01-10", "2024-01-17"), (1, "2024-01-17", "2024-01-24")]
-FSQL = "fd AS (SELECT * FROM (VALUES (0, TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-17'), (1, TIMESTAMP '2024-01-17', TIMESTAMP '2024-01-24')) x(fold, a, b))"
+FSQL = """sp AS (SELECT date_trunc('day', min(start)) AS a0, CAST(max(start) AS DATE) - CAST(min(start) AS DATE) + 1 AS d FROM tr),
+fd AS (SELECT fold, CAST(a0 + to_days(CAST(floor(d * lo / 10) AS INTEGER)) AS TIMESTAMP) AS a, CAST(a0 + to_days(CAST(floor(d * hi / 10) AS INTEGER)) AS TIMESTAMP) AS b FROM sp, (VALUES (0, 3, 5), (1, 5, 8), (2, 8, 10)) x(fold, lo, hi))"""
 
 
 @query(
@@ -228,8 +228,8 @@ FSQL = "fd AS (SELECT * FROM (VALUES (0, TIMESTAMP '2024-01-10', TIMESTAMP '2024
   WHEN start >= a - INTERVAL '4 hours' THEN 'embargo' WHEN "end" >= a - INTERVAL '4 hours' THEN 'purged' WHEN start >= a - INTERVAL '52 hours' THEN 'calibration' ELSE 'fit' END AS role FROM tr, fd, z WHERE start < b""",
 )
 def v3(spark, sf):
-    folds = spark.createDataFrame(FOLDS, "fold int, a string, b string").select("fold", F.col("a").cast("timestamp").alias("valid_start"), F.col("b").cast("timestamp").alias("valid_end"))
     t = trades(spark, sf).select("id", F.col("start").alias("ts"), F.col("end").alias("label_end"))
+    folds = splits.fold_spans(t, TENTHS)
     return policies.fold_roles(t, folds, 86400, 48 * 3600, 4 * 3600)
 
 
@@ -390,8 +390,8 @@ def x5(spark, sf):
 
 @query("x3_title_clusters")
 def x3(spark, sf):
-    """Greedy clusters by similarity have no SQL; tests compare with a loop."""
-    return stories.title_clusters(articles(spark, sf))
+    """Greedy clusters by similarity have no SQL; tests compare with a loop over the given articles and over crowded ones."""
+    return stories.title_clusters(articles(spark, sf), block=None)
 
 
 @query("x2_first_seen", f"WITH {ART} SELECT id, ts = min(ts) OVER (PARTITION BY title) AS first_seen, count(*) OVER (PARTITION BY title) AS echoes FROM a")

@@ -175,7 +175,7 @@ def x1(spark, sf):
 
 @query("x1_story_ledger")
 def x1b(spark, sf):
-    """The fuzzy step has no SQL; tests compare it with a plain loop."""
+    """The fuzzy step has no SQL; tests compare it with a plain loop over the given articles and over crowded ones."""
     return stories.story_ledger(articles(spark, sf))
 
 

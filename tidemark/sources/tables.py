@@ -70,8 +70,10 @@ def write_monthly(bars: DataFrame, path: str, key: str = "symbol") -> None:
 
 
 def read_span(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
-    """Rows of [start, end) of a monthly table; other months' files aren't opened."""
+    """Rows of [start, end) of a monthly table; other months' files aren't opened. A row outside the month of its file stops the job."""
     df = spark.read.parquet(path)
+    own = F.date_format("ts", "yyyy-MM") == F.col("month")
+    df = df.where(F.when(own, F.lit(True)).otherwise(F.raise_error(F.lit("a row outside its month")).cast("boolean")))
     months = (F.col("month") >= start[:7]) & (F.col("month") <= end[:7])
     return df.where(months & (F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("ts") < F.lit(end).cast("timestamp"))).drop("month")
 
@@ -142,8 +144,9 @@ def social_posts(posts: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def quote_pair(bid: DataFrame, ask: DataFrame) -> DataFrame:
-    """Midpoint bars of both sides with ``spread_bps`` and minutes since the bar before as ``gap_min``; crossed quotes are out."""
-    one = lambda d: d.groupBy("symbol", "ts").agg(*[F.first(c).alias(c) for c in ("open", "high", "low", "close")])
+    """Midpoint bars of both sides with ``spread_bps`` and minutes since the bar before as ``gap_min``; crossed quotes are out. Of rows of a
+    side at one time the lowest by open, high, low, close counts."""
+    one = lambda d: d.groupBy("symbol", "ts").agg(F.min(F.struct("open", "high", "low", "close")).alias("_r")).select("symbol", "ts", "_r.*")
     mid = midpoint(one(bid), one(ask)).where("spread >= 0").withColumn("spread_bps", F.col("spread") / F.col("close") * 1e4)
     return previous(mid, {"_b": "ts"}).withColumn("gap_min", (F.unix_timestamp("ts") - F.unix_timestamp("_b")) / 60).drop("_b")
 

@@ -33,6 +33,7 @@ class InOrder(StatefulProcessor):
 
     def __init__(self, columns: str, state: str, out: list[str], fold: Callable):
         self.columns, self.state, self.out, self.fold = columns, state, out, fold
+        self.width = len(columns.split(", "))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -43,7 +44,8 @@ class InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for frame in rows:
-            values = [tuple(None if pd.isna(x) else x for x in r) for r in frame.drop(columns=["_key", "_time"]).itertuples(index=False, name=None)]
+            own = frame.iloc[:, frame.shape[1] - self.width :]  # after key and watermark column
+            values = [tuple(None if pd.isna(x) else x for x in r) for r in own.itertuples(index=False, name=None)]
             values = [(int(v[0]), *v[1:]) for v in values if v[0] is not None]
             if values:
                 self.buffer.appendList(values)

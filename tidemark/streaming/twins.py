@@ -1,10 +1,7 @@
-"""Structured Streaming twins of batch operators."""
+"""Structured Streaming twins of batch operators; those that need rows in order of time are in ``ordered``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,14 +21,6 @@ def trailing_counts(events: DataFrame, span: str, slide: str, late: str, key: st
     return got.select(key, F.col("_w.end").alias("ts"), "n")
 
 
-def first_seen(articles: DataFrame, keys: list[str], within: str, ts: str = "ts") -> DataFrame:
-    """The first article of each key; repeats within the watermark's reach are dropped.
-
-    The reach counts from the first article's state, not from the last one kept, so its end differs from the batch rule.
-    """
-    return articles.withWatermark(ts, within).dropDuplicatesWithinWatermark(keys)
-
-
 def sessions(events: DataFrame, gap: str, late: str, key: str = "symbol", ts: str = "ts") -> DataFrame:
     """Runs of events of a key without a pause of ``gap`` or more."""
     got = events.withWatermark(ts, late).groupBy(key, F.session_window(ts, gap).alias("_w")).agg(F.count(F.lit(1)).alias("n"))
@@ -48,48 +37,3 @@ def available(signals: DataFrame, slow: DataFrame, cols: list[str], stale: str,
     both = a.join(b, near, "left_outer").select(F.col(f"a.{key}"), F.col("a.ts"), F.struct(F.col("b.available_at").alias("matched_at"), *[F.col(f"b.{c}") for c in cols]).alias("_v"))
     got = both.groupBy(key, "ts").agg(F.max_by("_v", F.col("_v.matched_at")).alias("_v"))
     return got.select(key, "ts", "_v.*")
-
-
-def flagged_bars(bars: DataFrame, step_s: int, late: str, key: str = "symbol") -> DataFrame:
-    """(key, ts, close, missing): each bar with the number of bars missing before it; bars that come after a later one of
-    their key are left out. State is the last bar's time.
-    """
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("ts")
-        out = []
-        for ts, close in zip(rows["ts"], rows["close"], strict=True):
-            t = int(ts.value // 1_000_000_000)
-            if last is None or t > last:
-                out.append((k[0], ts, close, 0 if last is None else max(0, (t - last) // step_s - 1)))
-                last = t
-        state.update((last,))
-        yield pd.DataFrame(out, columns=[key, "ts", "close", "missing"])
-
-    small = bars.withWatermark("ts", late).select(key, "ts", "close")
-    return small.groupBy(key).applyInPandasWithState(step, f"{key} string, ts timestamp, close double, missing long", "last long", "append", "NoTimeout")
-
-
-def rearm_alerts(scores: DataFrame, threshold: float, cooldown_s: int, late: str, key: str = "symbol") -> DataFrame:
-    """(key, ts, score): rows at or above the threshold at least ``cooldown_s`` after the key's last alert.
-
-    State is the last alert's time. Rows of a micro-batch are taken in order of time; those older than the last one that
-    was seen count by their own time.
-    """
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("ts")
-        out = []
-        for ts, score in zip(rows["ts"], rows["score"], strict=True):
-            t = int(ts.value // 1000)
-            if score >= threshold and (last is None or t - last >= cooldown_s * 1_000_000):
-                out.append((k[0], ts, score))
-                last = t
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(out, columns=[key, "ts", "score"])
-
-    small = scores.withWatermark("ts", late).select(key, "ts", "score")
-    return small.groupBy(key).applyInPandasWithState(step, f"{key} string, ts timestamp, score double", "last long", "append", "NoTimeout")
