@@ -60,13 +60,12 @@ def headline_key(c: Column) -> Column:
     """Title key: an outlet after a dash or bar, then a byline, then another outlet dropped from the end, each if four words stay;
     all but letters a to z and digits as spaces. A title of nothing else is its own key.
     """
-    t = squash(c)
+    t = key = squash(c)
     outlet = rf"\s*[{DASHES}]\s*[{NAME}]{{{OUTLET[0]},{OUTLET[1]}}}$"
     byline = rf"\s+by\s+[{NAME}]{{{BYLINE[0]},{BYLINE[1]}}}$"
-    key = t
     for ending in (outlet, byline, outlet):
-        cut = F.regexp_replace(key, ending, "")
-        key = F.when(F.size(F.split(F.trim(cut), " ")) >= LEFT, cut).otherwise(key)
+        few, enough = rf"(?:\S+ ){{0,{LEFT - 2}}}\S+?", rf"(?:\S+ ){{{LEFT - 1}}}\S.*?"
+        key = F.regexp_replace(key, f"^(?!{few}{ending})({enough}){ending}", "$1")  # the first place where it fits has to leave enough
     key = F.trim(F.regexp_replace(F.regexp_replace(key, "[^a-z0-9 ]+", " "), " +", " "))
     return F.when(key == "", t).otherwise(key)
 

@@ -227,9 +227,9 @@ def g23_pruned(spark, sf):
     f"""WITH {LEDGER}, f AS (SELECT min(ts) AS f, max(ts) AS l FROM lg), d AS (SELECT unnest(generate_series(date_trunc('week', f) + INTERVAL '14 days', l, INTERVAL '7 days')) AS decision, f FROM f),
 w AS (SELECT decision, age, decision - age * INTERVAL '7 days' AS a, decision - (age - 1) * INTERVAL '7 days' AS b FROM d, (SELECT unnest([1, 2, 3, 4]) AS age) WHERE decision - age * INTERVAL '7 days' >= f),
 r AS (SELECT decision, age, symbol, ts, net_return AS n, sum(net_return) OVER z AS c FROM w JOIN lg ON ts >= a AND ts < b WINDOW z AS (PARTITION BY decision, age, symbol ORDER BY ts, net_return ROWS UNBOUNDED PRECEDING)),
-t AS (SELECT *, greatest(max(c) OVER (PARTITION BY decision, age, symbol ORDER BY ts, n ROWS UNBOUNDED PRECEDING), 0) - c AS dd FROM r)
+dr AS (SELECT *, greatest(max(c) OVER (PARTITION BY decision, age, symbol ORDER BY ts, n ROWS UNBOUNDED PRECEDING), 0) - c AS dd FROM r)
 SELECT epoch(w.decision)::BIGINT AS decision_s, w.age AS age_weeks, m.symbol AS model, round(coalesce(sum(n), 0) * 10000, 4) AS net_bps, count(n) AS trades, round(coalesce(max(dd), 0) * 10000, 4) AS drawdown_bps
-FROM w CROSS JOIN (SELECT DISTINCT symbol FROM lg) m LEFT JOIN t ON t.decision = w.decision AND t.age = w.age AND t.symbol = m.symbol GROUP BY w.decision, w.age, m.symbol""",
+FROM w CROSS JOIN (SELECT DISTINCT symbol FROM lg) m LEFT JOIN dr ON dr.decision = w.decision AND dr.age = w.age AND dr.symbol = m.symbol GROUP BY w.decision, w.age, m.symbol""",
 )
 def g26(spark, sf):
     l = ledger(spark, sf)
