@@ -75,3 +75,19 @@ def test_edge_cases(spark):
     assert left.columns == df.columns and left.where("doc_id is null").count() == 1
     empty = df.limit(0)
     assert mixing.mix(empty, langs=None).collect() == [] and mixing.sampled(empty, langs=None).collect() == []
+
+
+def test_topics_come_from_every_text(spark):
+    """More texts than a sample of 4,000 would hold; the last tenth has words of its own. However rows are dealt, the same topics."""
+    rng = np.random.default_rng(4)
+    words = [[f"topic{t}word{i}" for i in range(30)] for t in range(3)]
+    rows = [(i, " ".join(rng.choice(words[2 if i >= 5400 else i % 2], 25)), ("en", "fr")[i // 2 % 2], "a") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {n: {r.id: r.topic for r in mixing.describe(df.repartition(n)).collect()} for n in (2, 9)}
+    assert got[2] == got[9] and len(got[2]) == 6000
+    x = [mixing.packed(mixing.content(t)[0]) for _, t, _, _ in rows]
+    learned = mixing.Topics(None, None, every=mixing.Every(spark.createDataFrame([(r[2], b) for r, b in zip(rows, x, strict=True)], "lang string, x binary")))
+    here = mixing.Topics(None, None, every=mixing.Here(x, [r[2] for r in rows]))
+    assert np.array_equal(learned.idf, here.idf) and np.allclose(learned.centre, here.centre)
+    counts = sum(np.frombuffer(b[: len(b) // 6 * 2], "<u2").size for b in x)
+    assert round(float((6000 / np.expm1(learned.idf) - 1).sum())) == counts

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -12,8 +14,10 @@ from tidemark.llm.common import pick, slices, stage
 from tidemark.llm.terms import unit, word_counts
 from tidemark.llm.tokens import tokenizer
 
-#: Topics; hashed content words and the bytes of one at least; texts that the topics are learned from at most.
-TOPICS, TERMS, CONTENT, SAMPLE = 8, 1024, 5, 4000
+#: Topics; hashed content words and the bytes of one at least; languages with a mean of their own at most.
+TOPICS, TERMS, CONTENT, LANGS = 8, 1024, 5, 256
+#: Rows whose terms are gathered together; steps of a number in sums, which are whole and so the same in any order.
+ROWS, STEPS = 2000, float(1 << 24)
 #: Sweeps of the raking at most, and the largest relative difference of a marginal at which it ends.
 SWEEPS, TOLERANCE = 30, 1e-3
 NONE = "(none)"
@@ -25,80 +29,210 @@ def content(text: str | None) -> tuple[np.ndarray, int]:
     return np.sqrt(x).astype(np.float32), words
 
 
+def packed(x: np.ndarray) -> bytes:
+    """The hashed words of a text that occur, two bytes each, then their square-rooted counts, four bytes each."""
+    at = np.flatnonzero(x)
+    return at.astype("<u2").tobytes() + x[at].astype("<f4").tobytes()
+
+
+class Terms:
+    """Weighted terms of some texts: term and value of each entry, the text it is of, the place of a text's language."""
+
+    def __init__(self, rows: list[bytes], langs: list[str], names: dict[str, int]):
+        size = np.array([len(r) // 6 for r in rows], np.int64)
+        self.term = np.frombuffer(b"".join(r[: len(r) // 6 * 2] for r in rows), "<u2").astype(np.int64)
+        self.value = np.frombuffer(b"".join(r[len(r) // 6 * 2 :] for r in rows), "<f4").astype(np.float64)
+        self.text, self.n = np.repeat(np.arange(len(rows)), size), len(rows)
+        self.some, self.lang = size > 0, np.array([names.get(k, len(names)) for k in langs], np.int64)
+
+    def sums(self, each: np.ndarray) -> np.ndarray:
+        return np.bincount(self.text, each, self.n)
+
+    def weigh(self, idf: np.ndarray) -> Terms:
+        """Values times ``idf``, each text at length 1."""
+        self.value = self.value * idf[self.term]
+        self.value /= np.maximum(np.sqrt(self.sums(self.value**2)), 1e-12)[self.text]
+        return self
+
+
 class Topics:
-    """Groups of texts by their content words, across languages: spherical k-means of weighted terms less their language's mean."""
-
-    def __init__(self, x: np.ndarray, langs: list[str], k: int = TOPICS, rounds: int = 25, seed: int = 42):
-        rng, self.idf = np.random.default_rng(seed), np.log1p(len(x) / (1 + (x > 0).sum(0))).astype(np.float32)
-        y, names = unit(x * self.idf), np.array(langs, object)
-        self.means = {lang: y[names == lang].mean(0) for lang in sorted(set(langs))}
-        self.mean = y.mean(0)
-        y = self.turned(x, langs)
-        centre = [y[int(rng.integers(len(y)))]]
-        while len(centre) < min(k, len(y)):  # each next one far from those there are
-            far = np.maximum(1 - (y @ np.array(centre).T).max(1), 0) + 1e-9
-            centre.append(y[int(rng.choice(len(y), p=far / far.sum()))])
-        self.centre = np.array(centre)
-        for _ in range(rounds):
-            own = (y @ self.centre.T).argmax(1)
-            self.centre = unit(np.array([y[own == j].sum(0) if (own == j).any() else self.centre[j] for j in range(len(self.centre))]))
+    """Groups of texts by their content words, across languages: spherical k-means of weighted terms less their language's mean.
+
+    ``every`` runs over all texts: ``every.langs()`` are the languages and their texts, ``every.total(step, size)`` the sums of
+    ``step(terms)`` and ``every.best(key)`` the terms of the text with the largest ``key(terms, hashes)``. Sums are of whole
+    numbers and draws go by a hash of the terms, so how the texts are dealt doesn't matter.
+    """
 
-    def turned(self, x: np.ndarray, langs: list[str]) -> np.ndarray:
-        return unit(unit(x * self.idf) - np.array([self.means.get(k, self.mean) for k in langs]))
+    def __init__(self, x: np.ndarray | None, langs: list[str] | None, k: int = TOPICS, rounds: int = 25, seed: int = 42, every: Every | None = None):
+        every = every or Here([packed(r) for r in x], langs)
+        self.names = {lang: i for i, lang in enumerate(sorted(every.langs()))}
+        counts = every.total(self.names, lambda t: np.r_[np.bincount(t.term, minlength=TERMS), t.some.sum()], TERMS + 1)
+        self.k, self.idf = k, np.log1p(counts[-1] / (1 + counts[:-1]))
+        own = len(self.names) + 1  # the last one is for all others
+        sums = every.total(self.names, self._by_language, own * (TERMS + 1)).reshape(own, TERMS + 1)
+        self.means = sums[:, :TERMS] / np.maximum(sums[:, TERMS:], 1) / STEPS
+        self.means[-1] = sums[:, :TERMS].sum(0) / max(1, sums[:, TERMS].sum()) / STEPS
+        self.centre = np.zeros((0, TERMS))
+        for j in range(k):  # each next one far from those there are
+            got = every.best(self.names, lambda t, h: np.where(t.some, np.log(h) / (np.maximum(1 - self.near(t)[0], 0) + 1e-9), -np.inf), seed + j)
+            if got is None:
+                break
+            self.centre = np.vstack([self.centre, self._dense(got)])
+        before = -np.inf
+        for _ in range(rounds):
+            k = len(self.centre)
+            got = every.total(self.names, self._by_topic, k * (TERMS + own) + 1) / STEPS
+            sums, weight = got[: k * TERMS].reshape(k, TERMS), got[k * TERMS : -1].reshape(k, own)
+            sums = sums - weight @ self.means
+            self.centre = np.where(weight.any(1)[:, None], unit(sums), self.centre)
+            if got[-1] <= before * (1 + 1e-4):
+                break
+            before = got[-1]
+
+    def _by_language(self, t: Terms) -> np.ndarray:
+        own = len(self.names) + 1
+        at, steps = t.lang[t.text] * (TERMS + 1) + t.term, np.rint(t.weigh(self.idf).value * STEPS)
+        return np.bincount(at, steps, own * (TERMS + 1)) + np.bincount(t.lang[t.some] * (TERMS + 1) + TERMS, minlength=own * (TERMS + 1))
+
+    def _by_topic(self, t: Terms) -> np.ndarray:
+        near, own, scale = self.near(t)
+        k, langs = len(self.centre), len(self.names) + 1
+        scale = np.where(t.some, scale, 0.0)
+        sums = np.bincount(own[t.text] * TERMS + t.term, np.rint(t.value * scale[t.text] * STEPS), k * TERMS)
+        return np.r_[sums, np.bincount(own * langs + t.lang, np.rint(scale * STEPS), k * langs), np.rint(near[t.some] * STEPS).sum()]
+
+    def near(self, t: Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cosine with the nearest centre, its number, and one over the length without the language's mean, of each text."""
+        t.weigh(self.idf)
+        long = 1 - 2 * t.sums(t.value * self.means[t.lang[t.text], t.term]) + (self.means**2).sum(1)[t.lang]
+        scale = np.where(long > 1e-12, 1 / np.sqrt(np.maximum(long, 1e-12)), 0.0)
+        best, own = np.full(t.n, -1.0), np.zeros(t.n, np.int64)
+        for j, c in enumerate(self.centre):
+            s = (t.sums(t.value * c[t.term]) - (self.means @ c)[t.lang]) * scale
+            best, own = np.where(s > best, s, best), np.where(s > best, j, own)
+        return best, own, scale
+
+    def _dense(self, t: Terms) -> np.ndarray:
+        t.weigh(self.idf)
+        return unit(np.bincount(t.term, t.value, TERMS) - self.means[t.lang[0]])[None]
+
+    def topics(self, rows: list[bytes], langs: list[str]) -> list[str]:
+        """The topic of each packed text; NONE without content words."""
+        out = []
+        for at in range(0, len(rows), ROWS):
+            t = Terms(rows[at : at + ROWS], langs[at : at + ROWS], self.names)
+            out += [f"t{k}" if some else NONE for k, some in zip(self.near(t)[1].tolist(), t.some.tolist(), strict=True)]
+        return out
 
     def of(self, x: np.ndarray, langs: list[str]) -> list[str]:
-        """The topic of each row; NONE without content words."""
-        best = (self.turned(x, langs) @ self.centre.T).argmax(1).tolist()
-        return [f"t{k}" if some else NONE for k, some in zip(best, x.any(1).tolist(), strict=True)]
+        return self.topics([packed(r) for r in x], langs)
 
 
-def learn_topics(rows: DataFrame) -> Topics | None:
-    """Fitted on at most SAMPLE of ``rows`` (id, text, lang), the first by a hash of id and text; None if all are empty."""
-    rows = rows.where("text is not null").withColumn("h", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)) / float(1 << 40))
-    share = min(1.0, 1.2 * SAMPLE / max(1, rows.count()) + 1e-4)
+def _hashes(rows: list[bytes], seed: int) -> np.ndarray:
+    return np.array([((xxhash.xxh64_intdigest(r, seed) >> 11) + 1) / (1 << 53) for r in rows])
 
-    def run(batches):
-        for whole in batches:
-            for b in slices(whole, "text"):
-                x = [content(t)[0].astype(np.float16).tobytes() for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("h"), b.column("lang"), pa.array(x, pa.binary())], ["h", "lang", "x"])
 
-    got = rows.where(F.col("h") < share).select("h", "lang", "text").mapInArrow(run, "h double, lang string, x binary")
-    got = got.orderBy("h", "lang", "x").limit(SAMPLE).toArrow()
-    x = np.array([np.frombuffer(b, np.float16) for b in got["x"].to_pylist()], np.float32).reshape(-1, TERMS)
-    some = x.any(1)
-    return Topics(x[some], [k for k, on in zip(got["lang"].to_pylist(), some, strict=True) if on]) if some.any() else None
+class Every:
+    """All texts of ``rows`` (lang, x), in Spark: tasks send sums of whole numbers or their best text, never texts."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows.select("lang", "x")
+
+    def langs(self) -> list[str]:
+        got = self.rows.where(F.length("x") > 0).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+        return [r.lang for r in got.orderBy(F.desc("n"), "lang").limit(LANGS).collect()]
+
+    @staticmethod
+    def _parts(batches, names):
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                x, langs = b.column("x").slice(at, ROWS).to_pylist(), b.column("lang").slice(at, ROWS).to_pylist()
+                yield x, langs, Terms(x, langs, names)
+
+    def total(self, names: dict[str, int], step, size: int) -> np.ndarray:
+        parts = self._parts
+
+        def run(batches):
+            out = np.zeros(size)
+            for _, _, t in parts(batches, names):
+                out += step(t)
+            at = np.flatnonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(out[at].astype(np.int64))], ["cell", "v"])
+
+        got = self.rows.mapInArrow(run, "cell int, v long").groupBy("cell").agg(F.sum("v").alias("v")).toArrow()
+        out = np.zeros(size)
+        out[got["cell"].to_numpy()] = got["v"].to_numpy()
+        return out
+
+    def best(self, names: dict[str, int], key, seed: int) -> Terms | None:
+        parts = self._parts
+
+        def run(batches):
+            found = []
+            for x, langs, t in parts(batches, names):
+                keys = key(t, _hashes(x, seed))
+                at = max(range(len(x)), key=lambda i: (keys[i], x[i], langs[i]))
+                found = max(found, [keys[at], x[at], langs[at]])
+            if found and found[0] > -np.inf:
+                yield pa.RecordBatch.from_pydict({k: pa.array([v]) for k, v in zip(("key", "x", "lang"), found, strict=True)})
+
+        got = self.rows.mapInArrow(run, "key double, x binary, lang string").orderBy(F.desc("key"), F.desc("x"), F.desc("lang")).limit(1).collect()
+        return Terms([bytes(got[0].x)], [got[0].lang], names) if got else None
+
+
+class Here:
+    """The same over texts at hand."""
+
+    def __init__(self, rows: list[bytes], langs: list[str]):
+        self.rows, self.own = rows, langs
+
+    def langs(self) -> list[str]:
+        return [k for k, _ in Counter(k for k, r in zip(self.own, self.rows, strict=True) if r).most_common(LANGS)]
+
+    def total(self, names: dict[str, int], step, size: int) -> np.ndarray:
+        return step(Terms(self.rows, self.own, names)).astype(float)
+
+    def best(self, names: dict[str, int], key, seed: int) -> Terms | None:
+        keys = key(Terms(self.rows, self.own, names), _hashes(self.rows, seed))
+        at = max(range(len(keys)), key=lambda i: (keys[i], self.rows[i], self.own[i]), default=None)
+        return None if at is None or keys[at] == -np.inf else Terms([self.rows[at]], [self.own[at]], names)
 
 
 def describe(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", lang_col="lang", vocabulary: str | None = None) -> DataFrame:
     """(id, source, lang, topic, tokens, tie) of each whole text.
 
     Tokens are the ids that the tokenizer file ``vocabulary`` gives, or without one the words. The topic is one of TOPICS
-    groups of content words (see Topics); without content words it is NONE, as is a null source or language. ``tie`` is
-    the number that sampling compares with a probability: a hash of the id, or of the text where there is no id.
+    groups of content words, learned from every text (see Topics); without content words it is NONE, as is a null source
+    or language. ``tie`` is the number that sampling compares with a probability: a hash of the id, or of the text where there is no id.
     """
     rows = pick(docs, id=id_col, text=text_col, source=source_col, lang=lang_col)
     rows = rows.select("id", "text", *[F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(c) for c in ("source", "lang")])
-    shared = docs.sparkSession.sparkContext.broadcast(learn_topics(rows.select("id", "text", "lang")))
 
     def run(batches):
         own = tokenizer(vocabulary) if vocabulary else None
         for whole in batches:
             for b in slices(whole, "text"):
-                texts, langs = b.column("text").to_pylist(), b.column("lang").to_pylist()
+                texts = b.column("text").to_pylist()
                 x, n = zip(*map(content, texts), strict=True)
                 tokens = [len(own.ids(t or "")) // 4 for t in texts] if own else n
                 seeds = ((str(k) if k is not None else t or "").encode("utf-8", "surrogatepass") for k, t in zip(b.column("id").to_pylist(), texts, strict=True))
                 tie = [(xxhash.xxh64_intdigest(k, 11) >> 11) / (1 << 53) for k in seeds]
-                topic = shared.value.of(np.array(x), langs) if shared.value else [NONE] * len(texts)
                 yield pa.RecordBatch.from_pydict(
-                    {k: b.column(k) for k in ("id", "source", "lang")} | {"topic": topic, "tokens": pa.array(tokens, pa.int64()), "tie": pa.array(tie)}
+                    {k: b.column(k) for k in ("id", "source", "lang")} | {"tokens": pa.array(tokens, pa.int64()), "tie": pa.array(tie), "x": pa.array(map(packed, x), pa.binary())}
                 )
         if own:
             own.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, source string, lang string, topic string, tokens long, tie double")
+    terms = stage(rows.mapInArrow(run, f"id {kind}, source string, lang string, tokens long, tie double, x binary"), "terms")
+    shared = docs.sparkSession.sparkContext.broadcast(Topics(None, None, every=Every(terms)))
+
+    def name(batches):
+        for b in batches:
+            topic = shared.value.topics(b.column("x").to_pylist(), b.column("lang").to_pylist())
+            yield pa.RecordBatch.from_pydict({k: b.column(k) for k in ("id", "source", "lang")} | {"topic": pa.array(topic, pa.string()), "tokens": b.column("tokens"), "tie": b.column("tie")})
+
+    return terms.mapInArrow(name, f"id {kind}, source string, lang string, topic string, tokens long, tie double")
 
 
 def targets(cells: DataFrame, dim: str, shares: dict[str, float] | None, power: float) -> DataFrame:
