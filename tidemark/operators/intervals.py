@@ -24,6 +24,23 @@ def range_join(
     return a.join(b, [key, "_bucket"]).where((F.col(ts) >= F.col(start)) & upper).drop("_bucket")
 
 
+def marked(trades: DataFrame, bars: DataFrame, grid_s: int, key: str = "symbol") -> DataFrame:
+    """(key, ts, ret, open_trades) of each bar that trades (start, end, price) are open at: the sum of their log returns
+    from the bar before, or for a trade's first bar from its price, and their number.
+
+    Bars lie on a grid of ``grid_s`` seconds, so trades of a key whose first and last grid times are the same meet the same bars:
+    they are summed up first, and what is joined grows with the grid and the holds, not with the trades.
+    """
+    at = lambda f, c: F.timestamp_seconds(f(F.unix_micros(F.col(c).cast("timestamp")) / (grid_s * 1_000_000)) * grid_s).alias(c)
+    alike = trades.select(key, at(F.ceil, "start"), at(F.floor, "end"), F.signum("price").alias("_sign"), "price").where("start <= end")
+    alike = alike.groupBy(key, "start", "end", "_sign").agg(F.count(F.lit(1)).alias("_n"), F.count("price").alias("_priced"), F.sum(F.ln(F.abs("price"))).alias("_log"))
+    got = range_join(alike, bars.select(key, "ts", "close"), "start", "end", closed=True)
+    before = F.lag("close").over(Window.partitionBy(key, "start", "end", "_sign").orderBy("ts"))
+    first = F.when((F.col("_sign") == F.signum("close")) & (F.col("_priced") > 0), F.col("_priced") * F.ln(F.abs("close")) - F.col("_log"))
+    got = got.withColumn("_before", before).withColumn("_r", F.when(F.col("_before").isNull(), first).otherwise(F.col("_n") * F.ln(F.col("close") / F.col("_before"))))
+    return got.groupBy(key, "ts").agg(F.sum("_r").alias("ret"), F.sum("_n").alias("open_trades"))
+
+
 def inside_any(points: DataFrame, spans: DataFrame, start: str = "start", end: str = "end", ts: str = "ts", key: str = "symbol") -> DataFrame:
     """``points`` with ``inside``: whether some span of the key has start <= ts <= end, by a running largest end."""
     s = spans.select(key, F.col(start).alias("_t"), F.col(end).cast("timestamp").alias("_end"), F.lit(0).alias("_side"))

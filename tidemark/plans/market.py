@@ -410,9 +410,7 @@ r AS (SELECT symbol, ts, ln(close / coalesce(lag(close) OVER (PARTITION BY id OR
 SELECT symbol, epoch(ts)::BIGINT AS ts_s, round(sum(r), 6) AS ret, count(*) AS open_trades FROM r GROUP BY ALL""",
 )
 def j17(spark, sf):
-    got = intervals.range_join(trades(spark, sf), fine(spark, sf).select("symbol", "ts", "close"), "start", "end", closed=True)
-    r = F.ln(F.col("close") / F.coalesce(F.lag("close").over(Window.partitionBy("id").orderBy("ts")), F.col("price")))
-    return got.withColumn("r", r).groupBy("symbol", epoch().alias("ts_s")).agg(rnd(F.sum("r")).alias("ret"), F.count(F.lit(1)).alias("open_trades"))
+    return intervals.marked(trades(spark, sf), fine(spark, sf), 300).select("symbol", epoch().alias("ts_s"), rnd("ret").alias("ret"), "open_trades")
 
 
 @query(
