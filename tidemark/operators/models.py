@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.panel import logit
+from tidemark.sources.scratch import stage
 
 #: Name -> classifier; those for two classes are wrapped one against the rest where there are more.
 FAMILIES: dict[str, Callable[[str, str], Estimator]] = {
@@ -47,7 +48,7 @@ def walk_forward(df: DataFrame, windows: list[tuple], features: list[str], label
 
     The windows are few; each fit and each prediction is a job over rows filtered by time.
     """
-    out = None
+    df, out = stage(df, "windows"), None
     for k, (a, b, c) in enumerate(windows):
         t = F.col(ts)
         train = df.where((t >= F.lit(a)) & (t < F.lit(b) - F.expr(f"INTERVAL {embargo}")))
@@ -67,7 +68,7 @@ def out_of_fold(df: DataFrame, features: list[str], label: str, fold: str = "fol
 
 def cross_validated(df: DataFrame, features: list[str], label: str, fold: str = "fold", role: str = "role", family: str = "logistic") -> DataFrame:
     """(label, pred, n): confusion counts over all folds, each fitted on its own train rows and scored on its test rows."""
-    out = None
+    df, out = stage(df, "folds"), None
     for k in [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]:  # folds are few
         own = df.where(F.col(fold) == k)
         got = predict(fit(own.where(F.col(role) == "train"), features, label, family), own.where(F.col(role) == "test"), features).select(label, "pred")
@@ -84,7 +85,7 @@ def stacked(df: DataFrame, features: list[str], label: str, share: float, embarg
 
 def weekly_refit(df: DataFrame, features: list[str], label: str, ts: str = "ts", end: str = "exit_ts") -> DataFrame:
     """Each week's rows with ``p_win`` by a logistic fit on rows whose ``end`` came before the week; the first week has none."""
-    out = None
+    df, out = stage(df, "weekly"), None  # each week's fit reads the rows, not what they come from
     for (week,) in df.select(F.date_trunc("week", ts).alias("w")).distinct().orderBy("w").collect():  # weeks are few
         train = df.where(F.col(end) < F.lit(week))
         if train.select(label).distinct().count() < 2:
