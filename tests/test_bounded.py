@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import intervals, models
+from tidemark.operators import chains, intervals, models
 
 
 def test_marks_are_joined_by_grid_time(spark):
@@ -25,3 +25,11 @@ def test_fits_read_their_rows_once_made(spark):
     rows = rows.select(F.timestamp_seconds("s").alias("ts"), F.timestamp_seconds(F.col("s") + 60).alias("exit_ts"), "x", "y").repartition(3)
     got = models.weekly_refit(rows, ["x"], "y")
     assert "Exchange" not in got._jdf.queryExecution().toString() and got.where("p_win between 0 and 1").count() > 300
+
+
+def test_dense_keys_get_narrow_buckets(spark):
+    """No bucket has more spans than allowed where time tells them apart; few spans keep the width."""
+    df = spark.range(20_000).select((F.col("id") % 2).alias("_key"), (F.col("id") * 60_000_000).alias("_s"))
+    width = chains.bucket_width(df, chains.BUCKET, 500)
+    most = lambda w: df.groupBy("_key", F.floor(F.col("_s") / w)).count().agg(F.max("count")).first()[0]
+    assert most(width) <= 500 < most(width * 2) and chains.bucket_width(df, chains.BUCKET) == chains.BUCKET

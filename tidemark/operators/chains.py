@@ -9,6 +9,17 @@ from pyspark.sql import functions as F
 
 #: Microseconds of a time bucket: a bucket of a key is folded in one task.
 BUCKET = 30 * 86_400_000_000
+#: Spans of a bucket at most, as long as a 1024th of BUCKET has no more.
+ROWS = 100_000
+
+
+def bucket_width(spans: DataFrame, bucket: int, most: int = ROWS) -> int:
+    """``bucket``, halved up to ten times until no bucket of a key has more than ``most`` spans: one count by key and time cell."""
+    cell, k = max(1, bucket >> 10), F.explode(F.sequence(F.lit(0), F.lit(10)))
+    cells = spans.groupBy("_key", F.floor(F.col("_s") / cell).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = cells.withColumn("k", k).groupBy("k", "_key", F.expr("shiftright(c, 10 - k)").alias("c")).agg(F.sum("n").alias("n"))
+    fits = [r.k for r in sizes.groupBy("k").agg(F.max("n").alias("n")).where(F.col("n") <= most).collect()]
+    return max(1, bucket >> min(fits, default=10))
 
 
 def following(s: np.ndarray, e: np.ndarray, touch: bool) -> np.ndarray:
@@ -25,7 +36,7 @@ def chained_spans(spans: DataFrame, touch: bool, bucket: int = BUCKET) -> DataFr
     start before all earlier buckets have ended and one more. Then each bucket is marked from its entry. Results don't depend
     on the bucket's size.
     """
-    rows = spans.withColumn("_b", F.floor(F.col("_s") / bucket))
+    rows = spans.withColumn("_b", F.floor(F.col("_s") / bucket_width(spans, bucket)))
     key, ident = (spans.schema[c].dataType.simpleString() for c in ("_key", "_id"))
 
     def leave(pdf: pd.DataFrame) -> pd.DataFrame:
