@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 
 from tidemark.llm import mixing
+from tidemark.llm.common import stage
 
 
 def test_raking_against_numpy(spark):
@@ -91,3 +92,20 @@ def test_topics_come_from_every_text(spark):
     assert np.array_equal(learned.idf, here.idf) and np.allclose(learned.centre, here.centre)
     counts = sum(np.frombuffer(b[: len(b) // 6 * 2], "<u2").size for b in x)
     assert round(float((6000 / np.expm1(learned.idf) - 1).sum())) == counts
+
+
+def test_few_cells_are_raked_without_a_shuffle(spark, monkeypatch):
+    """What one task holds isn't dealt out or broadcast in every sweep, which fills the driver; both ways give the same weights."""
+    rows = [(f"s{i % 7}", ["en", "fr", "de"][i % 3], f"t{i % 5}", 10 + i * i % 97) for i in range(105)]
+    cells = stage(spark.createDataFrame(rows, "source string, lang string, topic string, tokens long"), "t")
+    goals = {"source": mixing.targets(cells, "source", None, 0.5), "lang": mixing.targets(cells, "lang", {"en": 0.5, "fr": 0.3}, 1.0), "topic": mixing.targets(cells, "topic", None, 0.0)}
+    plans = []
+    monkeypatch.setattr(mixing, "stage", lambda df, name, n=None: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stage(df, name, n))
+    found = []
+    for most in (mixing.CELLS, 50):
+        monkeypatch.setattr(mixing, "CELLS", most)
+        plans.clear()
+        found.append({(r.source, r.lang, r.topic): (r.weight, r.gap) for r in mixing.rake(cells, goals, tolerance=1e-9, keep=0.9).collect()})
+        assert len(plans) > 2 and any("Exchange" in p for p in plans[1:]) == (most == 50)
+    assert found[0].keys() == found[1].keys() and len(found[0]) == 105
+    assert all(abs(a - b) < 1e-9 for k in found[0] for a, b in zip(found[0][k], found[1][k], strict=True))

@@ -278,7 +278,8 @@ def links(cand: DataFrame, docs: DataFrame, least: float, bucket: int = BUCKET,
     )
     once = sizes.where("n > 1").groupBy("n", "chars", "x", "y").agg(F.min("key").alias("key"))  # buckets of the same ids are looked at once
     cut = F.greatest(F.ceil(F.col("n") / bucket), F.ceil(F.col("chars") / LENGTH)).cast("int")
-    rows = cand.join(once.select("key", cut.alias("cut")), "key").withColumn("own", F.pmod(F.xxhash64("h"), F.col("cut")).cast("int"))
+    once = stage(once.select("key", cut.alias("cut")), "buckets")  # a plan of its own: the driver holds half the shuffles at once
+    rows = cand.join(once, "key").withColumn("own", F.pmod(F.xxhash64("h"), F.col("cut")).cast("int"))
     unit = F.explode(F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda j: F.struct(F.least("own", j).alias("a"), F.greatest("own", j).alias("b"))))
     rows = rows.select("key", "own", "h", unit.alias("u")).select("key", "u.a", "u.b", "own", "h").join(texts, "h")
 

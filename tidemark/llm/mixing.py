@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import pick, slices, stage
@@ -18,6 +18,8 @@ from tidemark.llm.tokens import tokenizer
 TOPICS, TERMS, CONTENT, LANGS = 8, 1024, 5, 256
 #: Rows whose terms are gathered together; steps of a number in sums, which are whole and so the same in any order.
 ROWS, STEPS = 2000, float(1 << 24)
+#: Cells that one task rakes without a shuffle; more are dealt out.
+CELLS = 20_000
 #: Sweeps of the raking at most, and the largest relative difference of a marginal at which it ends.
 SWEEPS, TOLERANCE = 30, 1e-3
 NONE = "(none)"
@@ -260,11 +262,17 @@ def targets(cells: DataFrame, dim: str, shares: dict[str, float] | None, power:
     return rows.crossJoin(rows.agg(F.sum("goal").alias("all"))).select(dim, (F.col("goal") / F.col("all")).alias("goal"))
 
 
+def gathered(cells: DataFrame, n: int) -> DataFrame:
+    """``cells``, of which there are ``n``, in a partition for each CELLS of them: sums and windows over one need no shuffle."""
+    return cells.coalesce(n // CELLS + 1)
+
+
 def rake(cells: DataFrame, goals: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE, keep: float | None = None) -> DataFrame:
     """``cells`` (dims, tokens) with ``weight``: the tokens scaled by dimension after dimension to each marginal's goal.
 
-    Iterative proportional fitting from the observed tokens. Each step is an aggregate and an equi-join over cells, of
-    which there is one for each combination that occurs; a sweep over all dimensions is written and compared with the
+    Iterative proportional fitting from the observed tokens. Each step needs the sums of a dimension's categories over
+    cells, of which there is one for each combination that occurs: windows in one task for at most CELLS, else an
+    aggregate and an equi-join; a sweep over all dimensions is written and compared with the
     goals before the next. Weights sum to 1. Cells without tokens get weight 0. With ``keep``, the share of all tokens to
     be sampled, no cell gets more weight than its tokens can give, and the others are raked on. ``gap`` is the largest
     relative difference of a marginal from its goal that the last sweep met; raking ends at ``tolerance``, or where three
@@ -273,24 +281,30 @@ def rake(cells: DataFrame, goals: dict[str, DataFrame], sweeps: int = SWEEPS, to
     total, n = cells.agg(F.sum("tokens"), F.count(F.lit(1))).first()
     total = float(total or 1)
     most = F.col("tokens") / F.lit(total * keep) if keep else F.lit(1.0)
-    now = stage(cells.withColumns({"weight": F.col("tokens") / F.lit(total), "gap": F.lit(0.0)}), "cells", n)
-    wanted = {d: stage(g, "goals", n) for d, g in goals.items()}
+    columns = [*cells.columns, "weight", "gap"]
+    now = cells.withColumns({"weight": F.col("tokens") / F.lit(total), "gap": F.lit(0.0)})
+    for d, goal in goals.items():
+        now = now.join(goal.withColumnRenamed("goal", f"_goal_{d}"), d, "left")
+    now = gathered(stage(now.select(*columns, *[f"_goal_{d}" for d in goals]), "cells", n), n)
     gap, best, stalled = float("inf"), float("inf"), 0
     for _ in range(sweeps):
         off, step = F.lit(0.0), now
-        for d, goal in wanted.items():
-            have = step.groupBy(d).agg(F.sum("weight").alias("_have"))
-            ratio = have.join(goal, d).select(d, (F.col("goal") / F.nullif("_have", F.lit(0.0))).alias(f"_r_{d}"))
-            step = step.join(ratio, d, "left").withColumn("weight", F.col("weight") * F.coalesce(f"_r_{d}", F.lit(0.0)))
+        for d in goals:
+            if n <= CELLS:
+                step = step.withColumn("_have", F.sum("weight").over(Window.partitionBy(d)))
+            else:
+                step = step.join(step.groupBy(d).agg(F.sum("weight").alias("_have")), d, "left")
+            step = step.withColumn(f"_r_{d}", F.col(f"_goal_{d}") / F.nullif("_have", F.lit(0.0))).drop("_have")
+            step = step.withColumn("weight", F.col("weight") * F.coalesce(f"_r_{d}", F.lit(0.0)))
             off = F.greatest(off, F.abs(F.coalesce(F.col(f"_r_{d}"), F.lit(1.0)) - 1))
         step = step.withColumns({"weight": F.least("weight", most), "gap": off})
-        now = stage(step.select(*now.columns), "cells", n)
+        now = gathered(stage(step.select(*now.columns), "cells", n), n)
         gap = now.agg(F.max("gap")).first()[0] or 0.0
         stalled = stalled + 1 if gap > 0.95 * best else 0
         best = min(best, gap)
         if gap <= tolerance or stalled == 3:
             break
-    return now.withColumn("gap", F.lit(float(gap)))
+    return now.select(*columns).withColumn("gap", F.lit(float(gap)))
 
 
 def probabilities(cells: DataFrame, keep: float) -> DataFrame:
@@ -325,6 +339,7 @@ def mix(
     rows = stage(describe(docs, id_col, text_col, vocabulary=vocabulary), "topics")
     dims = ["source", "lang", "topic"]
     cells = stage(rows.groupBy(*dims).agg(F.sum("tokens").alias("tokens")), "cells")
+    cells = gathered(cells, cells.count())
     goals = {"source": targets(cells, "source", None, source_power), "lang": targets(cells, "lang", langs, lang_power), "topic": targets(cells, "topic", None, topic_power)}
     chance = stage(probabilities(rake(cells, goals, keep=keep), keep).drop("tokens"), "probabilities")
     return rows.join(chance, dims).select("id", *dims, "tokens", "weight", "gap", "p", (F.col("tie") < F.col("p")).alias("sampled"))
